@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import components, ranked, saved
 
-SLICE = 1 << 21
+SLICE, PACK_TOKENS = 1 << 21, 1_500_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
@@ -100,30 +100,42 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
 def _packed(docs: DataFrame, k: int, least: int, bits: int) -> DataFrame:
     """Rows (bucket, tokens, ents, counts): for runs of texts, the distinct sets' tokens in each bucket, 40 bits each."""
 
+    def pack(parts: list[tuple]) -> pa.RecordBatch | None:
+        sizes, tokens, ent = (np.concatenate(c) for c in zip(*parts, strict=True))
+        first = np.zeros(len(sizes), bool)
+        first[np.unique(ent, return_index=True)[1]] = True
+        keep = first & (sizes >= least)
+        if not keep.any():
+            return None
+        t = tokens[np.repeat(keep, sizes)]
+        owner = np.repeat(np.arange(keep.sum(), dtype=np.int32), sizes[keep])
+        ids = ent[keep]
+        bucket = (t >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, t, owner = bucket[order], t[order], owner[order]
+        code = (t << np.uint64(bits)) >> np.uint64(24)
+        low, high = code.astype(np.uint32), (code >> np.uint64(32)).astype(np.uint8)
+        present, edges = np.unique(bucket, return_index=True)
+        edges, rows = np.append(edges, len(bucket)), []
+        for i, b in enumerate(present.tolist()):
+            x, y = edges[i], edges[i + 1]
+            who, count = np.unique(owner[x:y], return_counts=True)
+            rows.append((b, low[x:y].tobytes() + high[x:y].tobytes(), ids[who].tobytes(), count.astype(np.uint32).tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "tokens", "ents", "counts"])
+
     def run(batches):
         for batch in batches:
-            for _, sizes, tokens, ent in _each_set(batch.column(1), k, 8 * SLICE):
-                first = np.zeros(len(sizes), bool)
-                first[np.unique(ent, return_index=True)[1]] = True
-                keep = first & (sizes >= least)
-                if not keep.any():
-                    continue
-                t = tokens[np.repeat(keep, sizes)]
-                owner = np.repeat(np.arange(keep.sum()), sizes[keep])
-                ids = ent[keep]
-                bucket = (t >> np.uint64(64 - bits)).astype(np.int16)
-                order = np.argsort(bucket, kind="stable")
-                t, owner = t[order], owner[order]
-                code = (t << np.uint64(bits)) >> np.uint64(24)
-                low, high = code.astype(np.uint32), (code >> np.uint64(32)).astype(np.uint8)
-                edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-                rows = []
-                for b in range(1 << bits):
-                    x, y = edges[b], edges[b + 1]
-                    if x < y:
-                        who, count = np.unique(owner[x:y], return_counts=True)
-                        rows.append((b, low[x:y].tobytes() + high[x:y].tobytes(), ids[who].tobytes(), count.astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "tokens", "ents", "counts"])
+            parts, held = [], 0
+            for _, *part in _each_set(batch.column(1), k):
+                parts.append(part)
+                held += len(part[1])
+                if held >= PACK_TOKENS:
+                    if (out := pack(parts)) is not None:
+                        yield out
+                    parts, held = [], 0
+            if parts and (out := pack(parts)) is not None:
+                yield out
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, tokens binary, ents binary, counts binary")
 
@@ -213,7 +225,7 @@ def _compare(percent: int, budget: int = 1 << 24):
     return run
 
 
-def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, group: int = 256, bucket_tokens: int = 2_000_000, broadcast_rows: int = 500_000) -> DataFrame:
+def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, group: int = 256, bucket_tokens: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row of docs.
 
     Two rows link when 100 * intersection >= percent * union of their sets of word shingles (1 to 99 percent);
@@ -229,7 +241,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, group: i
     total = ents.where(F.col("n") >= least).agg(F.sum("n")).first()[0] or 0
     found = None
     if total:
-        bits = min(14, max(7, (total // bucket_tokens).bit_length()))
+        bits = min(20, max(7, (total // bucket_tokens).bit_length()))
         shared = _packed(docs, words, least, bits).groupBy("bucket").applyInArrow(_shared, "ent long, shared long")
         shared = shared.groupBy("ent").agg(F.sum("shared").alias("shared"))
         alive = saved(ents.join(shared, "ent").where(F.col("shared") * 100 >= F.col("n") * percent).select("ent", "n", "low", "copies"))
