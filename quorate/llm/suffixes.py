@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,10 +79,10 @@ def _raw(column) -> list[bytes]:
 
 
 def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
-    """Rows (bucket, docs, counts, rows): for runs of texts, the anchors of each bucket as packed records.
+    """Rows (bucket, done, docs, hashes, counts, records): for runs of texts, the anchors of each bucket, packed.
 
-    Of equal reaches inside a run of texts, those after the first are already known to repeat; they go out as `done`
-    starts at bucket -1, so that a passage that many documents share does not fill its bucket.
+    Of equal reaches inside a run of texts, those after the first are already known to repeat: they go out as `done`,
+    so that a passage that many documents share is not compared again and again in its bucket.
     """
 
     def run(batches):
@@ -107,26 +108,27 @@ def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
                 bucket = (lead >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.lexsort((np.arange(len(d)), reach, lead))
                 new = np.concatenate([[True], (lead[order][1:] != lead[order][:-1]) | (reach[order][1:] != reach[order][:-1])])
-                bucket[order[~new]] = -1
+                bucket = bucket * 2
+                bucket[order[~new]] += 1
                 order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(-1, (1 << bits) + 1))
+                present, edges = np.unique(bucket[order], return_index=True)
+                edges = np.append(edges, len(order))
                 own = np.array(own)
                 rows = []
-                for b in range(-1, 1 << bits):
-                    o = order[edges[b + 1] : edges[b + 2]]
-                    if len(o):
-                        which, count = np.unique(d[o], return_counts=True)
-                        code = np.empty(len(o), RECORD)
-                        # Bits of the hash that the bucket doesn't say; of the reach, half.
-                        code["lead"] = ((lead[o] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                        code["reach"] = (reach[o] >> np.uint64(24)).astype(np.uint32)
-                        code["more"] = (lead[o] & np.uint64(0xFF)).astype(np.uint8) ^ (reach[o] & np.uint64(0xFF)).astype(np.uint8)
-                        code["at"], code["before"], code["after"] = m[o], m[o] - first[o], last[o] - first[o]
-                        rows.append((b, np.where(null[own[which]], 2**63 - 1, ids[own[which]]).astype(np.int64).tobytes(), dh[own[which]].tobytes(), count.astype(np.uint32).tobytes(), code.tobytes()))
-                kinds = (pa.int32(), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "docs", "hashes", "counts", "records"])
-
-    return docs.select("doc_id", "dh", "text").mapInArrow(run, "bucket int, docs binary, hashes binary, counts binary, records binary")
+                for k, b in enumerate(present.tolist()):
+                    o = order[edges[k] : edges[k + 1]]
+                    which, count = np.unique(d[o], return_counts=True)
+                    code = np.empty(len(o), RECORD)
+                    # Bits of the hash that the bucket doesn't say; of the reach, half.
+                    code["lead"] = ((lead[o] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+                    code["reach"] = (reach[o] >> np.uint64(24)).astype(np.uint32)
+                    code["more"] = (lead[o] & np.uint64(0xFF)).astype(np.uint8) ^ (reach[o] & np.uint64(0xFF)).astype(np.uint8)
+                    code["at"], code["before"], code["after"] = m[o], m[o] - first[o], last[o] - first[o]
+                    rows.append((b >> 1, bool(b & 1), np.where(null[own[which]], 2**63 - 1, ids[own[which]]).astype(np.int64).tobytes(), dh[own[which]].tobytes(), count.astype(np.uint32).tobytes(), code.tobytes()))
+                kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "done", "docs", "hashes", "counts", "records"])
+
+    return docs.select("doc_id", "dh", "text").mapInArrow(run, "bucket int, done boolean, docs binary, hashes binary, counts binary, records binary")
 
 
 RECORD = np.dtype([("lead", "<u4"), ("reach", "<u4"), ("more", "u1"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
@@ -151,6 +153,11 @@ def _out(ids, dh, code, open_) -> pa.Table:
 
 def _neighbours(block: pa.Table) -> pa.Table:
     """One bucket of suffixes: starts that repeat (open: false), and suffixes whose bytes are needed (open: true)."""
+    settled = block.filter(block.column("done"))
+    said = [_out(*_unpack(settled), False)] if settled.num_rows else []
+    block = block.filter(pc.invert(block.column("done")))
+    if not block.num_rows:
+        return said[0]
     ids, dh, code = _unpack(block)
     order = np.lexsort((code["at"], dh, ids, code["more"], code["reach"], code["lead"]))
     ids, dh, code = ids[order], dh[order], code[order]
@@ -159,7 +166,7 @@ def _neighbours(block: pa.Table) -> pa.Table:
     new = new_lead | np.concatenate([[True], reach[1:] != reach[:-1]])
     kinds = np.bincount(np.cumsum(new_lead) - 1, weights=new)
     several = kinds[np.cumsum(new_lead) - 1] > 1
-    return pa.concat_tables([_out(ids[~new], dh[~new], code[~new], False), _out(ids[new & several], dh[new & several], code[new & several], True)])
+    return pa.concat_tables([*said, _out(ids[~new], dh[~new], code[~new], False), _out(ids[new & several], dh[new & several], code[new & several], True)])
 
 
 def _contexts(rows: DataFrame, length: int, bits: int) -> DataFrame:
@@ -258,7 +265,7 @@ def _remove(rows: DataFrame, length: int, keep_text: bool) -> DataFrame:
     return rows.mapInArrow(run, kind)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, bucket_anchors: int = 500_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, bucket_anchors: int = 100_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary: a cut may part a character).
 
     A byte goes if a string of `length` bytes (64 to 200) over it also starts earlier: in a smaller doc_id (null ids
@@ -276,18 +283,11 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, b
     base = base.join(first, "md5").withColumn("again", F.col("uid") != F.col("first")).drop("first")
     base = saved(base)
     total = base.where("NOT again").agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(14, max(7, (total // 35 // bucket_anchors).bit_length()))
+    bits = min(20, max(7, (total // 35 // bucket_anchors).bit_length()))
 
     texts = docs.select("doc_id", F.xxhash64(raw).alias("dh"), "text")
-    packed = saved(_packed(texts, length, bits))
-    met = saved(packed.where("bucket >= 0").groupBy("bucket").applyInArrow(_neighbours, STARTS))
-
-    def known(batches):
-        for batch in batches:
-            ids, dh, code = _unpack(pa.Table.from_batches([batch]))
-            yield from _out(ids, dh, code, False).to_batches()
-
-    done = packed.where("bucket < 0").mapInArrow(known, STARTS).unionAll(met.where("NOT open")).select("doc_id", "dh", "low", "high")
+    met = saved(_packed(texts, length, bits).groupBy("bucket").applyInArrow(_neighbours, STARTS))
+    done = met.where("NOT open").select("doc_id", "dh", "low", "high")
     own = base.where("NOT again").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("dh").alias("own_dh"), "uid")
     keyed = texts.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "dh", "text").where(F.octet_length("text") >= length)
 
