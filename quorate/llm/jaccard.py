@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import components, ranked, saved
 
-SLICE, PACK_TOKENS = 1 << 21, 1_500_000
+SLICE, PACK_TOKENS = 1 << 20, 750_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
@@ -82,10 +82,11 @@ def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _each_set(column, k: int, most: int = SLICE):
     """(first row, texts' set sizes, tokens, set hashes) for runs of rows of an Arrow column of strings."""
-    raw = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-    for a, z in hashing.slices([len(t) for t in raw], most):
-        tokens, sizes = shingle_sets(raw[a:z], k)
-        yield a, sizes, tokens, set_hashes(tokens, sizes)
+    for at in range(0, len(column), 512):
+        raw = [t or b"" for t in column.slice(at, 512).cast(pa.binary()).to_pylist()]
+        for a, z in hashing.slices([len(t) for t in raw], most):
+            tokens, sizes = shingle_sets(raw[a:z], k)
+            yield at + a, sizes, tokens, set_hashes(tokens, sizes)
 
 
 def _sizes(docs: DataFrame, k: int) -> DataFrame:
@@ -180,35 +181,41 @@ def _token_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("ent", "text").mapInArrow(run, "ent long, n long, tokens array<long>")
 
 
-def _compare(percent: int, budget: int = 1 << 24):
+def _compare(percent: int, budget: int = 1 << 21):
     """The cogrouped step: queries against one group of members. Returns (ent, root, links)."""
 
     def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(queries):
             return pd.DataFrame({"ent": [], "root": [], "links": []}).astype("int64")
-        union, place = np.unique(np.concatenate(members["tokens"].to_list()), return_inverse=True)
-        sizes = members["n"].to_numpy()
-        dense = np.zeros((len(members), len(union)), np.float32)
-        dense[np.repeat(np.arange(len(members)), sizes), place] = 1
+        sizes, many = members["n"].to_numpy(), len(members)
+        held = np.concatenate(members["tokens"].to_list())
+        holder = np.repeat(np.arange(many), sizes)
+        order = np.argsort(held, kind="stable")
+        held, holder = held[order], holder[order]
+        union, first = np.unique(held, return_index=True)
+        first = np.append(first, len(held))
         own = members["ent"].to_numpy()
         weight = members["copies"].to_numpy()
-        root = np.arange(len(members))
-        linked_to, links, back = [], np.zeros(len(queries), np.int64), np.zeros(len(members), np.int64)
+        root = np.arange(many)
+        linked_to, links, back = [], np.zeros(len(queries), np.int64), np.zeros(many, np.int64)
         q_ent, q_n, q_tokens, q_copies = (queries[c].to_numpy() for c in ("ent", "n", "tokens", "copies"))
         home = queries["home"].to_numpy()
-        step = max(1, budget // len(union))
-        for a in range(0, len(queries), step):
-            z = min(a + step, len(queries))
-            t, n = np.concatenate(q_tokens[a:z]), q_n[a:z]
-            at = np.minimum(np.searchsorted(union, t), len(union) - 1)
-            hit = union[at] == t
-            row = np.repeat(np.arange(z - a), n)
-            overlap = np.bincount(row[hit], minlength=z - a)
-            opened = 100 * overlap >= percent * n
-            q = np.zeros((z - a, len(union)), np.float32)
-            q[row[hit], at[hit]] = 1
-            both = np.zeros((z - a, len(members)), np.int64)
-            both[opened] = np.rint(q[opened] @ dense.T).astype(np.int64)
+        # The bound: how many of a query's tokens the group's union has; groups it cannot reach are not opened.
+        tokens, row = np.concatenate(q_tokens), np.repeat(np.arange(len(queries)), q_n)
+        at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+        hit = union[at] == tokens
+        opened = 100 * np.bincount(row[hit], minlength=len(queries)) >= percent * q_n
+        hit &= opened[row]
+        at, row = at[hit], row[hit]
+        work = np.cumsum(np.bincount(row, first[at + 1] - first[at], minlength=len(queries)))
+        a = 0
+        while a < len(queries):
+            z = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + budget, side="right")))
+            lo, hi = np.searchsorted(row, [a, z])
+            n, count = q_n[a:z], first[at[lo:hi] + 1] - first[at[lo:hi]]
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            cell = np.repeat((row[lo:hi] - a) * many, count) + holder[np.repeat(first[at[lo:hi]], count) + within]
+            both = np.bincount(cell, minlength=(z - a) * many).reshape(z - a, many)
             link = (100 * both >= percent * (n[:, None] + sizes[None, :] - both)) & (q_ent[a:z, None] != own[None, :])
             links[a:z] = link @ weight
             back += (link & ~home[a:z, None]).T @ q_copies[a:z]
@@ -217,6 +224,7 @@ def _compare(percent: int, budget: int = 1 << 24):
                 if len(found) > 1:
                     root[np.isin(root, found)] = found[0]
                 linked_to.append((a + i, np.flatnonzero(link[i])[0]))
+            a = z
         rows = pd.DataFrame({"ent": np.concatenate([q_ent, own]), "root": np.concatenate([q_ent, own[root]]), "links": np.concatenate([links, back])})
         for i, m in linked_to:
             rows.loc[i, "root"] = own[root[m]]
@@ -289,8 +297,8 @@ def _links(docs: DataFrame, alive: DataFrame, words: int, percent: int, group: i
     mine = F.struct("key", "part")
     asked = asked.select("ent", mine.alias("own"), F.explode(F.filter("groups", lambda g: g <= mine)).alias("to"))
     asked = asked.join(tokens, "ent").select(F.col("to.key").alias("key"), F.col("to.part").alias("part"), "ent", "n", "tokens", "copies", (F.col("own") == F.col("to")).alias("home"))
-    # No task has more than about 1000 queries: busy groups are met in several slots, each with the members.
-    busy = asked.groupBy("key", "part").agg(F.ceil(F.count("*") / 1000).cast("int").alias("slots"))
+    # No task has more than about 400 queries: busy groups are met in several slots, each with the members.
+    busy = asked.groupBy("key", "part").agg(F.ceil(F.count("*") / 400).cast("int").alias("slots"))
     asked = asked.join(busy, ["key", "part"]).withColumn("slot", F.pmod(F.xxhash64("ent"), F.col("slots")).cast("int")).drop("slots")
     # Fresh column ids (toDF), as both sides come from the same tables.
     members = home.join(tokens, "ent").toDF("ent", "key", "part", "n", "tokens", "copies").join(busy, ["key", "part"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")

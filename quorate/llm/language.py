@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
+@lru_cache(maxsize=1)
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point, whether it is a letter, and the code point of its lower case (itself if that is longer)."""
     n = sys.maxunicode + 1
@@ -30,7 +32,7 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     return is_letter, low
 
 
-def sample(docs: DataFrame, documents: int = 64, chars: int = 1500) -> dict[str, str]:
+def sample(docs: DataFrame, documents: int = 48, chars: int = 800) -> dict[str, str]:
     """The labelled text each language is learned from: the middle `chars` characters of `documents` documents that
     are not held out, chosen by a hash. The number of languages bounds it; its size does not grow with the table."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(), F.lit(False)))
@@ -121,7 +123,7 @@ class Model:
         length = np.array([len(p) for p in parts])
         order = np.argsort(-length, kind="stable")
         width = int(length.max())
-        codes = np.zeros((width, len(parts)), np.intp)
+        codes = np.zeros((width, len(parts)), np.uint8)
         for k, i in enumerate(order):
             codes[: length[i], k] = parts[i]
         live = np.searchsorted(-length[order], -np.arange(width), side="left")
@@ -151,7 +153,7 @@ def _lookup(seen: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(is_letter, small[low], 1).astype(np.uint8), is_letter
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 64, chars: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48, chars: int = 800) -> DataFrame:
     """Adds held_out, lang_pred, score and phrase_chars (mean characters of a phrase) to docs, replacing such columns;
     `keep` names the columns of docs to return (all).
 
