@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import agreement, evaluation, texts
+
+QUERIES: dict = agreement.QUERIES | texts.QUERIES | evaluation.QUERIES
+ORACLE_SQL: dict[str, str] = agreement.ORACLE_SQL | texts.ORACLE_SQL | evaluation.ORACLE_SQL
