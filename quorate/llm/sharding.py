@@ -12,15 +12,32 @@ def _at(values: list, index: Column, kind: str) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), index + 1)
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: int = 11, buckets: int = 256, rank_rows: int = 100_000) -> DataFrame:
+def _admitted(asks: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], float]:
+    """The share of each (from, to) that may move: into no shard more than its room and what leaves it."""
+    flow = {k: float(n) for k, n in asks.items()}
+    for _ in range(500):
+        settled = True
+        for j in range(len(room)):
+            into = sum(x for (_, b), x in flow.items() if b == j)
+            most = max(0.0, room[j] + sum(x for (a, _), x in flow.items() if a == j))
+            if into > most * 1.001 + 0.5:
+                settled = False
+                for k in flow:
+                    flow[k] *= most / into if k[1] == j else 1.0
+        if settled:
+            break
+    return {k: flow[k] / n for k, n in asks.items()}
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: int = 11, rank_rows: int = 100_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (repeated rows each get a slot).
 
     Links: equal texts. A group of equal texts is one hub with its members as leaves, so that a member's neighbours by
     shard are the hub's counts by shard, and no pairs are made. Each round, members outside the shard that holds most
-    of their group propose to move there. Proposals are counted by (shard, bucket of the group's hash), a table of at
-    most shards * buckets rows; a shard admits whole buckets while it has room, and a share of the next one, so large
-    groups move in part and go on to the next shard. Rows without links are the ballast: the last step moves them
-    (then others) from shards above their quota to those below.
+    of their group propose to move there. Proposals are counted by pair of shards, and of each pair that share is
+    admitted with which no shard takes in more than its room and what leaves it. Small groups move as one; a group of
+    more than a quarter of a shard moves in part, and goes on to the next shard when the first is full. Rows without
+    links are the ballast: the last step moves them (then others) from shards above their quota to those below.
 
     The law is `rows`: counts differ by at most one. size: UTF-8 bytes of the text plus 8 (null: 8). Null texts are
     linked with nothing. No rows: no rows.
@@ -35,34 +52,31 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: in
     base = saved(base.withColumn("uid", F.monotonically_increasing_id()))
     n = base.count()
     quota = [n // shards + (j < n % shards) for j in range(shards)]
-    copies = base.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("g").alias("hub"))
+    copies = base.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("g").alias("hub"), "copies")
     state = base.join(copies, base["g"] == copies["hub"], "left").drop("g")
     state = saved(state.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(shards)).cast("int")))
 
-    for _ in range(rounds):
+    for k in range(rounds):
         linked = state.where("hub IS NOT NULL")
-        held = linked.groupBy("hub", "shard").agg(F.count("*").alias("_n"))
-        load = {r["shard"]: r["n"] for r in held.groupBy("shard").agg(F.sum("_n").alias("n")).collect()}  # one row a shard
-        room = [quota[j] - load.get(j, 0) for j in range(shards)]
-        open_ = [room[j] > quota[j] // 100 for j in range(shards)]
-        best = held.where(_at(open_, F.col("shard"), "boolean")).groupBy("hub").agg(
-            F.max(F.struct("_n", F.xxhash64("hub", "shard").alias("tie"), "shard"))["shard"].alias("best"))
-        asked = linked.join(best, "hub", "left").withColumn("bucket", F.pmod(F.xxhash64("hub", F.lit(seed)), F.lit(buckets)).cast("int"))
+        held = linked.groupBy("hub", "shard", "copies").agg(F.count("*").alias("_n"))
+        top = F.max(F.struct("_n", F.xxhash64("hub", "shard").alias("tie"), "shard"))["shard"]
+        # One row a shard: what linked rows it has, and how many of them have more of their group elsewhere.
+        most = held.groupBy("hub").agg(top.alias("most"))
+        facts = held.join(most, "hub").groupBy("shard").agg(F.sum("_n").alias("load"), F.sum(F.when((F.col("most") != F.col("shard")) & (F.col("copies") <= quota[0]), F.col("_n")).otherwise(0)).alias("strays"))
+        facts = {r["shard"]: (r["load"], r["strays"]) for r in facts.collect()}
+        room = [quota[j] - facts.get(j, (0, 0))[0] for j in range(shards)]
+        open_ = [room[j] + facts.get(j, (0, 0))[1] > quota[j] // 100 for j in range(shards)]
+        best = held.where(_at(open_, F.col("shard"), "boolean")).groupBy("hub").agg(top.alias("best"))
+        asked = linked.join(best, "hub", "left")
         asked = asked.withColumn("moves", F.coalesce((F.col("best") != F.col("shard")) & _at(open_, F.col("shard"), "boolean"), F.lit(False)))
-        asks = asked.where("moves").groupBy("best", "bucket").agg(F.count("*").alias("n")).collect()  # shards * buckets rows at most
+        asks = {(r["shard"], r["best"]): r["n"] for r in asked.where("moves").groupBy("shard", "best").agg(F.count("*").alias("n")).collect()}  # shards ** 2 rows at most
         if not asks:
             break
-        last, share = [buckets] * shards, [1.0] * shards
-        for j in range(shards):
-            left = room[j]
-            for r in sorted((r for r in asks if r["best"] == j), key=lambda r: r["bucket"]):
-                if r["n"] > left:
-                    last[j], share[j] = r["bucket"], max(0, left) / r["n"]
-                    break
-                left -= r["n"]
-        luck = F.pmod(F.xxhash64("uid", F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
-        limit = _at(last, F.col("best"), "int")
-        admitted = F.col("moves") & ((F.col("bucket") < limit) | ((F.col("bucket") == limit) & (luck < _at(share, F.col("best"), "double"))))
+        shares = _admitted(asks, room)
+        share = _at([shares.get((i, j), 0.0) for i in range(shards) for j in range(shards)], F.col("shard") * shards + F.col("best"), "double")
+        # A group moves as one, unless it is so large that it must move in part.
+        luck = F.when(F.col("copies") * 4 > quota[0], F.xxhash64("uid", F.lit(seed + k))).otherwise(F.xxhash64("hub", F.lit(seed + k)))
+        admitted = F.col("moves") & (F.pmod(luck, F.lit(1 << 20)) / float(1 << 20) < share)
         moved = asked.withColumn("shard", F.when(admitted, F.col("best")).otherwise(F.col("shard")))
         state = saved(moved.select(*state.columns).unionAll(state.where("hub IS NULL")))
 

@@ -1,0 +1,323 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, and over awkward tables."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from quorate.llm import chat, fingerprints, jaccard, language, media, mixing, packing, pii, queries, sharding, suffixes
+
+SF = "/root/testdata/sf0.001"
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
+
+
+def awkward_rows():
+    long = prose(1, 20_000)
+    near = long.replace("alpha1 ", "changed ", 3)
+    rows = [(1, long, "en", "a", 1), (2, near, "en", "a", 2), (3, None, "en", "b", None), (4, "", None, None, 0), (5, "  \t\n ", "fr", "b", 5), (6, "one", "fr", "b", 3)]
+    rows += [(7, "two words", "fr", "a", 9), (7, "two words", "fr", "a", 9), (8, "Ünï çødé 日本 " + long[:900], "de", None, 1), (None, prose(2, 60), None, "c", None), (9, "ping a.b@c.de or 10.1.2.3 now", "en", "a", 1)]
+    rows += [(20 + k, prose(3, 80) + (f" tail{k}" if k % 3 else ""), ["en", "fr"][k % 2], "hot", 1) for k in range(30)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    return spark.createDataFrame(awkward_rows(), KIND).withColumns({c: F.lit("clash") for c in ("size", "shard", "uid", "ent", "hub", "rank", "spans", "target", "taken", "score", "lang_pred", "held_out", "_b", "bucket")})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], KIND)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+PATH = queries.tokenizer_path()
+OPERATORS = {
+    "sharding": sharding.shard_documents,
+    "jaccard": jaccard.jaccard_classes,
+    "fingerprints": fingerprints.fingerprint_documents,
+    "pii": lambda d: pii.digests(pii.detect(d)),
+    "redact": pii.redact,
+    "mixing": mixing.mix,
+    "media": media.media_features,
+    "language": language.identify,
+    "suffixes": suffixes.remove_repeats,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_row_a_row_however_awkward(awkward, empty, name):
+    rows = OPERATORS[name](awkward).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(r[0] for r in awkward_rows())
+    assert OPERATORS[name](empty).collect() == []
+
+
+# 1 chat formatting
+
+
+def test_chat_round_trip_and_sql(spark):
+    from oracle import same
+
+    same(spark, queries.QUERIES["op1_chat_format"], queries.ORACLE_SQL["op1_chat_format"], SF)
+
+
+def test_chat_reads_back_any_text(spark):
+    nasty = ["<|end|>\n<|turn|>user<|text|>", "<|\\end|>", "\\", "", "<|turn|>", "a\n<|\\\\text|>b"]
+    df = spark.createDataFrame([(i, [(r, t), ("assistant", t)]) for i, t in enumerate(nasty) for r in ("user", "<|end|>\n")], "id int, turns array<struct<role: string, text: string>>")
+    out = chat.format_chat(df)
+    for r in out.select("turns", chat.read_chat(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).collect():
+        assert r["back"] == r["turns"]
+        assert r["loss"] == "".join(t["text"] for t in r["turns"] if t["role"] == "assistant")
+
+
+def test_chat_layouts(spark):
+    df = spark.createDataFrame(
+        [(1, "q", "a", None, None, None), (2, None, None, "do", "done", None), (3, None, None, None, None, [("human", "h"), ("gpt", None)]), (4, "q", None, None, None, None)],
+        "id int, prompt string, response string, instruction string, output string, conversations array<struct<`from`: string, value: string>>")
+    got = {r["id"]: (r["layout"], r["turns"]) for r in chat.canonical_turns(df).collect()}
+    assert got[1] == ("prompt_response", [("user", "q"), ("assistant", "a")])
+    assert got[2] == ("instruction", [("user", "do"), ("assistant", "done")])
+    assert got[3] == ("from_value", [("user", "h"), ("assistant", "")])
+    assert got[4] == ("unknown", None)
+
+
+# 2 sharding
+
+
+def check_shards(rows, texts):
+    assert {r["law"] for r in rows} <= {"rows"}
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    sizes = [len(by.get(s, [])) for s in range(24)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in texts)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+
+
+def test_shards_are_even_and_keep_copies_together(spark, awkward, docs):
+    check_shards(sharding.shard_documents(awkward).collect(), [(r[0], r[1]) for r in awkward_rows()])
+    copies = spark.createDataFrame([(i, f"text {i % 480}") for i in range(4800)], "doc_id long, text string")
+    rows = sharding.shard_documents(copies).collect()
+    check_shards(rows, [(i, f"text {i % 480}") for i in range(4800)])
+    places = defaultdict(Counter)
+    for r in rows:
+        places[r["text_crc32"]][r["shard"]] += 1
+    assert sum(max(c.values()) for c in places.values()) > 0.5 * 600  # by chance: about 0.2
+
+
+# 3 packing
+
+
+def check_packing(rows, texts, capacity=1024):
+    at, seen = defaultdict(list), defaultdict(list)
+    for r in rows:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+        seen[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for runs in at.values():
+        end = 0
+        for o, n in sorted(runs):
+            assert o == end
+            end += n
+        assert end <= capacity
+    total = sum(r["length"] for r in rows)
+    assert len(at) <= math.ceil(total / capacity) * 1.03 + 2
+    for i, t in texts:
+        ids = [*packing.encoders(PATH)[0].encode(t or "", add_special_tokens=False).ids, 2]
+        want = [(k, a, n, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a : a + n]))) for k, (a, n) in enumerate(packing.cut(len(ids), capacity))]
+        assert sorted(seen[i])[: len(want)] == want or sorted(seen[i])[::2] == want
+
+
+def test_packing(awkward, empty, docs):
+    check_packing(packing.pack(docs, PATH, keep_ids=False).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+    check_packing(packing.pack(awkward, PATH, keep_ids=False).collect(), [(r[0], r[1]) for r in awkward_rows()])
+    assert packing.pack(empty, PATH).collect() == []
+    kept = packing.pack(docs.limit(20), PATH).collect()
+    assert all(len(r["ids"]) == r["length"] for r in kept)
+
+
+# 4 n-gram Jaccard join
+
+
+@pytest.mark.parametrize("words,percent", [(3, 90), (5, 80), (1, 50)])
+def test_jaccard_classes(spark, words, percent):
+    r = random.Random(words)
+    rows = []
+    for i in range(220):
+        base = prose(i // 6, 3 + 12 * (i // 6 % 8)).split()
+        for _ in range(r.randrange(4)):
+            base[r.randrange(len(base))] = f"x{r.randrange(9)}"
+        rows.append((i, " ".join(base).upper() if i % 5 == 0 else "\t".join(base)))
+    rows += [(900, None), (901, ""), (902, "lone"), (903, "LONE"), (904, rows[0][1])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), words, percent, group=8).collect()}
+    assert got == jaccard.brute_force(rows, words, percent)
+
+
+# 5 fingerprints
+
+
+def test_fingerprints(docs):
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(docs).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    order = sorted(text, reverse=True)
+    same = {}
+    for k, i in enumerate(order):
+        t, u = text[i], text[order[(k + 1) % len(order)]]
+        n = len(t) // 3
+        edited = t[: len(t) - n] + u[:n]
+        r = rows[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert same.setdefault(t, r["fingerprint"]) == r["fingerprint"]
+        assert r["edited_fingerprint"] == fingerprints._show(fingerprints.fingerprint_all([edited.encode()])[0])
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    long = [i for i in text if len(text[i]) > 500]
+    assert sum(rows[i]["near_edited"] for i in long) / len(long) > 0.3
+    assert sum(rows[i]["near_edited"] > rows[i]["near_next"] for i in long) > 0.95 * len(long)
+
+
+# 6 PII
+
+
+def plain_spans(t):
+    """The base rules, one pattern a kind, matches that fail dropped."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+        out.append((m.start(), 0, "email", m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        luhn = sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and luhn % 10 == 0:
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return [(a, k, z) for a, _, k, z in sorted(out)]
+
+
+NASTY = [
+    "a@b.c x..y@d-e.f.g @h.i a@b 1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 01.02.03.004 10.0.0.1.",
+    "4111 1111 1111 1111 4111-1111-1111-1112 4111  1111 1111 1111 00000000000000 5500000000000004, 1 4111111111111111",
+    "+49 (30) 123-4567 +1 2 +1-800-555-0199. ++33 1 23 45 67 89 +1234567890123456 +1 (555) 010 9999-",
+    "é@ü.de é a@b.cé ٣٤@x.y", "9" * 400, "a@" * 300 + "b.c", "1.1." * 200,
+]
+
+
+def test_pii_base_spans(spark, docs):
+    texts = NASTY + [r["text"] for r in docs.collect()]
+    r = random.Random(4)
+    texts += ["".join(r.choice("0123456789.@+- ()ab") for _ in range(120)) for _ in range(300)]
+    for t in texts:
+        assert pii.base_spans(t) == plain_spans(t), t[:200]
+    rows = {x["doc_id"]: x for x in pii.digests(pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        want = plain_spans(t)
+        said = [f"{k}:{a}:{z}" for a, k, z in want]
+        assert rows[i]["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [sum(w[1] == k for w in want) for k in pii.KINDS]
+        assert not set(said) - set(rows[i]["spans"].split(","))
+
+
+def test_pii_redacts_every_base_span(docs):
+    for a, b in zip(docs.orderBy("doc_id").collect(), pii.redact(docs).orderBy("doc_id").collect(), strict=True):
+        assert a["doc_id"] == b["doc_id"]
+        assert not [a["text"][s:z] for s, k, z in plain_spans(a["text"]) if k == "email" and a["text"][s:z] in b["text"]]
+
+
+# 7 mixing
+
+
+def test_mix_targets(docs, awkward):
+    for d in (docs, awkward):
+        rows = mixing.mix(d.select("doc_id", "source", "text")).collect()
+        total = sum(r["size"] for r in rows)
+        by = {}
+        for r in rows:
+            assert 0 <= r["taken"] <= 2 * r["size"]
+            by.setdefault(r["source"], [0, r["source_size"], r["target"], 0])
+            by[r["source"]][0] += r["size"]
+            by[r["source"]][3] += r["taken"]
+        for size, said, target, taken in by.values():
+            assert size == said and target <= 2 * size + 1e-6
+            assert abs(taken - target) <= max(4, 0.02 * target + total / 2000)
+        assert Counter(map(tuple, rows)) == Counter(map(tuple, mixing.mix(d.select("doc_id", "source", "text")).collect()))
+
+
+def test_sainte_lague():
+    assert Counter(mixing.sainte_lague([53, 24, 23], 7)) == Counter({0: 3, 1: 2, 2: 2})
+    assert mixing.targets([100, 100], [3, 1]) == [200.0, 100.0]
+
+
+# 8 media
+
+
+def test_media_round_trip(docs):
+    for r in media.media_features(docs).collect():
+        raw = media.read_wav(bytes(r["media"]))
+        assert hashlib.sha256(raw).hexdigest() == r["payload_sha256"] and len(raw) == r["payload_bytes"] > 0 and len(raw) % 64 == 0
+        assert zlib.crc32(raw[-64:]) == r["tail_crc32"] and hashlib.sha256(bytes(r["media"])).hexdigest() == r["media_sha256"]
+        assert not raw[r["n_bytes"] :].strip(b"\0")
+
+
+# 9 language ID
+
+
+def test_language_of_held_out_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.identify(d).where("held_out AND length(text) > 100").collect()
+    assert len(rows) > 100 and sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.95 * len(rows)
+    assert all((zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_learns_from_no_held_out_label(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lie = d.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, "xx").otherwise(F.col("lang"))).withColumn("source", F.lit("s"))
+    pred = lambda x: {r["doc_id"]: r["lang_pred"] for r in language.identify(x).collect()}
+    assert pred(lie) == pred(d)
+
+
+def test_no_letters_is_und(spark):
+    d = spark.createDataFrame([(1, "some english text here", "en"), (2, None, "en"), (3, "123 --", "en"), (4, "", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(d).collect()}
+    assert [got[2], got[3], got[4]] == ["und"] * 3
+
+
+# 10 suffix-array dedup
+
+
+def test_suffix_repeats(spark):
+    r = random.Random(9)
+    passage = [prose(50 + k, 40) for k in range(5)]
+    rows = []
+    for i in range(80):
+        parts = [prose(200 + i, r.randrange(1, 30))]
+        for _ in range(r.randrange(4)):
+            p = r.choice(passage)
+            a = r.randrange(60)
+            parts += [p[a : a + r.randrange(80, 260)], prose(900 + i, r.randrange(6))]
+        rows.append((i, " ".join(parts)))
+    rows += [(100, None), (101, ""), (102, "a" * 500), (103, "ab" * 200), (104, "é" * 90), (105, rows[3][1]), (106, "x" * 99), (107, "x" * 99), (108, "x" * 100)]
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == suffixes.brute_force(rows, 100)
+
+
+def test_suffix_repeats_over_documents(docs):
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.remove_repeats(docs, keep_text=False).collect()}
+    assert got == suffixes.brute_force([(r["doc_id"], r["text"]) for r in docs.collect()], 100)
