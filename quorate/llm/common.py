@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +41,24 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable) -> Callable:
+    """run for mapInArrow, giving what its task freed back to the system: Python workers serve many tasks, one after the
+    other, and would else keep the most memory that any of them took."""
+
+    def lean_run(batches):
+        yield from run(batches)
+        give_back()
+
+    return lean_run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ranked(df: DataFrame, by: list[str], bucket: Column, order: list[str], name: str = "rank") -> DataFrame:
     """Adds the row's rank from 0 within `by`, in the order (bucket, order), without one task for a whole group.
 

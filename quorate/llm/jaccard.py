@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import components, ranked, saved
+from .common import components, give_back, lean, ranked, saved
 
 SLICE, PACK_TOKENS = 1 << 20, 750_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -95,7 +95,7 @@ def _sizes(docs: DataFrame, k: int) -> DataFrame:
             for a, sizes, _, ent in _each_set(batch.column(1), k):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sizes)), pa.array(sizes), pa.array(ent, mask=sizes == 0)], ["doc_id", "n", "ent"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ent long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, ent long")
 
 
 def _packed(docs: DataFrame, k: int, least: int, bits: int) -> DataFrame:
@@ -138,7 +138,7 @@ def _packed(docs: DataFrame, k: int, least: int, bits: int) -> DataFrame:
             if parts and (out := pack(parts)) is not None:
                 yield out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, tokens binary, ents binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "bucket int, tokens binary, ents binary, counts binary")
 
 
 def _shared(block: pa.Table) -> pa.Table:
@@ -163,7 +163,10 @@ def _shared(block: pa.Table) -> pa.Table:
     pair = np.unique(group.astype(np.int64) * len(ids) + owner[many])
     count = np.bincount(pair % len(ids), minlength=len(ids))
     hit = np.flatnonzero(count)
-    return pa.table({"ent": pa.array(ids[hit]), "shared": pa.array(count[hit].astype(np.int64))})
+    out = pa.table({"ent": pa.array(ids[hit]), "shared": pa.array(count[hit].astype(np.int64))})
+    del code, owner, order, group, many, pair, back
+    give_back()
+    return out
 
 
 def _token_rows(docs: DataFrame, k: int) -> DataFrame:
@@ -178,7 +181,7 @@ def _token_rows(docs: DataFrame, k: int) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["ent", "n", "tokens"])
 
-    return docs.select("ent", "text").mapInArrow(run, "ent long, n long, tokens array<long>")
+    return docs.select("ent", "text").mapInArrow(lean(run), "ent long, n long, tokens array<long>")
 
 
 def _compare(percent: int, budget: int = 1 << 21):

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import lean
+
 SEGMENT = 2048
 
 
@@ -195,4 +197,4 @@ def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in back], pa.array(pred), pa.array(score), pa.array(mean)], [*keep, "lang_pred", "score", "phrase_chars"])
 
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("phrase_chars", "double")
-    return base.mapInArrow(run, schema).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    return base.mapInArrow(lean(run), schema).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))

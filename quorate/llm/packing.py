@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ranked, saved
+from .common import lean, ranked, saved
 
 END_ID = 2
 
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, keep_ids: bool) -> DataFra
                         rows.append((i, k, a, n, zlib.crc32(own.tobytes()), *[own.astype(np.int32)] * keep_ids))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), kind)
 
 
 def configurations(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

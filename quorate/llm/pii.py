@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import lean, saved
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -169,7 +169,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
                 cands.append([{"start": a, "kind": k, "stop": z, "votes": v, "is_base": f} for a, k, z, v, f in candidates(t or "", b)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, pa.list_(one)), pa.array(cands, pa.list_(two))], ["doc_id", "base", "cands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), kind)
 
 
 def fit(found: DataFrame, threshold: float = 0.5) -> list[str]:
@@ -224,7 +224,7 @@ def redact(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             texts = pa.array([t if t is None else clean(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
