@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 #: The whole range of white space that separates words.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Bytes of an Arrow batch on its way to a Python worker: it is held on both sides, beside what a task makes of it.
+BATCH_BYTES = 4 << 20
 
 _OWN_DIR: list[str] = []
 
@@ -41,17 +43,38 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a worker keeps between tasks, as (module whose task made it, how to drop it), and the module at work.
+_KEPT: list[tuple[str, Callable]] = []
+_AT_WORK = [""]
+
+
 def lean(run: Callable) -> Callable:
     """run for mapInArrow, giving what its task freed back to the system: Python workers serve many tasks, one after the
-    other, and would else keep the most memory that any of them took."""
+    other, and would else keep the most memory that any of them took. Tables that tasks keep for the next one (kept) go
+    when a task of another module comes. Batches are of BATCH_BYTES where the session names no size."""
+    spark, owner = SparkSession.active(), run.__module__
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def lean_run(batches):
+        begin(owner)
         yield from run(batches)
         give_back()
 
     return lean_run
 
 
+def begin(owner: str) -> None:
+    _AT_WORK[0] = owner
+    for made_by, drop in [k for k in _KEPT if k[0] != owner]:
+        drop()
+        _KEPT.remove((made_by, drop))
+
+
+def kept(drop: Callable) -> None:
+    _KEPT.append((_AT_WORK[0], drop))
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

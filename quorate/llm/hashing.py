@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import kept
+
 M = 0x9E3779B97F4A7C15
 M_INVERSE = pow(M, -1, 1 << 64)
 _CACHE: dict[int, np.ndarray] = {}
@@ -13,6 +15,8 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1) modulo 2**64; kept for the next batch."""
     have = _CACHE.get(base)
     if have is None or len(have) < n:
+        if not _CACHE:
+            kept(_CACHE.clear)
         out = np.full(max(n, 1 << 16), base, np.uint64)
         out[0] = 1
         have = _CACHE[base] = np.multiply.accumulate(out)

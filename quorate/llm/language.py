@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lean
+from .common import kept, lean
 
 SEGMENT = 2048
 
@@ -23,6 +23,7 @@ def held_out() -> F.Column:
 @lru_cache(maxsize=1)
 def letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point, whether it is a letter, and the code point of its lower case (itself if that is longer)."""
+    kept(letters.cache_clear)
     n = sys.maxunicode + 1
     is_letter, low = np.zeros(n, bool), np.arange(n, dtype=np.uint32)
     for i in range(n):

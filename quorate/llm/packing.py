@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import lean, ranked, saved
+from .common import kept, lean, ranked, saved
 
 END_ID = 2
 
@@ -29,6 +29,7 @@ def encoders(path: str):
     import tiktoken
     from tokenizers import Tokenizer
 
+    kept(encoders.cache_clear)
     exact = Tokenizer.from_file(path)
     spec = json.load(open(path, encoding="utf-8"))
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
