@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +46,37 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return order
 
 
+def quotas(words: list[int], blocks: int, shards: int) -> list[list[int]]:
+    """For each source, how many of its blocks go to each shard; what it gives is cut into so many equal blocks.
+
+    Highest quotients deal the blocks, and their order is cut into runs, one a shard. Sources that get fewer than four
+    blocks a shard are dealt again among themselves in smaller blocks, down to a word. Each dealing leaves at most a
+    quarter of the words to the next, as a source has 256 blocks (or four a shard, times four) on the average.
+    """
+    out = [[0] * shards for _ in words]
+    few, small = 4 * shards, [i for i, n in enumerate(words) if n > 0]
+    while small:
+        total = sum(words[i] for i in small)
+        block = max(1, total // max(blocks, max(256, 4 * few) * len(small)))
+        order = sainte_lague([words[i] for i in small], round(total / block))
+        for i in small:
+            out[i] = [0] * shards
+        for i, x in enumerate(small):
+            places = [p for p, y in enumerate(order) if y == i] if len(words) <= 64 else []
+            ends = [sum(1 for p in places if p < len(order) * (s + 1) // shards) for s in range(shards)]
+            out[x] = [z - a for a, z in zip([0, *ends], ends)] if places else [0] * (shards - 1) + [order.count(i)]
+        small = [i for i in small if sum(out[i]) < few] if block > 1 else []
+    return out
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, blocks: int = 6144, shards: int = 16, seed: int = 5, rank_rows: int = 50_000, broadcast_sources: int = 10_000) -> DataFrame:
     """Adds to docs: size, source_size, target, taken, shard, in place of columns of these names.
 
     Sources weigh weights[0], weights[1], ... in the order of their code points, null last, repeating. The words of a
-    source are one stream, its documents in an order that seed and doc_id give, cut into blocks of equal words. Each
-    shard's blocks are dealt to sources by the highest quotients; the source then gives whole passes over its blocks
-    and, for the rest, a run from a seeded start. taken counts the document's words in all blocks it gives (at most
-    cap times size); shard is where its first block goes (null where nothing is taken).
+    source are one stream, its documents in an order that seed and doc_id give. It gives its target, to the word: whole
+    passes over the stream and, for the rest, a run from a seeded start. What it gives is cut into blocks of equal
+    words, which are dealt to shards by the highest quotients (quotas). taken counts the document's words in all blocks
+    (at most cap times size); shard is where its first block goes (null where nothing is taken).
 
     What the driver holds is one row a source and `blocks` seats (at least 256 a source). Null text: size 0. Empty
     table or no words: targets and taken are 0. Equal (source, doc_id) rows follow each other by size.
@@ -64,19 +88,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in rows]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, cap)
-    seats = max(blocks, 256 * len(rows))
-    block = max(1, int(sum(want) / seats))
-    order = sainte_lague(want, round(sum(want) / block))
+    give = [min(round(w), int(cap * n)) for w, n in zip(want, sizes, strict=True)]
     facts = []
-    for i, r in enumerate(rows):
-        n_blocks = -(-sizes[i] // block)
-        places = [p for p, x in enumerate(order) if x == i] if len(rows) <= 64 else []
-        q = min(len(places) if places else order.count(i), int(cap) * n_blocks)
-        start = int(hashlib.sha256(f"{seed}:{r['source']}".encode()).hexdigest()[:12], 16) % max(1, n_blocks)
-        full, rest = divmod(q, n_blocks) if n_blocks else (0, 0)
-        ends = [sum(1 for p in places if p < len(order) * (s + 1) // shards) for s in range(shards)]
-        facts.append({"_s": r["source"], "source_size": sizes[i], "target": want[i], "_full": full, "_rest": rest, "_start": start, "_blocks": n_blocks, "_ends": ",".join(map(str, ends))})
-    small = literal_rows(docs.sparkSession, facts, {"_s": "string", "source_size": "long", "target": "double", "_full": "long", "_rest": "long", "_start": "long", "_blocks": "long", "_ends": "string"})
+    for i, (r, dealt) in enumerate(zip(rows, quotas(give, blocks, shards), strict=True)):
+        start = int(hashlib.sha256(f"{seed}:{r['source']}".encode()).hexdigest()[:12], 16) % max(1, sizes[i])
+        full, rest = divmod(give[i], sizes[i]) if sizes[i] else (0, 0)
+        ends = ",".join(map(str, accumulate(dealt)))
+        facts.append({"_s": r["source"], "source_size": sizes[i], "target": want[i], "_give": give[i], "_full": full, "_rest": rest, "_start": start, "_blocks": sum(dealt), "_ends": ends})
+    small = literal_rows(docs.sparkSession, facts, {"_s": "string", "source_size": "long", "target": "double", "_give": "long", "_full": "long", "_rest": "long", "_start": "long", "_blocks": "long", "_ends": "string"})
     if len(facts) <= broadcast_sources:
         small = F.broadcast(small)
 
@@ -90,13 +109,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     at = at.withColumn("_a", F.col("_off") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     at = at.join(small, at["source"].eqNullSafe(small["_s"]))
 
-    # The run [start, start + rest) of blocks may wrap round the end of the stream.
-    a, z, size = F.col("_a"), F.col("_a") + F.col("size"), F.col("source_size")
+    # The run [start, start + rest) of words may wrap round the end of the stream.
+    a, z, size, start = F.col("_a"), F.col("_a") + F.col("size"), F.col("source_size"), F.col("_start")
     over = lambda lo, hi: F.greatest(F.lit(0), F.least(z, hi) - F.greatest(a, lo))
-    end = F.col("_start") + F.col("_rest")
-    taken = F.col("_full") * F.col("size") + over(F.col("_start") * block, F.least(end * block, size)) + over(F.lit(0), F.greatest(end - F.col("_blocks"), F.lit(0)) * block)
-    first = F.floor(a / F.lit(block))
-    place = F.when(F.col("_full") > 0, first).otherwise(F.pmod(first - F.col("_start"), F.greatest(F.col("_blocks"), F.lit(1))))
+    end = start + F.col("_rest")
+    taken = F.col("_full") * F.col("size") + over(start, F.least(end, size)) + over(F.lit(0), end - size)
+    # The place of the document's first word among those given, and that of its block.
+    first = F.when(F.col("_full") > 0, a).when(z <= start, a + size - start).otherwise(F.greatest(a - start, F.lit(0)))
+    at = at.withColumn("_first", first)
+    place = F.expr("_first * _blocks div greatest(_give, 1)")
     shard = F.size(F.filter(F.split("_ends", ","), lambda e: e.cast("long") <= place))
     at = at.withColumns({"taken": taken, "shard": F.when(taken > 0, F.least(shard, F.lit(shards - 1)))})
     return at.select("source", "doc_id", *mine)

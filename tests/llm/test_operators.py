@@ -265,6 +265,25 @@ def test_sainte_lague():
     assert mixing.targets([100, 100], [3, 1]) == [200.0, 100.0]
 
 
+def by_source(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r["source"]].append(r)
+    return out
+
+
+def test_mix_small_sources_meet_their_target(spark):
+    sizes = {"a": 400_000, "b": 300_000, "c": 200_000, "d": 90_000, "e": 5_000, "f": 1_000, "g": 300, "h": 100, "i": 40, "j": 1}
+    rows = [(1000 * k + j, s, "w " * (n // 20 + (j < n % 20))) for k, (s, n) in enumerate(sizes.items()) for j in range(20)]
+    sizes["z"], rows = 0, [*rows, (-1, "z", None)]
+    for s, mine in by_source(mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()).items():
+        assert sum(r["size"] for r in mine) == mine[0]["source_size"] == sizes[s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.5 and all(r["taken"] <= 2 * r["size"] for r in mine)
+        assert all((r["shard"] is None) == (r["taken"] == 0) for r in mine)
+        if sizes[s] >= 100:
+            assert len({r["shard"] for r in mine}) >= 7, s
+
+
 # 8 media
 
 
