@@ -61,10 +61,9 @@ def quotas(words: list[int], blocks: int, shards: int) -> list[list[int]]:
         order = sainte_lague([words[i] for i in small], round(total / block))
         for i in small:
             out[i] = [0] * shards
-        for i, x in enumerate(small):
-            places = [p for p, y in enumerate(order) if y == i] if len(words) <= 64 else []
-            ends = [sum(1 for p in places if p < len(order) * (s + 1) // shards) for s in range(shards)]
-            out[x] = [z - a for a, z in zip([0, *ends], ends)] if places else [0] * (shards - 1) + [order.count(i)]
+        for s in range(shards):
+            for i in order[len(order) * s // shards : len(order) * (s + 1) // shards]:
+                out[small[i]][s] += 1
         small = [i for i in small if sum(out[i]) < few] if block > 1 else []
     return out
 

@@ -284,6 +284,17 @@ def test_mix_small_sources_meet_their_target(spark):
             assert len({r["shard"] for r in mine}) >= 7, s
 
 
+def test_mix_deals_many_sources_to_all_shards(spark):
+    rows = [(100 * s + j, f"s{s:03}", "w " * (50 + s)) for s in range(90) for j in range(64)]
+    got = by_source(mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect())
+    assert len(got) == 90
+    for mine in got.values():
+        assert {r["shard"] for r in mine if r["taken"]} == set(range(16)) or mine[0]["target"] > mine[0]["source_size"]
+        assert len({r["shard"] for r in mine if r["taken"]}) >= 8
+    words = mixing.quotas([5_000_000 + 9_999 * k for k in range(90)] + [700, 3], 6144, 16)
+    assert all(max(q) - min(q) <= 1 for q in words[:91]) and sum(words[91]) == 3
+
+
 # 8 media
 
 
