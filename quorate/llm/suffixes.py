@@ -9,8 +9,8 @@ anchored suffixes need to be sorted: about one position in 35.
    sorted in their bucket, and neighbours compared: by the leading bytes, then by all bytes that strings with this
    anchor can reach. Suffixes whose whole reach also occurs earlier are done: all their strings repeat.
 2. What is left is the first suffix of each reach, where suffixes with the same leading bytes have other reaches, as at
-   the ends of passages. Only for these are the bytes fetched; in buckets by leading bytes, strings at equal distances
-   from the anchor are sorted and each one that equals an earlier one is a repeat.
+   the ends of passages. Only for these are the bytes fetched; each string gets a key of the leading bytes, its distance
+   from the anchor and its own bytes. Of equal keys a map task passes on the earliest; buckets by key find the others.
 3. Each document's repeated string starts give the bytes to remove.
 
 Exact copies of an earlier document are settled by their hash alone.
@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -32,6 +31,10 @@ from .common import saved
 
 GRAM = 32
 SLICE = 1 << 21
+#: Strings whose keys a map task holds to find the earliest of equal ones.
+HELD = 1 << 20
+#: What is known of an anchor before its neighbours are: all its strings repeat; they are to be compared.
+DONE, OPEN, LEAD_REACHES = 1, 2, 8
 NONE = np.uint64(2**64 - 1)
 
 
@@ -79,10 +82,12 @@ def _raw(column) -> list[bytes]:
 
 
 def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
-    """Rows (bucket, done, docs, hashes, counts, records): for runs of texts, the anchors of each bucket, packed.
+    """Rows (bucket, kind, docs, hashes, counts, records): for runs of texts, the anchors of each bucket, packed.
 
-    Of equal reaches inside a run of texts, those after the first are already known to repeat: they go out as `done`,
-    so that a passage that many documents share is not compared again and again in its bucket.
+    Of equal reaches inside a run of texts, those after the first are already known to repeat: they are DONE. Of a lead
+    with more than LEAD_REACHES reaches in the run, the further ones are OPEN: the first ones tell the lead's bucket that
+    there are several. Both kinds need no neighbour and are dealt by document, so a passage that many documents share
+    fills no bucket.
     """
 
     def run(batches):
@@ -108,8 +113,15 @@ def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
                 bucket = (lead >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.lexsort((np.arange(len(d)), reach, lead))
                 new = np.concatenate([[True], (lead[order][1:] != lead[order][:-1]) | (reach[order][1:] != reach[order][:-1])])
-                bucket = bucket * 2
-                bucket[order[~new]] += 1
+                # The how-manieth reach of its lead each of the sorted anchors has.
+                new_lead = np.concatenate([[True], lead[order][1:] != lead[order][:-1]])
+                nth = np.cumsum(new)
+                nth -= nth[np.flatnonzero(new_lead)][np.cumsum(new_lead) - 1]
+                kind = np.zeros(len(d), np.int64)
+                kind[order[nth >= LEAD_REACHES]] = OPEN
+                kind[order[~new]] = DONE
+                spread = (dh[np.array(own)[d]].astype(np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+                bucket = np.where(kind > 0, spread, bucket) * 3 + kind
                 order = np.argsort(bucket, kind="stable")
                 present, edges = np.unique(bucket[order], return_index=True)
                 edges = np.append(edges, len(order))
@@ -124,11 +136,11 @@ def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
                     code["reach"] = (reach[o] >> np.uint64(24)).astype(np.uint32)
                     code["more"] = (lead[o] & np.uint64(0xFF)).astype(np.uint8) ^ (reach[o] & np.uint64(0xFF)).astype(np.uint8)
                     code["at"], code["before"], code["after"] = m[o], m[o] - first[o], last[o] - first[o]
-                    rows.append((b >> 1, bool(b & 1), np.where(null[own[which]], 2**63 - 1, ids[own[which]]).astype(np.int64).tobytes(), dh[own[which]].tobytes(), count.astype(np.uint32).tobytes(), code.tobytes()))
-                kinds = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "done", "docs", "hashes", "counts", "records"])
+                    rows.append((b // 3, b % 3, np.where(null[own[which]], 2**63 - 1, ids[own[which]]).astype(np.int64).tobytes(), dh[own[which]].tobytes(), count.astype(np.uint32).tobytes(), code.tobytes()))
+                kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "kind", "docs", "hashes", "counts", "records"])
 
-    return docs.select("doc_id", "dh", "text").mapInArrow(run, "bucket int, done boolean, docs binary, hashes binary, counts binary, records binary")
+    return docs.select("doc_id", "dh", "text").mapInArrow(run, "bucket int, kind int, docs binary, hashes binary, counts binary, records binary")
 
 
 RECORD = np.dtype([("lead", "<u4"), ("reach", "<u4"), ("more", "u1"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
@@ -153,11 +165,14 @@ def _out(ids, dh, code, open_) -> pa.Table:
 
 def _neighbours(block: pa.Table) -> pa.Table:
     """One bucket of suffixes: starts that repeat (open: false), and suffixes whose bytes are needed (open: true)."""
-    settled = block.filter(block.column("done"))
-    said = [_out(*_unpack(settled), False)] if settled.num_rows else []
-    block = block.filter(pc.invert(block.column("done")))
+    said = []
+    for kind in (DONE, OPEN):
+        settled = block.filter(pc.equal(block.column("kind"), kind))
+        if settled.num_rows:
+            said.append(_out(*_unpack(settled), kind == OPEN))
+    block = block.filter(pc.equal(block.column("kind"), 0))
     if not block.num_rows:
-        return said[0]
+        return pa.concat_tables(said)
     ids, dh, code = _unpack(block)
     order = np.lexsort((code["at"], dh, ids, code["more"], code["reach"], code["lead"]))
     ids, dh, code = ids[order], dh[order], code[order]
@@ -169,73 +184,112 @@ def _neighbours(block: pa.Table) -> pa.Table:
     return pa.concat_tables([*said, _out(ids[~new], dh[~new], code[~new], False), _out(ids[new & several], dh[new & several], code[new & several], True)])
 
 
-def _contexts(rows: DataFrame, length: int, bits: int) -> DataFrame:
-    """Rows (doc_id, dh, text, anchors: array of low, high, anchor) -> (bucket, records) with the bytes of each reach."""
-    width = 2 * length
+def _runs(ids, dh, start):
+    """Arrays (doc_id, dh, low, high) of the runs of consecutive starts in each text."""
+    order = np.lexsort((start, dh, ids))
+    ids, dh, start = ids[order], dh[order], start[order]
+    if not len(ids):
+        return ids, dh, start, start
+    cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (dh[1:] != dh[:-1]) | (start[1:] != start[:-1] + 1)]))
+    return ids[cut], dh[cut], start[cut], start[np.append(cut[1:], len(ids)) - 1]
+
+
+def _again(key, ids, dh, start) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (key, place in the corpus), and which of the strings in that order equal the one before."""
+    order = np.lexsort((start, dh, ids, key))
+    return order, np.concatenate([[False], key[order][1:] == key[order][:-1]])
+
+
+def _string_keys(raw: list[bytes], owner: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, length: int):
+    """For all strings of the reaches (a text, first and last start, anchor): arrays (text, start, key)."""
+    reaches = [raw[i][a : z + length] for i, a, z in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True)]
+    leads = [hashlib.blake2b(raw[i][m : m + GRAM], digest_size=8).digest() for i, m in zip(owner.tolist(), anchor.tolist(), strict=True)]
+    lead = np.frombuffer(b"".join(leads), ">u8").astype(np.uint64)
+    sizes = np.array([len(r) for r in reaches])
+    begin = np.cumsum(sizes) - sizes
+    prefix = hashing.prefix_sums(np.frombuffer(b"".join(reaches), np.uint8))
+    n = high - low + 1
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    h = hashing.ranges(prefix, begin[row] + step, begin[row] + step + length)
+    distance = ((anchor - low)[row] - step + 512).astype(np.uint64)
+    return owner[row], low[row] + step, hashing.mix(h ^ hashing.mix(lead[row] + distance * np.uint64(hashing.M)))
+
+
+def _keys(rows: DataFrame, length: int, bits: int) -> DataFrame:
+    """Rows (doc_id, dh, text, spots: array of low, high, anchor) -> (bucket, docs, hashes, counts, starts, keys): of
+    equal strings that are held at once, the earliest goes to the bucket of its key; the others are repeats and go as
+    runs (no keys; starts: low and high), dealt by text. However many texts share a string, its bucket gets
+    it once for each HELD strings."""
+    names = ["bucket", "docs", "hashes", "counts", "starts", "keys"]
+    kinds = (pa.int32(), *[pa.binary()] * 5)
+
+    def flush(held):
+        ids, dh, start, key = (np.concatenate(c) for c in zip(*held, strict=True))
+        order, again = _again(key, ids, dh, start)
+        rows = []
+        i, h, a, z = _runs(*(x[order[again]] for x in (ids, dh, start)))
+        if len(i):
+            rows.append((int(h[:1].view(np.uint64)[0] >> np.uint64(64 - bits)), i.tobytes(), h.tobytes(), b"", np.stack([a, z]).astype(np.int64).tobytes(), b""))
+        # In order of (bucket, text), so that a text is named once.
+        o = order[~again]
+        bucket = (key[o] >> np.uint64(64 - bits)).astype(np.int64)
+        by = np.lexsort((start[o], dh[o], ids[o], bucket))
+        o, bucket = o[by], bucket[by]
+        present, edges = np.unique(bucket, return_index=True)
+        edges = np.append(edges, len(o))
+        for k, b in enumerate(present.tolist()):
+            x = o[edges[k] : edges[k + 1]]
+            new = np.flatnonzero(np.concatenate([[True], (ids[x][1:] != ids[x][:-1]) | (dh[x][1:] != dh[x][:-1])]))
+            count = np.diff(np.append(new, len(x))).astype(np.uint32)
+            rows.append((b, ids[x][new].tobytes(), dh[x][new].tobytes(), count.tobytes(), start[x].astype(np.uint32).tobytes(), key[x].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             raw = _raw(batch.column(2))
-            lists = batch.column(3).to_pylist()
-            for x, y in hashing.slices([len(a) * width for a in lists], SLICE):
-                parts: dict[int, list] = {}
-                for i in range(x, y):
-                    for s in lists[i]:
-                        low, high, m = s["low"], s["high"], s["anchor"]
-                        reach = raw[i][low : high + length]
-                        lead = hashlib.blake2b(raw[i][m : m + GRAM], digest_size=8).digest()
-                        parts.setdefault(int.from_bytes(lead, "big") >> (64 - bits), []).append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), lead, m, m - low, high - low, reach))
-                rows = []
-                for b, p in parts.items():
-                    i, h, lead, m, before, span, reach = zip(*p, strict=True)
-                    rows.append((b, list(i), list(h), list(lead), list(m), list(before), list(span), list(reach)))
-                if rows:
-                    kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "ids", "hs", "lead", "at", "before", "span", "reach"])
-
-    return rows.mapInArrow(run, "bucket int, ids array<long>, hs array<long>, lead array<binary>, at array<long>, before array<int>, span array<int>, reach array<binary>")
-
-
-def _compare(length: int):
-    """One bucket of reaches: the starts of strings that equal an earlier string at the same distance from the anchor."""
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        cols = {c: np.concatenate([np.asarray(x, object if c in ("lead", "reach") else np.int64) for x in block[c]]) for c in ("ids", "hs", "lead", "at", "before", "span", "reach")}
-        order = np.lexsort((cols["at"], cols["hs"], cols["ids"]))
-        ids, dh, at, before, span = (cols[c][order] for c in ("ids", "hs", "at", "before", "span"))
-        lead = np.frombuffer(b"".join(cols["lead"][order]), ">u8").astype(np.uint64)
-        raw = list(cols["reach"][order])
-        sizes = np.array([len(r) for r in raw])
-        starts = np.cumsum(sizes) - sizes
-        found: dict[str, list] = {"key": [], "row": [], "start": []}
-        for a, z in hashing.slices(sizes.tolist(), 4 * SLICE):
-            data = np.frombuffer(b"".join(raw[a:z]), np.uint8)
-            prefix = hashing.prefix_sums(data)
-            n = span[a:z] + 1
-            row = np.repeat(np.arange(a, z), n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            begin = (starts[row] - starts[a]) + step
-            h = hashing.ranges(prefix, begin, begin + length)
-            distance = (before[row] - step + 512).astype(np.uint64)
-            found["key"].append(hashing.mix(h ^ hashing.mix(lead[row] + distance * np.uint64(hashing.M))))
-            found["row"].append(row.astype(np.int32))
-            found["start"].append(step.astype(np.int16))
-        key, row, step = (np.concatenate(found[c]) for c in ("key", "row", "start"))
-        # Rows are in the order of the corpus, so a stable sort leaves the earliest of equal strings first.
-        order = np.argsort(key, kind="stable")
-        again = np.zeros(len(key), bool)
-        again[order[1:]] = key[order[1:]] == key[order[:-1]]
-        hit = np.flatnonzero(again)
-        r, s = row[hit], at[row[hit]] - before[row[hit]] + step[hit]
-        if len(hit):
-            cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)]))
-            last = np.append(cut[1:], len(r)) - 1
-            out = {"doc_id": ids[r[cut]], "dh": dh[r[cut]], "low": s[cut], "high": s[last]}
-        else:
-            out = {c: np.zeros(0, np.int64) for c in ("doc_id", "dh", "low", "high")}
-        return pd.DataFrame(out)
-
-    return run
+            ids, dh = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            spots = batch.column(3)
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(spots).to_numpy())
+            low, high, anchor = (spots.flatten().field(c).to_numpy() for c in ("low", "high", "anchor"))
+            for a, z in hashing.slices((high - low + length).tolist(), SLICE):
+                text, start, key = _string_keys(raw, owner[a:z], low[a:z], high[a:z], anchor[a:z], length)
+                held.append((ids[text], dh[text], start, key))
+                n += len(key)
+                if n >= HELD:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+
+    return rows.mapInArrow(run, "bucket int, docs binary, hashes binary, counts binary, starts binary, keys binary")
+
+
+RUNS = "doc_id long, dh long, low long, high long"
+
+
+def _ranges(ids, dh, low, high) -> pa.Table:
+    return pa.table({"doc_id": ids, "dh": dh, "low": low, "high": high})
+
+
+def _compare(block: pa.Table) -> pa.Table:
+    """One bucket of keys: the starts of strings that equal an earlier one, and the runs that are known."""
+    whole = pc.equal(pc.binary_length(block.column("keys")), 0)
+    said = [_ranges(np.frombuffer(d, np.int64), np.frombuffer(h, np.int64), *np.frombuffer(s, np.int64).reshape(2, -1)) for d, h, s in zip(*[block.filter(whole).column(c).to_pylist() for c in ("docs", "hashes", "starts")], strict=True)]
+    block = block.filter(pc.invert(whole))
+    if not block.num_rows:
+        return pa.concat_tables(said)
+    ids, dh, start, key = [], [], [], []
+    for d, h, c, s, k in zip(*[block.column(c).to_pylist() for c in ("docs", "hashes", "counts", "starts", "keys")], strict=True):
+        n = np.frombuffer(c, np.uint32)
+        ids.append(np.repeat(np.frombuffer(d, np.int64), n))
+        dh.append(np.repeat(np.frombuffer(h, np.int64), n))
+        start.append(np.frombuffer(s, np.uint32).astype(np.int64))
+        key.append(np.frombuffer(k, np.uint64))
+    ids, dh, start, key = (np.concatenate(c) for c in (ids, dh, start, key))
+    order, again = _again(key, ids, dh, start)
+    return pa.concat_tables([*said, _ranges(*_runs(*(x[order[again]] for x in (ids, dh, start))))])
 
 
 def _remove(rows: DataFrame, length: int, keep_text: bool) -> DataFrame:
@@ -294,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, b
     spot = F.struct("low", "high", "anchor")
     wanted = met.where("open").groupBy(F.col("doc_id").alias("id"), F.col("dh").alias("own_dh")).agg(F.collect_list(spot).alias("spots"))
     fetched = keyed.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("dh") == F.col("own_dh"))).select("doc_id", "dh", "text", "spots")
-    edges = _contexts(fetched, length, bits).groupBy("bucket").applyInPandas(_compare(length), "doc_id long, dh long, low long, high long")
+    edges = _keys(fetched, length, bits).groupBy("bucket").applyInArrow(_compare, RUNS)
 
     runs = done.unionAll(edges).groupBy(F.col("doc_id").alias("id"), F.col("dh").alias("own_dh")).agg(F.collect_set(F.struct("low", "high")).alias("starts"))
     runs = saved(own.join(runs, ["id", "own_dh"]))

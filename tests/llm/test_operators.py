@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,3 +352,20 @@ def test_suffix_repeats(spark):
 def test_suffix_repeats_over_documents(docs):
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.remove_repeats(docs, keep_text=False).collect()}
     assert got == suffixes.brute_force([(r["doc_id"], r["text"]) for r in docs.collect()], 100)
+
+
+def test_suffix_hot_passage_fills_no_bucket(spark):
+    passage = prose(7, 60)
+    rows = [(i, prose(5000 + i, 12) + " " + passage + " " + prose(9000 + i, 12)) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("dh", F.xxhash64("text")).coalesce(1)
+    packed = suffixes._packed(d, 100, 7)
+    # The leads at both edges of the passage have a reach a document; its bucket gets few of them.
+    leads = Counter((r["bucket"], x) for r in packed.where("kind = 0").collect() for x in np.frombuffer(r["records"], suffixes.RECORD)["lead"].tolist())
+    assert max(leads.values()) <= 16
+    starts = packed.groupBy("bucket").applyInArrow(suffixes._neighbours, suffixes.STARTS).where("open")
+    spots = starts.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("spots"))
+    keys = suffixes._keys(d.join(spots, ["doc_id", "dh"]).select("doc_id", "dh", "text", "spots").coalesce(1), 100, 7).where("octet_length(keys) > 0").collect()
+    seen = Counter(k for r in keys for k in memoryview(bytes(r["keys"])).cast("Q"))
+    assert len(seen) > 600 and max(seen.values()) == 1
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.remove_repeats(d.drop("dh")).collect()}
+    assert got == suffixes.brute_force(rows, 100)
