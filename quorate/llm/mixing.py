@@ -78,11 +78,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     (at most cap times size); shard is where its first block goes (null where nothing is taken).
 
     What the driver holds is one row a source and `blocks` seats (at least 256 a source). Null text: size 0. Empty
-    table or no words: targets and taken are 0. Equal (source, doc_id) rows follow each other by size.
+    table or no words: targets and taken are 0. Rows of one (source, doc_id), null ids among them, are dealt by their
+    text; equal rows follow each other.
     """
     mine = ["size", "source_size", "target", "taken", "shard"]
     base = docs.drop(*mine).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    slim = saved(base.select("source", "doc_id", "size"))
+    slim = saved(base.select("source", "doc_id", "size", F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(seed)).alias("_h")))
     rows = slim.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # one row a source
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in rows]
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         small = F.broadcast(small)
 
     pieces = max(16, max((r["rows"] for r in rows), default=0) // rank_rows + 1)
-    slim = slim.withColumns({"_h": F.xxhash64("doc_id", F.lit(seed)), "_b": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(pieces)).cast("int")})
+    slim = slim.withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(pieces)).cast("int"))
     sums = slim.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("_os"), F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
