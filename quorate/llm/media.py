@@ -11,7 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RATE, FRAME, PEAKS = 8000, 256, 2
+RATE, FRAME, HOP, PEAKS = 8000, 256, 128, 2
+#: The least magnitude of a peak: of a frame of silence, or of one value throughout, rounding alone is left.
+FLOOR = 1.0
 
 
 def write_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -30,36 +32,50 @@ def read_wav(media: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peak_pairs(samples: bytes, frame: int = FRAME, peaks: int = PEAKS, block: int = 4096) -> str:
-    """The spectral-peak pairs as time-coded entries `frame:f1-f2-gap`, joined by spaces.
+def spectral_peaks(samples: bytes, frame: int = FRAME, hop: int = HOP, peaks: int = PEAKS, block: int = 4096) -> np.ndarray:
+    """The strongest `peaks` local maxima of each frame's spectrum, strongest first (of equals the lower); -1 for none.
 
-    Short-time Fourier transforms of Hann-windowed frames without overlap (the last is filled up with silence); the
-    strongest `peaks` local maxima of each frame are its peaks, and each is paired with the strongest peak of the next
-    frame and of the one after. Frames are taken in blocks, so memory doesn't grow with the recording.
+    Short-time Fourier transforms of Hann-windowed frames, one every `hop` samples, with silence of a frame less a hop
+    before the first sample and after the last, so that every sample has full weight in some frame. Frames are taken in
+    blocks, so memory doesn't grow with the recording.
     """
     x = np.frombuffer(samples, np.uint8)
-    n = -(-len(x) // frame)
-    window = np.hanning(frame).astype(np.float32)
-    rows = []
+    lead = frame - hop
+    n = -(-(len(x) + lead) // hop) if len(x) else 0
+    window = np.hanning(frame + 1)[:-1].astype(np.float32)
+    rows = [np.zeros((0, peaks), np.int64)]
     for at in range(0, n, block):
-        part = x[at * frame : (at + block) * frame].astype(np.float32) - 128.0
-        part = np.pad(part, (0, -len(part) % frame)).reshape(-1, frame)
+        m = min(block, n - at)
+        a, z = at * hop - lead, (at + m - 1) * hop - lead + frame
+        part = np.zeros(z - a, np.float32)
+        part[max(0, -a) : min(z, len(x)) - a] = x[max(0, a) : min(z, len(x))].astype(np.float32) - 128.0
+        part = np.lib.stride_tricks.sliding_window_view(part, frame)[::hop]
         power = np.abs(np.fft.rfft((part - part.mean(1, keepdims=True)) * window, axis=1)).astype(np.float32)
         inner = power[:, 1:-1]
-        local = np.where((inner >= power[:, :-2]) & (inner > power[:, 2:]), inner, -1.0)
-        rows.append(np.argpartition(-local, peaks - 1, axis=1)[:, :peaks] if peaks > 1 else local.argmax(1)[:, None])
-        best = rows[-1]
+        local = np.where((inner >= power[:, :-2]) & (inner > power[:, 2:]) & (inner > FLOOR), inner, -1.0)
+        best = np.argpartition(-local, peaks - 1, axis=1)[:, :peaks]
         strength = np.take_along_axis(local, best, 1)
         order = np.lexsort((best, -strength), axis=1)
-        rows[-1] = np.take_along_axis(best, order, 1) + 1
-    f = np.concatenate(rows) if rows else np.zeros((0, peaks), int)
+        best, strength = np.take_along_axis(best, order, 1), np.take_along_axis(strength, order, 1)
+        rows.append(np.where(strength > 0, best + 1, -1))
+    return np.concatenate(rows)
+
+
+def peak_pairs(samples: bytes, frame: int = FRAME, hop: int = HOP, peaks: int = PEAKS) -> str:
+    """The spectral-peak pairs as time-coded entries `frame:code`, by frame, joined by spaces; code is the hexadecimal
+    number (f1 * 256 + f2) * 4 + gap.
+
+    f1 and f2 are frequency bins. The strongest peak of a frame is paired with its others (gap 0); each of a frame's
+    peaks is paired with the strongest of the next frame and of the one after (gaps 1, 2).
+    """
+    f = spectral_peaks(samples, frame, hop, peaks)
     said = []
-    for gap in (1, 2):
+    for gap in (0, 1, 2):
         for k in range(peaks):
-            a, b = f[:-gap, k], f[gap:, 0]
-            said.append((np.arange(len(a)), a, b, np.full(len(a), gap)))
-    t, a, b, g = (np.concatenate(c) for c in zip(*said, strict=True))
-    code = (a * 256 + b) * 4 + g
+            a, b = (f[:, 0], f[:, k]) if gap == 0 else (f[:-gap, k], f[gap:, 0])
+            there = np.flatnonzero((a > 0) & (b > 0)) if gap or k else np.zeros(0, np.int64)
+            said.append((there, (a[there] * 256 + b[there]) * 4 + gap))
+    t, code = (np.concatenate(c) for c in zip(*said, strict=True))
     order = np.lexsort((code, t))
     return " ".join([f"{i}:{c:x}" for i, c in zip(t[order].tolist(), code[order].tolist(), strict=True)])
 
