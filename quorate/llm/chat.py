@@ -40,7 +40,7 @@ class Layout:
 LAYOUTS = (
     Layout("prompt_response", ("prompt", "response"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("instruction", ("instruction", "output"), ("system", "input"), (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("messages", ("messages[].content", "messages[].role"), (), each=("messages", "role", "content")),
+    Layout("messages", ("messages[].content", "messages[].role"), ("messages[].name",), each=("messages", "role", "content")),
     Layout("from_value", ("conversations[].from", "conversations[].value"), (), each=("conversations", "from", "value"), roles=(("human", "user"), ("gpt", "assistant"))),
 )
 
@@ -49,8 +49,16 @@ def _digest(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def field_paths(schema: T.StructType, only: set[str]) -> list[tuple[str, Column]]:
-    """The leaf paths below the columns `only`, each with whether a row has it; an array counts where it is not null."""
+def _some_has(array: Column, name: str) -> Column:
+    return F.coalesce(F.exists(array, lambda e: e.getField(name).isNotNull()), F.lit(False))
+
+
+def field_paths(schema: T.StructType, only: set[str], required: set[str]) -> list[tuple[str, Column]]:
+    """The leaf paths below the columns `only`, each with whether a row has it.
+
+    Below an array of structs, a path in `required` counts where the array is not null, as its elements may lack a text;
+    any other field counts where an element has it.
+    """
     found: list[tuple[str, Column]] = []
 
     def walk(kind: T.DataType, path: str, there: Column, value: Column | None) -> None:
@@ -59,7 +67,13 @@ def field_paths(schema: T.StructType, only: set[str]) -> list[tuple[str, Column]
                 inner = value.getField(f.name) if value is not None else None
                 walk(f.dataType, f"{path}.{f.name}", there if inner is None else inner.isNotNull(), inner)
         elif isinstance(kind, T.ArrayType):
-            walk(kind.elementType, f"{path}[]", there, None)
+            if isinstance(kind.elementType, T.StructType) and value is not None:
+                for f in kind.elementType.fields:
+                    own = f"{path}[].{f.name}"
+                    some = there if own in required else _some_has(value, f.name)
+                    walk(f.dataType, own, some, None)
+            else:
+                walk(kind.elementType, f"{path}[]", there, None)
         else:
             found.append((path, there))
 
@@ -72,7 +86,8 @@ def field_paths(schema: T.StructType, only: set[str]) -> list[tuple[str, Column]
 def fingerprint(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """SHA-256 of the row's sorted field paths, among the top-level fields that any layout names."""
     named = {p.split("[")[0].split(".")[0] for x in layouts for p in x.required + x.optional}
-    paths = [F.when(there, F.lit(p)) for p, there in sorted(field_paths(df.schema, named), key=lambda x: x[0])]
+    required = {p for x in layouts for p in x.required}
+    paths = [F.when(there, F.lit(p)) for p, there in sorted(field_paths(df.schema, named, required), key=lambda x: x[0])]
     present = F.array_compact(F.array(*paths)) if paths else F.array().cast("array<string>")
     return F.sha2(F.concat_ws("\n", present), 256)
 
@@ -90,10 +105,12 @@ def _turn(role: str, text: str, names: tuple[tuple[str, str], ...]) -> Callable[
 def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds layout, and turns: array<struct<role, text>>. Unknown fingerprints: layout 'unknown', turns null.
 
-    A null role or text inside an array becomes empty; an optional field that is absent gives no turn.
-    Columns named layout or turns in df are replaced.
+    A null role or text inside an array becomes empty; an optional field that is absent gives no turn. Repeated rows
+    each get theirs; no rows: no rows. Columns named layout or turns in df are replaced, all others are kept.
     """
-    have = set(df.columns)
+    have, own = set(df.columns), "_fingerprint"
+    while own in have:
+        own += "_"
     fp = fingerprint(df, layouts)
     layout, turns = F.lit("unknown"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for x in layouts:
@@ -104,9 +121,9 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Dat
             made = F.transform(F.col(array), _turn(role, text, x.roles))
         else:
             made = F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.struct(F.lit(r).alias("role"), F.col(p).alias("text"))) for r, p in x.turns if p in have]))
-        mine = F.col("_fp").isin(x.fingerprints())
+        mine = F.col(own).isin(x.fingerprints())
         layout, turns = F.when(mine, F.lit(x.name)).otherwise(layout), F.when(mine, made).otherwise(turns)
-    return df.withColumn("_fp", fp).withColumns({"layout": layout, "turns": turns}).drop("_fp")
+    return df.withColumn(own, fp).withColumns({"layout": layout, "turns": turns}).drop(own)
 
 
 def escape(text: Column) -> Column:
@@ -121,7 +138,7 @@ def unescape(text: Column) -> Column:
 def format_chat(df: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Adds formatted, and segments: array<struct<text, loss>> that concatenate to it; loss marks what is trained on.
 
-    No turns: an empty string and an empty array. Null turns: both null.
+    No turns: an empty string and an empty array. Null turns: both null. Columns of these names in df are replaced.
     """
 
     def parts(t: Column) -> Column:
