@@ -23,21 +23,35 @@ from .common import kept, lean, ranked, saved
 END_ID = 2
 
 
+#: How the byte-level pre-tokenizer of the format parts a text into words where it uses its own pattern: fixed value.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Both encoders must agree on these, or the quick one is not used.
+PROBES = ("", " ", "It's  we'll\n\n\tX1 22 333 - a.b,c?! 'tis", "É été naïf ÀÉÎ straße ŁódŹ ¿qué? «x» 50 €\u00a0z", "a\r\n b\x0b\x0c  c   ", "x" * 50 + " " * 9 + "0" * 30, "don't DON'T I'M you're\x00\x01")
+
+
 @lru_cache(maxsize=2)
 def encoders(path: str):
-    """(exact, quick): the tokenizer file, and its vocabulary as byte ranks for tiktoken."""
+    """(exact, quick, special): the tokenizer file, its vocabulary as byte ranks for tiktoken, and its special strings.
+
+    quick is None where the file asks for anything but byte-level pairs without normalisation, or fails a probe.
+    """
     import tiktoken
     from tokenizers import Tokenizer
 
     kept(encoders.cache_clear)
     exact = Tokenizer.from_file(path)
     spec = json.load(open(path, encoding="utf-8"))
+    special, model, pre = {t["content"] for t in spec.get("added_tokens", [])}, spec["model"], spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    plain = plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain:
+        return exact, None, special
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return exact, tiktoken.Encoding("same", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), special
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    quick = tiktoken.Encoding("same", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+    agree = all(quick.encode_ordinary(t) == exact.encode(t, add_special_tokens=False).ids for t in PROBES)
+    return exact, quick if agree else None, special
 
 
 def token_ids(texts: list[str], path: str) -> list[list[int]]:
@@ -51,7 +65,7 @@ def token_ids(texts: list[str], path: str) -> list[list[int]]:
     out: list = [None] * len(texts)
     slow = []
     for i, t in enumerate(texts):
-        if (t.isascii() or max(t) < "ɐ") and not any(s in t for s in special):
+        if quick and (t.isascii() or max(t) < "ɐ") and not any(s in t for s in special):
             out[i] = quick.encode_ordinary(t)
         else:
             slow.append(i)
