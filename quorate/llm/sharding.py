@@ -29,18 +29,20 @@ def _admitted(asks: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[i
     return {k: flow[k] / n for k, n in asks.items()}
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: int = 11, rank_rows: int = 100_000) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16, seed: int = 11, rank_rows: int = 100_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (repeated rows each get a slot).
 
     Links: equal texts. A group of equal texts is one hub with its members as leaves, so that a member's neighbours by
     shard are the hub's counts by shard, and no pairs are made. Each round, members outside the shard that holds most
     of their group propose to move there. Proposals are counted by pair of shards, and of each pair that share is
     admitted with which no shard takes in more than its room and what leaves it. Small groups move as one; a group of
-    more than a quarter of a shard moves in part, and goes on to the next shard when the first is full. Rows without
-    links are the ballast: the last step moves them (then others) from shards above their quota to those below.
+    more than a quarter of a shard moves in part, and goes on to the next shard when the first is full. Rounds end when
+    nothing proposes to move, or no round of the last three has brought more linked rows to most of their group; 16 at
+    most. Rows without links are the ballast: the last step moves them (then others) from shards above their quota to
+    those below.
 
     The law is `rows`: counts differ by at most one. size: UTF-8 bytes of the text plus 8 (null: 8). Null texts are
-    linked with nothing. No rows: no rows.
+    linked with nothing. No rows: no rows. Other columns are not returned.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = docs.select(
@@ -56,6 +58,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: in
     state = base.join(copies, base["g"] == copies["hub"], "left").drop("g")
     state = saved(state.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(shards)).cast("int")))
 
+    left: list[int] = []
     for k in range(rounds):
         linked = state.where("hub IS NOT NULL")
         held = linked.groupBy("hub", "shard", "copies").agg(F.count("*").alias("_n"))
@@ -64,6 +67,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: in
         most = held.groupBy("hub").agg(top.alias("most"))
         facts = held.join(most, "hub").groupBy("shard").agg(F.sum("_n").alias("load"), F.sum(F.when((F.col("most") != F.col("shard")) & (F.col("copies") <= quota[0]), F.col("_n")).otherwise(0)).alias("strays"))
         facts = {r["shard"]: (r["load"], r["strays"]) for r in facts.collect()}
+        left.append(sum(s for _, s in facts.values()))
+        if len(left) > 3 and min(left[-3:]) >= min(left[:-3]):
+            break
         room = [quota[j] - facts.get(j, (0, 0))[0] for j in range(shards)]
         open_ = [room[j] + facts.get(j, (0, 0))[1] > quota[j] // 100 for j in range(shards)]
         best = held.where(_at(open_, F.col("shard"), "boolean")).groupBy("hub").agg(top.alias("best"))
@@ -81,7 +87,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4, seed: in
         state = saved(moved.select(*state.columns).unionAll(state.where("hub IS NULL")))
 
     pieces = max(4, n // (shards * rank_rows) + 1)
-    bucket = F.when(F.col("hub").isNull(), F.lit(pieces)).otherwise(F.lit(0)) + F.pmod(F.xxhash64(F.coalesce(F.hex("hub"), F.col("uid").cast("string"))), F.lit(pieces))
+    # A group lies together, unless it is too large for one bucket: no bucket has more than rank_rows of one.
+    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("uid"), F.ceil(F.col("copies") / rank_rows)))
+    bucket = F.when(F.col("hub").isNull(), F.lit(pieces)).otherwise(F.lit(0)) + F.pmod(F.xxhash64(F.coalesce(F.hex("hub"), F.col("uid").cast("string")), part), F.lit(pieces))
     placed = ranked(state, ["shard"], bucket, ["hub", "uid"])
     count = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     over, lows, starts, gone, free = [], [], [], 0, 0
