@@ -5,13 +5,17 @@ string of `length` bytes has one anchor: the position in it whose next 32 bytes
 equals). It depends on the string alone, so equal strings have equal anchors at the same place in them, and only
 anchored suffixes need to be sorted: about one position in 35.
 
-1. Anchored suffixes are range-partitioned by the hash of their leading 32 bytes (even splitters, as hashes are even),
-   sorted in their bucket, and neighbours compared: by the leading bytes, then by all bytes that strings with this
-   anchor can reach. Suffixes whose whole reach also occurs earlier are done: all their strings repeat.
-2. What is left is the first suffix of each reach, where suffixes with the same leading bytes have other reaches, as at
-   the ends of passages. Only for these are the bytes fetched; each string gets a key of the leading bytes, its distance
-   from the anchor and its own bytes. Of equal keys a map task passes on the earliest; buckets by key find the others.
-3. Each document's repeated string starts give the bytes to remove.
+1. Which suffixes need sorting: (lead, reach) of every anchor, as 64-bit hashes of its leading 32 bytes and of all bytes
+   that strings with this anchor can reach, meet in buckets by lead. A lead that has only one reach in the corpus needs no
+   sorting: the later ones of equal reaches repeat as a whole. Of several reaches, the first of each goes on.
+2. Their bytes are fetched. Splitters sampled from their leading bytes range-partition the suffixes; equal leads meet in
+   one range. In its range, each is sorted by multikey quicksort, forwards from the anchor and backwards before it.
+   Comparing neighbours gives how much they share on either side, and so, for each distance of a string's start before
+   the anchor, which strings are equal; all but the earliest repeat. Whole bytes are compared.
+3. A lead with more than `hot_reaches` of them (a passage that many documents share) would fill a range. Its strings are
+   cut out and dealt by their own hash instead, of equal ones only the earliest of each held block: comparison across
+   the blocks finds the rest.
+4. Each document's repeated string starts give the bytes to remove.
 
 Exact copies of an earlier document are settled by their hash alone.
 """
@@ -131,10 +135,7 @@ def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
                     o = order[edges[k] : edges[k + 1]]
                     which, count = np.unique(d[o], return_counts=True)
                     code = np.empty(len(o), RECORD)
-                    # Bits of the hash that the bucket doesn't say; of the reach, half.
-                    code["lead"] = ((lead[o] << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-                    code["reach"] = (reach[o] >> np.uint64(24)).astype(np.uint32)
-                    code["more"] = (lead[o] & np.uint64(0xFF)).astype(np.uint8) ^ (reach[o] & np.uint64(0xFF)).astype(np.uint8)
+                    code["lead"], code["reach"] = lead[o], reach[o]
                     code["at"], code["before"], code["after"] = m[o], m[o] - first[o], last[o] - first[o]
                     rows.append((b // 3, b % 3, np.where(null[own[which]], 2**63 - 1, ids[own[which]]).astype(np.int64).tobytes(), dh[own[which]].tobytes(), count.astype(np.uint32).tobytes(), code.tobytes()))
                 kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
@@ -143,8 +144,8 @@ def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
     return docs.select("doc_id", "dh", "text").mapInArrow(run, "bucket int, kind int, docs binary, hashes binary, counts binary, records binary")
 
 
-RECORD = np.dtype([("lead", "<u4"), ("reach", "<u4"), ("more", "u1"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
-STARTS = "doc_id long, dh long, open boolean, low long, high long, anchor long"
+RECORD = np.dtype([("lead", "<u8"), ("reach", "<u8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
+STARTS = "doc_id long, dh long, open boolean, low long, high long, anchor long, lead long"
 
 
 def _unpack(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def _unpack(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _out(ids, dh, code, open_) -> pa.Table:
     at = code["at"].astype(np.int64)
     low = at - code["before"]
-    return pa.table({"doc_id": ids, "dh": dh, "open": np.full(len(ids), open_), "low": low, "high": low + code["after"], "anchor": at})
+    return pa.table({"doc_id": ids, "dh": dh, "open": np.full(len(ids), open_), "low": low, "high": low + code["after"], "anchor": at, "lead": code["lead"].astype(np.uint64).view(np.int64)})
 
 
 def _neighbours(block: pa.Table) -> pa.Table:
@@ -174,14 +175,118 @@ def _neighbours(block: pa.Table) -> pa.Table:
     if not block.num_rows:
         return pa.concat_tables(said)
     ids, dh, code = _unpack(block)
-    order = np.lexsort((code["at"], dh, ids, code["more"], code["reach"], code["lead"]))
+    order = np.lexsort((code["at"], dh, ids, code["reach"], code["lead"]))
     ids, dh, code = ids[order], dh[order], code[order]
-    lead, reach = code["lead"], code["reach"].astype(np.uint64) << np.uint64(8) | code["more"]
+    lead, reach, at = code["lead"], code["reach"], code["at"]
     new_lead = np.concatenate([[True], lead[1:] != lead[:-1]])
     new = new_lead | np.concatenate([[True], reach[1:] != reach[:-1]])
+    # A row that comes twice in the table is no earlier place of itself.
+    twin = ~new & np.concatenate([[False], (ids[1:] == ids[:-1]) & (dh[1:] == dh[:-1]) & (at[1:] == at[:-1])])
     kinds = np.bincount(np.cumsum(new_lead) - 1, weights=new)
     several = kinds[np.cumsum(new_lead) - 1] > 1
-    return pa.concat_tables([*said, _out(ids[~new], dh[~new], code[~new], False), _out(ids[new & several], dh[new & several], code[new & several], True)])
+    again = ~new & ~twin
+    return pa.concat_tables([*said, _out(ids[again], dh[again], code[again], False), _out(ids[new & several], dh[new & several], code[new & several], True)])
+
+
+def _reaches(rows: DataFrame, length: int) -> DataFrame:
+    """Rows (doc_id, dh, text, spots: array of low, high, anchor, lead) -> a row for each spot, with its reach's bytes."""
+    kind = "doc_id long, dh long, low long, high long, anchor long, lead long, reach binary"
+    names = ["low", "high", "anchor", "lead"]
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                spots = part.column(3)
+                owner = np.repeat(np.arange(part.num_rows), pc.list_value_length(spots).to_numpy())
+                cells = [spots.flatten().field(c) for c in names]
+                raw = _raw(part.column(2))
+                reach = [raw[i][x : z + length] for i, x, z in zip(owner.tolist(), cells[0].to_pylist(), cells[1].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner)), *cells, pa.array(reach, pa.binary())], ["doc_id", "dh", *names, "reach"])
+
+    return rows.mapInArrow(run, kind)
+
+
+def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte strings given as rows of big-endian words, and how many bytes each shares with the one before.
+
+    Multikey quicksort, a word of eight bytes at a time: strings are parted by their first word, and only runs of equal
+    ones go on to the next. The first string shares 0.
+    """
+    n, width = words.shape
+    order, tied = np.arange(n), np.ones(n, bool)
+    tied[:1] = False
+    shared = np.full(n, 8 * width)
+    shared[:1] = 0
+    for j in range(width):
+        live = np.flatnonzero(tied | np.append(tied[1:], False))
+        if not len(live):
+            break
+        run = np.cumsum(~tied)[live]
+        key = words[order[live], j]
+        by = np.lexsort((key, run))
+        order[live], key = order[live][by], key[by]
+        differs = tied[live[1:]] & (key[1:] != key[:-1])
+        cut = live[1:][differs]
+        bits = (key[1:] ^ key[:-1])[differs]
+        shared[cut] = 8 * j + sum((bits < np.uint64(1 << k)).astype(np.int64) for k in range(8, 64, 8))
+        tied[cut] = False
+    return order, shared
+
+
+def _words(flat: np.ndarray, at: np.ndarray, size: np.ndarray, step: int, most: int) -> np.ndarray:
+    """Rows of big-endian words: `size` bytes of flat from each `at`, forwards or backwards, and zeros up to `most`."""
+    width = -(-most // 8) * 8
+    out = np.zeros((len(at), width), np.uint8)
+    for a in range(0, len(at), 1 << 14):
+        k = np.arange(width)
+        there = k < size[a : a + (1 << 14), None]
+        place = at[a : a + (1 << 14), None] + step * k
+        out[a : a + (1 << 14)] = np.where(there, flat[np.where(there, place, 0)], 0)
+    return out.view(">u8").astype(np.uint64)
+
+
+def repeated_strings(ids, dh, low, high, anchor, reach: pa.Array, length: int) -> tuple[np.ndarray, ...]:
+    """Of suffixes with all others of their leads: (doc_id, dh, low, high) of the runs of starts whose string repeats."""
+    order = np.lexsort((anchor, dh, ids))
+    twin = np.concatenate([[False], (ids[order][1:] == ids[order][:-1]) & (dh[order][1:] == dh[order][:-1]) & (anchor[order][1:] == anchor[order][:-1])])
+    order = order[~twin]
+    ids, dh, low, high, anchor, reach = ids[order], dh[order], low[order], high[order], anchor[order], reach.take(pa.array(order))
+    edges = np.frombuffer(reach.buffers()[1], np.int32)[reach.offset : reach.offset + len(reach) + 1].astype(np.int64)
+    flat = np.frombuffer(reach.buffers()[2], np.uint8)
+    n, far = len(ids), length - GRAM
+    at = edges[:-1] + anchor - low
+    forward, shared_after = multikey_order(_words(flat, at, edges[1:] - at, 1, length))
+    backward, shared_before = multikey_order(_words(flat, at - 1, anchor - low, -1, far))
+    again = np.zeros((n, far + 3), bool)
+    after, before = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(far + 1):
+        # Strings that start d before the anchor are equal if the d bytes before it and the length - d from it on are.
+        own = np.flatnonzero((anchor - high <= d) & (d <= anchor - low))
+        if len(own) > 1:
+            after[forward] = np.cumsum(shared_after < length - d)
+            before[backward] = np.cumsum(shared_before < d)
+            key = after[own] * (n + 1) + before[own]
+            by = np.argsort(key, kind="stable")  # equal ones stay in the order of the corpus
+            again[own[by[1:][key[by][1:] == key[by][:-1]]], far + 1 - d] = True
+    change = np.diff(again.astype(np.int8), axis=1)
+    row, first = np.nonzero(change == 1)
+    last = np.nonzero(change == -1)[1] - 1
+    # Column far + 1 - d is the start anchor - d; a change stands one before its column.
+    return ids[row], dh[row], anchor[row] - far + first, anchor[row] - far + last
+
+
+def _sorted_ranges(reaches: DataFrame, length: int) -> DataFrame:
+    """One range of suffixes at a time: the runs of string starts that repeat."""
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            cells = [t.column(c).to_numpy() for c in ("doc_id", "dh", "low", "high", "anchor")]
+            yield from _ranges(*repeated_strings(*cells, t.column("reach").combine_chunks(), length)).to_batches()
+
+    return reaches.mapInArrow(run, RUNS)
 
 
 def _runs(ids, dh, start):
@@ -195,15 +300,16 @@ def _runs(ids, dh, start):
 
 
 def _again(key, ids, dh, start) -> tuple[np.ndarray, np.ndarray]:
-    """The order of (key, place in the corpus), and which of the strings in that order equal the one before."""
+    """The order of (key, place in the corpus), each place once, and which strings in that order equal the one before."""
     order = np.lexsort((start, dh, ids, key))
+    same = lambda x: x[order][1:] == x[order][:-1]
+    order = order[np.concatenate([[True], ~(same(key) & same(ids) & same(dh) & same(start))])]
     return order, np.concatenate([[False], key[order][1:] == key[order][:-1]])
 
 
-def _string_keys(raw: list[bytes], owner: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, length: int):
-    """For all strings of the reaches (a text, first and last start, anchor): arrays (text, start, key)."""
-    reaches = [raw[i][a : z + length] for i, a, z in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True)]
-    leads = [hashlib.blake2b(raw[i][m : m + GRAM], digest_size=8).digest() for i, m in zip(owner.tolist(), anchor.tolist(), strict=True)]
+def _string_keys(reaches: list[bytes], low: np.ndarray, high: np.ndarray, anchor: np.ndarray, length: int):
+    """For all strings of the reaches: arrays (reach, start, key)."""
+    leads = [hashlib.blake2b(r[m : m + GRAM], digest_size=8).digest() for r, m in zip(reaches, (anchor - low).tolist(), strict=True)]
     lead = np.frombuffer(b"".join(leads), ">u8").astype(np.uint64)
     sizes = np.array([len(r) for r in reaches])
     begin = np.cumsum(sizes) - sizes
@@ -213,14 +319,13 @@ def _string_keys(raw: list[bytes], owner: np.ndarray, low: np.ndarray, high: np.
     step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
     h = hashing.ranges(prefix, begin[row] + step, begin[row] + step + length)
     distance = ((anchor - low)[row] - step + 512).astype(np.uint64)
-    return owner[row], low[row] + step, hashing.mix(h ^ hashing.mix(lead[row] + distance * np.uint64(hashing.M)))
+    return row, low[row] + step, hashing.mix(h ^ hashing.mix(lead[row] + distance * np.uint64(hashing.M)))
 
 
 def _keys(rows: DataFrame, length: int, bits: int) -> DataFrame:
-    """Rows (doc_id, dh, text, spots: array of low, high, anchor) -> (bucket, docs, hashes, counts, starts, keys): of
-    equal strings that are held at once, the earliest goes to the bucket of its key; the others are repeats and go as
-    runs (no keys; starts: low and high), dealt by text. However many texts share a string, its bucket gets
-    it once for each HELD strings."""
+    """Rows of _reaches -> (bucket, docs, hashes, counts, starts, keys): of equal strings that are held at once, the
+    earliest goes to the bucket of its key; the others are repeats and go as runs (no keys; starts: low and high), dealt
+    by text. However many texts share a string, its bucket gets it once for each HELD strings."""
     names = ["bucket", "docs", "hashes", "counts", "starts", "keys"]
     kinds = (pa.int32(), *[pa.binary()] * 5)
 
@@ -248,14 +353,11 @@ def _keys(rows: DataFrame, length: int, bits: int) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            raw = _raw(batch.column(2))
-            ids, dh = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            spots = batch.column(3)
-            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(spots).to_numpy())
-            low, high, anchor = (spots.flatten().field(c).to_numpy() for c in ("low", "high", "anchor"))
-            for a, z in hashing.slices((high - low + length).tolist(), SLICE):
-                text, start, key = _string_keys(raw, owner[a:z], low[a:z], high[a:z], anchor[a:z], length)
-                held.append((ids[text], dh[text], start, key))
+            ids, dh, low, high, anchor = (batch.column(k).to_numpy() for k in range(5))
+            raw = batch.column(6).to_pylist()
+            for a, z in hashing.slices([len(r) for r in raw], SLICE):
+                row, start, key = _string_keys(raw[a:z], low[a:z], high[a:z], anchor[a:z], length)
+                held.append((ids[a:z][row], dh[a:z][row], start, key))
                 n += len(key)
                 if n >= HELD:
                     yield flush(held)
@@ -319,23 +421,25 @@ def _remove(rows: DataFrame, length: int, keep_text: bool) -> DataFrame:
     return rows.mapInArrow(run, kind)
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, bucket_anchors: int = 100_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, bucket_anchors: int = 100_000, range_suffixes: int = 100_000, hot_reaches: int = 100_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary: a cut may part a character).
 
     A byte goes if a string of `length` bytes (64 to 200) over it also starts earlier: in a smaller doc_id (null ids
     come last, rows of equal ids by their text's hash, equal rows in some order), or earlier in the same text. Strings
-    do not cross documents and are judged on the input. Null text: empty. No rows: no rows. Strings count as equal if
-    64-bit hashes of their bytes, anchors and places agree.
+    do not cross documents and are judged on the input. Null text: empty. No rows: no rows. Other columns are not
+    returned. Where a reach equals another as a whole, or its lead is hot, 64-bit hashes of either are compared; all
+    other strings are compared by their bytes.
     """
     if not 64 <= length <= 200:
         raise ValueError("length must be from 64 to 200")
+    spark = docs.sparkSession
     raw = F.coalesce("text", F.lit("")).cast("binary")
     base = docs.select("doc_id", F.xxhash64(raw).alias("dh"), F.md5(raw).alias("md5"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
     base = saved(base.withColumn("uid", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid")
-    first = base.groupBy("md5").agg(F.min(order)["uid"].alias("first"))
-    base = base.join(first, "md5").withColumn("again", F.col("uid") != F.col("first")).drop("first")
-    base = saved(base)
+    # Joined by row number, not by text: copies of one text, however many, come to no one task.
+    first = base.groupBy("md5").agg(F.min(order)["uid"].alias("first")).select("first")
+    base = saved(base.join(first, base["uid"] == first["first"], "left").withColumn("again", F.col("first").isNull()).drop("first", "md5"))
     total = base.where("NOT again").agg(F.sum("n_bytes")).first()[0] or 0
     bits = min(20, max(7, (total // 35 // bucket_anchors).bit_length()))
 
@@ -345,10 +449,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = True, b
     own = base.where("NOT again").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("dh").alias("own_dh"), "uid")
     keyed = texts.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "dh", "text").where(F.octet_length("text") >= length)
 
-    spot = F.struct("low", "high", "anchor")
-    wanted = met.where("open").groupBy(F.col("doc_id").alias("id"), F.col("dh").alias("own_dh")).agg(F.collect_list(spot).alias("spots"))
+    spot = F.struct("low", "high", "anchor", "lead")
+    wanted = met.where("open").groupBy(F.col("doc_id").alias("id"), F.col("dh").alias("own_dh")).agg(F.collect_set(spot).alias("spots"))
     fetched = keyed.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("dh") == F.col("own_dh"))).select("doc_id", "dh", "text", "spots")
-    edges = _keys(fetched, length, bits).groupBy("bucket").applyInArrow(_compare, RUNS)
+    reaches = saved(_reaches(fetched, length))
+    per_lead = reaches.groupBy("lead").agg(F.count("*").alias("n"))
+    hot = saved(per_lead.where(F.col("n") > hot_reaches).select("lead"))  # at most one lead for each hot_reaches suffixes
+    cold = reaches
+    if hot.limit(1).count():
+        cold = reaches.join(hot, "lead", "left_anti").select(*reaches.columns)
+        hot_strings = _keys(reaches.join(hot, "lead", "left_semi").select(*reaches.columns), length, bits)
+        done = done.unionAll(hot_strings.groupBy("bucket").applyInArrow(_compare, RUNS))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reaches.count() // range_suffixes + 1)
+    leading = F.expr(f"substring(reach, cast(anchor - low as int) + 1, {GRAM})")
+    edges = _sorted_ranges(cold.repartitionByRange(ranges, leading), length)
 
     runs = done.unionAll(edges).groupBy(F.col("doc_id").alias("id"), F.col("dh").alias("own_dh")).agg(F.collect_set(F.struct("low", "high")).alias("starts"))
     runs = saved(own.join(runs, ["id", "own_dh"]))

@@ -354,6 +354,10 @@ def test_suffix_repeats_over_documents(docs):
     assert got == suffixes.brute_force([(r["doc_id"], r["text"]) for r in docs.collect()], 100)
 
 
+def removed(df):
+    return {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in df.collect()}
+
+
 def test_suffix_hot_passage_fills_no_bucket(spark):
     passage = prose(7, 60)
     rows = [(i, prose(5000 + i, 12) + " " + passage + " " + prose(9000 + i, 12)) for i in range(600)]
@@ -363,9 +367,47 @@ def test_suffix_hot_passage_fills_no_bucket(spark):
     leads = Counter((r["bucket"], x) for r in packed.where("kind = 0").collect() for x in np.frombuffer(r["records"], suffixes.RECORD)["lead"].tolist())
     assert max(leads.values()) <= 16
     starts = packed.groupBy("bucket").applyInArrow(suffixes._neighbours, suffixes.STARTS).where("open")
-    spots = starts.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("spots"))
-    keys = suffixes._keys(d.join(spots, ["doc_id", "dh"]).select("doc_id", "dh", "text", "spots").coalesce(1), 100, 7).where("octet_length(keys) > 0").collect()
+    spots = starts.groupBy("doc_id", "dh").agg(F.collect_list(F.struct("low", "high", "anchor", "lead")).alias("spots"))
+    reaches = suffixes._reaches(d.join(spots, ["doc_id", "dh"]).select("doc_id", "dh", "text", "spots").coalesce(1), 100)
+    keys = suffixes._keys(reaches, 100, 7).where("octet_length(keys) > 0").collect()
     seen = Counter(k for r in keys for k in memoryview(bytes(r["keys"])).cast("Q"))
     assert len(seen) > 600 and max(seen.values()) == 1
-    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.remove_repeats(d.drop("dh")).collect()}
-    assert got == suffixes.brute_force(rows, 100)
+    want = suffixes.brute_force(rows, 100)
+    assert removed(suffixes.remove_repeats(d.drop("dh"))) == want
+    assert removed(suffixes.remove_repeats(d.drop("dh"), hot_reaches=100)) == want
+
+
+def test_multikey_order():
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        m = r.integers(0, 3, (r.integers(1, 150), 24)).astype(np.uint8)
+        order, shared = suffixes.multikey_order(m.view(">u8").astype(np.uint64))
+        rows = [bytes(x) for x in m]
+        assert [rows[i] for i in order] == sorted(rows)
+        for k in range(1, len(rows)):
+            a, b = rows[order[k - 1]], rows[order[k]]
+            assert shared[k] == next((i for i in range(24) if a[i] != b[i]), 24)
+
+
+@pytest.mark.parametrize("hot,length", [(100_000, 100), (2, 100), (5, 64), (100_000, 150)])
+def test_suffix_repeats_on_every_path(spark, hot, length):
+    r = random.Random(length + hot)
+    pool = [prose(70 + k, 60) for k in range(4)] + ["ab" * 150, "\0" * 160, "x\0" * 90]
+    rows = []
+    for i in range(60):
+        text = ""
+        for _ in range(r.randrange(1, 4)):
+            p = r.choice(pool)
+            a = r.randrange(len(p) - 60)
+            text += p[a : a + r.randrange(60, 300)] + prose(1000 + 7 * i, r.randrange(4))
+        rows.append((i, text))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert removed(suffixes.remove_repeats(d, length, hot_reaches=hot, range_suffixes=50)) == suffixes.brute_force(rows, length)
+
+
+def test_suffix_rows_that_come_twice(spark):
+    text = prose(31, 80)
+    rows = [(1, text), (1, text), (2, prose(32, 50) + text[200:420]), (None, prose(33, 60)), (None, prose(33, 60)), (3, None), (3, None)]
+    got = sorted(((r["doc_id"] or 99, r["n_removed"], r["n_spans"]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()), key=str)
+    size = len(prose(33, 60))
+    assert got == sorted([(1, 0, 0), (1, len(text), 1), (2, 220, 1), (99, 0, 0), (99, size, 1), (3, 0, 0), (3, 0, 0)], key=str)
