@@ -7,13 +7,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import hashing
 from .common import kept, lean
 
+#: Characters that are parsed side by side with others; a text's segments are joined afterwards.
 SEGMENT = 2048
+#: Characters a step of parsing holds.
+SLICE = 1 << 21
 
 
 def held_out() -> F.Column:
@@ -36,24 +41,28 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, documents: int = 48, chars: int = 800) -> dict[str, str]:
-    """The labelled text each language is learned from: the middle `chars` characters of `documents` documents that
-    are not held out, chosen by a hash. The number of languages bounds it; its size does not grow with the table."""
+    """The labelled text each language is learned from: the middle `chars` characters of `documents` rows that are not
+    held out, chosen by a hash. The number of languages bounds it; its size does not grow with the table. Rows may
+    repeat and doc_ids may be null: each row counts once for each different (doc_id, text)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(), F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= documents).select("doc_id", "k")
+    known = known.select("lang", "doc_id", "text", F.xxhash64("text").alias("_t"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_t")
+    ids = known.select("lang", "doc_id", "_t").withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= documents).distinct()
+    ids = ids.select(F.col("lang").alias("_l"), F.col("doc_id").alias("_d"), F.col("_t").alias("_h"), "k")
     length = F.length("text")
     start = F.greatest(F.lit(1), F.floor((length - chars) / 2).cast("int") + 1)
     part = F.when(length > chars, F.col("text").substr(start, F.lit(chars))).otherwise(F.col("text"))
     # `documents` rows a language: broadcast, so that no text is shuffled to find them.
-    rows = known.join(F.broadcast(ids), "doc_id").select("lang", "k", "doc_id", part.alias("part")).collect()
+    found = known.join(F.broadcast(ids), (F.col("lang") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")))
+    rows = found.groupBy("lang", "k").agg(F.min(part).alias("part")).collect()  # `documents` rows a language
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["k"], r["doc_id"], r["part"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
         out.setdefault(r["lang"], []).append(r["part"])
-    return {k: "\n".join(v[:documents]) for k, v in out.items()}
+    return {k: "\n".join(v) for k, v in out.items()}
 
 
-def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
-    """Transitions (state, code) -> state of the automaton of all substrings; -1 where there is none. State 0: root."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The moves (code -> state) of each state of the automaton of all substrings. State 0: root."""
     step: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
     for c in codes:
@@ -79,81 +88,154 @@ def suffix_automaton(codes: list[int], alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    out = np.full((len(step), alphabet), -1, np.int32)
-    for s, moves in enumerate(step):
-        for c, t in moves.items():
-            out[s, c] = t
-    return out
+    return step
+
+
+def displaced(step: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, target): state s moves with c to target[base[s] + c] if owner[base[s] + c] is s; else it has no move.
+
+    Rows of moves are laid over each other where they don't meet, so the arrays have about as many cells as there are
+    moves, whatever the alphabet. Rows of several moves are laid first, the others fill the gaps.
+    """
+    moves = sum(map(len, step))
+    base = np.zeros(len(step), np.int32)
+    owner, target = np.full(2 * moves + 2 * alphabet, -1, np.int32), np.zeros(2 * moves + 2 * alphabet, np.int32)
+    used = bytearray(len(owner))
+    many = sorted((s for s in range(len(step)) if len(step[s]) > 1), key=lambda s: -len(step[s]))
+    low = 0
+    for s in many:
+        codes = list(step[s])
+        at, tried = low, 0
+        while any(used[at + c] for c in codes):
+            at, tried = at + 1, tried + 1
+        if tried > 64:
+            low += tried // 2
+        base[s] = at
+        for c in codes:
+            used[at + c] = 1
+    gaps = (i for i in range(alphabet, len(used)) if not used[i])
+    for s in range(len(step)):
+        if len(step[s]) == 1:
+            (c,) = step[s]
+            i = next(gaps)
+            used[i] = 1
+            base[s] = i - c
+    for s, own in enumerate(step):
+        for c, t in own.items():
+            owner[base[s] + c], target[base[s] + c] = s, t
+    # A state without moves points to where no state owns anything.
+    base[[s for s in range(len(step)) if not step[s]]] = len(owner) - alphabet
+    return base, owner, target
 
 
 class Model:
-    """Automata of all languages in one table of transitions. Code 0: a letter no language has; 1: any non-letter."""
+    """Automata of all languages, one after the other in the same arrays. Code 0: a letter no language has; 1: any
+    non-letter; every letter of the learned texts has a code of its own."""
 
-    def __init__(self, texts: dict[str, str], most_letters: int = 94):
+    def __init__(self, texts: dict[str, str]):
         is_letter, low = letters()
         self.langs = sorted(texts)
         points = {k: low[np.frombuffer(t.encode("utf-32-le"), np.uint32)] for k, t in texts.items()}
-        seen, counts = np.unique(np.concatenate([*points.values(), np.zeros(0, np.uint32)]), return_counts=True)
-        keep = is_letter[seen]
-        seen = seen[keep][np.argsort(-counts[keep], kind="stable")][:most_letters]
-        code = {int(p): i + 2 for i, p in enumerate(seen)}
-        self.seen = [(int(p), c) for p, c in code.items()]
-        tables, self.roots, self.norm, at = [], [], [], 0
+        seen = np.unique(np.concatenate([*points.values(), np.zeros(0, np.uint32)]))
+        seen = seen[is_letter[seen]]
+        self.seen, self.alphabet = seen.astype(np.int64), len(seen) + 2
+        lookup = _lookup(self.seen)[0]
+        tables, self.ends, self.norm, states, cells = [], [], [], 0, 0
+        start = []
         for k in self.langs:
-            # Runs of non-letters count once, and letters outside the alphabet are left out.
-            c = [code.get(int(p), 1 if not is_letter[p] else 0) for p in points[k]]
-            c = [x for i, x in enumerate(c) if x and not (x == 1 and i and c[i - 1] == 1)]
-            t = suffix_automaton(c, len(code) + 2)
-            tables.append(np.where(t < 0, -1, t + at))
-            self.roots.append(at)
+            c = _squeezed(lookup[points[k]]).tolist()
+            # The last state is where a letter leads that the language lacks, and where texts begin: it has no moves.
+            step = [*suffix_automaton(c), {}]
+            base, owner, target = displaced(step, self.alphabet)
+            tables.append((base + cells, np.where(owner < 0, -1, owner + states), target + states))
+            first = np.full(self.alphabet, states + len(step) - 1, np.int64)
+            for x, t in step[0].items():
+                first[x] = t + states
+            start.append(first)
+            self.ends.append(states + len(step) - 1)
             self.norm.append(float(np.log2(len(c) + 2)))
-            at += len(t)
-        self.moves = np.concatenate(tables).astype(np.int32) if tables else np.zeros((0, 2), np.int32)
+            states, cells = states + len(base), cells + len(owner)
+        self.base, self.owner, self.target = (np.concatenate(x).astype(np.int32) if tables else np.zeros(0, np.int32) for x in (zip(*tables, strict=True) if tables else ((), (), ())))
+        self.start = np.array(start).reshape(len(self.langs), self.alphabet)
+
+    def _parse(self, codes: np.ndarray, live: np.ndarray, lang: np.ndarray, column: np.ndarray, state: np.ndarray, known: np.ndarray | None = None):
+        """Parses column[i] of codes with language lang[i] from state[i]; live: how many characters each column has.
+
+        Returns (breaks: bool by step and i, last state, met). Where `known` has breaks of an earlier parse of the same,
+        a parse ends (met: the step) at the first break that both have, as they are one from there; met is -1 else.
+        """
+        breaks = np.zeros((len(codes), len(column)), bool)
+        state, met = state.astype(np.int64), np.full(len(column), -1)
+        on = np.argsort(-live[column], kind="stable")
+        size = live[column][on]
+        for j in range(int(size[0]) if len(size) else 0):
+            if known is not None and j % 32 == 0:
+                keep = met[on] < 0
+                on, size = on[keep], size[keep]
+            own = on[: np.searchsorted(-size, -j, side="left")]
+            if not len(own):
+                break
+            c = codes[j, column[own]]
+            at = self.base[state[own]] + c
+            miss = self.owner[at] != state[own]
+            state[own] = np.where(miss, self.start[lang[own], c], self.target[at])
+            breaks[j, own] = miss
+            if known is not None:
+                both = miss & known[j, own] & (met[own] < 0)
+                met[own[both]] = j
+        return breaks, state, met
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of each document (arrays of codes) by language.
 
-        Documents are parsed side by side, in segments of SEGMENT characters that each start a new phrase.
+        Each phrase is the longest match with the learned text from where the last one ended. Texts are cut into
+        segments that are parsed side by side, as if each began a phrase; then each is parsed again from the state in
+        which the segment before it ended, up to the first phrase that begins in both parses.
         """
-        owner, parts = [], []
-        for i, d in enumerate(docs):
-            for a in range(0, len(d), SEGMENT):
-                owner.append(i)
-                parts.append(d[a : a + SEGMENT])
         out = np.zeros((len(docs), len(self.langs)), np.int64)
+        owner = np.array([i for i, d in enumerate(docs) for _ in range(0, len(d), SEGMENT)], np.int64)
+        parts = [d[a : a + SEGMENT] for d in docs for a in range(0, len(d), SEGMENT)]
         if not parts:
             return out
-        length = np.array([len(p) for p in parts])
-        order = np.argsort(-length, kind="stable")
-        width = int(length.max())
-        codes = np.zeros((width, len(parts)), np.uint8)
-        for k, i in enumerate(order):
-            codes[: length[i], k] = parts[i]
-        live = np.searchsorted(-length[order], -np.arange(width), side="left")
-        a = self.moves.shape[1]
-        moves = self.moves.ravel()
-        for lang, root in enumerate(self.roots):
-            start = self.moves[root].astype(np.intp)
-            start = np.where(start < 0, root, start)
-            state, count = np.full(len(parts), root, np.intp), np.ones(len(parts), np.int64)
-            for k in range(width):
-                n = live[k]
-                c = codes[k, :n]
-                new = moves[state[:n] * a + c].astype(np.intp)
-                miss = new < 0
-                count[:n] += miss
-                state[:n] = np.where(miss, start[c], new)
-            np.add.at(out[:, lang], np.array(owner)[order], count)
+        n, many = len(parts), len(self.langs)
+        live = np.array([len(p) for p in parts])
+        codes = np.zeros((int(live.max()), n), parts[0].dtype)
+        for k, p in enumerate(parts):
+            codes[: len(p), k] = p
+        # Cell lang * n + segment.
+        lang, column = np.repeat(np.arange(many), n), np.tile(np.arange(n), many)
+        breaks, state, _ = self._parse(codes, live, lang, column, np.array(self.ends)[lang])
+        follows = np.flatnonzero(np.append([False], owner[1:] == owner[:-1])[column])
+        entered = np.full(many * n, -1, np.int64)
+        count = breaks.sum(0)
+        while len(follows):
+            # Segments whose entry state has changed since they were parsed.
+            entry = state[follows - 1]
+            again = follows[entered[follows] != entry]
+            if not len(again):
+                break
+            entered[again] = state[again - 1]
+            new, last, met = self._parse(codes, live, lang[again], column[again], entered[again], breaks[:, again])
+            row = np.arange(len(codes))[:, None]
+            kept = np.where((met >= 0) & (row > met), breaks[:, again], new)
+            breaks[:, again] = kept
+            count[again] = kept.sum(0)
+            state[again] = np.where(met >= 0, state[again], last)
+        np.add.at(out, (owner[column], lang), count)
         return out
 
 
-def _lookup(seen: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _squeezed(codes: np.ndarray) -> np.ndarray:
+    """Runs of non-letters count once."""
+    return codes[~((codes == 1) & (np.concatenate([[0], codes[:-1]]) == 1))]
+
+
+def _lookup(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code of each code point, and whether it is a letter."""
     is_letter, low = letters()
-    small = np.zeros(len(low), np.uint8)
-    for p, c in seen:
-        small[p] = c
-    return np.where(is_letter, small[low], 1).astype(np.uint8), is_letter
+    small = np.zeros(len(low), np.uint32 if len(seen) > 65_000 else np.uint16)
+    small[seen] = np.arange(2, len(seen) + 2)
+    return np.where(is_letter, small[low], 1).astype(small.dtype), is_letter
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48, chars: int = 800) -> DataFrame:
@@ -161,9 +243,11 @@ def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48
     `keep` names the columns of docs to return (all).
 
     Learned from text and lang of documents that are not held out (a bounded sample, see sample()). A document's text
-    alone decides its prediction: the phrases of its whole text, times log2 of the learned text's length, are compared;
-    the fewest win, ties go to the first name. score is the second fewest over the sum of the two fewest (1 with one
-    language). `und` with score 0: null text, no letter, or nothing learned. Null doc_id: not held out.
+    alone decides its prediction: the phrases of its whole text, each the longest match with the learned text, times log2
+    of the learned text's length, are compared; the fewest win, ties go to the first name. score is the second fewest over the sum of the two fewest (1 with one
+    language). `und` with score 0: null text, no letter, or nothing learned. Null doc_id: not held out. Repeated rows
+    each get theirs; no rows: no rows; columns of docs with other names are kept. What is broadcast is the automata of
+    the sample: about 20 bytes a learned character and language.
     """
     have = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "phrase_chars")]
     model = Model(sample(docs, documents, chars))
@@ -176,15 +260,15 @@ def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48
         m = known.value
         codes, is_letter = _lookup(m.seen)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            lengths = pc.utf8_length(batch.column(at)).fill_null(0).to_pylist()
+            for lo, hi in hashing.slices(lengths, SLICE):
+                part = batch.slice(lo, hi - lo)
                 arrays, live = [], []
                 for i, t in enumerate(part.column(at).to_pylist()):
                     if t and m.langs:
                         p = np.frombuffer(t.encode("utf-32-le"), np.uint32)
                         if is_letter[p].any():
-                            c = codes[p]
-                            arrays.append(c[~((c == 1) & (np.concatenate([[0], c[:-1]]) == 1))])
+                            arrays.append(_squeezed(codes[p]))
                             live.append(i)
                 count = m.phrases(arrays)
                 pred, score, mean = ["und"] * part.num_rows, [0.0] * part.num_rows, [0.0] * part.num_rows

@@ -324,6 +324,59 @@ def test_language_learns_from_no_held_out_label(spark):
     assert pred(lie) == pred(d)
 
 
+def plain_phrases(codes, learned):
+    """Longest matches, one after the other, by substring search."""
+    n = at = 0
+    while at < len(codes):
+        k = 1
+        while at + k <= len(codes) and codes[at : at + k] in learned:
+            k += 1
+        at, n = at + max(1, k - 1), n + 1
+    return n
+
+
+def ideographs(seed, low, n):
+    r = random.Random(seed)
+    return "".join(chr(low + r.randrange(2500)) for _ in range(n))
+
+
+@pytest.mark.parametrize("segment", [16, 300, 2048])
+def test_phrases_are_those_of_a_plain_parser(monkeypatch, segment):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    r = random.Random(segment)
+    texts = {"zh": ideographs(1, 0x4E00, 3000), "ja": ideographs(2, 0x5600, 3000), "en": prose(3, 500), "fr": prose(3, 20) + " été" * 9}
+    m = language.Model(texts)
+    lookup = language._lookup(m.seen)[0]
+    codes = {k: language._squeezed(lookup[language.letters()[1][np.frombuffer(t.encode("utf-32-le"), np.uint32)]]) for k, t in texts.items()}
+    docs = [*codes.values(), np.zeros(700, np.uint16), codes["zh"][: segment + 1]]
+    for _ in range(40):
+        parts = []
+        for _ in range(r.randrange(1, 60)):
+            c = codes[r.choice(list(codes))]
+            a = r.randrange(len(c) - 1)
+            parts += [c[a : a + r.randrange(1, 50)], np.full(r.randrange(2), r.randrange(2), np.uint16)]
+        docs.append(np.concatenate(parts))
+    said = lambda c: "".join(chr(1 + x) for x in c.tolist())
+    assert m.phrases(docs).tolist() == [[plain_phrases(said(d), said(codes[k])) for k in m.langs] for d in docs]
+    assert [m.phrases(docs)[i, m.langs.index(k)] for i, k in enumerate(codes)] == [1] * 4
+
+
+def test_language_of_large_alphabets(spark):
+    zh, ja = ideographs(5, 0x4E00, 2000), ideographs(6, 0x5600, 2000)
+    rows = [(i, t[k : k + 400], n) for i, (t, n, k) in enumerate((t, n, k) for t, n in ((zh, "zh"), (ja, "ja")) for k in range(0, 2000, 400))]
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    asked = [(1000 + i, t[k : k + 60], None) for i, (t, k) in enumerate((t, k) for _, t, _ in known for k in range(0, 300, 50))]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows + asked, "doc_id long, text string, lang string")).collect()}
+    want = [n for _, _, n in known for _ in range(0, 300, 50)]
+    assert [got[a[0]] for a in asked] == want
+
+
+def test_language_sample_is_bounded_though_ids_repeat(spark):
+    rows = [(1 if k % 3 else None, f"word{k % 70} is said here", "en") for k in range(400)] + [(2, "das ist ein satz", "de")] * 300
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), documents=10)
+    assert set(got) == {"de", "en"} and got["de"] == "das ist ein satz" and len(set(got["en"].split("\n"))) == len(got["en"].split("\n")) == 10
+
+
 def test_no_letters_is_und(spark):
     d = spark.createDataFrame([(1, "some english text here", "en"), (2, None, "en"), (3, "123 --", "en"), (4, "", None)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(d).collect()}
