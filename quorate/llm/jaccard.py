@@ -1,15 +1,21 @@
 """N-gram Jaccard join through a token-group matrix; the answer is classes, so no set of all pairs is ever made.
 
 1. Equal sets are one entity from the start, known by a hash of the set.
-2. Tokens go in packed blocks to buckets of their hash. There, for every entity, the tokens that any other entity has
-   too are counted: the overlap with the union of all others. An entity whose overlap is below the threshold times its
-   size links with nothing and is dropped; most documents are.
-3. The rest is parted into groups of similar documents, of at most `group` members each. The matrix has, for each token
-   that a member has among its rarest, the groups it leads to; a document queries the groups that its own rarest tokens
-   lead to (with sets at the threshold, the rarest tokens of a set and its partner must meet).
-4. Where a query meets a group, its overlap with the group's token union bounds its overlap with any member; only
-   groups that can reach the threshold are opened and members compared, exactly.
-5. What links there are give classes; within a group, a forest that connects the same documents stands for all links.
+2. For every entity, the tokens that any other entity has too are counted: the overlap with the union of all others.
+   An entity whose overlap is below the threshold times its size links with nothing and is dropped; most are. Tokens go
+   in packed blocks to buckets of their hash; those that a sample shows to be frequent are known to be shared, and are
+   counted where they are met, so no bucket gets a token that a share of all documents has.
+3. The rest is parted into groups of similar documents, of at most `group` members each: under one key are those whose
+   rarest tokens lead there (with sets at the threshold, the rarest tokens of a set and its partner must meet). The
+   matrix has, for each token, the groups it leads to; a document asks the groups that its own rarest tokens lead to.
+   Each group's token union is stored.
+4. A query's overlap with a stored union bounds its overlap with any member; only groups that can reach the threshold are
+   opened: then members meet the queries that may open their group, and are compared exactly.
+5. The first group of each key stands for the key: everything that leads there asks it, and it is the only one unless a
+   key has more than `group` members. Of a larger key, the other members are then grouped by the classes that have come
+   of it; a group that is wholly of a query's own class has nothing to tell it and is not asked. So a cluster of near
+   copies, however large, costs each of its members one group.
+6. What links there are give classes; a forest that connects the same documents stands for all links.
 """
 
 from __future__ import annotations
@@ -89,17 +95,49 @@ def _each_set(column, k: int, most: int = SLICE):
             yield at + a, sizes, tokens, set_hashes(tokens, sizes)
 
 
-def _sizes(docs: DataFrame, k: int) -> DataFrame:
+#: Distinct texts in the sample that tells frequent tokens, how many of them must have a token, and tokens kept.
+SAMPLE, FREQUENT, MOST_FREQUENT = 4096, 8, 1 << 20
+
+
+def _frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted tokens that at least FREQUENT different sets of a sample of about SAMPLE texts have.
+
+    A token that is frequent but not found here is counted in its bucket like any other: the answer is the same.
+    """
+    rows = docs.count()
+    some = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(max(1, rows // SAMPLE))) == 0))
+
+    def run(batches):
+        for batch in batches:
+            for _, sizes, tokens, ent in _each_set(batch.column(0), k):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ent, sizes)), pa.array(tokens.view(np.int64))], ["ent", "token"])
+
+    pairs = some.select("text").mapInArrow(lean(run), "ent long, token long").distinct()
+    often = pairs.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
+    return np.sort(np.array([r["token"] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def _in(tokens: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
+    if not len(sorted_set):
+        return np.zeros(len(tokens), bool)
+    return sorted_set[np.minimum(np.searchsorted(sorted_set, tokens), len(sorted_set) - 1)] == tokens
+
+
+def _sizes(docs: DataFrame, k: int, frequent) -> DataFrame:
+    """(doc_id, n: size of the set, ent: its hash, common: how many of its tokens are frequent)."""
+
     def run(batches):
         for batch in batches:
-            for a, sizes, _, ent in _each_set(batch.column(1), k):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sizes)), pa.array(sizes), pa.array(ent, mask=sizes == 0)], ["doc_id", "n", "ent"])
+            for a, sizes, tokens, ent in _each_set(batch.column(1), k):
+                common = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[_in(tokens, frequent.value)], minlength=len(sizes))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sizes)), pa.array(sizes), pa.array(ent, mask=sizes == 0), pa.array(common)], ["doc_id", "n", "ent", "common"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, ent long")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, ent long, common long")
 
 
-def _packed(docs: DataFrame, k: int, least: int, bits: int) -> DataFrame:
-    """Rows (bucket, tokens, ents, counts): for runs of texts, the distinct sets' tokens in each bucket, 40 bits each."""
+def _packed(docs: DataFrame, k: int, least: int, bits: int, frequent) -> DataFrame:
+    """Rows (bucket, tokens, ents, counts): for runs of texts, the distinct sets' tokens in each bucket, 40 bits each;
+    without the frequent ones."""
 
     def pack(parts: list[tuple]) -> pa.RecordBatch | None:
         sizes, tokens, ent = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -111,6 +149,10 @@ def _packed(docs: DataFrame, k: int, least: int, bits: int) -> DataFrame:
         t = tokens[np.repeat(keep, sizes)]
         owner = np.repeat(np.arange(keep.sum(), dtype=np.int32), sizes[keep])
         ids = ent[keep]
+        rare = ~_in(t, frequent.value)
+        t, owner = t[rare], owner[rare]
+        if not len(t):
+            return None
         bucket = (t >> np.uint64(64 - bits)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         bucket, t, owner = bucket[order], t[order], owner[order]
@@ -184,12 +226,31 @@ def _token_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("ent", "text").mapInArrow(lean(run), "ent long, n long, tokens array<long>")
 
 
+def _union(key, members: pd.DataFrame) -> pd.DataFrame:
+    """The group's token union; of at most `group` sets."""
+    return pd.DataFrame({"key": [key[0]], "part": [key[1]], "union": [np.unique(np.concatenate(members["tokens"].to_list()))]})
+
+
+def _may_open(percent: int):
+    """Queries against one group's union: those whose overlap with it can reach the threshold."""
+
+    def run(key, union: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if not len(union) or not len(queries):
+            return queries[:0]
+        n = queries["n"].to_numpy()
+        row = np.repeat(np.arange(len(queries)), n)
+        hit = _in(np.concatenate(queries["tokens"].to_list()), np.asarray(union["union"].iloc[0]))
+        return queries[100 * np.bincount(row[hit], minlength=len(queries)) >= percent * n]
+
+    return run
+
+
 def _compare(percent: int, budget: int = 1 << 21):
-    """The cogrouped step: queries against one group of members. Returns (ent, root, links)."""
+    """Queries against the members of one group that they may open: (ent, root), a forest of the links."""
 
     def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(queries):
-            return pd.DataFrame({"ent": [], "root": [], "links": []}).astype("int64")
+            return pd.DataFrame({"ent": [], "root": []}).astype("int64")
         sizes, many = members["n"].to_numpy(), len(members)
         held = np.concatenate(members["tokens"].to_list())
         holder = np.repeat(np.arange(many), sizes)
@@ -197,21 +258,14 @@ def _compare(percent: int, budget: int = 1 << 21):
         held, holder = held[order], holder[order]
         union, first = np.unique(held, return_index=True)
         first = np.append(first, len(held))
-        own = members["ent"].to_numpy()
-        weight = members["copies"].to_numpy()
-        root = np.arange(many)
-        linked_to, links, back = [], np.zeros(len(queries), np.int64), np.zeros(many, np.int64)
-        q_ent, q_n, q_tokens, q_copies = (queries[c].to_numpy() for c in ("ent", "n", "tokens", "copies"))
-        home = queries["home"].to_numpy()
-        # The bound: how many of a query's tokens the group's union has; groups it cannot reach are not opened.
-        tokens, row = np.concatenate(q_tokens), np.repeat(np.arange(len(queries)), q_n)
+        own, root = members["ent"].to_numpy(), np.arange(many)
+        q_ent, q_n = queries["ent"].to_numpy(), queries["n"].to_numpy()
+        tokens, row = np.concatenate(queries["tokens"].to_list()), np.repeat(np.arange(len(queries)), q_n)
         at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
         hit = union[at] == tokens
-        opened = 100 * np.bincount(row[hit], minlength=len(queries)) >= percent * q_n
-        hit &= opened[row]
         at, row = at[hit], row[hit]
         work = np.cumsum(np.bincount(row, first[at + 1] - first[at], minlength=len(queries)))
-        a = 0
+        linked, a = [], 0
         while a < len(queries):
             z = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + budget, side="right")))
             lo, hi = np.searchsorted(row, [a, z])
@@ -220,93 +274,123 @@ def _compare(percent: int, budget: int = 1 << 21):
             cell = np.repeat((row[lo:hi] - a) * many, count) + holder[np.repeat(first[at[lo:hi]], count) + within]
             both = np.bincount(cell, minlength=(z - a) * many).reshape(z - a, many)
             link = (100 * both >= percent * (n[:, None] + sizes[None, :] - both)) & (q_ent[a:z, None] != own[None, :])
-            links[a:z] = link @ weight
-            back += (link & ~home[a:z, None]).T @ q_copies[a:z]
             for i in np.flatnonzero(link.any(1)):
                 found = np.unique(root[link[i]])
                 if len(found) > 1:
                     root[np.isin(root, found)] = found[0]
-                linked_to.append((a + i, np.flatnonzero(link[i])[0]))
+                linked.append((a + i, np.flatnonzero(link[i])[0]))
             a = z
-        rows = pd.DataFrame({"ent": np.concatenate([q_ent, own]), "root": np.concatenate([q_ent, own[root]]), "links": np.concatenate([links, back])})
-        for i, m in linked_to:
-            rows.loc[i, "root"] = own[root[m]]
-        return rows[(rows["links"] > 0) | (rows["ent"] != rows["root"])]
+        who = np.array([i for i, _ in linked], np.int64)
+        to = np.array([m for _, m in linked], np.int64)
+        rows = pd.DataFrame({"ent": np.concatenate([q_ent[who], own]), "root": np.concatenate([own[root[to]], own[root]])})
+        return rows[rows["ent"] != rows["root"]]
 
     return run
 
 
+def _meet(tokens: DataFrame, groups: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+    """(ent, root): a forest of the links between queries and the members of the groups they ask.
+
+    groups (ent, key, part): the members; asked (ent, key, part): each query with each group once.
+    """
+    keys, slotted = ["key", "part"], ["key", "part", "slot"]
+    # No task has more than about 400 queries: busy groups are met in several slots.
+    busy = saved(asked.groupBy(*keys).agg(F.ceil(F.count("*") / 400).cast("int").alias("slots")))
+    members = groups.join(busy, keys).join(tokens, "ent").select(*keys, "slots", "ent", "n", "tokens")
+    unions = saved(members.select(*keys, "tokens").groupBy(*keys).applyInPandas(_union, "key long, part long, union array<long>"))
+    asks = asked.join(busy, keys).withColumn("slot", F.pmod(F.xxhash64("ent"), F.col("slots")).cast("int")).join(tokens, "ent").select(*slotted, "ent", "n", "tokens")
+    each = unions.join(busy, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "union")
+    shape = "key long, part long, slot int, ent long, n long, tokens array<long>"
+    may = saved(each.groupBy(*slotted).cogroup(asks.groupBy(*slotted)).applyInPandas(_may_open(percent), shape))
+    opened = saved(may.groupBy(*slotted).agg(F.count("*").alias("queries")).select(*[F.col(c).alias(f"_{c}") for c in slotted]))
+    open_members = members.drop("slots").join(opened, (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part")))
+    open_members = open_members.select("key", "part", F.col("_slot").alias("slot"), "ent", "n", "tokens")
+    return saved(open_members.groupBy(*slotted).cogroup(may.groupBy(*slotted)).applyInPandas(_compare(percent), "ent long, root long"))
+
+
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, group: int = 256, bucket_tokens: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row of docs.
+    """doc_id, n_shingles, component_id for each row of docs.
 
     Two rows link when 100 * intersection >= percent * union of their sets of word shingles (1 to 99 percent);
-    component_id is the smallest doc_id reachable, n_links the number of rows linked with. Rows without words have
-    size 0, their own id and no links; null ids take part but are never the smallest. Sets are compared by 64-bit
-    hashes of their shingles. No rows: no rows.
+    component_id is the smallest doc_id reachable. Rows without words have size 0 and their own id; null ids take part
+    but are never the smallest. Repeated rows each get theirs. Sets are compared by 64-bit hashes of their shingles.
+    Other columns are not returned. No rows: no rows.
     """
     spark = docs.sparkSession
-    sets = saved(_sizes(docs, words))
-    ents = sets.where("ent IS NOT NULL").groupBy("ent").agg(F.max("n").alias("n"), F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    frequent = spark.sparkContext.broadcast(_frequent(docs, words))  # at most MOST_FREQUENT tokens of 8 bytes
+    sets = saved(_sizes(docs, words, frequent))
+    ents = sets.where("ent IS NOT NULL").groupBy("ent").agg(F.max("n").alias("n"), F.min("doc_id").alias("low"), F.max("common").alias("common"))
     ents = saved(ents)
     least = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1))
     total = ents.where(F.col("n") >= least).agg(F.sum("n")).first()[0] or 0
     found = None
     if total:
         bits = min(20, max(7, (total // bucket_tokens).bit_length()))
-        shared = _packed(docs, words, least, bits).groupBy("bucket").applyInArrow(_shared, "ent long, shared long")
+        shared = _packed(docs, words, least, bits, frequent).groupBy("bucket").applyInArrow(_shared, "ent long, shared long")
         shared = shared.groupBy("ent").agg(F.sum("shared").alias("shared"))
-        alive = saved(ents.join(shared, "ent").where(F.col("shared") * 100 >= F.col("n") * percent).select("ent", "n", "low", "copies"))
+        met = ents.where(F.col("n") >= least).join(shared, "ent", "left").withColumn("met", F.coalesce("shared", F.lit(0)) + F.col("common"))
+        alive = saved(met.where(F.col("met") * 100 >= F.col("n") * percent).select("ent", "n", "low"))
         found = _links(docs, alive, words, percent, group, broadcast_rows) if alive.limit(1).count() else None
     if found is None:
-        roots = ents.select("ent", F.col("low").alias("component"), F.lit(0).cast("long").alias("links"), "copies")
+        roots = ents.select("ent", F.col("low").alias("component"))
     else:
         comp = components(found.select(F.col("ent").alias("a"), F.col("root").alias("b")))
-        links = found.groupBy("ent").agg(F.sum("links").alias("links"))
         grown = ents.join(comp, ents["ent"] == comp["node"], "left").drop("node")
         low = grown.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("least"))
-        roots = grown.join(low, "root", "left").join(links, "ent", "left")
-        roots = roots.select("ent", F.coalesce("least", "low").alias("component"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
+        roots = grown.join(low, "root", "left").select("ent", F.coalesce("least", "low").alias("component"))
     out = sets.join(roots, "ent", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("ent").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-    )
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("ent").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
 def _links(docs: DataFrame, alive: DataFrame, words: int, percent: int, group: int, broadcast_rows: int) -> DataFrame:
-    """(ent, root, links) of the entities in alive."""
+    """(ent, root): a forest that connects the entities in alive as their links do."""
     few, count = alive.select("low", "ent"), alive.count()
     few = F.broadcast(few) if count <= broadcast_rows else few
     own = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("low")))
-    tokens = saved(_token_rows(own, words).dropDuplicates(["ent"]).join(alive.select("ent", "copies"), "ent"))
+    tokens = saved(_token_rows(own, words).dropDuplicates(["ent"]))
 
+    # Written counts, so that joins by token are between two plain shuffles and Spark can split a frequent token's rows.
     flat = tokens.select("ent", "n", F.explode("tokens").alias("token"))
-    often = flat.groupBy("token").agg(F.count("*").alias("df"))
-    rare = flat.join(often, "token").groupBy("ent", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    often = saved(flat.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    rare = flat.join(often, "token", "left").groupBy("ent", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("t"))
     most = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
     heads = rare.select("ent", F.explode(F.filter(F.slice("t", F.lit(1), most.cast("int")), lambda x: x["df"] > 1)).alias("x"))
     heads = saved(heads.select("ent", F.col("x.token").alias("token")))
-
-    meets = heads.groupBy("token").agg(F.min("ent").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("token", "first")
+    meets = saved(heads.groupBy("token").agg(F.min("ent").alias("first"), F.count("*").alias("_n")).where("_n > 1").select("token", "first"))
     keyed = saved(heads.join(meets, "token"))
+
     home = keyed.groupBy("ent").agg(F.min("first").alias("key"))
-    home = ranked(home, ["key"], F.pmod(F.xxhash64("ent"), F.lit(max(16, count // 20_000))), ["ent"]).withColumn("part", F.floor(F.col("rank") / group)).drop("rank")
-    home = saved(home)
-    lead = keyed.join(home, "ent")
-    matrix = lead.groupBy("token").agg(F.collect_set(F.struct("key", "part")).alias("groups"))
-    asked = lead.join(matrix, "token").groupBy("ent", "key", "part").agg(F.array_distinct(F.flatten(F.collect_set("groups"))).alias("groups"))
-    mine = F.struct("key", "part")
-    asked = asked.select("ent", mine.alias("own"), F.explode(F.filter("groups", lambda g: g <= mine)).alias("to"))
-    asked = asked.join(tokens, "ent").select(F.col("to.key").alias("key"), F.col("to.part").alias("part"), "ent", "n", "tokens", "copies", (F.col("own") == F.col("to")).alias("home"))
-    # No task has more than about 400 queries: busy groups are met in several slots, each with the members.
-    busy = asked.groupBy("key", "part").agg(F.ceil(F.count("*") / 400).cast("int").alias("slots"))
-    asked = asked.join(busy, ["key", "part"]).withColumn("slot", F.pmod(F.xxhash64("ent"), F.col("slots")).cast("int")).drop("slots")
-    # Fresh column ids (toDF), as both sides come from the same tables.
-    members = home.join(tokens, "ent").toDF("ent", "key", "part", "n", "tokens", "copies").join(busy, ["key", "part"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).drop("slots")
-    keys = ["key", "part", "slot"]
-    return saved(members.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_compare(percent), "ent long, root long, links long"))
+    home = saved(ranked(home, ["key"], F.pmod(F.xxhash64("ent"), F.lit(max(16, count // 20_000))), ["ent"]))
+    lead = saved(keyed.select("ent", "token").join(home, "ent"))
+    # The first group of each key. Of two documents that are both in one, only the one with the larger key asks.
+    matrix = saved(lead.where(F.col("rank") < group).select("token", F.col("key").alias("to")).distinct())
+    asked = lead.join(matrix, "token").where((F.col("rank") >= group) | (F.col("to") <= F.col("key")))
+    asked = asked.select("ent", F.col("to").alias("key"), F.lit(0).cast("long").alias("part")).distinct()
+    first = home.where(F.col("rank") < group).select("ent", "key", F.lit(0).cast("long").alias("part"))
+    found = _meet(tokens, first, asked, percent)
+    rest = home.where(F.col("rank") >= group).select("ent", "key")
+    if not rest.limit(1).count():
+        return found
+
+    # The others have met all that is in a first group; what is left is among themselves, where classes differ.
+    comp = components(found.select(F.col("ent").alias("a"), F.col("root").alias("b")))
+    rest = saved(rest.join(comp, rest["ent"] == comp["node"], "left").select("ent", "key", F.coalesce("root", "ent").alias("class")))
+    sizes = rest.groupBy("key", "class").agg(F.ceil(F.count("*") / 20_000).alias("split"))
+    spread = rest.join(sizes, ["key", "class"])
+    bucket = F.pmod(F.xxhash64("class"), F.lit(max(16, count // 20_000))) * 1_000_000 + F.pmod(F.xxhash64("ent"), F.col("split"))
+    placed = ranked(spread, ["key"], bucket, ["class", "ent"]).withColumn("part", F.floor(F.col("rank") / group).cast("long"))
+    placed = saved(placed.select("ent", "key", "class", "part"))
+    # only: the class of a group that has no other; null for a mixed one.
+    kinds = placed.groupBy("key", "part").agg(F.when(F.min("class") == F.max("class"), F.min("class")).alias("only"))
+    placed = saved(placed.join(kinds, ["key", "part"]))
+    lead = saved(keyed.select("ent", "token").join(placed, "ent"))
+    matrix = saved(lead.groupBy("token", "key", "only").agg(F.collect_set("part").alias("parts")).select("token", F.col("key").alias("to"), F.col("only").alias("of"), "parts"))
+    asked = lead.join(matrix, "token").where(F.col("of").isNull() | (F.col("of") != F.col("class")))
+    asked = asked.select("ent", "key", "part", "to", F.explode("parts").alias("at")).where((F.col("to") < F.col("key")) | (F.col("to") == F.col("key")) & (F.col("at") <= F.col("part")))
+    asked = saved(asked.select("ent", F.col("to").alias("key"), F.col("at").alias("part")).distinct())
+    if not asked.limit(1).count():
+        return found
+    return saved(found.unionAll(_meet(tokens, placed.select("ent", "key", "part"), asked, percent)))
 
 
 def brute_force(rows: list[tuple[int, str | None]], words: int, percent: int) -> dict[int, tuple[int, int]]:

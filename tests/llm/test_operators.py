@@ -155,6 +155,43 @@ def test_packing(awkward, empty, docs):
 # 4 n-gram Jaccard join
 
 
+def test_jaccard_large_cluster_asks_its_first_group_only(spark, monkeypatch):
+    base, r = prose(77, 120).split(), random.Random(5)
+    rows = []
+    for i in range(300):
+        mine = list(base)
+        mine[r.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(mine)))
+    # Others that share rare words of the cluster but not enough of them, and a second cluster.
+    rows += [(1000 + i, " ".join(base[: 40 + i % 20] + prose(900 + i, 80).split())) for i in range(60)]
+    rows += [(2000 + i, prose(55, 90) + f" z{i}") for i in range(40)]
+    asked, meet = [], jaccard._meet
+    monkeypatch.setattr(jaccard, "_meet", lambda t, g, a, p: asked.append(a.count()) or meet(t, g, a, p))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, group=16).collect()}
+    assert got == jaccard.brute_force(rows, 3, 90)
+    assert sum(asked) < 4 * len(rows)
+
+
+def test_jaccard_frequent_tokens_fill_no_bucket(spark, monkeypatch):
+    rows = [(i, prose(700 + i, 40) + " this line stands in every single one of them " + prose(1700 + i, 20)) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 300, 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard._frequent(d, 3)
+    assert len(found) >= 7
+    known = spark.sparkContext.broadcast(found)
+    tokens = Counter()
+    for r in jaccard._packed(d, 3, 1, 7, known).collect():
+        n = len(r["tokens"]) // 5
+        low, high = np.frombuffer(r["tokens"], np.uint32, n), np.frombuffer(r["tokens"], np.uint8, n, 4 * n)
+        tokens.update((r["bucket"], int(h) << 32 | int(x)) for x, h in zip(low, high))
+    assert max(tokens.values()) < 20
+    want = jaccard.brute_force(rows, 3, 90)
+    classes = lambda: {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(d, 3, 90).collect()}
+    assert classes() == want
+    monkeypatch.setattr(jaccard, "FREQUENT", 10**9)
+    assert classes() == want
+
+
 @pytest.mark.parametrize("words,percent", [(3, 90), (5, 80), (1, 50)])
 def test_jaccard_classes(spark, words, percent):
     r = random.Random(words)
