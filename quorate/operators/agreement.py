@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quorate.operators.selection import running_sum
+
 NOTES = (0, 1, 2)
 
 
@@ -15,6 +17,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def whole(column: str) -> Column:
+    """A count as a decimal, so that products of large counts stay exact."""
+    return F.col(column).cast("decimal(38,0)")
+
+
 def valid(df: DataFrame, notes: list[str]) -> DataFrame:
     """Rows whose every note is 0, 1 or 2."""
     return df.where(reduce(lambda x, y: x & y, [F.coalesce(F.col(c).isin(*NOTES), F.lit(False)) for c in notes]))
@@ -43,9 +50,9 @@ def accuracy_kappa(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     for k in NOTES:
         total += [F.sum(F.when(F.col("ref") == k, F.col("n")).otherwise(0)).alias(f"r{k}"), F.sum(F.when(F.col("note") == k, F.col("n")).otherwise(0)).alias(f"c{k}")]
     one = counts.groupBy(*by).agg(*total)
-    chance = reduce(lambda a, b: a + b, [F.col(f"r{k}") * F.col(f"c{k}") for k in NOTES])
-    n = F.col("n")
-    return one.select(*by, "n", ratio(F.col("hits"), n).alias("accuracy"), ratio(n * F.col("hits") - chance, n * n - chance).alias("kappa"))
+    chance = reduce(lambda a, b: a + b, [whole(f"r{k}") * whole(f"c{k}") for k in NOTES])
+    n = whole("n")
+    return one.select(*by, "n", ratio(F.col("hits"), F.col("n")).alias("accuracy"), ratio(n * whole("hits") - chance, n * n - chance).alias("kappa"))
 
 
 def dense(counts: DataFrame) -> DataFrame:
@@ -111,20 +118,40 @@ def grey_zone(df: DataFrame, baseline: str, second: str, raters: list[str]) -> D
     return shares(counts, follows_base=F.col("note") == F.col("ref"), follows_second=F.col("note") == F.col("other"))
 
 
+def quantile_edges(df: DataFrame, x: str, q: int) -> DataFrame:
+    """One row `edges`: the distinct quantiles k / q of x, interpolated between neighbours; nulls do not count.
+
+    From counts by value and a running sum that is dealt out by ranges of values; only the values at the ranks that are
+    wanted, at most 2 * (q + 1), come together.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running_sum(counts, [F.col("_v")], "_n", "_low")
+    total = counts.agg(F.sum("_n").alias("_t"))
+    wanted = total.select(F.explode(F.array(*[F.lit(k / q) for k in range(q + 1)])).alias("_q"), "_t").select("_q", (F.col("_q") * (F.col("_t") - 1)).alias("_at"))
+    ends = wanted.select("_q", "_at", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank"))
+    hit = placed.join(F.broadcast(ends), (F.col("_low") <= F.col("_rank")) & (F.col("_rank") < F.col("_low") + F.col("_n")))
+    one = hit.groupBy("_q", "_at").agg(F.min("_v").cast("double").alias("_a"), F.max("_v").cast("double").alias("_z"))
+    part = F.col("_at") - F.floor("_at")
+    edge = one.select("_q", ((1 - part) * F.col("_a") + part * F.col("_z")).alias("_e"))
+    return edge.agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_q", "_e"))), lambda s: s["_e"])).alias("_edges"))
+
+
 def quantile_accuracy(df: DataFrame, x: str, reference: str, raters: list[str], q: int = 4) -> DataFrame:
     """Accuracy by quantile bin (lo, hi] of x, the lowest value included; equal edges fall together."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(k / q) for k in range(q + 1)]))).alias("_edges"))
+    edges = quantile_edges(df, x, q)
     binned = df.join(F.broadcast(edges)).withColumn("bin", F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(x))), F.lit(1)))
     counts = confusion(binned, reference, raters, ["bin"])
     return counts.groupBy("bin", "rater").agg(F.sum("n").alias("n"), ratio(F.sum(F.when(F.col("ref") == F.col("note"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
 
 
 def correctness_correlation(df: DataFrame, x: str, reference: str, raters: list[str]) -> DataFrame:
-    """Pearson correlation of being right with x; null where either is constant. x is an integer: the sums are exact."""
-    long = df.withColumnRenamed(reference, "ref").unpivot(["ref", x], raters, "rater", "note").withColumn("_y", (F.col("ref") == F.col("note")).cast("long"))
-    X = F.col(x).cast("long")
-    s = long.groupBy("rater").agg(F.count("*").alias("n"), F.sum(X).alias("sx"), F.sum("_y").alias("sy"), F.sum(X * X).alias("sxx"), F.sum(X * F.col("_y")).alias("sxy"))
-    n, sx, sy, sxx, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy"))
+    """Pearson correlation of being right with x; null where either is constant. x is an integer: the sums are exact,
+    made in decimals from counts by (rater, x)."""
+    long = df.withColumnRenamed(reference, "ref").unpivot(["ref", x], raters, "rater", "note")
+    counts = long.groupBy("rater", F.col(x).cast("long").alias("_x")).agg(F.count("*").alias("_n"), F.count_if(F.col("ref") == F.col("note")).alias("_h"))
+    v, k, h = whole("_x"), whole("_n"), whole("_h")
+    s = counts.groupBy("rater").agg(F.sum("_n").alias("n"), F.sum(v * k).alias("sx"), F.sum("_h").alias("sy"), F.sum(v * v * k).alias("sxx"), F.sum(v * h).alias("sxy"))
+    n, sx, sy, sxx, sxy = (whole(c) for c in ("n", "sx", "sy", "sxx", "sxy"))
     top, vx, vy = n * sxy - sx * sy, n * sxx - sx * sx, n * sy - sy * sy
     return s.select("rater", "n", F.round(F.try_divide(top.cast("double"), F.sqrt(vx.cast("double")) * F.sqrt(vy.cast("double"))), 9).alias("correlation"))
 

@@ -9,25 +9,23 @@ from pyspark.sql.window import Window
 from quorate.functions.text import sentences
 
 
-def sentence_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
+def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", name: Column | None = None) -> DataFrame:
+    """(key, pos, n, named, score): the sum of a sentence's tf-idf weights over their norm; a document is its own corpus.
 
-
-def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, sentence, n, score): the sum of a sentence's tf-idf weights over their norm; a document is its own corpus.
-
-    Tokens: lower case, two word characters at least; idf is ln((1 + n) / (1 + df)) + 1. No token: 0.
-    Everything is keyed by document first, so one shuffle serves the counts; sentences themselves are not shuffled by term.
+    Tokens: lower case, two word characters at least; idf is ln((1 + n) / (1 + df)) + 1. No token: 0. named: whether the
+    sentence has `name`, whatever the case. Keys are unique. Texts are dealt by key once; from there every count of a
+    document is made where it lies.
     """
-    rows = sentence_rows(docs, key, text)
-    words = rows.select(key, "pos", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"(?U)\w\w+"), F.lit(0))).alias("term"))
-    tf = words.groupBy(key, "pos", "term").agg(F.count("*").alias("tf"))
-    df = Window.partitionBy(key, "term")
-    n = docs.select(key, F.size(sentences(F.col(text))).alias("n"))
-    weight = F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    w = tf.withColumn("df", F.count("*").over(df)).join(n, key).withColumn("w", weight)
-    score = w.groupBy(key, "pos").agg((F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
-    return rows.join(n, key).join(score, [key, "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    rows = docs.select(key, text).repartition(key).select(key, sentences(F.col(text)).alias("_s"))
+    rows = rows.select(key, F.size("_s").alias("n"), F.posexplode("_s").alias("pos", "_sentence"))
+    named = F.lit(False) if name is None else F.contains(F.lower("_sentence"), F.lower(name))
+    words = rows.select(key, "pos", "n", named.alias("named"), F.explode_outer(F.regexp_extract_all(F.lower("_sentence"), F.lit(r"(?U)\w\w+"), F.lit(0))).alias("_term"))
+    tf = words.groupBy(key, "pos", "n", "named", "_term").agg(F.count("*").alias("_tf"))
+    df = F.count("*").over(Window.partitionBy(key, "_term"))
+    weight = F.when(F.col("_term").isNotNull(), F.col("_tf") * (F.log((1 + F.col("n")) / (1 + F.col("_df"))) + 1))
+    w = tf.withColumn("_df", df).withColumn("_w", weight)
+    score = F.sum("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")))
+    return w.groupBy(key, "pos", "n", "named").agg(F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def summary(docs: DataFrame, name: Column, k: int = 3, boost: float = 2.0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,20 +33,30 @@ def summary(docs: DataFrame, name: Column, k: int = 3, boost: float = 2.0, key:
 
     Scores count to 9 decimals; of equal ones the later sentence is taken.
     """
-    s = sentence_scores(docs, key, text).withColumn("score", F.round(F.when(F.contains(F.lower("sentence"), F.lower(name)), F.col("score") * boost).otherwise(F.col("score")), 9))
-    best = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("pos"))
-    top = s.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-    made = top.where(F.col("n") > k).groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
-    return made.unionByName(docs.where(F.size(sentences(F.col(text))) <= k).select(key, F.col(text).alias("summary")))
+    s = sentence_scores(docs, key, text, name).where(F.col("n") > k)
+    s = s.withColumn("score", F.round(F.when(F.col("named"), F.col("score") * boost).otherwise(F.col("score")), 9))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("score", "pos")), asc=False), 1, k)
+    places = s.groupBy(key).agg(F.array_sort(F.transform(best, lambda x: x["pos"])).alias("_at"))
+    texts = docs.select(key, text).repartition(key)
+    made = texts.join(places, key, "left").withColumn("_s", sentences(F.col(text)))
+    picked = F.array_join(F.transform("_at", lambda i: F.get("_s", i)), " ")
+    return made.where(F.col(text).isNotNull()).select(key, F.when(F.col("_at").isNull(), F.col(text)).otherwise(picked).alias("summary"))
 
 
 def context(text: Column, name: Column, fallback: int = 3) -> Column:
-    """The sentences with the name and their neighbours, in order; without any, the first `fallback`. All in one row."""
-    s = sentences(text)
-    hit = F.transform(s, lambda x: F.contains(F.lower(x), F.lower(name)))
-    at = lambda i: F.coalesce(F.get(hit, i), F.lit(False))
-    kept = F.filter(s, lambda x, i: at(i - 1) | at(i) | at(i + 1))
-    return F.array_join(F.when(F.exists(hit, lambda h: h), kept).otherwise(F.slice(s, 1, fallback)), " ")
+    """The sentences with the name and their neighbours, in order; without any, the first `fallback`. All in one row, in
+    time linear in the text."""
+    marked = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.contains(F.lower(s), F.lower(name)).alias("hit")))
+
+    def pick(m: Column) -> Column:
+        hit = m["hit"]
+        # Each sentence with what stands before and after it: arrays beside each other, so no place is looked up.
+        near = F.arrays_zip(m["s"].alias("s"), hit.alias("hit"), F.concat(F.array(F.lit(False)), hit).alias("before"), F.slice(hit, F.lit(2), F.greatest(F.size(hit), F.lit(1))).alias("after"))
+        kept = F.filter(near, lambda x: x["s"].isNotNull() & (x["hit"] | x["before"] | F.coalesce(x["after"], F.lit(False))))
+        return F.when(F.array_contains(hit, True), F.transform(kept, lambda x: x["s"])).otherwise(F.slice(m["s"], 1, fallback))
+
+    # The marked sentences are bound to a lambda's variable, so that they are made once.
+    return F.array_join(F.get(F.transform(F.array(marked), pick), F.lit(0)), " ")
 
 
 def pooled_note(df: DataFrame, key: str, note: str, confidence: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Entity mentions: word-bounded counts of names and aliases, found by token joins rather than document x entity pairs."""
+"""Entity mentions: word-bounded counts of names and aliases, found by token joins rather than document x entity pairs.
+
+A term that is one word is counted among a text's tokens. Only terms of several words, or with other characters, are
+searched for in texts, and only in those that have their first word.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 #: A dictionary of up to so many terms is broadcast; beyond, tokens are shuffled to it.
 BROADCAST_TERMS = 20_000
 NOT_WORD = r"(?U)\W+"
+ONE_WORD = r"(?U)^\w+$"
 
 
 def term_table(entities: DataFrame, aliases: DataFrame, fold: bool) -> DataFrame:
@@ -17,40 +22,98 @@ def term_table(entities: DataFrame, aliases: DataFrame, fold: bool) -> DataFrame
     return both.where("length(term) > 0").distinct()
 
 
+def own_aliases(entities: DataFrame, dictionary: DataFrame, exact: bool = True) -> DataFrame:
+    """(company_id, alias) of a dictionary (name, alias): looked up by the name as it stands, or trimmed in upper case."""
+    key = (lambda c: c) if exact else (lambda c: F.upper(F.trim(c)))
+    d = dictionary.select(key(F.col("name")).alias("_name"), "alias")
+    return entities.join(d, key(F.col("name")) == F.col("_name")).select("company_id", "alias")
+
+
 def _bounded(term: Column) -> Column:
     """A literal between word bounds; \\E inside the term ends its quotes and starts them again."""
     return F.concat(F.lit("\\b\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E\\b"))
 
 
-def candidates(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """(docs..., company_id, term) where the document has the term's first word as a token, '' being in every document.
+def _first(term: Column) -> Column:
+    """The term's first word; '' (which every text counts as having) if it has none."""
+    return F.coalesce(F.get(F.array_remove(F.split(F.lower(term), NOT_WORD), ""), F.lit(0)), F.lit(""))
+
+
+def _tokens(text: str) -> Column:
+    return F.split(F.lower(F.col(text)), NOT_WORD)
+
+
+def _sized(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+
+
+def word_counts(docs: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, company_id, n) of one-word terms: tokens that equal them in lower case. Rows of one key add up."""
+    terms = words.select("company_id", F.lower("term").alias("_token"))
+    found = docs.select(key, F.explode(_tokens(text)).alias("_token")).join(_sized(terms), "_token")
+    return found.groupBy(key, "company_id").agg(F.count("*").alias("n"))
 
-    Word-bounded matches have whole tokens, so no match is lost, and no document meets a term it has no token of.
+
+def candidates(docs: DataFrame, terms: DataFrame, key: str, text: str, per_company: bool = False) -> DataFrame:
+    """(key, text, company_id, term) where the text has the term's first word as a token.
+
+    Word-bounded matches have whole tokens, so no match is lost, and no text meets a term it has no token of. Each row
+    of docs meets each term once; with per_company it meets each company once, and `term` is any pattern of the company.
     """
-    first = terms.withColumn("_first", F.coalesce(F.get(F.array_remove(F.split(F.lower("term"), NOT_WORD), ""), F.lit(0)), F.lit("")))
-    n = first.count()
-    tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower(F.col(text)), NOT_WORD)))
-    if n <= BROADCAST_TERMS:
+    first = terms.withColumn("_first", _first(F.col("term")))
+    tokens = F.array_distinct(F.concat(F.array(F.lit("")), _tokens(text)))
+    if first.count() <= BROADCAST_TERMS:
         known = F.broadcast(first.agg(F.collect_set("_first").alias("_known")))
-        hits = docs.join(known).withColumn("_first", F.explode(F.array_intersect(tokens, "_known"))).drop("_known")
-        return hits.join(F.broadcast(first), "_first").drop("_first")
-    ids = docs.select(key, F.explode(tokens).alias("_first")).join(first, "_first").select(key, "company_id", "term")
-    return docs.join(ids, key)
+        hits = docs.select(key, text).join(known).withColumn("_hits", F.array_intersect(tokens, "_known")).withColumn("_first", F.explode("_hits")).drop("_known")
+        if not per_company:
+            return hits.join(F.broadcast(first), "_first").select(key, text, "company_id", "term")
+        own = first.groupBy("company_id").agg(F.collect_set("_first").alias("_own"))
+        pairs = first.select("company_id", "_first").distinct().join(own, "company_id")
+        once = F.col("_first") == F.array_min(F.array_intersect("_hits", "_own"))
+        return hits.join(F.broadcast(pairs), "_first").where(once).select(key, text, "company_id")
+    # Rows are known by key and text: equal ones meet the same terms, and each of them meets each term once.
+    ids = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.explode(tokens).alias("_first")).join(first, "_first")
+    what = ["company_id"] if per_company else ["company_id", "term"]
+    ids = ids.select("_key", "_hash", *what).distinct()
+    return docs.select(key, text).join(ids, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(text) == F.col("_hash"))).select(key, text, *what)
+
+
+def _added(counts: DataFrame, key: str) -> DataFrame:
+    return counts.groupBy(key, "company_id").agg(F.sum("n").cast("long").alias("nbocc")).where("nbocc > 0")
 
 
 def count_sum(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, company_id, nbocc): each term counted by itself, summed. Pairs without a mention have no row."""
-    found = candidates(docs.select(key, text).where(F.col(text).isNotNull()), terms, key, text)
-    n = F.regexp_count(F.col(text), F.concat(F.lit("(?iU)"), _bounded(F.col("term"))))
-    return found.select(key, "company_id", n.alias("_n")).where("_n > 0").groupBy(key, "company_id").agg(F.sum("_n").cast("long").alias("nbocc"))
+    """(key, company_id, nbocc): each term counted by itself, summed. Pairs without a mention have no row.
+
+    Case is ignored, so terms that differ by case alone each count. Null texts have no mention; rows of one key add up.
+    """
+    docs = docs.select(key, text).where(F.col(text).isNotNull())
+    one_word = F.col("term").rlike(ONE_WORD)
+    counts = word_counts(docs, terms.where(one_word), key, text)
+    longer = terms.where(~one_word)
+    if longer.limit(1).count():
+        found = candidates(docs, longer, key, text)
+        n = F.regexp_count(F.col(text), F.concat(F.lit("(?iU)"), _bounded(F.col("term"))))
+        counts = counts.unionByName(found.select(key, "company_id", n.cast("long").alias("n")))
+    return _added(counts, key)
 
 
 def count_alternation(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, company_id, nbocc): matches without overlap of any term of the company, longer terms first."""
+    """(key, company_id, nbocc): matches without overlap of any term of the company, longer terms first.
+
+    Case is ignored, and equal terms but for case count once. Null texts have no mention; rows of one key add up. A
+    company whose terms are all single words is counted by tokens: such matches cannot overlap.
+    """
+    docs = docs.select(key, text).where(F.col(text).isNotNull())
+    terms = terms.select("company_id", F.lower("term").alias("term")).distinct()
     ordered = F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("l"), "term")))
-    patterns = terms.groupBy("company_id").agg(F.concat(F.lit("(?iU)(?:"), F.array_join(F.transform(ordered, lambda x: _bounded(x["term"])), "|"), F.lit(")")).alias("_pattern"), F.count("*").alias("_terms"))
-    small = patterns.agg(F.sum("_terms").alias("n")).first()["n"] or 0
-    patterns = patterns.drop("_terms")
-    found = candidates(docs.select(key, text).where(F.col(text).isNotNull()), terms, key, text).select(key, text, "company_id").dropDuplicates([key, "company_id"])
-    found = found.join(F.broadcast(patterns) if small <= BROADCAST_TERMS else patterns, "company_id")
-    return found.select(key, "company_id", F.regexp_count(F.col(text), F.col("_pattern")).cast("long").alias("nbocc")).where("nbocc > 0")
+    pattern = F.concat(F.lit("(?iU)(?:"), F.array_join(F.transform(ordered, lambda x: _bounded(x["term"])), "|"), F.lit(")"))
+    long = F.bool_or(~F.col("term").rlike(ONE_WORD))
+    patterns = terms.groupBy("company_id").agg(pattern.alias("_pattern"), long.alias("_long"))
+    companies = patterns.where("_long").select("company_id", "_pattern")
+    if not companies.limit(1).count():
+        return _added(word_counts(docs, terms, key, text), key)
+    plain = terms.join(companies, "company_id", "left_anti")
+    found = candidates(docs, terms.join(companies, "company_id", "left_semi"), key, text, per_company=True).join(_sized(companies), "company_id")
+    counts = found.select(key, "company_id", F.regexp_count(F.col(text), F.col("_pattern")).cast("long").alias("n"))
+    return _added(counts.unionByName(word_counts(docs, plain, key, text)), key)

@@ -1,7 +1,9 @@
-"""The folder that driver and executors share."""
+"""Tables, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,9 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; below a folder of our own where no cluster names one, as in tests."""
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir where the cluster names one; where a local master names none, as in tests, a folder of our own
+    that goes when Python ends. On a cluster a machine's own folder would be another one for each executor: an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not _OWN_DIR:
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="quorate-"))
-    return f"{named or f'file://{_OWN_DIR[0]}'}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
+    return f"file://{_OWN_DIR[0]}"
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder, in this application's own folder there."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors and fixes generated ids."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path for it)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Deletes what this application has written below the shared folder. Call it once all results are written: they
+    read these tables until then."""
+    fs, path = file_system(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    fs.delete(path, True)
