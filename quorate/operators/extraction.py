@@ -16,9 +16,10 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", na
     sentence has `name`, whatever the case. Keys are unique. Texts are dealt by key once; from there every count of a
     document is made where it lies.
     """
-    rows = docs.select(key, text).repartition(key).select(key, sentences(F.col(text)).alias("_s"))
-    rows = rows.select(key, F.size("_s").alias("n"), F.posexplode("_s").alias("pos", "_sentence"))
-    named = F.lit(False) if name is None else F.contains(F.lower("_sentence"), F.lower(name))
+    asked = F.lit(None).cast("string") if name is None else name
+    rows = docs.select(key, text, asked.alias("_name")).repartition(key).select(key, "_name", sentences(F.col(text)).alias("_s"))
+    rows = rows.select(key, "_name", F.size("_s").alias("n"), F.posexplode("_s").alias("pos", "_sentence"))
+    named = F.coalesce(F.contains(F.lower("_sentence"), F.lower("_name")), F.lit(False))
     words = rows.select(key, "pos", "n", named.alias("named"), F.explode_outer(F.regexp_extract_all(F.lower("_sentence"), F.lit(r"(?U)\w\w+"), F.lit(0))).alias("_term"))
     tf = words.groupBy(key, "pos", "n", "named", "_term").agg(F.count("*").alias("_tf"))
     df = F.count("*").over(Window.partitionBy(key, "_term"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import agreement, evaluation, texts
+from . import agreement, evaluation, operations, texts
 
-QUERIES: dict = agreement.QUERIES | texts.QUERIES | evaluation.QUERIES
-ORACLE_SQL: dict[str, str] = agreement.ORACLE_SQL | texts.ORACLE_SQL | evaluation.ORACLE_SQL
+QUERIES: dict = agreement.QUERIES | texts.QUERIES | evaluation.QUERIES | operations.QUERIES
+ORACLE_SQL: dict[str, str] = agreement.ORACLE_SQL | texts.ORACLE_SQL | evaluation.ORACLE_SQL | operations.ORACLE_SQL

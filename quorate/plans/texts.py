@@ -10,7 +10,7 @@ from quorate.operators import extraction as E
 from quorate.operators import mentions as M
 from quorate.operators import selection as S
 from quorate.operators import state
-from quorate.sources.files import rater_of_file, read_dump, version_of_file
+from quorate.sources.files import rater_of_file, version_of_file
 from quorate.sources.shared import table
 
 from .stand_ins import inline, values_sql
@@ -19,9 +19,8 @@ COMPANIES = [(1, "The"), (2, "Der"), (3, "que"), (4, "Le"), (5, "of")]
 ALIASES = [(1, "the"), (1, "and"), (2, "die"), (2, "und"), (2, "der"), (3, "Que"), (3, "los"), (4, "les"), (4, "à"), (9, "a")]
 NAMES = [(1, "Société  Générale"), (2, "SOCIETE GENERALE"), (3, " Crédit Agricole "), (4, "L'Oréal"), (5, "Michelin"), (6, "Hermès"), (0, "Zéro")]
 LOOKED_UP = [("société générale",), ("crédit agricole",), ("CREDIT  AGRICOLE",), ("l'oreal",), ("michelin",), ("hermes",), ("zero",), ("inconnu",), (None,)]
-FILES = [("resultats_haiku_V4_1.csv",), ("resultat_Qwen_v3.csv",), ("resultats_llm_2024.csv",), ("RESULTATS_GEMINI_x-V12.csv",), ("notes.csv",), ("resultat_gpt_v1.csv",)]
+FILES = [("resultats_haiku_V4_1.csv",), ("resultat_Qwen_v3.csv",), ("resultats_llm_2024.csv",), ("RESULTATS_GEMINI_x-V12.csv",), ("notes.csv",), ("resultat_gpt_v1.csv",), ("mes_resultats_haiku_1.csv",), ("resultats_haiku2_1.csv",)]
 TEMPLATES = [("v1", "Rate {entreprise}: {article}"), ("v2", "{entreprise}? {article} -- {entreprise}")]
-DUMP = 'SET x = 0;\nCOPY public.companies (id, name, isin) FROM stdin;\n1\tAlpha\tFR1\n2\tBeta & co\t\\N\n\\.\n\nCOPY public.sectors (id, name) FROM stdin;\n7\tBanks\n\\.\n'
 
 
 def terms(spark: SparkSession, fold: bool) -> DataFrame:
@@ -61,7 +60,8 @@ def custom_id_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     t = inline(spark, TEMPLATES, "version string, template string")
-    return d.join(F.broadcast(t)).select("conv_id", "turn", "version", F.md5(T.prompt(F.col("template"), F.col("conv_id").cast("string"), F.col("text"))).alias("prompt_md5"))
+    hashed = t.withColumn("template_md5", F.md5("template"))  # known by its content too, as templates may be edited in place
+    return d.join(F.broadcast(hashed)).select("conv_id", "turn", "version", "template_md5", F.md5(T.prompt(F.col("template"), F.col("conv_id").cast("string"), F.col("text"))).alias("prompt_md5"))
 
 
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,6 @@ QUERIES = {
     "custom_id_roundtrip": custom_id_roundtrip,
     "prompt_rendering": prompt_rendering,
     "file_names": lambda s, d: inline(s, FILES, "file string").select("file", rater_of_file(F.col("file")).alias("rater"), version_of_file(F.col("file")).alias("version")),
-    "dump_scan": lambda s, d: read_dump(inline(s, [(DUMP,)], "value string"), "companies", ["id", "name", "isin"]),
     "key_mask": lambda s, d: table(s, d, "supplier").select("s_suppkey", T.masked_key(F.col("s_name")).alias("masked")),
     "link_anchor": lambda s, d: table(s, d, "pages").select("page_id", T.anchor(F.col("url")).alias("link")),
     "tfidf_summary": lambda s, d: E.summary(table(s, d, "documents").select("doc_id", "text"), F.lit("que")),
@@ -144,9 +143,8 @@ ORACLE_SQL = {
     "alias_norm": "SELECT lower(p_type) AS alias_norm, count(*) AS n, string_agg(DISTINCT lower(p_brand), ',' ORDER BY lower(p_brand)) AS brands FROM part GROUP BY 1",
     "name_norm_lookup": f"WITH {values_sql(NAMES, 'names', 'company_id, name')}, {values_sql(LOOKED_UP, 'asked', 'entreprise')}, k AS (SELECT {_FOLD('name')} AS key, min(company_id) AS company_id FROM names WHERE company_id <> 0 GROUP BY 1 HAVING count(DISTINCT company_id) = 1) SELECT entreprise, company_id FROM asked JOIN k ON {_FOLD('entreprise')} = key",
     "custom_id_roundtrip": "SELECT CASE WHEN event_id % 10 = 3 THEN 'x' || event_id ELSE 'a' || event_id || '-c' || user_id END AS custom_id, CASE WHEN event_id % 10 <> 3 THEN event_id END AS article_id, CASE WHEN event_id % 10 <> 3 THEN user_id END AS company_id FROM events",
-    "prompt_rendering": "SELECT conv_id, turn, v.version, md5(CASE v.version WHEN 'v1' THEN 'Rate ' || conv_id || ': ' || coalesce(text, '') ELSE conv_id || '? ' || coalesce(text, '') || ' -- ' || conv_id END) AS prompt_md5 FROM conversations, (VALUES ('v1'), ('v2')) v(version)",
-    "file_names": "SELECT * FROM (VALUES ('resultats_haiku_V4_1.csv', 'haiku', 'v4'), ('resultat_Qwen_v3.csv', 'queen', 'v3'), ('resultats_llm_2024.csv', 'lama', NULL), ('RESULTATS_GEMINI_x-V12.csv', 'gemini', 'v12'), ('notes.csv', NULL, NULL), ('resultat_gpt_v1.csv', NULL, 'v1')) t(file, rater, version)",
-    "dump_scan": "SELECT * FROM (VALUES ('1', 'Alpha', 'FR1'), ('2', 'Beta & co', NULL)) t(id, name, isin)",
+    "prompt_rendering": "SELECT conv_id, turn, v.version, md5(CASE v.version WHEN 'v1' THEN 'Rate {entreprise}: {article}' ELSE '{entreprise}? {article} -- {entreprise}' END) AS template_md5, md5(CASE v.version WHEN 'v1' THEN 'Rate ' || conv_id || ': ' || coalesce(text, '') ELSE conv_id || '? ' || coalesce(text, '') || ' -- ' || conv_id END) AS prompt_md5 FROM conversations, (VALUES ('v1'), ('v2')) v(version)",
+    "file_names": "SELECT * FROM (VALUES ('resultats_haiku_V4_1.csv', 'haiku', 'v4'), ('resultat_Qwen_v3.csv', 'queen', 'v3'), ('resultats_llm_2024.csv', 'lama', NULL), ('RESULTATS_GEMINI_x-V12.csv', 'gemini', 'v12'), ('notes.csv', NULL, NULL), ('resultat_gpt_v1.csv', NULL, 'v1'), ('mes_resultats_haiku_1.csv', NULL, NULL), ('resultats_haiku2_1.csv', NULL, NULL)) t(file, rater, version)",
     "key_mask": "SELECT s_suppkey, substring(s_name, 1, 6) || '...' || right(s_name, 4) AS masked FROM supplier",
     "link_anchor": "SELECT page_id, CASE WHEN url <> '' THEN '<a href=\"' || url || '\">' || url || '</a>' ELSE '' END AS link FROM pages",
     "tfidf_summary": rf"""WITH {_SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(CASE WHEN contains(lower(sentence), 'que') THEN score * 2 ELSE score END, 9) DESC, pos DESC) AS k FROM scored WHERE n > 3)

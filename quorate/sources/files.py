@@ -2,23 +2,86 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quorate.sources.shared import file_system
 
 #: Names that files give to raters, fixed values.
 RATER_NAMES = {"gemini": "gemini", "haiku": "haiku", "mistral": "mistral", "queen": "queen", "qwen": "queen", "lama": "lama", "llama": "lama", "llm": "lama"}
-RESULT_COLUMNS = "article_id string, entreprise string, prompt_version string, statut string, note_llm string, justification string, longueur_caracteres string, longueur_mots string, texte_extrait string"
+#: Columns of result files and of comparison files, fixed values.
+RESULT_COLUMNS = ("article_id", "entreprise", "prompt_version", "statut", "note_llm", "justification", "longueur_caracteres", "longueur_mots", "texte_extrait")
+COMPARISON_COLUMNS = ("article_id", "company_id", "company_name", "type", "titre", "note_tfidf", "note_targeted", "note_full", "note_gpu", "note_targeted_gpu", "note_full_gpu", "divergence_full", "resume", "texte_brut")
+#: What a result file must have to be read.
+NEEDED = ("article_id", "entreprise", "note_llm")
+
+
+def resolved(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Paths of the patterns, in their order and sorted within each, every path once where it comes first."""
+    found: dict[str, None] = {}
+    for pattern in patterns:
+        fs, path = file_system(spark, pattern)
+        for p in sorted(s.getPath().toString() for s in fs.globStatus(path) or []):
+            found.setdefault(p)
+    return list(found)
+
+
+def result_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, file_ord, file, rater, header, usable) of each file, in order; header: its first line.
+
+    A file is usable if its name tells a rater and its header has the columns NEEDED.
+    """
+    named = F.col("_metadata.file_path").alias("path")
+    lines = spark.read.text(paths).select(named, F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value").where("at = 0")
+    heads = lines.groupBy("path").agg(F.min_by("value", "id").alias("header"))
+    order = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (_plain(p), i)])
+    known = spark.range(1).select(F.explode(order).alias("path", "file_ord"))
+    both = known.join(heads.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "path", "left")
+    file = F.element_at(F.split("path", "/"), -1)
+    cells = F.transform(F.split(F.coalesce("header", F.lit("")), ","), lambda c: F.trim(F.replace(F.replace(c, F.lit('"'), F.lit("")), F.lit("﻿"), F.lit(""))))
+    rater = rater_of_file(file)
+    usable = F.size(F.array_except(F.array(*[F.lit(c) for c in NEEDED]), cells)) == 0
+    return both.select("path", "file_ord", file.alias("file"), rater.alias("rater"), "header", (rater.isNotNull() & usable).alias("usable"))
+
+
+def _plain(path: str) -> str:
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
 
 
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Result CSV files; quoted fields may hold quotes and line ends. Adds file and rater."""
-    df = spark.read.csv(paths, header=True, schema=RESULT_COLUMNS, multiLine=True, escape='"', enforceSchema=False)
-    return df.select("*", F.col("_metadata.file_name").alias("file")).withColumn("rater", rater_of_file(F.col("file")))
+    """Rows of usable result files, all columns as strings: RESULT_COLUMNS (null where a file lacks one), file, file_ord,
+    row_ord, rater. Columns are found by name, so files may order them as they like; quoted fields may hold quotes and
+    line ends. Rows come later in (file_ord, row_ord) if they are later in the files.
+    """
+    files = result_files(spark, paths).where("usable")
+    out = None
+    by_header: dict[str, list[str]] = {}
+    for r in files.orderBy("file_ord").collect():  # a row a file
+        by_header.setdefault(r["header"], []).append(paths[r["file_ord"]])
+    for header, own in by_header.items():
+        names = [c.strip().removeprefix("﻿") for c in next(csv.reader(io.StringIO(header)))]
+        shape = ", ".join(f"`{c}` string" for c in names)
+        df = spark.read.csv(own, header=True, schema=shape, multiLine=True, escape='"', enforceSchema=True)
+        cells = [F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS]
+        df = df.select(*cells, F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.monotonically_increasing_id().alias("row_ord"))
+        out = df if out is None else out.unionByName(df)
+    if out is None:
+        out = spark.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS) + ", path string, row_ord long")
+    return out.join(F.broadcast(files.select("path", "file", "file_ord", "rater")), "path").drop("path")
+
+
+def write_results(rows: DataFrame, path: str, columns: tuple[str, ...] = RESULT_COLUMNS) -> None:
+    """CSV with a header; fields with quotes or line ends are quoted as read_results reads them. Appends."""
+    rows.select(*columns).write.mode("append").csv(path, header=True, escape='"', quoteAll=True)
 
 
 def rater_of_file(name: Column) -> Column:
-    """resultat(s)_<rater>_... -> the rater, null where the name has none that is known."""
-    found = F.regexp_extract(F.lower(name), r"resultats?_([a-z]+)_", 1)
+    """resultat(s)_<rater>_... -> the rater, null where the name begins otherwise or has none that is known."""
+    found = F.regexp_extract(F.lower(name), r"^resultats?_([a-z0-9]+)_", 1)
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in RATER_NAMES.items() for x in kv]), found)
 
 
@@ -27,16 +90,35 @@ def version_of_file(name: Column) -> Column:
     return F.when(name.rlike(r"[_-][Vv]\d+"), F.concat(F.lit("v"), F.regexp_extract(name, r"[_-][Vv](\d+)", 1)))
 
 
+def of_version(rows: DataFrame, version: Column, file: Column) -> DataFrame:
+    """Rows of the version that the file's name tells; all rows where it tells none."""
+    told = version_of_file(file)
+    return rows.where(told.isNull() | version.eqNullSafe(told))
+
+
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    """(name, alias) of a JSON object of lists; anything else in it gives no row, a null or broken document none at all."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, string>").alias("m"))
+    """(name, alias) of a JSON object of lists; anything else in it gives no row, a null or broken document none at all,
+    nor does a path that is not there. Names are as they stand in the file."""
+    fs, p = file_system(spark, path)
+    if not fs.globStatus(p):
+        return spark.range(0).select(F.lit("").alias("name"), F.lit("").alias("alias"))
+    # A file holds one object, or several with line ends between them.
+    objects = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)", -1)).alias("value"))
+    whole = objects.select(F.from_json("value", "map<string, string>").alias("m"))
     lists = whole.select(F.explode("m").alias("name", "v")).where(F.ltrim("v").startswith("["))
-    return lists.select(F.upper(F.trim("name")).alias("name"), F.explode(F.from_json("v", "array<string>")).alias("alias"))
+    return lists.select("name", F.explode(F.from_json("v", "array<string>")).alias("alias"))
+
+
+def alias_lists(aliases: DataFrame) -> DataFrame:
+    """(name, aliases): trimmed, lower case, distinct, sorted; empty ones go."""
+    one = F.lower(F.trim("alias"))
+    return aliases.where(F.length(one) > 0).groupBy("name").agg(F.sort_array(F.collect_set(one)).alias("aliases"))
 
 
 def write_aliases(aliases: DataFrame, path: str) -> None:
-    """JSON lines (name, aliases): trimmed, lower case, distinct."""
-    aliases.groupBy("name").agg(F.sort_array(F.collect_set(F.lower(F.trim("alias")))).alias("aliases")).write.json(path)
+    """JSON objects of one name's list each, a line for each, as read_aliases reads them."""
+    one = F.to_json(F.create_map("name", "aliases"))
+    alias_lists(aliases).select(one.alias("value")).write.text(path)
 
 
 def write_requests(requests: DataFrame, path: str) -> None:
@@ -44,26 +126,48 @@ def write_requests(requests: DataFrame, path: str) -> None:
     requests.select(F.to_json(F.struct(*requests.columns)).alias("value")).write.text(path)
 
 
+def read_requests(spark: SparkSession, path: str, shape: str) -> DataFrame:
+    return spark.read.text(path).select(F.from_json("value", shape).alias("r")).select("r.*")
+
+
 def read_chat_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """(custom_id, raw, problem) of result lines that have candidates with parts; several parts are joined."""
     shape = "key string, response struct<candidates: array<struct<content: struct<parts: array<struct<text: string>>>>>>, error string"
-    r = lines.select(F.from_json(value, shape).alias("r")).where("r.key IS NOT NULL")
+    keep = [c for c in lines.columns if c != value]
+    r = lines.select(*keep, F.from_json(value, shape).alias("r")).where("r.key IS NOT NULL")
     raw = F.array_join(F.get(F.col("r.response.candidates"), F.lit(0))["content"]["parts"]["text"], "")
-    return r.select(F.col("r.key").alias("custom_id"), F.when(F.length(raw) > 0, raw).alias("raw"), F.col("r.error").alias("problem"))
+    return r.select(F.col("r.key").alias("custom_id"), F.when(F.length(raw) > 0, raw).alias("raw"), F.col("r.error").alias("problem"), *keep)
 
 
 def read_message_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """(custom_id, raw, problem) of result lines that have a message with blocks; text blocks are joined."""
     shape = "custom_id string, result struct<type: string, message: struct<content: array<struct<type: string, text: string>>>>"
-    r = lines.select(F.from_json(value, shape).alias("r")).where("r.custom_id IS NOT NULL")
+    keep = [c for c in lines.columns if c != value]
+    r = lines.select(*keep, F.from_json(value, shape).alias("r")).where("r.custom_id IS NOT NULL")
     raw = F.array_join(F.filter("r.result.message.content", lambda b: b["type"] == "text")["text"], "")
     good = F.col("r.result.type") == "succeeded"
-    return r.select(F.col("r.custom_id").alias("custom_id"), F.when(good & (F.length(raw) > 0), raw).alias("raw"), F.when(~good, F.col("r.result.type")).alias("problem"))
+    return r.select(F.col("r.custom_id").alias("custom_id"), F.when(good & (F.length(raw) > 0), raw).alias("raw"), F.when(~good, F.col("r.result.type")).alias("problem"), *keep)
+
+
+def read_dump(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
+    """Rows of one table of text dumps: the lines between COPY <table> (...) FROM stdin; and \\. of each file, split at
+    tabs; \\N is null, and \\t, \\n, \\r and \\\\ are decoded.
+
+    Lines are ordered by (file, place of the block read, place in it), so a dump is read in blocks by many tasks; only
+    the marks, two for each table of each file, are sorted together and broadcast.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id")).alias("place"), "value")
+    begin = F.col("value").rlike(rf"^COPY (?:\w+\.)?{table} \([^)]*\) FROM stdin;$")
+    marks = lines.where(F.col("value").rlike(r"^(COPY .* FROM stdin;|\\\.)$")).select("file", "place", begin.alias("begin"))
+    marks = marks.withColumn("end", F.lead("place").over(Window.partitionBy("file").orderBy("place"))).where("begin")
+    marks = marks.select(F.col("file").alias("_file"), F.col("place").alias("_from"), "end")
+    inside = (F.col("file") == F.col("_file")) & (F.col("place") > F.col("_from")) & (F.col("end").isNull() | (F.col("place") < F.col("end")))
+    row = lines.join(F.broadcast(marks), inside).select(F.split("value", "\t", -1).alias("p"))
+    cell = lambda k: F.get("p", F.lit(k))
+    return row.select(*[F.when(cell(k) != "\\N", _decoded(cell(k))).alias(c) for k, c in enumerate(columns)])
 
 
-def read_dump(lines: DataFrame, table: str, columns: list[str], value: str = "value") -> DataFrame:
-    """Rows of one table of a text dump: a one-row document from COPY ... FROM stdin; to \\. with tabs, \\N being null."""
-    body = F.regexp_extract(F.col(value), rf"(?s)COPY (?:\w+\.)?{table} \([^)]*\) FROM stdin;\n(.*?)\n?\\\.", 1)
-    row = lines.select(F.explode(F.split(body, "\n")).alias("l")).where("l <> ''").select(F.split("l", "\t", -1).alias("p"))
-    cell = lambda k: F.get("p", F.lit(k))
-    return row.select(*[F.when(cell(k) != "\\N", cell(k)).alias(c) for k, c in enumerate(columns)])
+def _decoded(cell: Column) -> Column:
+    pieces = F.split(cell, r"\\\\", -1)  # at doubled backslashes, which stand for one
+    plain = lambda s: F.replace(F.replace(F.replace(s, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.array_join(F.transform(pieces, plain), "\\")

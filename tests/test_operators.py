@@ -1,0 +1,173 @@
+"""Operators where SQL over the driver's tables says too little: large counts, repeated rows, paths by size, plain Python."""
+
+import json
+import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from quorate.config import EngineConfig
+from quorate.operators import agreement, classify, extraction, mentions, selection, state
+from quorate.plans import operations
+from quorate.sources import files, shared
+from quorate.streaming import collector
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_kappa_and_correlation_of_large_counts(spark):
+    big = 3_000_000_000
+    counts = spark.createDataFrame([("a", 0, 0, big), ("a", 1, 1, big), ("a", 0, 1, big // 3)], "rater string, ref int, note int, n long")
+    n = 2 * big + big // 3
+    chance = ((big + big // 3) * big + big * (big + big // 3)) / n**2
+    accuracy = 2 * big / n
+    row = agreement.accuracy_kappa(counts).first()
+    assert row["n"] == n and abs(row["accuracy"] - accuracy) < 1e-12 and abs(row["kappa"] - (accuracy - chance) / (1 - chance)) < 1e-12
+    x = 3_000_000_000
+    df = spark.createDataFrame([(x, 0, 0), (2 * x, 0, 1), (3 * x, 1, 1), (5 * x, 2, 0)], "x long, base int, r int")
+    import statistics
+
+    right = [1, 0, 1, 0]
+    assert abs(agreement.correctness_correlation(df, "x", "base", ["r"]).first()["correlation"] - statistics.correlation([1, 2, 3, 5], right)) < 1e-8
+
+
+@pytest.mark.parametrize("values", [[3, 1, 2, 2, 9, 4, 4, 4, 10, 7], [5] * 9, [1.5, None, 2.25], [1]])
+def test_quantile_edges(spark, values):
+    import numpy as np
+
+    got = agreement.quantile_edges(spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double"), "x", 4).first()["_edges"]
+    assert np.allclose(got, np.unique(np.quantile([v for v in values if v is not None], [0, 0.25, 0.5, 0.75, 1])))
+
+
+def test_positions_of_many_small_keys(spark):
+    df = spark.range(5000).select((F.col("id") % 977).alias("k"), F.col("id").alias("n"))
+    rows = sorted((r["k"], -r["n"], r["position"]) for r in selection.positions(df, "k", "n", width=100).collect())
+    assert [p for *_, p in rows] == list(range(5000))
+
+
+def plain_mentions(rows, terms, fold, joined):
+    out = {}
+    for i, t in rows:
+        for c in {c for c, _ in terms}:
+            own = {x.lower() if fold else x for k, x in terms if k == c}
+            own = sorted(own, key=lambda x: (-len(x), x))
+            pattern = lambda x: r"\b" + re.escape(x) + r"\b"
+            n = len(re.findall("|".join(map(pattern, own)), t or "", re.I)) if joined else sum(len(re.findall(pattern(x), t or "", re.I)) for x in own)
+            if n:
+                out[i, c] = out.get((i, c), 0) + n
+    return out
+
+
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_mentions_on_both_paths_with_repeated_ids(spark, monkeypatch, limit):
+    monkeypatch.setattr(mentions, "BROADCAST_TERMS", limit)
+    terms = [(1, "Alpha"), (1, "alpha beta"), (1, "ALPHA"), (2, "A.B."), (2, "x.y"), (3, "R&D"), (3, "r"), (4, "Été"), (4, "a\\Eb"), (5, "gamma"), (5, "(g)")]
+    texts = ["alpha beta alpha ALPHA, Beta", "A.B.C a.b. A.B.", "r&d R r&D", "été ÉTÉ l'été a\\Eb", None, "", "gamma (g) x.y.z (gamma)", "alphabet, éalpha"]
+    rows = [(i // 2, t) for i, t in enumerate(texts * 2)] + [(1, "alpha beta")] * 3 + [(1, "r")] * 2
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    t = spark.createDataFrame(terms, "company_id int, term string")
+    got = lambda f, t: {(r["doc_id"], r["company_id"]): r["nbocc"] for r in f(d, t).collect()}
+    assert got(mentions.count_sum, t) == plain_mentions(rows, terms, False, False)
+    assert got(mentions.count_alternation, t.select("company_id", F.lower("term").alias("term")).distinct()) == plain_mentions(rows, terms, True, True)
+
+
+def split(t):
+    return re.split(r"(?<=[.!?])\s+", t)
+
+
+def plain_context(t, name):
+    s = split(t)
+    hit = [name.lower() in x.lower() for x in s]
+    kept = [x for i, x in enumerate(s) if any(hit[max(0, i - 1) : i + 2])]
+    return " ".join(kept if any(hit) else s[:3])
+
+
+def test_context_is_right_and_linear(spark):
+    texts = ["", "one.", "que. a. b. c. que que. d. e.", "a. b. c. d.", "Que", "a! b? QUE! c. d.", "a. que", "a.  b.\nque. c"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(extraction.context(F.col("t"), F.lit("que"))).collect()]
+    assert got == [plain_context(t, "que") for t in texts]
+    took = []
+    for n in (2_000, 16_000):
+        d = spark.range(1).select(F.repeat(F.lit("some words of it. que. "), n).alias("t"))
+        d.select(F.length(extraction.context(F.col("t"), F.lit("que")))).collect()
+        began = time.time()
+        assert d.select(F.length(extraction.context(F.col("t"), F.lit("que")))).first()[0] > 16 * n
+        took.append(time.time() - began)
+    assert took[1] < 5
+
+
+def test_classifier_notes(spark):
+    def label(t):
+        return (0, 1, 2, 1)[len(t) % 4], (1 + len(t) % 7) / 8
+
+    def sentiment(t):
+        w = t.split()
+        if not w:
+            return 1
+        got = [label(" ".join(w[a : a + 500])) for a in range(0, len(w), 500)]
+        return round(sum(n * c for n, c in got) / sum(c for _, c in got))
+
+    pairs = {r["pair_id"]: r for r in operations.classifier_pairs(spark, SF).collect()}
+    short = {r["pair_id"]: r["summary"] for r in extraction.summary(spark.createDataFrame([(i, ((r["title"] or "") + " " + (r["content"] or "")).strip(" ")) for i, r in pairs.items()], "pair_id long, text string"), F.lit("que"), key="pair_id").collect()}
+    got = {r["pair_id"]: r for r in classify.classified(operations.classifier_pairs(spark, SF), "length").collect()}
+    assert got.keys() == pairs.keys()
+    kinds = set()
+    for i, r in pairs.items():
+        text = ((r["title"] or "") + " " + (r["content"] or "")).strip(" ")
+        dedicated = "que" in (r["title"] or "").lower()
+        kind = "general" if not dedicated else "dedicated" if r["content"].lower().count("que") > 1 else "dedicated_single"
+        kinds.add(kind)
+        target = 9 if kind == "dedicated" else sentiment(plain_context(text, "que"))
+        g = got[i]
+        assert (g["kind"], g["note_full"], g["note_targeted"], g["note_tfidf"], g["resume"]) == (kind, sentiment(text), target, sentiment(short[i]), short[i])
+    assert len(kinds) == 3
+
+
+def test_collecting_keeps_order_and_overwrites_nothing(spark):
+    at = shared.scratch(spark)
+    answer = lambda n: json.dumps({"note_llm": n, "justification": "x"})
+    line = lambda i, n: (json.dumps({"custom_id": f"a{i}-c1", "result": {"type": "succeeded", "message": {"content": [{"type": "text", "text": answer(n)}]}}}),)
+    put = lambda rows: spark.createDataFrame(rows, "value string").coalesce(1).write.mode("append").text(f"{at}/in")
+    put([line(1, 2), line(1, 0), line(2, 1)])
+    collector.collect(spark, f"{at}/in", f"{at}/log", f"{at}/c1", "v4")
+    put([line(2, 0)])
+    collector.collect(spark, f"{at}/in", f"{at}/log", f"{at}/c1", "v4")
+    one = spark.read.parquet(f"{at}/log")
+    assert one.count() == 4 and one.select(*collector.ARRIVAL).distinct().count() == 4
+    last = {r["custom_id"]: r["note"] for r in state.current(one.withColumnRenamed("raw", "extraction"), ["custom_id"], F.struct(*collector.ARRIVAL)).collect()}
+    assert last == {"a1-c1": 0, "a2-c1": 0}
+    collector.collect(spark, f"{at}/in", f"{at}/log", f"{at}/c2", "v4")
+    assert spark.read.parquet(f"{at}/log").count() == 8
+
+
+def test_no_folder_of_its_own_on_a_cluster(spark):
+    class Conf:
+        get = staticmethod(lambda name, default=None: default)
+
+    class Away:
+        conf = Conf
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Away)
+    path = shared.scratch(spark)
+    spark.range(3).write.parquet(path)
+    fs, p = shared.file_system(spark, path)
+    assert fs.exists(p)
+
+
+def test_aliases_of_odd_documents(spark):
+    at = shared.scratch(spark)
+    for k, t in enumerate(['{"A b": ["x", "Y"], "c": "no list", "d": null, "e": []}', "[1, 2]", "not json", ""]):
+        spark.createDataFrame([(t,)], "value string").coalesce(1).write.text(f"{at}/{k}")
+    rows = [sorted((r["name"], r["alias"]) for r in files.read_aliases(spark, f"{at}/{k}").collect()) for k in range(4)]
+    assert rows == [[("A b", "Y"), ("A b", "x")], [], [], []]
+    assert files.read_aliases(spark, f"{at}/none").collect() == []
+
+
+def test_settings():
+    c = EngineConfig().overlaid({"PROMPT_VERSION": "v7", "REPRENDRE": "0", "BATCH_TAILLE_MAX": "50", "SEUIL_VARIATION_PCT": "7.5", "LIMITE_PAR_ENTREPRISE": "", "MODE": "batch"})
+    assert c == EngineConfig(version="v7", resume=False, batch_size=50, threshold=7.5, mode="batch")
