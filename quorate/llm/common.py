@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,37 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quorate.sources.shared import saved, table
+
+__all__ = ["begin", "components", "give_back", "kept", "lean", "literal_rows", "ranked", "saved", "table"]
+
 #: The whole range of white space that separates words.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 #: Bytes of an Arrow batch on its way to a Python worker: it is held on both sides, beside what a task makes of it.
 BATCH_BYTES = 4 << 20
 
-_OWN_DIR: list[str] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster names one; a local folder of our own where it does not, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="quorate-"))
-    return f"file://{_OWN_DIR[0]}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors and fixes generated ids."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: What a worker keeps between tasks, as (module whose task made it, how to drop it), and the module at work.
 _KEPT: list[tuple[str, Callable]] = []
 _AT_WORK = [""]
@@ -51,7 +28,8 @@ _AT_WORK = [""]
 def lean(run: Callable) -> Callable:
     """run for mapInArrow, giving what its task freed back to the system: Python workers serve many tasks, one after the
     other, and would else keep the most memory that any of them took. Tables that tasks keep for the next one (kept) go
-    when a task of another module comes. Batches are of BATCH_BYTES where the session names no size."""
+    when a task of another module comes. Batches are of BATCH_BYTES where the session names no size: that setting stays
+    in the session, as plans are run after this returns."""
     spark, owner = SparkSession.active(), run.__module__
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
