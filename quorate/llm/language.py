@@ -156,33 +156,36 @@ class Model:
             self.norm.append(float(np.log2(len(c) + 2)))
             states, cells = states + len(base), cells + len(owner)
         self.base, self.owner, self.target = (np.concatenate(x).astype(np.int32) if tables else np.zeros(0, np.int32) for x in (zip(*tables, strict=True) if tables else ((), (), ())))
-        self.start = np.array(start).reshape(len(self.langs), self.alphabet)
-
-    def _parse(self, codes: np.ndarray, live: np.ndarray, lang: np.ndarray, column: np.ndarray, state: np.ndarray, known: np.ndarray | None = None):
-        """Parses column[i] of codes with language lang[i] from state[i]; live: how many characters each column has.
-
-        Returns (breaks: bool by step and i, last state, met). Where `known` has breaks of an earlier parse of the same,
-        a parse ends (met: the step) at the first break that both have, as they are one from there; met is -1 else.
-        """
-        breaks = np.zeros((len(codes), len(column)), bool)
-        state, met = state.astype(np.int64), np.full(len(column), -1)
-        on = np.argsort(-live[column], kind="stable")
-        size = live[column][on]
-        for j in range(int(size[0]) if len(size) else 0):
-            if known is not None and j % 32 == 0:
-                keep = met[on] < 0
-                on, size = on[keep], size[keep]
-            own = on[: np.searchsorted(-size, -j, side="left")]
-            if not len(own):
+        self.start = np.array(start, np.int32).reshape(len(self.langs), self.alphabet)
+
+    def _step(self, state: np.ndarray, codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase breaks; start: where codes lead from the root."""
+        at = self.base.take(state) + codes
+        miss = self.owner.take(at) != state
+        return np.where(miss, start, self.target.take(at)), miss
+
+    def _first_parse(self, codes: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(breaks by step, language and column, last states), all columns from a text's beginning; longest first."""
+        state = np.repeat(np.array(self.ends, np.int32)[:, None], len(live), axis=1)
+        breaks = np.zeros((len(codes), *state.shape), bool)
+        for j, n in enumerate(np.searchsorted(-live, -np.arange(len(codes)), side="left").tolist()):
+            c = codes[j, :n]
+            state[:, :n], breaks[j, :, :n] = self._step(state[:, :n], c, self.start.take(c, axis=1))
+        return breaks, state
+
+    def _parse_again(self, codes: np.ndarray, live: np.ndarray, lang: np.ndarray, column: np.ndarray, state: np.ndarray, known: np.ndarray):
+        """Parses column[i] with language lang[i] from state[i] up to the first break that it shares with the earlier parse
+        `known`, as they are one from there: (breaks by step and i, last states, the step they met at, or -1)."""
+        breaks, state, met = np.zeros(known.shape, bool), state.copy(), np.full(len(column), -1)
+        on = np.arange(len(column))
+        for j in range(len(codes)):
+            on = on[(met[on] < 0) & (live[column[on]] > j)]
+            if not len(on):
                 break
-            c = codes[j, column[own]]
-            at = self.base[state[own]] + c
-            miss = self.owner[at] != state[own]
-            state[own] = np.where(miss, self.start[lang[own], c], self.target[at])
-            breaks[j, own] = miss
-            if known is not None:
-                both = miss & known[j, own] & (met[own] < 0)
-                met[own[both]] = j
+            c = codes[j, column[on]]
+            state[on], miss = self._step(state[on], c, self.start[lang[on], c])
+            breaks[j, on] = miss
+            met[on[miss & known[j, on]]] = j
         return breaks, state, met
 
     def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -193,33 +196,36 @@ class Model:
         which the segment before it ended, up to the first phrase that begins in both parses.
         """
         out = np.zeros((len(docs), len(self.langs)), np.int64)
-        owner = np.array([i for i, d in enumerate(docs) for _ in range(0, len(d), SEGMENT)], np.int64)
-        parts = [d[a : a + SEGMENT] for d in docs for a in range(0, len(d), SEGMENT)]
-        if not parts:
+        parts = [(i, d[a : a + SEGMENT], a > 0) for i, d in enumerate(docs) for a in range(0, len(d), SEGMENT)]
+        if not parts or not self.langs:
             return out
         n, many = len(parts), len(self.langs)
-        live = np.array([len(p) for p in parts])
-        codes = np.zeros((int(live.max()), n), parts[0].dtype)
-        for k, p in enumerate(parts):
-            codes[: len(p), k] = p
-        # Cell lang * n + segment.
+        order = sorted(range(n), key=lambda k: -len(parts[k][1]))
+        place = {k: c for c, k in enumerate(order)}
+        live = np.array([len(parts[k][1]) for k in order])
+        owner = np.array([parts[k][0] for k in order])
+        before = np.array([place[k - 1] if parts[k][2] else -1 for k in order])
+        codes = np.zeros((int(live[0]), n), parts[0][1].dtype)
+        for c, k in enumerate(order):
+            codes[: live[c], c] = parts[k][1]
+        breaks, state = self._first_parse(codes, live)
+        # Cell lang * n + column.
+        breaks, state = breaks.reshape(len(codes), many * n), state.reshape(many * n)
         lang, column = np.repeat(np.arange(many), n), np.tile(np.arange(n), many)
-        breaks, state, _ = self._parse(codes, live, lang, column, np.array(self.ends)[lang])
-        follows = np.flatnonzero(np.append([False], owner[1:] == owner[:-1])[column])
-        entered = np.full(many * n, -1, np.int64)
+        follows = np.flatnonzero(before[column] >= 0)
+        previous = lang[follows] * n + before[column[follows]]
+        entered = np.full(len(follows), -1, np.int32)
         count = breaks.sum(0)
         while len(follows):
             # Segments whose entry state has changed since they were parsed.
-            entry = state[follows - 1]
-            again = follows[entered[follows] != entry]
-            if not len(again):
+            now = np.flatnonzero(entered != state[previous])
+            if not len(now):
                 break
-            entered[again] = state[again - 1]
-            new, last, met = self._parse(codes, live, lang[again], column[again], entered[again], breaks[:, again])
-            row = np.arange(len(codes))[:, None]
-            kept = np.where((met >= 0) & (row > met), breaks[:, again], new)
-            breaks[:, again] = kept
-            count[again] = kept.sum(0)
+            again, entered[now] = follows[now], state[previous[now]]
+            known = breaks[:, again]
+            new, last, met = self._parse_again(codes, live, lang[again], column[again], entered[now], known)
+            kept = np.where((met >= 0) & (np.arange(len(codes))[:, None] > met), known, new)
+            breaks[:, again], count[again] = kept, kept.sum(0)
             state[again] = np.where(met >= 0, state[again], last)
         np.add.at(out, (owner[column], lang), count)
         return out
