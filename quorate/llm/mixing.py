@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     if len(facts) <= broadcast_sources:
         small = F.broadcast(small)
 
-    pieces = max(16, max((r["rows"] for r in rows), default=0) // rank_rows + 1)
+    pieces = max(64, max((r["rows"] for r in rows), default=0) // rank_rows + 1)
     slim = slim.withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(pieces)).cast("int"))
     sums = slim.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
