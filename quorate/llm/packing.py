@@ -248,7 +248,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, small: int = 64, grou
         slim = own.select("uid", "length")
     ties = ["uid"] if keep_ids else ["doc_id", "piece", "ids_crc32"]
     counts = {r["length"]: r["n"] for r in slim.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows
-    parts = max(16, max(counts.values(), default=0) // rank_rows + 1)
+    parts = max(64, max(counts.values(), default=0) // rank_rows + 1)
     items = ranked(slim, ["length"], F.pmod(F.xxhash64(*ties), F.lit(parts)), ties)
     lengths, places, n_large = plan_large({s: n for s, n in counts.items() if s > small}, capacity, groups)
 
@@ -285,7 +285,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, small: int = 64, grou
             return pd.DataFrame({"room": run[:, 1], "spot": run[:, 2] + at, "late": late})
 
         little = items.where(F.col("length") <= small).withColumn("to", place_small("length", "rank")).drop("rank")
-        open_ = ranked(room, ["room"], F.pmod(F.xxhash64("sequence_id"), F.lit(max(16, max(residuals.values(), default=0) // rank_rows + 1))), ["sequence_id"], "spot")
+        open_ = ranked(room, ["room"], F.pmod(F.xxhash64("sequence_id"), F.lit(max(64, max(residuals.values(), default=0) // rank_rows + 1))), ["sequence_id"], "spot")
         open_ = open_.select(F.col("room").alias("_room"), F.col("spot").alias("_spot"), "sequence_id")
         little = little.join(open_, (F.col("to.room") == F.col("_room")) & (F.col("to.spot") == F.col("_spot")), "left")
         little = little.withColumn("sequence_id", F.when(F.col("to.late") >= 0, F.col("to.late")).otherwise(F.col("sequence_id"))).select(*large.columns)
