@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,21 +225,27 @@ def _token_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("ent", "text").mapInArrow(lean(run), "ent long, n long, tokens array<long>")
 
 
-def _union(key, members: pd.DataFrame) -> pd.DataFrame:
+def _lists(table: pa.Table, column: str) -> np.ndarray:
+    """The values of a column of lists, one after the other."""
+    return table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _union(members: pa.Table) -> pa.Table:
     """The group's token union; of at most `group` sets."""
-    return pd.DataFrame({"key": [key[0]], "part": [key[1]], "union": [np.unique(np.concatenate(members["tokens"].to_list()))]})
+    whole = np.unique(_lists(members, "tokens"))
+    return pa.table({"key": members.column("key")[:1], "part": members.column("part")[:1], "union": pa.array([whole], pa.list_(pa.int64()))})
 
 
 def _may_open(percent: int):
     """Queries against one group's union: those whose overlap with it can reach the threshold."""
 
-    def run(key, union: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(union) or not len(queries):
-            return queries[:0]
-        n = queries["n"].to_numpy()
-        row = np.repeat(np.arange(len(queries)), n)
-        hit = _in(np.concatenate(queries["tokens"].to_list()), np.asarray(union["union"].iloc[0]))
-        return queries[100 * np.bincount(row[hit], minlength=len(queries)) >= percent * n]
+    def run(union: pa.Table, queries: pa.Table) -> pa.Table:
+        if not union.num_rows or not queries.num_rows:
+            return queries.slice(0, 0)
+        n = queries.column("n").to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        hit = _in(_lists(queries, "tokens"), _lists(union.slice(0, 1), "union"))
+        return queries.filter(pa.array(100 * np.bincount(row[hit], minlength=len(n)) >= percent * n))
 
     return run
 
@@ -248,25 +253,25 @@ def _may_open(percent: int):
 def _compare(percent: int, budget: int = 1 << 21):
     """Queries against the members of one group that they may open: (ent, root), a forest of the links."""
 
-    def run(key, members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(members) or not len(queries):
-            return pd.DataFrame({"ent": [], "root": []}).astype("int64")
-        sizes, many = members["n"].to_numpy(), len(members)
-        held = np.concatenate(members["tokens"].to_list())
+    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
+        if not members.num_rows or not queries.num_rows:
+            return pa.table({"ent": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        sizes, many = members.column("n").to_numpy(), members.num_rows
+        held = _lists(members, "tokens")
         holder = np.repeat(np.arange(many), sizes)
         order = np.argsort(held, kind="stable")
         held, holder = held[order], holder[order]
         union, first = np.unique(held, return_index=True)
         first = np.append(first, len(held))
-        own, root = members["ent"].to_numpy(), np.arange(many)
-        q_ent, q_n = queries["ent"].to_numpy(), queries["n"].to_numpy()
-        tokens, row = np.concatenate(queries["tokens"].to_list()), np.repeat(np.arange(len(queries)), q_n)
+        own, root = members.column("ent").to_numpy(), np.arange(many)
+        q_ent, q_n = queries.column("ent").to_numpy(), queries.column("n").to_numpy()
+        tokens, row = _lists(queries, "tokens"), np.repeat(np.arange(len(q_n)), q_n)
         at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
         hit = union[at] == tokens
         at, row = at[hit], row[hit]
-        work = np.cumsum(np.bincount(row, first[at + 1] - first[at], minlength=len(queries)))
+        work = np.cumsum(np.bincount(row, first[at + 1] - first[at], minlength=len(q_n)))
         linked, a = [], 0
-        while a < len(queries):
+        while a < len(q_n):
             z = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + budget, side="right")))
             lo, hi = np.searchsorted(row, [a, z])
             n, count = q_n[a:z], first[at[lo:hi] + 1] - first[at[lo:hi]]
@@ -280,10 +285,9 @@ def _compare(percent: int, budget: int = 1 << 21):
                     root[np.isin(root, found)] = found[0]
                 linked.append((a + i, np.flatnonzero(link[i])[0]))
             a = z
-        who = np.array([i for i, _ in linked], np.int64)
-        to = np.array([m for _, m in linked], np.int64)
-        rows = pd.DataFrame({"ent": np.concatenate([q_ent[who], own]), "root": np.concatenate([own[root[to]], own[root]])})
-        return rows[rows["ent"] != rows["root"]]
+        who, to = np.array([i for i, _ in linked], np.int64), np.array([m for _, m in linked], np.int64)
+        ent, top = np.concatenate([q_ent[who], own]), np.concatenate([own[root[to]], own[root]])
+        return pa.table({"ent": ent[ent != top], "root": top[ent != top]})
 
     return run
 
@@ -297,15 +301,15 @@ def _meet(tokens: DataFrame, groups: DataFrame, asked: DataFrame, percent: int)
     # No task has more than about 400 queries: busy groups are met in several slots.
     busy = saved(asked.groupBy(*keys).agg(F.ceil(F.count("*") / 400).cast("int").alias("slots")))
     members = groups.join(busy, keys).join(tokens, "ent").select(*keys, "slots", "ent", "n", "tokens")
-    unions = saved(members.select(*keys, "tokens").groupBy(*keys).applyInPandas(_union, "key long, part long, union array<long>"))
+    unions = saved(members.select(*keys, "tokens").groupBy(*keys).applyInArrow(_union, "key long, part long, union array<long>"))
     asks = asked.join(busy, keys).withColumn("slot", F.pmod(F.xxhash64("ent"), F.col("slots")).cast("int")).join(tokens, "ent").select(*slotted, "ent", "n", "tokens")
     each = unions.join(busy, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), "union")
     shape = "key long, part long, slot int, ent long, n long, tokens array<long>"
-    may = saved(each.groupBy(*slotted).cogroup(asks.groupBy(*slotted)).applyInPandas(_may_open(percent), shape))
+    may = saved(each.groupBy(*slotted).cogroup(asks.groupBy(*slotted)).applyInArrow(_may_open(percent), shape))
     opened = saved(may.groupBy(*slotted).agg(F.count("*").alias("queries")).select(*[F.col(c).alias(f"_{c}") for c in slotted]))
     open_members = members.drop("slots").join(opened, (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part")))
     open_members = open_members.select("key", "part", F.col("_slot").alias("slot"), "ent", "n", "tokens")
-    return saved(open_members.groupBy(*slotted).cogroup(may.groupBy(*slotted)).applyInPandas(_compare(percent), "ent long, root long"))
+    return saved(open_members.groupBy(*slotted).cogroup(may.groupBy(*slotted)).applyInArrow(_compare(percent), "ent long, root long"))
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, group: int = 256, bucket_tokens: int = 1_000_000, broadcast_rows: int = 500_000) -> DataFrame:
