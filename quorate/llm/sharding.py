@@ -54,7 +54,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16, seed: i
     base = saved(base.withColumn("uid", F.monotonically_increasing_id()))
     n = base.count()
     quota = [n // shards + (j < n % shards) for j in range(shards)]
-    copies = base.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("g").alias("hub"), "copies")
+    # Written, so that the join by text is between two plain shuffles and Spark can split a large group's rows.
+    copies = saved(base.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("g").alias("hub"), "copies"))
     state = base.join(copies, base["g"] == copies["hub"], "left").drop("g")
     state = saved(state.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(shards)).cast("int")))
 
@@ -86,7 +87,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16, seed: i
         moved = asked.withColumn("shard", F.when(admitted, F.col("best")).otherwise(F.col("shard")))
         state = saved(moved.select(*state.columns).unionAll(state.where("hub IS NULL")))
 
-    pieces = max(4, n // (shards * rank_rows) + 1)
+    pieces = max(16, n // (shards * rank_rows) + 1)
     # A group lies together, unless it is too large for one bucket: no bucket has more than rank_rows of one.
     part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("uid"), F.ceil(F.col("copies") / rank_rows)))
     bucket = F.when(F.col("hub").isNull(), F.lit(pieces)).otherwise(F.lit(0)) + F.pmod(F.xxhash64(F.coalesce(F.hex("hub"), F.col("uid").cast("string")), part), F.lit(pieces))
