@@ -67,9 +67,11 @@ def sentences(text: Column) -> Column:
 
 
 def windows(items: Column, size: int, stride: int) -> Column:
-    """Runs of `size` items, one every `stride`; runs at the end may be shorter. No items: no runs."""
+    """Runs of `size` items, one every `stride`; runs at the end may be shorter. What fits into one run is one run; no
+    items: no runs."""
     n = F.size(items)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    last = F.when(n > size, n - 1).otherwise(0)
+    starts = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(items, s + 1, F.lit(size)).alias("items")))
 
 

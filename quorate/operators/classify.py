@@ -9,12 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorate.functions.text import substring_count, windows
-from quorate.operators.extraction import context, pooled_note, summary
+from quorate.functions.text import excerpt, substring_count, windows
+from quorate.operators.extraction import context, pooled_argmax, pooled_note, summary
 
 #: Labels and their notes, fixed values; any other label counts as NEUTRAL's note.
 LABEL_NOTES = {"POSITIVE": 2, "NEUTRAL": 1, "NEGATIVE": 0}
 BLOCK = 500
+#: Words of a window of the second classifier, and from one window's start to the next one's.
+WINDOW, STRIDE = 512, 462
+#: What comparison files call the kinds of articles, fixed values.
+KIND_NAMES = {"dedicated": "dedie", "dedicated_single": "dedie_unique", "general": "generaliste"}
 #: The note that stands for "not asked": the target of a dedicated article is the whole of it.
 NOT_ASKED = 9
 
@@ -31,8 +35,21 @@ class LengthClassifier:
         return [(("negative", "Neutral", "POSITIVE", "other")[len(t) % 4], (1 + len(t) % 7) / 8) for t in texts]
 
 
+class SecondClassifier(Protocol):
+    def probabilities(self, texts: list[str]) -> list[list[float]]:
+        """For each text the probability of each note."""
+
+
+class LengthProbabilities:
+    """A second classifier without a model: the length of the text decides."""
+
+    def probabilities(self, texts: list[str]) -> list[list[float]]:
+        return [[(1 + len(t) % 3) / 8, (1 + len(t) % 2) / 8, 1 - (2 + len(t) % 3 + len(t) % 2) / 8] for t in texts]
+
+
 #: Makers rather than models: each worker makes its own once, then takes batch after batch.
 REGISTRY: dict[str, Callable[[], Classifier]] = {"length": LengthClassifier}
+SECOND: dict[str, Callable[[], SecondClassifier]] = {"length": LengthProbabilities}
 
 
 def label_note(label: Column) -> Column:
@@ -69,6 +86,22 @@ def sentiment(df: DataFrame, key: str, text: str, classifier: str, block: int =
     return out.select(key, F.element_at(back, note).alias("label"), note.alias("note"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
+def second_note(df: DataFrame, key: str, text: str, classifier: str) -> DataFrame:
+    """(key, note): windows of words are judged, their probabilities averaged by each window's highest one; the likeliest
+    note. A blank or null text gives no row. Keys are unique."""
+    make = SECOND[classifier]
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = make()
+        for b in batches:
+            yield pd.Series(model.probabilities(list(b)))
+
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), "")
+    parts = df.select(key, F.explode(windows(words, WINDOW, STRIDE)).alias("_w")).select(key, run(F.array_join("_w.items", " ")).alias("_p"))
+    return pooled_argmax(parts, key, "_p", F.array_max("_p")).select(key, F.col("place").cast("int").alias("note"))
+
+
 def article_kind(title: Column, content: Column, name: Column) -> Column:
     """dedicated (the name is in the title and more than once in the content), dedicated_single, or general."""
     inside = F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lower(name))
@@ -92,6 +125,27 @@ def classified(pairs: DataFrame, classifier: str) -> DataFrame:
     return out.select("pair_id", "kind", "note_tfidf", F.coalesce("note_targeted", F.lit(NOT_ASKED)).alias("note_targeted"), "note_full", F.col("summary").alias("resume"))
 
 
+def comparison(pairs: DataFrame, classifier: str, second: str) -> DataFrame:
+    """The rows of comparison files: pairs (pair_id, article_id, company_id, title, content, name) with the notes of both
+    classifiers. The second one judges a dedicated article as a whole (note_gpu, and divergence_full from the first one's
+    note), any other by its context and as a whole (note_targeted_gpu, note_full_gpu). Texts are cut for display."""
+    text = F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
+    d = pairs.withColumn("_text", text).join(classified(pairs, classifier), "pair_id")
+    whole = second_note(d, "pair_id", "_text", second).select("pair_id", F.col("note").alias("_whole"))
+    about = d.where("kind <> 'dedicated'").select("pair_id", context(F.col("_text"), F.col("name")).alias("_about"))
+    about = second_note(about, "pair_id", "_about", second).select("pair_id", F.col("note").alias("_target"))
+    d = d.join(whole, "pair_id", "left").join(about, "pair_id", "left")
+    dedicated = F.col("kind") == "dedicated"
+    both = ~dedicated & F.col("_target").isNotNull()
+    names = F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv])
+    alone = F.when(dedicated, F.col("_whole"))
+    return d.select(
+        "article_id", "company_id", F.col("name").alias("company_name"), F.element_at(names, F.col("kind")).alias("type"), F.coalesce("title", F.lit("")).alias("titre"),
+        "note_tfidf", "note_targeted", "note_full", alone.alias("note_gpu"), F.when(both, F.col("_target")).alias("note_targeted_gpu"), F.when(both, F.col("_whole")).alias("note_full_gpu"),
+        F.abs(F.col("note_full") - alone).alias("divergence_full"), excerpt(F.col("resume"), 300, "").alias("resume"), excerpt(F.col("_text"), 500, "").alias("texte_brut"),
+    )
+
+
 def classified_events(notes: DataFrame, as_of: Column) -> DataFrame:
     """Events for the log of pairs: the three notes, and the date `as_of`."""
     return notes.withColumns({"event": F.lit("classified"), "date_estim": as_of})

@@ -59,7 +59,7 @@ def written_results(spark: SparkSession, sf_dir: str) -> str:
         why = _WHY.format(key="CAST(o_orderkey AS STRING)", file=f"'{k}'")
         cells = ["CAST(o_orderkey AS STRING) AS article_id", f"{_SHOWN} AS entreprise", "'v4' AS prompt_version", "'ok' AS statut", f"{_GOT} AS {note}", f"{why} AS justification"]
         rows = o.where(F.col("o_orderkey") % k == 0).selectExpr(*(cells if k != 2 else cells[::-1]))
-        rows.coalesce(1).write.csv(f"{at}/tmp{k}", header=True, escape='"', quoteAll=True)
+        rows.coalesce(1).write.csv(f"{at}/tmp{k}", header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         fs, part = file_system(spark, f"{at}/tmp{k}/part-*.csv")
         fs.rename(fs.globStatus(part)[0].getPath(), file_system(spark, f"{at}/{name}")[1])
     return at
@@ -87,7 +87,7 @@ def reload_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark)
     c = table(spark, sf_dir, "conversations")
-    text = F.concat(F.lit('a "quoted", '), F.coalesce("text", F.lit("")), F.lit("\nend"))
+    text = F.concat(F.lit('a "quoted", '), F.coalesce("text", F.lit("")), F.lit("\nend "))
     cells = {"article_id": F.col("conv_id").cast("string"), "entreprise": F.col("turn").cast("string"), "justification": text, "note_llm": (F.col("conv_id") % 3).cast("string")}
     rows = c.select(*[cells.get(k, F.lit("v")).alias(k) for k in files.RESULT_COLUMNS])
     files.write_results(rows.where("CAST(article_id AS LONG) % 2 = 0"), f"{at}/r")
@@ -201,6 +201,16 @@ def classifier_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classified(classifier_pairs(spark, sf_dir), "length").select("pair_id", "kind", "note_tfidf", "note_targeted", "note_full", F.md5("resume").alias("resume_md5"))
 
 
+def comparison_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both classifiers' notes, written as a comparison file and read back."""
+    at = scratch(spark)
+    pairs = classifier_pairs(spark, sf_dir).withColumns({"article_id": F.col("pair_id"), "company_id": F.col("pair_id") % 3})
+    files.write_results(classify.comparison(pairs, "length", "length"), at, files.COMPARISON_COLUMNS)
+    back = spark.read.csv(at, header=True, schema=", ".join(f"{k} string" for k in files.COMPARISON_COLUMNS), multiLine=True, escape='"')
+    whole = [k for k in files.COMPARISON_COLUMNS if k.startswith(("article", "company_id", "note", "divergence"))]
+    return back.select(*[F.col(k).cast("long").alias(k) if k in whole else F.col(k) for k in files.COMPARISON_COLUMNS])
+
+
 def classifier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(custom_id(F.col("conv_id"), F.col("turn")).alias("id"), F.when(F.col("conv_id") % 9 == 0, " \n ").when(F.col("conv_id") % 9 > 1, F.col("text")).alias("text"))
     return classify.labelled(c, "text", "length").select("id", "label", "note", "confidence")
@@ -286,6 +296,7 @@ QUERIES = {
     "ledger_collect": ledger_collect,
     "ledger_adopt": ledger_adopt,
     "classifier_notes": classifier_notes,
+    "comparison_file": comparison_file,
     "classifier_labels": classifier_labels,
     "classifier_blanks": classifier_blanks,
     "classifier_worklist": classifier_worklist,
@@ -325,7 +336,7 @@ ORACLE_SQL = {
     "alias_lookup": f"WITH {values_sql(REAL_NAMES, 'n', 'company_id, name')}, {values_sql(DICTIONARY, 'd', 'dname, alias')} SELECT company_id, alias, 'exact' AS lookup FROM n JOIN d ON name = dname UNION ALL SELECT company_id, alias, 'folded' FROM n JOIN d ON upper(trim(name)) = upper(trim(dname))",
     "reload_notes": f"{_JUDGED} SELECT a AS article_id, c AS company_id, rater, CAST(arg_max(note, ord) AS INT) AS note, arg_max(why, ord) AS justification FROM j WHERE good GROUP BY 1, 2, 3",
     "reload_tally": f"{_JUDGED}, s AS (SELECT ord, count(*) AS r, count(*) FILTER (WHERE good) AS u, count(*) FILTER (WHERE would) AS w FROM j GROUP BY ord) SELECT file, coalesce(r, 0) AS \"read\", coalesce(u, 0) AS updated, CASE WHEN usable THEN coalesce(r - u, 0) ELSE 1 END AS skipped, coalesce(w, 0) AS would_update FROM f LEFT JOIN s USING (ord)",
-    "results_roundtrip": "SELECT conv_id, turn, CAST(conv_id % 3 AS VARCHAR) AS note_llm, md5('a \"quoted\", ' || coalesce(text, '') || chr(10) || 'end') AS why_md5 FROM conversations",
+    "results_roundtrip": "SELECT conv_id, turn, CAST(conv_id % 3 AS VARCHAR) AS note_llm, md5('a \"quoted\", ' || coalesce(text, '') || chr(10) || 'end ') AS why_md5 FROM conversations",
     "alias_roundtrip": "SELECT p_brand AS name, count(DISTINCT lower(trim(p_type))) AS n, min(lower(trim(p_type))) AS first, max(lower(trim(p_type))) AS last FROM part GROUP BY 1",
     "request_lines": "SELECT 'a' || conv_id || '-c' || turn AS custom_id, substring(coalesce(text, ''), 1, 9) || '|' AS raw, NULL::VARCHAR AS problem FROM conversations",
     "dump_scan": "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name || chr(9) || 'Tab\\' AS name, CASE WHEN s_nationkey <> 3 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier",

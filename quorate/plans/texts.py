@@ -128,7 +128,7 @@ _SCORE = rf"""{_SENT}, tf AS (SELECT doc_id, pos, n, term, count(*) AS tf FROM (
  dfs AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY 1, 2), w AS (SELECT doc_id, pos, tf * (ln((1.0::DOUBLE + n) / (1 + df)) + 1) AS w FROM tf JOIN dfs USING (doc_id, term)),
  sc AS (SELECT doc_id, pos, sum(w) / sqrt(sum(w * w)) AS score FROM w GROUP BY 1, 2), scored AS (SELECT sent.*, coalesce(score, 0.0) AS score FROM sent LEFT JOIN sc USING (doc_id, pos))"""
 _CHUNKS = rf"""words AS (SELECT doc_id, len(list_filter_n) AS n FROM (SELECT doc_id, array_agg(x) FILTER (WHERE x <> '') AS list_filter_n FROM (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{_WS}')) AS x FROM documents) GROUP BY doc_id)),
- chunks AS (SELECT doc_id, 'block' AS kind, unnest(range(0, n, 500)) AS start, n AS total, 500 AS size FROM words WHERE n > 0 UNION ALL SELECT doc_id, 'overlap', unnest(range(0, n, 462)), n, 512 FROM words WHERE n > 0),
+ chunks AS (SELECT doc_id, 'block' AS kind, unnest(range(0, n, 500)) AS start, n AS total, 500 AS size FROM words WHERE n > 0 UNION ALL SELECT doc_id, 'overlap', unnest(CASE WHEN n > 512 THEN range(0, n, 462) ELSE [0] END), n, 512 FROM words WHERE n > 0),
  c AS (SELECT doc_id, kind, CAST(start AS BIGINT) AS start, CAST(least(size, total - start) AS BIGINT) AS n FROM chunks)"""
 _FOLD = lambda x: rf"trim(regexp_replace(upper(strip_accents(trim({x}))), '\s+', ' ', 'g'))"
 

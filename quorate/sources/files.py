@@ -75,8 +75,9 @@ def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write_results(rows: DataFrame, path: str, columns: tuple[str, ...] = RESULT_COLUMNS) -> None:
-    """CSV with a header; fields with quotes or line ends are quoted as read_results reads them. Appends."""
-    rows.select(*columns).write.mode("append").csv(path, header=True, escape='"', quoteAll=True)
+    """CSV with a header; fields with quotes or line ends are quoted as read_results reads them, and keep their spaces.
+    Appends."""
+    rows.select(*columns).write.mode("append").csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def rater_of_file(name: Column) -> Column:

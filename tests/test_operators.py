@@ -124,6 +124,29 @@ def test_classifier_notes(spark):
     assert len(kinds) == 3
 
 
+def test_comparison_file(spark):
+    def second(t):
+        w = t.split()
+        starts = [0] if len(w) <= 512 else range(0, len(w), 462)
+        probs = [classify.LengthProbabilities().probabilities([" ".join(w[a : a + 512])])[0] for a in starts]
+        mean = [round(sum(max(p) * p[k] for p in probs) / sum(map(max, probs)), 6) for k in range(3)]
+        return mean.index(max(mean))
+
+    pairs = {r["pair_id"]: r for r in operations.classifier_pairs(spark, SF).collect()}
+    notes = {r["pair_id"]: r for r in classify.classified(operations.classifier_pairs(spark, SF), "length").collect()}
+    got = {r["article_id"]: r for r in operations.comparison_file(spark, SF).collect()}
+    assert got.keys() == pairs.keys()
+    kinds = {"dedicated": "dedie", "dedicated_single": "dedie_unique", "general": "generaliste"}
+    for i, r in pairs.items():
+        text, n, g = ((r["title"] or "") + " " + (r["content"] or "")).strip(" "), notes[i], got[i]
+        alone, target, whole = (second(text), None, None) if n["kind"] == "dedicated" else (None, second(plain_context(text, "que")), second(text))
+        assert (g["type"], g["titre"] or "", g["company_name"], g["company_id"]) == (kinds[n["kind"]], r["title"] or "", "que", i % 3)
+        assert (g["note_tfidf"], g["note_targeted"], g["note_full"]) == (n["note_tfidf"], n["note_targeted"], n["note_full"])
+        assert (g["note_gpu"], g["note_targeted_gpu"], g["note_full_gpu"]) == (alone, target, whole)
+        assert g["divergence_full"] == (None if alone is None else abs(n["note_full"] - alone))
+        assert (g["resume"], g["texte_brut"]) == (n["resume"][:300].replace("\n", " "), text[:500].replace("\n", " "))
+
+
 def test_collecting_keeps_order_and_overwrites_nothing(spark):
     at = shared.scratch(spark)
     answer = lambda n: json.dumps({"note_llm": n, "justification": "x"})

@@ -12,5 +12,5 @@ def test_same_rows(spark, name):
 
 
 def test_every_query_has_sql():
-    # classifier_notes pools labels of blocks of words; test_operators.py compares it with plain Python.
-    assert plans.QUERIES.keys() - plans.ORACLE_SQL.keys() == {"classifier_notes"}
+    # Both pool labels of blocks of words; test_operators.py compares them with plain Python.
+    assert plans.QUERIES.keys() - plans.ORACLE_SQL.keys() == {"classifier_notes", "comparison_file"}
