@@ -25,17 +25,26 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a similarity of 0.8 or more on five-word shingles, that with the smallest doc_id stays.
 
-    Rows that repeat a doc_id count as one document (any of its rows stays); rows with a null doc_id stay unless they
-    are connected to one that has an id.
+    Where ids repeat or are null, rows are told apart by a number: rows of one id with different texts are documents of
+    their own. Null ids come last; of rows with equal ids in one class, that with the smaller hash of its text stays.
     """
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        return _keep_one_by_row(docs)
     classes = saved(jaccard.jaccard_classes(docs, words=5, percent=80))
-    gone = saved(classes.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id").distinct())
-    kept = docs.join(_small(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    twice = saved(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not twice.limit(1).count():
-        return kept
-    twice = _small(twice)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    gone = saved(classes.where("doc_id <> component_id").select("doc_id"))
+    return docs.join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _keep_one_by_row(docs: DataFrame) -> DataFrame:
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = jaccard.jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"), words=5, percent=80)
+    first = F.struct(F.col("_id").isNull().alias("null"), "_id", F.xxhash64("_text").alias("hash"), "_at")
+    own = rows.select(F.col(row).alias("_at"), F.col("doc_id").alias("_id"), F.col("text").alias("_text")).withColumn("_first", first).select("_at", "_first")
+    stays = saved(classes.join(own, F.col("doc_id") == F.col("_at")).groupBy("component_id").agg(F.min("_first")["_at"].alias("_at")).select("_at"))
+    return rows.join(_small(stays), F.col(row) == F.col("_at"), "left_semi").select(*docs.columns)
 
 
 def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
