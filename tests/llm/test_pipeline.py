@@ -39,18 +39,21 @@ def test_empty(spark):
 
 
 def test_awkward_rows(spark):
-    """Null ids, sources and texts, repeated rows and ids, a column of another stage's name: each stage keeps its columns."""
+    """Null ids, sources and texts, repeated rows and ids, a column of a stage's own name: each stage keeps its columns."""
     words = "the house near a river stands by some bread that lies on our town below the hill while two of them run past".split()
     text = lambda k: " ".join(random.Random(k).choices(words, k=60)) + f" number {k}"
     rows = [(k, text(k), "en", ["a", None][k % 2], 1, "x") for k in range(24)]
-    rows += [(24, None, "en", "a", None, "x"), (25, "", None, None, 0, "x"), (26, "12 34", "en", "a", 5, "x"), (3, text(3), "en", None, 1, "x"), (3, text(40), "en", "a", 1, "y"), (None, text(50), None, None, None, "x"), (None, text(51), "en", "a", 1, "x"), (27, text(5), "en", "b", 1, "x"), (28, "write to me@here.org " + text(60), "en", "b", 1, "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string").repartition(5)
+    rows += [(24, None, "en", "a", None, "x"), (25, "", None, None, 0, "x"), (26, "12 34", "en", "a", 5, "x"), (3, text(3), "en", None, 1, "x"), (3, text(40), "en", "a", 1, "y"), (None, text(50), None, None, None, "x"), (None, text(51), "en", "a", 1, "x"), (None, text(51), "en", "b", 1, "x"), (None, text(9), "en", "b", 1, "x"), (27, text(5), "en", "b", 1, "x"), (28, "write to me@here.org " + text(60), "en", "b", 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string").repartition(5)
     stage = [f for _, f in P.STAGES]
     one = stage[0](spark, docs, SF).cache()
     assert one.columns == docs.columns and one.count() == len(rows) - 3
     two = stage[1](spark, one, SF).cache()
     ids = Counter(r["doc_id"] for r in two.collect())
-    assert two.columns == docs.columns and ids[27] == 0 and ids[3] == 1 and ids[None] == 2 and ids[5] == 1
+    # Rows of one id with different texts are documents of their own; copies go, those with null ids first.
+    assert two.columns == docs.columns and ids[27] == 0 and ids[3] == 2 and ids[None] == 2 and ids[5] == 1
+    assert sorted(r["text"] for r in two.where("doc_id = 3").collect()) == sorted([text(3), text(40)])
+    assert sorted(r["text"] for r in two.where("doc_id IS NULL").collect()) == sorted([text(50), text(51)])
     three = stage[2](spark, two, SF).cache()
     assert three.columns == docs.columns and Counter(r["doc_id"] for r in three.collect()) == ids
     assert [r["text"] for r in three.where("doc_id = 28").collect()] == ["write to [EMAIL] " + text(60)]
