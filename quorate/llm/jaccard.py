@@ -379,7 +379,8 @@ def _links(docs: DataFrame, alive: DataFrame, words: int, percent: int, group: i
     # The others have met all that is in a first group; what is left is among themselves, where classes differ.
     comp = components(found.select(F.col("ent").alias("a"), F.col("root").alias("b")))
     rest = saved(rest.join(comp, rest["ent"] == comp["node"], "left").select("ent", "key", F.coalesce("root", "ent").alias("class")))
-    sizes = rest.groupBy("key", "class").agg(F.ceil(F.count("*") / 20_000).alias("split"))
+    # A class is ranked in up to 64 buckets of a group's size, or as many of 20 000 rows as it needs.
+    sizes = rest.groupBy("key", "class").agg(F.greatest(F.ceil(F.count("*") / 20_000), F.least(F.lit(64), F.ceil(F.count("*") / group))).alias("split"))
     spread = rest.join(sizes, ["key", "class"])
     bucket = F.pmod(F.xxhash64("class"), F.lit(max(16, count // 20_000))) * 1_000_000 + F.pmod(F.xxhash64("ent"), F.col("split"))
     placed = ranked(spread, ["key"], bucket, ["class", "ent"]).withColumn("part", F.floor(F.col("rank") / group).cast("long"))
