@@ -18,18 +18,22 @@ from pyspark.sql import functions as F
 from .common import lean, saved
 
 KINDS = ("email", "ip", "card", "phone")
+#: Digits before an address would be part of it, so an address is looked for at the first of a run of digits only.
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*[ ]?(?:@|\(at\)|\[at\])[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\.|\(dot\)|\[dot\])[ ]?[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:[.,][0-9]{1,3}){3}(?![0-9.,])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./-]?[0-9]{4}){2}[ ./-]?[0-9]{1,7}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
+#: What stands left of the mark in a mail address, the mark, and what stands right of it; in the base form and the wide one.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+MARK, WIDE_MARK = re.compile("@"), re.compile(r"@|\(at\)|\[at\]")
+DOMAIN, WIDE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\.|\(dot\)|\[dot\])[ ]?[A-Za-z0-9-]+)+")
 #: Gazetteers: mail domains' last parts, first digits of card issuers, and words that announce a kind.
 DOMAINS = {"com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "us"}
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "36", "38", "35")
@@ -59,13 +63,33 @@ def base_ok(kind: str, said: str) -> bool:
     return True
 
 
+def mails(text: str, wide: bool = False) -> list[tuple[int, int]]:
+    """(start, end) of mail addresses, leftmost and without overlap, in time linear in the text: from each mark, the run
+    of characters left of it is measured once, and so is the domain right of it.
+
+    The base form is BASE's pattern. The wide one begins with a letter or digit and may have (at), (dot) and spaces.
+    """
+    out, low = [], 0
+    for m in (WIDE_MARK if wide else MARK).finditer(text):
+        at = m.start() - (wide and m.start() > low and text[m.start() - 1] == " ")
+        start = low + len(text[low:at].rstrip(LOCAL))
+        if wide:
+            start = at - len(text[start:at].lstrip("._%+-"))
+        d = (WIDE_DOMAIN if wide else DOMAIN).match(text, m.end()) if start < at else None
+        low = d.end() if d else m.end()
+        if d:
+            out.append((start, low))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end), by start, then in the order of KINDS."""
     out = []
     digit = re.search("[0-9]", text)
     for k, kind in enumerate(KINDS):
         if "@" in text if kind == "email" else digit and (kind != "phone" or "+" in text):
-            out += [(m.start(), k, kind, m.end()) for m in BASE[kind].finditer(text) if base_ok(kind, m[0])]
+            found = mails(text) if kind == "email" else [m.span() for m in BASE[kind].finditer(text)]
+            out += [(a, k, kind, z) for a, z in found if base_ok(kind, text[a:z])]
     return [(a, kind, z) for a, _, kind, z in sorted(out)]
 
 
@@ -96,7 +120,7 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, s
     out = [(a, k, z, ",".join(map(str, votes(text, k, a, z))), True) for a, k, z in base]
     if not re.search("[0-9@]|[(\\[]at[)\\]]", text):
         return out
-    more = sorted((m.start(), i, k, m.end()) for i, k in enumerate(KINDS) for m in WIDE[k].finditer(text))
+    more = sorted((a, i, k, z) for i, k in enumerate(KINDS) for a, z in (mails(text, wide=True) if k == "email" else [m.span() for m in WIDE[k].finditer(text)]))
     taken, end = [(a, z) for a, _, z in base], -1
     j, reach = 0, -1
     for a, _, k, z in more:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -234,6 +235,19 @@ def test_jaccard_large_cluster_asks_its_first_group_only(spark, monkeypatch):
     assert sum(asked) < 4 * len(rows)
 
 
+def test_jaccard_groups_of_large_classes_are_of_one_class(spark):
+    found = spark.range(400).select("id", F.pmod(F.xxhash64("id"), F.lit(16)).alias("b")).where("b = 3").orderBy("id").limit(5).collect()
+    sizes = dict(zip([r["id"] for r in found], [20_000, 20_000, 300, 256, 7], strict=True))
+    rest = None
+    for c, n in sizes.items():
+        d = spark.range(n).select((F.col("id") * 1000 + c).alias("ent"), F.lit(9).cast("long").alias("key"), F.lit(c).cast("long").alias("class"))
+        rest = d if rest is None else rest.unionAll(d)
+    placed = jaccard._placed(rest, 256, sum(sizes.values()))
+    parts = placed.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("class").alias("classes"), F.min("class").alias("c")).collect()
+    assert sum(r["n"] for r in parts) == sum(sizes.values()) and max(r["n"] for r in parts) == 256
+    assert sum(r["classes"] > 1 for r in parts) <= len(sizes)
+
+
 def test_jaccard_frequent_tokens_fill_no_bucket(spark, monkeypatch):
     rows = [(i, prose(700 + i, 40) + " this line stands in every single one of them " + prose(1700 + i, 20)) for i in range(300)]
     rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 300, 3)]
@@ -400,6 +414,26 @@ def test_pii_base_spans(spark, docs):
         assert not set(said) - set(rows[i]["spans"].split(","))
 
 
+WIDE_MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*[ ]?(?:@|\(at\)|\[at\])[ ]?[A-Za-z0-9-]+(?:[ ]?(?:\.|\(dot\)|\[dot\])[ ]?[A-Za-z0-9-]+)+"
+
+
+def test_pii_mails_by_marks_are_those_of_the_patterns():
+    r = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(r.choice(["a", "B", "7", ".", "-", "%", "@", " ", "(at)", "[at]", "(dot)", "é", "_"]) for _ in range(r.randrange(30)))
+        assert pii.mails(t) == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)], t
+        assert pii.mails(t, wide=True) == [m.span() for m in re.finditer(WIDE_MAIL, t)], t
+        t = "".join(r.choice("0123.") for _ in range(30))
+        assert [m.span() for m in pii.BASE["ip"].finditer(t)] == [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)], t
+
+
+@pytest.mark.parametrize("text", ["a1" * 1_000_000, "a1" * 1_000_000 + "@", "x@" + "a1" * 1_000_000, "1" * 2_000_000, "1." * 1_000_000, "+1" + " " * 2_000_000, "a." * 1_000_000 + "(at)", "@" * 2_000_000, "a@b." * 500_000, "7 " * 1_000_000])
+def test_pii_of_one_long_token_is_linear(text):
+    began = time.time()
+    pii.candidates(text, pii.base_spans(text))
+    assert time.time() - began < 10, text[:9]
+
+
 def plain_accepted(cands):
     """What EM and the classifier accept of all candidates (kind, votes), span by span, by plain sums."""
     chosen, soft = [None] * len(cands), [0.0] * len(cands)
