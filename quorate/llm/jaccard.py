@@ -113,7 +113,7 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 
     pairs = some.select("text").mapInArrow(lean(run), "ent long, token long").distinct()
     often = pairs.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT)
-    return np.sort(np.array([r["token"] for r in often.collect()], np.int64).view(np.uint64))
+    return np.sort(often.select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
 def _in(tokens: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -379,12 +379,7 @@ def _links(docs: DataFrame, alive: DataFrame, words: int, percent: int, group: i
     # The others have met all that is in a first group; what is left is among themselves, where classes differ.
     comp = components(found.select(F.col("ent").alias("a"), F.col("root").alias("b")))
     rest = saved(rest.join(comp, rest["ent"] == comp["node"], "left").select("ent", "key", F.coalesce("root", "ent").alias("class")))
-    # A class is ranked in up to 64 buckets of a group's size, or as many of 20 000 rows as it needs.
-    sizes = rest.groupBy("key", "class").agg(F.greatest(F.ceil(F.count("*") / 20_000), F.least(F.lit(64), F.ceil(F.count("*") / group))).alias("split"))
-    spread = rest.join(sizes, ["key", "class"])
-    bucket = F.pmod(F.xxhash64("class"), F.lit(max(16, count // 20_000))) * 1_000_000 + F.pmod(F.xxhash64("ent"), F.col("split"))
-    placed = ranked(spread, ["key"], bucket, ["class", "ent"]).withColumn("part", F.floor(F.col("rank") / group).cast("long"))
-    placed = saved(placed.select("ent", "key", "class", "part"))
+    placed = saved(_placed(rest, group, count))
     # only: the class of a group that has no other; null for a mixed one.
     kinds = placed.groupBy("key", "part").agg(F.when(F.min("class") == F.max("class"), F.min("class")).alias("only"))
     placed = saved(placed.join(kinds, ["key", "part"]))
@@ -398,6 +393,25 @@ def _links(docs: DataFrame, alive: DataFrame, words: int, percent: int, group: i
     return saved(found.unionAll(_meet(tokens, placed.select("ent", "key", "part"), asked, percent)))
 
 
+def _placed(rest: DataFrame, group: int, count: int) -> DataFrame:
+    """rest (ent, key, class) with part: groups of `group` rows of a key, in which classes lie one after the other.
+
+    A class that is larger than a group has buckets of its own, up to 64 of a group's size or as many of 20 000 rows as it
+    needs; so of its groups only the first and the last can have rows of other classes. Smaller classes share buckets.
+    """
+    split = F.greatest(F.ceil(F.count("*") / 20_000), F.least(F.lit(64), F.ceil(F.count("*") / group)))
+    spread = rest.join(rest.groupBy("key", "class").agg(split.alias("split")), ["key", "class"])
+    alone = F.col("split") > 1
+    bucket = F.struct(
+        F.pmod(F.xxhash64("class"), F.lit(max(16, count // 20_000))).alias("base"),
+        alone.alias("alone"),
+        F.when(alone, F.col("class")).otherwise(0).alias("own"),
+        F.when(alone, F.pmod(F.xxhash64("ent"), F.col("split"))).otherwise(0).alias("sub"),
+    )
+    placed = ranked(spread, ["key"], bucket, ["class", "ent"]).withColumn("part", F.floor(F.col("rank") / group).cast("long"))
+    return placed.select("ent", "key", "class", "part")
+
+
 def brute_force(rows: list[tuple[int, str | None]], words: int, percent: int) -> dict[int, tuple[int, int]]:
     """doc_id -> (n_shingles, component_id) by comparing all pairs; for tests."""
     sets = {}
