@@ -203,8 +203,10 @@ WITH pat(place, kind, pat) AS (VALUES (0, 'assign', '([pP][aA][sS][sS][wW][oO][r
 ), pairs AS (SELECT label, value[i:i + 1] AS pair FROM (SELECT label, value, unnest(range(1, length(value))) AS i FROM words)
 ), seen AS (SELECT pair, count(*) FILTER (WHERE label = 1) AS n1, count(*) FILTER (WHERE label = 0) AS n0 FROM pairs GROUP BY 1
 ), letters AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-', '')) AS c
-), every AS (SELECT a.c AS a, a.c || b.c AS pair, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM letters a, letters b LEFT JOIN seen ON seen.pair = a.c || b.c
-), model AS (SELECT pair, floor(1000 * ln(((n1 + 1) * (sum(n0) OVER (PARTITION BY a) + 68))::DOUBLE / ((n0 + 1) * (sum(n1) OVER (PARTITION BY a) + 68))::DOUBLE))::BIGINT AS gain FROM every
+), every AS (SELECT a.c AS a, b.c AS b, a.c || b.c AS pair, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM letters a, letters b LEFT JOIN seen ON seen.pair = a.c || b.c
+), sums AS (SELECT pair, n1, n0, sum(n1) OVER (PARTITION BY a) AS a1, sum(n0) OVER (PARTITION BY a) AS a0, sum(n1) OVER (PARTITION BY b) AS b1, sum(n0) OVER (PARTITION BY b) AS b0, sum(n1) OVER () AS t1, sum(n0) OVER () AS t0 FROM every
+), chances AS (SELECT pair, (n1 + 16 * ((b1 + 1)::DOUBLE / (t1 + 68)::DOUBLE)) / (a1 + 16)::DOUBLE AS p1, (n0 + 16 * ((b0 + 1)::DOUBLE / (t0 + 68)::DOUBLE)) / (a0 + 16)::DOUBLE AS p0 FROM sums
+), model AS (SELECT pair, floor(1000 * ln(p1 / p0))::BIGINT AS gain FROM chances
 ), score AS (SELECT rid, start, stop, sum(gain) AS score FROM (SELECT rid, start, stop, value[i:i + 1] AS pair FROM (SELECT *, unnest(range(1, length(value))) AS i FROM cand)) JOIN model USING (pair) GROUP BY ALL
 ), every_span AS (SELECT rid, place, start, stop FROM base UNION ALL SELECT rid, 3, start, stop FROM score WHERE score >= 12000
 ), said AS (SELECT rid, place, start, kind || ':' || start || ':' || stop AS one FROM every_span JOIN pat USING (place)

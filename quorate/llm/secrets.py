@@ -51,9 +51,10 @@ def placed(found: DataFrame) -> DataFrame:
     value = F.when(F.col("place") == 0, F.regexp_extract("said", ASSIGN, 1)).otherwise(F.col("said"))
     rows = rows.withColumn("value", value).where((F.col("place") != 0) | (F.length("value") >= 6))
     base = F.col("place") < len(KINDS) - 1
-    order = Window.partitionBy("rid").orderBy("start", "place")
+    # Both look back, the second from the end: a frame up to the last row would be summed up anew for each row.
+    order, back = Window.partitionBy("rid").orderBy("start", "place"), Window.partitionBy("rid").orderBy(F.desc("start"), F.desc("place"))
     left = F.max(F.when(base, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    right = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     free = (F.coalesce(left, F.lit(-1)) <= F.col("start")) & (F.coalesce(right, F.col("stop")) >= F.col("stop"))
     letter = F.col("value").rlike("[A-Za-z]")  # numbers alone are no tokens
     rows = rows.withColumns({"is_base": base, "free": free}).where(F.col("is_base") | (F.col("free") & letter))
@@ -74,22 +75,26 @@ def ordinary_words(docs: DataFrame, sample_texts: int) -> DataFrame:
     return some.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("value"))
 
 
-def model(random: DataFrame, ordinary: DataFrame) -> DataFrame:
-    """(pair, gain): 1000 * the log-likelihood ratio of each transition, rounded down, one being added to each count.
+def model(random: DataFrame, ordinary: DataFrame, weight: int = 16) -> DataFrame:
+    """(pair, gain): 1000 * the log-likelihood ratio of each transition, rounded down.
 
-    random and ordinary have a column value. All transitions within ALPHABET have a row: its size squared.
+    random and ordinary have a column value. P(b | a) = (n(ab) + weight * P(b)) / (n(a) + weight), and P(b), how often b
+    follows anything, has one added to each count: where a was not seen, b alone decides. All transitions within ALPHABET
+    have a row: its size squared.
     """
     pairs = random.select(F.lit(1).alias("label"), F.explode(_transitions(F.col("value"))).alias("pair"))
     pairs = pairs.unionAll(ordinary.select(F.lit(0).alias("label"), F.explode(_transitions(F.col("value"))).alias("pair")))
-    count = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
-    seen = pairs.groupBy("label", "pair").agg(F.count("*").alias("n"))
+    seen = pairs.groupBy("pair").agg(*[F.count_if(F.col("label") == k).alias(f"n{k}") for k in (0, 1)])
     letters = F.array(*[F.lit(c) for c in ALPHABET])
-    every = random.sparkSession.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b")).select("a", F.concat("a", "b").alias("pair"))
-    both = every.join(seen, "pair", "left").groupBy("a", "pair").agg(count(1).alias("n1"), count(0).alias("n0"))
-    row = Window.partitionBy("a")  # of as many rows as ALPHABET has characters
-    m1, m0 = F.sum("n1").over(row) + len(ALPHABET), F.sum("n0").over(row) + len(ALPHABET)
-    ratio = ((F.col("n1") + 1) * m0).cast("double") / ((F.col("n0") + 1) * m1).cast("double")
-    return both.select("pair", F.floor(1000 * F.log(ratio)).alias("gain"))
+    every = random.sparkSession.range(1).select(F.explode(letters).alias("a")).select("a", F.explode(letters).alias("b")).withColumn("pair", F.concat("a", "b"))
+    both = every.join(seen, "pair", "left").na.fill(0)
+
+    def chance(n: str) -> Column:  # windows over the few rows of the model
+        total = lambda *by: F.sum(n).over(Window.partitionBy(*by))
+        follows = (total("b") + 1).cast("double") / (total() + len(ALPHABET)).cast("double")
+        return (F.col(n) + weight * follows) / (total("a") + weight)
+
+    return both.withColumns({"p1": chance("n1"), "p0": chance("n0")}).select("pair", F.floor(1000 * F.log(F.col("p1") / F.col("p0"))).alias("gain"))
 
 
 def scored(spans: DataFrame, gains: DataFrame) -> DataFrame:
