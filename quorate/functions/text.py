@@ -5,10 +5,12 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quorate.sources.shared import saved
+
 #: White space as Java's \s has it.
 SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -46,6 +48,14 @@ def folded_name(names: pd.Series) -> pd.Series:
     return names.map(fold, na_action="ignore")
 
 
+def with_folded_name(rows: DataFrame, name: str, folded: str, broadcast_rows: int = 200_000) -> DataFrame:
+    """rows with column folded: each distinct name is folded once, then joined back. A null name has a null fold."""
+    names = rows.select(F.col(name).alias("_name")).distinct().where("_name IS NOT NULL")
+    names = saved(names.withColumn(folded, folded_name("_name")))
+    names = F.broadcast(names) if names.count() <= broadcast_rows else names
+    return rows.join(names, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
 def custom_id(article: Column, company: Column) -> Column:
     return F.concat(F.lit("a"), article.cast("string"), F.lit("-c"), company.cast("string"))
 

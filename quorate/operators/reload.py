@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorate.functions.text import folded_name
+from quorate.functions.text import folded_name, with_folded_name
 from quorate.operators.state import last_write, unambiguous
 
 NOTES = (0, 1, 2)
@@ -28,7 +28,8 @@ def judged(rows: DataFrame, companies: DataFrame, links: DataFrame) -> DataFrame
     """
     a, e, n = _clean("article_id"), _clean("entreprise"), _clean("note_llm")
     base = rows.withColumns({"_a": a, "_e": e, "_n": n, "justification": _clean("justification")})
-    base = base.withColumns({"article_id": _integer(F.col("_a"), "long"), "note": _integer(F.col("_n"), "int"), "_key": folded_name("_e")})
+    base = base.withColumns({"article_id": _integer(F.col("_a"), "long"), "note": _integer(F.col("_n"), "int")})
+    base = with_folded_name(base, "_e", "_key")
     index = unambiguous(companies.withColumn("_k", folded_name("name")), "_k", "company_id")
     base = base.join(index, base["_key"] == index["_k"], "left")
     pairs = links.select(F.col("article_id").alias("_la"), F.col("company_id").alias("_lc")).distinct().withColumn("_there", F.lit(True))

@@ -15,7 +15,7 @@ from quorate.operators.ledger import BatchFailed, Ledger
 from quorate.sources import files
 from quorate.sources.shared import file_system, scratch, table
 
-from .stand_ins import FACTS_SQL, LOG_SQL, facts, inline, log, values_sql
+from .stand_ins import FACTS_SQL, LOG_SQL, facts, inline, log
 
 # Mentions on terms of several words, with other characters, that begin like another, or differ in case alone.
 
@@ -32,11 +32,14 @@ def real_terms(spark: SparkSession, fold: bool) -> DataFrame:
     return M.term_table(inline(spark, REAL_NAMES, "company_id int, name string"), inline(spark, REAL_ALIASES, "company_id int, alias string"), fold)
 
 
-DICTIONARY = [("La", "l'a"), ("LA ", "la2"), ("by-nc", "cc"), ("Orre", "o r"), ("x&y", "xy")]
-
-
 def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names, d = inline(spark, REAL_NAMES, "company_id int, name string"), inline(spark, DICTIONARY, "name string, alias string")
+    """Nations as companies; the dictionary has customers as their aliases, under the name as it stands or nearly so."""
+    n = table(spark, sf_dir, "nation")
+    names = n.select(F.col("n_nationkey").alias("company_id"), F.col("n_name").alias("name"))
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    kind = F.col("c_custkey") % 4
+    shown = F.when(kind == 0, F.col("n_name")).when(kind == 1, F.concat(F.lit(" "), F.lower("n_name"))).when(kind == 2, F.concat("n_name", F.lit("  "))).otherwise(F.concat("n_name", F.lit("x")))
+    d = c.select(shown.alias("name"), F.col("c_name").alias("alias"))
     exact = M.own_aliases(names, d).withColumn("lookup", F.lit("exact"))
     return exact.unionByName(M.own_aliases(names, d, exact=False).withColumn("lookup", F.lit("folded")))
 
@@ -47,12 +50,12 @@ _SHOWN = "CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN s_name WHEN 1 THEN concat
 _GOT = "CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN '0' WHEN 1 THEN ' 1 ' WHEN 2 THEN '+2' WHEN 3 THEN '1.0' WHEN 4 THEN '3' WHEN 5 THEN '' WHEN 6 THEN '2' ELSE '-1' END"
 _WHY = "concat('say \"', {key}, '\",', chr(10), 'line ', {file})"
 #: Name of each file, which orders it has, and what it calls its note column.
-FILES = [("mes_resultats_haiku_1.csv", 9, "note_llm"), ("resultat_qwen_v3_b.csv", 2, "note_llm"), ("resultats_haiku_V4_1.csv", 1, "note_llm"), ("resultats_haiku_V4_2.csv", 3, "note_llm"), ("resultats_llm_2024.csv", 5, "note")]
+FILES = [("mes_resultats_haiku_1.csv", 9, "note_llm"), ("resultat_qwen_v3_b.csv", 2, "note_llm"), ("resultats_haiku_V4 50%.csv", 1, "note_llm"), ("resultats_haiku_V4_2.csv", 3, "note_llm"), ("resultats_llm_2024.csv", 5, "note")]
 
 
 def written_results(spark: SparkSession, sf_dir: str) -> str:
     """The result files of FILES, of orders as articles and suppliers as companies."""
-    at = scratch(spark)
+    at = f"{scratch(spark)} a b"
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     o = table(spark, sf_dir, "orders").join(F.broadcast(s), F.col("o_orderkey") % 40 + 1 == F.col("s_suppkey"))
     for name, k, note in FILES:
@@ -92,7 +95,7 @@ def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = c.select(*[cells.get(k, F.lit("v")).alias(k) for k in files.RESULT_COLUMNS])
     files.write_results(rows.where("CAST(article_id AS LONG) % 2 = 0"), f"{at}/r")
     files.write_results(rows.where("CAST(article_id AS LONG) % 2 = 1"), f"{at}/r")
-    back = spark.read.csv(f"{at}/r", header=True, schema=", ".join(f"{k} string" for k in files.RESULT_COLUMNS), multiLine=True, escape='"')
+    back = files.read_columns(spark, files.resolved(spark, [f"{at}/r/part-*"]), list(files.RESULT_COLUMNS), files.RESULT_COLUMNS)
     return back.select(F.col("article_id").cast("long").alias("conv_id"), F.col("entreprise").cast("long").alias("turn"), "note_llm", F.md5("justification").alias("why_md5"))
 
 
@@ -206,7 +209,7 @@ def comparison_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark)
     pairs = classifier_pairs(spark, sf_dir).withColumns({"article_id": F.col("pair_id"), "company_id": F.col("pair_id") % 3})
     files.write_results(classify.comparison(pairs, "length", "length"), at, files.COMPARISON_COLUMNS)
-    back = spark.read.csv(at, header=True, schema=", ".join(f"{k} string" for k in files.COMPARISON_COLUMNS), multiLine=True, escape='"')
+    back = files.read_columns(spark, files.resolved(spark, [f"{at}/part-*"]), list(files.COMPARISON_COLUMNS), files.COMPARISON_COLUMNS)
     whole = [k for k in files.COMPARISON_COLUMNS if k.startswith(("article", "company_id", "note", "divergence"))]
     return back.select(*[F.col(k).cast("long").alias(k) if k in whole else F.col(k) for k in files.COMPARISON_COLUMNS])
 
@@ -323,7 +326,7 @@ _COUNTED = f"WITH {_MARKED}, n AS (SELECT doc_id, t, {', '.join(f'{x} AS {k}' fo
 #: Without overlap, by the leftmost match; `of the of` has one of the two phrases.
 _PHRASES = f"(SELECT count(*) FROM (SELECT unnest(regexp_extract_all(t, {_TERM('of', ' ', 'the')} || '|' || {_TERM('the', ' ', 'of')}))))"
 _ROWS = lambda cells: " UNION ALL ".join(f"SELECT doc_id, {k} AS company_id, CAST({x} AS BIGINT) AS nbocc FROM n" for k, x in cells.items())
-_JUDGED = f"""WITH f(file, k, ord, rater, usable) AS (VALUES ('resultats_haiku_V4_1.csv', 1, 0, 'haiku', true), ('resultats_haiku_V4_2.csv', 3, 1, 'haiku', true), ('resultats_llm_2024.csv', 5, 2, 'lama', false), ('mes_resultats_haiku_1.csv', 9, 3, NULL, false), ('resultat_qwen_v3_b.csv', 2, 4, 'queen', true)),
+_JUDGED = f"""WITH f(file, k, ord, rater, usable) AS (VALUES ('resultats_haiku_V4 50%.csv', 1, 0, 'haiku', true), ('resultats_haiku_V4_2.csv', 3, 1, 'haiku', true), ('resultats_llm_2024.csv', 5, 2, 'lama', false), ('mes_resultats_haiku_1.csv', 9, 3, NULL, false), ('resultat_qwen_v3_b.csv', 2, 4, 'queen', true)),
  rows AS (SELECT f.*, o_orderkey AS a, o_orderkey % 40 + 1 AS c, o_orderkey % 3 AS shown, CASE o_orderkey % 8 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 6 THEN 2 END AS note, 'say "' || o_orderkey || '",' || chr(10) || 'line ' || k AS why
   FROM f JOIN orders ON o_orderkey % k = 0 JOIN supplier ON s_suppkey = o_orderkey % 40 + 1 WHERE usable),
  j AS (SELECT *, note IS NOT NULL AND shown < 2 AND c <> 5 AS would, note IS NOT NULL AND shown < 2 AND c <> 5 AND a % 5 <> 0 AS good FROM rows)"""
@@ -333,7 +336,8 @@ _FINAL = "CASE WHEN NOT (coalesce(NOT other_fact, false) AND coalesce(sense, 'au
 ORACLE_SQL = {
     "mentions_of_phrases_sum": f"{_COUNTED} SELECT * FROM ({_ROWS({1: '2 * la + la_de', 2: '2 * of_the + the_of', 3: 'mail', 4: 'xy', 5: 'nc', 6: '2 * orre + orre2', 7: 'two + two0', 8: '2 * the + und'})}) WHERE nbocc > 0",
     "mentions_of_phrases_alternation": f"{_COUNTED} SELECT * FROM ({_ROWS({1: 'la_de + ' + _HITS('no_la_de', 'la'), 2: _PHRASES, 3: 'mail', 4: 'xy', 5: 'nc', 6: 'orre2 + ' + _HITS('no_orre2', 'orre'), 7: 'two0 + ' + _TWO.replace('(t', '(no_two0'), 8: 'the + und'})}) WHERE nbocc > 0",
-    "alias_lookup": f"WITH {values_sql(REAL_NAMES, 'n', 'company_id, name')}, {values_sql(DICTIONARY, 'd', 'dname, alias')} SELECT company_id, alias, 'exact' AS lookup FROM n JOIN d ON name = dname UNION ALL SELECT company_id, alias, 'folded' FROM n JOIN d ON upper(trim(name)) = upper(trim(dname))",
+    "alias_lookup": """WITH d AS (SELECT CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN ' ' || lower(n_name) WHEN 2 THEN n_name || '  ' ELSE n_name || 'x' END AS name, c_name AS alias FROM customer JOIN nation ON c_nationkey = n_nationkey)
+ SELECT n_nationkey AS company_id, alias, 'exact' AS lookup FROM nation JOIN d ON n_name = d.name UNION ALL SELECT n_nationkey, alias, 'folded' FROM nation JOIN d ON upper(trim(n_name)) = upper(trim(d.name))""",
     "reload_notes": f"{_JUDGED} SELECT a AS article_id, c AS company_id, rater, CAST(arg_max(note, ord) AS INT) AS note, arg_max(why, ord) AS justification FROM j WHERE good GROUP BY 1, 2, 3",
     "reload_tally": f"{_JUDGED}, s AS (SELECT ord, count(*) AS r, count(*) FILTER (WHERE good) AS u, count(*) FILTER (WHERE would) AS w FROM j GROUP BY ord) SELECT file, coalesce(r, 0) AS \"read\", coalesce(u, 0) AS updated, CASE WHEN usable THEN coalesce(r - u, 0) ELSE 1 END AS skipped, coalesce(w, 0) AS would_update FROM f LEFT JOIN s USING (ord)",
     "results_roundtrip": "SELECT conv_id, turn, CAST(conv_id % 3 AS VARCHAR) AS note_llm, md5('a \"quoted\", ' || coalesce(text, '') || chr(10) || 'end ') AS why_md5 FROM conversations",

@@ -17,9 +17,6 @@ from .stand_ins import inline, values_sql
 
 COMPANIES = [(1, "The"), (2, "Der"), (3, "que"), (4, "Le"), (5, "of")]
 ALIASES = [(1, "the"), (1, "and"), (2, "die"), (2, "und"), (2, "der"), (3, "Que"), (3, "los"), (4, "les"), (4, "à"), (9, "a")]
-NAMES = [(1, "Société  Générale"), (2, "SOCIETE GENERALE"), (3, " Crédit Agricole "), (4, "L'Oréal"), (5, "Michelin"), (6, "Hermès"), (0, "Zéro")]
-LOOKED_UP = [("société générale",), ("crédit agricole",), ("CREDIT  AGRICOLE",), ("l'oreal",), ("michelin",), ("hermes",), ("zero",), ("inconnu",), (None,)]
-FILES = [("resultats_haiku_V4_1.csv",), ("resultat_Qwen_v3.csv",), ("resultats_llm_2024.csv",), ("RESULTATS_GEMINI_x-V12.csv",), ("notes.csv",), ("resultat_gpt_v1.csv",), ("mes_resultats_haiku_1.csv",), ("resultats_haiku2_1.csv",)]
 TEMPLATES = [("v1", "Rate {entreprise}: {article}"), ("v2", "{entreprise}? {article} -- {entreprise}")]
 
 
@@ -36,7 +33,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mentions(spark, sf_dir)
+    found = M.linked(mentions(spark, sf_dir), links(spark, sf_dir), ["doc_id", "company_id"])
     return found.select("doc_id", "company_id", S.reason(F.col("nbocc")).alias("reason"), F.format_string("%-10d %-6d %6d", "doc_id", "company_id", "nbocc").alias("line"))
 
 
@@ -45,10 +42,31 @@ def article_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("unique_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
+_ACCENTED = "translate({x}, 'AEOUN', 'ÁÈÔÜÑ')"
+_FILE = "CASE CAST({k} % 8 AS INT) WHEN 0 THEN 'resultats_haiku_V4_#.csv' WHEN 1 THEN 'resultat_Qwen_v3.csv' WHEN 2 THEN 'resultats_llm_#.csv' WHEN 3 THEN 'RESULTATS_GEMINI_x-V#.csv' WHEN 4 THEN 'notes.csv' WHEN 5 THEN 'resultat_gpt_v#.csv' WHEN 6 THEN 'mes_resultats_haiku_#.csv' ELSE 'resultats_haiku2_#.csv' END"
+
+
 def name_norm_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = inline(spark, NAMES, "company_id int, name string").withColumn("key", T.folded_name("name"))
-    found = inline(spark, LOOKED_UP, "entreprise string").withColumn("key", T.folded_name("entreprise"))
-    return found.join(state.unambiguous(names, "key", "company_id"), "key").select("entreprise", "company_id")
+    """Nations as companies, one of them under two names that fold to one, one under a name that another has too; looked
+    up by what customers call them: with accents, in lower case, with spaces."""
+    n = table(spark, sf_dir, "nation")
+    names = n.selectExpr("n_nationkey AS company_id", "n_name AS name").unionAll(n.where("n_nationkey = 1").selectExpr("n_nationkey", f"concat(' ', lower({_ACCENTED.format(x='n_name')}))")).unionAll(n.where("n_nationkey = 3").selectExpr("n_nationkey - 1", "n_name"))
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    asked = c.selectExpr("c_custkey", f"CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN lower({_ACCENTED.format(x='n_name')}) WHEN 1 THEN concat('  ', n_name, ' ') WHEN 2 THEN replace(n_name, ' ', '   ') ELSE concat(n_name, '!') END AS entreprise")
+    found = T.with_folded_name(asked, "entreprise", "key")
+    return found.join(state.unambiguous(names.withColumn("key", T.folded_name("name")), "key", "company_id"), "key").select("c_custkey", "entreprise", "company_id")
+
+
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What names of files tell, for a file an order."""
+    f = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"replace({_FILE.format(k='o_orderkey')}, '#', CAST(o_orderkey AS STRING)) AS file")
+    return f.select("o_orderkey", "file", rater_of_file(F.col("file")).alias("rater"), version_of_file(F.col("file")).alias("version"))
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two companies for each document, whether it names them or not."""
+    of = lambda k: (1 + (F.col("doc_id") + k) % 5).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(of(0), of(2))).alias("company_id"))
 
 
 def custom_id_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +123,7 @@ QUERIES = {
     "name_norm_lookup": name_norm_lookup,
     "custom_id_roundtrip": custom_id_roundtrip,
     "prompt_rendering": prompt_rendering,
-    "file_names": lambda s, d: inline(s, FILES, "file string").select("file", rater_of_file(F.col("file")).alias("rater"), version_of_file(F.col("file")).alias("version")),
+    "file_names": file_names,
     "key_mask": lambda s, d: table(s, d, "supplier").select("s_suppkey", T.masked_key(F.col("s_name")).alias("masked")),
     "link_anchor": lambda s, d: table(s, d, "pages").select("page_id", T.anchor(F.col("url")).alias("link")),
     "tfidf_summary": lambda s, d: E.summary(table(s, d, "documents").select("doc_id", "text"), F.lit("que")),
@@ -136,15 +154,18 @@ ORACLE_SQL = {
     "mention_count_sum": f"WITH {_DIMS}, {_TOKENS('''coalesce(source, '') || ' ' || coalesce(text, '')''')}, terms AS (SELECT company_id, name AS term FROM companies UNION SELECT company_id, alias FROM aliases) SELECT doc_id, company_id, count(*) AS nbocc FROM tokens JOIN terms ON token = lower(term) GROUP BY 1, 2",
     "mention_count_alternation": f"WITH {_ALT} SELECT * FROM mentions",
     "eligible_pairs": f"WITH {_ALT} SELECT * FROM mentions WHERE nbocc > 1",
-    "decision_log": f"WITH {_ALT} SELECT doc_id, company_id, CASE WHEN nbocc >= 2 THEN 'selected' WHEN nbocc = 1 THEN 'single mention' ELSE 'false positive' END AS reason, rpad(doc_id::VARCHAR, 10, ' ') || ' ' || rpad(company_id::VARCHAR, 6, ' ') || ' ' || lpad(nbocc::VARCHAR, 6, ' ') AS line FROM mentions",
+    "decision_log": f"WITH {_ALT}, links AS (SELECT doc_id, CAST(1 + (doc_id + k) % 5 AS INT) AS company_id FROM documents, (VALUES (0), (2)) v(k)) SELECT doc_id, company_id, CASE WHEN nbocc >= 2 THEN 'selected' WHEN nbocc = 1 THEN 'single mention' ELSE 'false positive' END AS reason, rpad(doc_id::VARCHAR, 10, ' ') || ' ' || rpad(company_id::VARCHAR, 6, ' ') || ' ' || lpad(nbocc::VARCHAR, 6, ' ') AS line FROM (SELECT doc_id, company_id, coalesce(nbocc, 0) AS nbocc FROM links LEFT JOIN mentions USING (doc_id, company_id))",
     "text_lengths": rf"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(len(string_split_regex(trim(text), '{_WS}')) AS BIGINT) AS words FROM documents",
     "excerpt": "SELECT doc_id, replace(substring(text, 1, 200), chr(10), ' ') || '...' AS excerpt FROM documents",
     "article_hash_dedup": "SELECT md5(coalesce(text, '') || coalesce(lang, '')) AS unique_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "alias_norm": "SELECT lower(p_type) AS alias_norm, count(*) AS n, string_agg(DISTINCT lower(p_brand), ',' ORDER BY lower(p_brand)) AS brands FROM part GROUP BY 1",
-    "name_norm_lookup": f"WITH {values_sql(NAMES, 'names', 'company_id, name')}, {values_sql(LOOKED_UP, 'asked', 'entreprise')}, k AS (SELECT {_FOLD('name')} AS key, min(company_id) AS company_id FROM names WHERE company_id <> 0 GROUP BY 1 HAVING count(DISTINCT company_id) = 1) SELECT entreprise, company_id FROM asked JOIN k ON {_FOLD('entreprise')} = key",
+    "name_norm_lookup": f"""WITH names AS (SELECT n_nationkey AS company_id, n_name AS name FROM nation UNION ALL SELECT n_nationkey, ' ' || lower({_ACCENTED.format(x='n_name')}) FROM nation WHERE n_nationkey = 1 UNION ALL SELECT n_nationkey - 1, n_name FROM nation WHERE n_nationkey = 3),
+ asked AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower({_ACCENTED.format(x='n_name')}) WHEN 1 THEN '  ' || n_name || ' ' WHEN 2 THEN replace(n_name, ' ', '   ') ELSE n_name || '!' END AS entreprise FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ k AS (SELECT {_FOLD('name')} AS key, min(company_id) AS company_id FROM names WHERE company_id <> 0 GROUP BY 1 HAVING count(DISTINCT company_id) = 1) SELECT c_custkey, entreprise, company_id FROM asked JOIN k ON {_FOLD('entreprise')} = key""",
     "custom_id_roundtrip": "SELECT CASE WHEN event_id % 10 = 3 THEN 'x' || event_id ELSE 'a' || event_id || '-c' || user_id END AS custom_id, CASE WHEN event_id % 10 <> 3 THEN event_id END AS article_id, CASE WHEN event_id % 10 <> 3 THEN user_id END AS company_id FROM events",
     "prompt_rendering": "SELECT conv_id, turn, v.version, md5(CASE v.version WHEN 'v1' THEN 'Rate {entreprise}: {article}' ELSE '{entreprise}? {article} -- {entreprise}' END) AS template_md5, md5(CASE v.version WHEN 'v1' THEN 'Rate ' || conv_id || ': ' || coalesce(text, '') ELSE conv_id || '? ' || coalesce(text, '') || ' -- ' || conv_id END) AS prompt_md5 FROM conversations, (VALUES ('v1'), ('v2')) v(version)",
-    "file_names": "SELECT * FROM (VALUES ('resultats_haiku_V4_1.csv', 'haiku', 'v4'), ('resultat_Qwen_v3.csv', 'queen', 'v3'), ('resultats_llm_2024.csv', 'lama', NULL), ('RESULTATS_GEMINI_x-V12.csv', 'gemini', 'v12'), ('notes.csv', NULL, NULL), ('resultat_gpt_v1.csv', NULL, 'v1'), ('mes_resultats_haiku_1.csv', NULL, NULL), ('resultats_haiku2_1.csv', NULL, NULL)) t(file, rater, version)",
+    "file_names": f"""SELECT o_orderkey, replace({_FILE.format(k='o_orderkey')}, '#', o_orderkey::VARCHAR) AS file, CASE o_orderkey % 8 WHEN 0 THEN 'haiku' WHEN 1 THEN 'queen' WHEN 2 THEN 'lama' WHEN 3 THEN 'gemini' END AS rater,
+ CASE o_orderkey % 8 WHEN 0 THEN 'v4' WHEN 1 THEN 'v3' WHEN 3 THEN 'v' || o_orderkey WHEN 5 THEN 'v' || o_orderkey END AS version FROM orders""",
     "key_mask": "SELECT s_suppkey, substring(s_name, 1, 6) || '...' || right(s_name, 4) AS masked FROM supplier",
     "link_anchor": "SELECT page_id, CASE WHEN url <> '' THEN '<a href=\"' || url || '\">' || url || '</a>' ELSE '' END AS link FROM pages",
     "tfidf_summary": rf"""WITH {_SCORE}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(CASE WHEN contains(lower(sentence), 'que') THEN score * 2 ELSE score END, 9) DESC, pos DESC) AS k FROM scored WHERE n > 3)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import csv
-import io
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorate.sources.shared import file_system
+from quorate.sources.shared import file_system, saved
 
 #: Names that files give to raters, fixed values.
 RATER_NAMES = {"gemini": "gemini", "haiku": "haiku", "mistral": "mistral", "queen": "queen", "qwen": "queen", "lama": "lama", "llama": "lama", "llm": "lama"}
@@ -30,26 +30,99 @@ def resolved(spark: SparkSession, patterns: list[str]) -> list[str]:
     return list(found)
 
 
+def _literal(path: str) -> str:
+    """A path as a pattern that matches it alone."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file: number of the path, at: begin of the block read, id: order in it, value) of the lines of files, in blocks.
+
+    Files are told by number, as the path that a line comes with is encoded: spaces, percent signs and the like.
+    """
+    lines = spark.read.text([_literal(p) for p in paths], lineSep="\n")
+    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    uris = [file_system(spark, p)[0].makeQualified(file_system(spark, p)[1]).toUri().toString() for p in paths]
+    known = spark.createDataFrame([(u, i) for i, u in enumerate(uris)], "uri string, file int").select(key(F.col("uri")).alias("_uri"), "file")
+    lines = lines.select(key(F.col("_metadata.file_path")).alias("_uri"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value")
+    return lines.join(F.broadcast(known), "_uri").drop("_uri")  # a row a path, which the driver has
+
+
+def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file: number of the path, row_ord, record) of CSV files: lines, joined where a quoted field holds line ends.
+
+    Files are read in blocks, each by a task of its own. A line begins a record if the quotes before it in its file are
+    even in number: blocks sum up theirs, a running sum over one row a block tells what precedes each, and a line then
+    knows its record. Records of one line stay where they are; only lines of longer ones, which may lie in several blocks,
+    are brought together. row_ord grows with the place in the file. Line ends are \\n or \\r\\n; blank records are left
+    out. A quote that is never closed makes the rest of its file one record.
+    """
+    block = Window.partitionBy("file", "at").orderBy("id")
+    upto, before = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(Window.unboundedPreceding, -1)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = _lines(spark, paths).withColumn("q", quotes)
+    lines = lines.withColumn("odd", F.coalesce(F.sum("q").over(before), F.lit(0)) % 2)
+    # How many records have begun in the block, should an even (or odd) number of quotes precede the block.
+    lines = saved(lines.withColumns({f"begun{k}": F.sum((F.col("odd") == k).cast("long")).over(upto) for k in (0, 1)}))
+
+    order = Window.partitionBy("file").orderBy("at")  # a row a block
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "at").agg(F.sum("q").alias("q"), F.max("begun0").alias("b0"), F.max("begun1").alias("b1"))
+    blocks = blocks.withColumn("p", F.coalesce(F.sum("q").over(earlier), F.lit(0)) % 2)
+    blocks = blocks.withColumn("begun", F.when(F.col("p") == 0, F.col("b0")).otherwise(F.col("b1")))
+    last = F.last(F.when(F.col("begun") > 0, F.struct("at", "begun")), ignorenulls=True).over(earlier)
+    blocks = blocks.select(F.col("file").alias("_f"), F.col("at").alias("_at"), "p", last.alias("last"))
+
+    own = F.when(F.col("p") == 0, F.col("begun0")).otherwise(F.col("begun1"))
+    placed = lines.join(blocks, (F.col("file") == F.col("_f")) & (F.col("at") == F.col("_at"))).withColumn("own", own)
+    # No block has more records than bytes, so its begin and a record's number in it give a place in the file.
+    record = F.when(F.col("own") > 0, F.col("at") + F.col("own")).otherwise(F.col("last.at") + F.col("last.begun"))
+    placed = placed.select("file", record.alias("row_ord"), "at", "id", "value", ((F.col("odd") == F.col("p")) & (F.col("q") % 2 == 0)).alias("whole"))
+    one = placed.where("whole").select("file", "row_ord", F.col("value").alias("record"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "value"))), lambda x: x["value"])
+    more = placed.where("NOT whole").groupBy("file", "row_ord").agg(F.array_join(parts, "\n").alias("record"))
+    both = one.unionByName(more).withColumn("record", F.regexp_replace("record", "\r$", ""))
+    return both.where(F.length(F.trim("record")) > 0)
+
+
+def cells_of(header: str) -> list[str]:
+    """Names of the columns in a file's first line."""
+    return [c.strip() for c in next(csv.reader([header.removeprefix("\ufeff").rstrip("\r")]), [])]
+
+
+def read_columns(spark: SparkSession, paths: list[str], header: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """columns as strings (null where header lacks one), file (number of the path) and row_ord of CSV files that all have
+    this header."""
+    records = read_records(spark, paths)
+    first = records.groupBy("file").agg(F.min("row_ord").alias("_first")).withColumnRenamed("file", "_file")
+    rows = records.join(F.broadcast(first), F.col("file") == F.col("_file")).where(F.col("row_ord") > F.col("_first"))  # a row a file
+    shape = ", ".join(f"_{k} string" for k in range(len(header)))
+    rows = rows.select("file", "row_ord", F.from_csv("record", F.lit(shape), {"escape": '"'}).alias("r"))
+    cells = [F.col(f"r._{header.index(c)}").alias(c) if c in header else F.lit(None).cast("string").alias(c) for c in columns]
+    return rows.select("file", "row_ord", *cells)
+
+
+def _heads(spark: SparkSession, paths: list[str]) -> list[tuple]:
+    """(path, file_ord, file, rater, header, usable) of each file."""
+    if not paths:
+        return []
+    first = _lines(spark, paths).where("at = 0").groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    heads = {r["file"]: r["header"] for r in first.collect()}  # a row a file
+    out = []
+    for i, path in enumerate(paths):
+        name, header = path.rsplit("/", 1)[-1], heads.get(i)
+        found = re.match(r"resultats?_([a-z0-9]+)_", name.lower())
+        rater = RATER_NAMES.get(found[1]) if found else None
+        out.append((path, i, name, rater, header, rater is not None and set(NEEDED) <= set(cells_of(header or ""))))
+    return out
+
+
 def result_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, file_ord, file, rater, header, usable) of each file, in order; header: its first line.
 
     A file is usable if its name tells a rater and its header has the columns NEEDED.
     """
-    named = F.col("_metadata.file_path").alias("path")
-    lines = spark.read.text(paths).select(named, F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), "value").where("at = 0")
-    heads = lines.groupBy("path").agg(F.min_by("value", "id").alias("header"))
-    order = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (_plain(p), i)])
-    known = spark.range(1).select(F.explode(order).alias("path", "file_ord"))
-    both = known.join(heads.withColumn("path", F.regexp_replace("path", "^file:/+", "/")), "path", "left")
-    file = F.element_at(F.split("path", "/"), -1)
-    cells = F.transform(F.split(F.coalesce("header", F.lit("")), ","), lambda c: F.trim(F.replace(F.replace(c, F.lit('"'), F.lit("")), F.lit("﻿"), F.lit(""))))
-    rater = rater_of_file(file)
-    usable = F.size(F.array_except(F.array(*[F.lit(c) for c in NEEDED]), cells)) == 0
-    return both.select("path", "file_ord", file.alias("file"), rater.alias("rater"), "header", (rater.isNotNull() & usable).alias("usable"))
-
-
-def _plain(path: str) -> str:
-    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
+    return spark.createDataFrame(_heads(spark, paths), "path string, file_ord int, file string, rater string, header string, usable boolean")
 
 
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -57,21 +130,16 @@ def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
     row_ord, rater. Columns are found by name, so files may order them as they like; quoted fields may hold quotes and
     line ends. Rows come later in (file_ord, row_ord) if they are later in the files.
     """
-    files = result_files(spark, paths).where("usable")
-    out = None
-    by_header: dict[str, list[str]] = {}
-    for r in files.orderBy("file_ord").collect():  # a row a file
-        by_header.setdefault(r["header"], []).append(paths[r["file_ord"]])
+    by_header: dict[str, list[tuple]] = {}
+    for head in _heads(spark, paths):
+        if head[5]:
+            by_header.setdefault(head[4], []).append(head)
+    out = spark.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS) + ", row_ord long, file string, file_ord int, rater string")
     for header, own in by_header.items():
-        names = [c.strip().removeprefix("﻿") for c in next(csv.reader(io.StringIO(header)))]
-        shape = ", ".join(f"`{c}` string" for c in names)
-        df = spark.read.csv(own, header=True, schema=shape, multiLine=True, escape='"', enforceSchema=True)
-        cells = [F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS]
-        df = df.select(*cells, F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.monotonically_increasing_id().alias("row_ord"))
-        out = df if out is None else out.unionByName(df)
-    if out is None:
-        out = spark.createDataFrame([], ", ".join(f"{c} string" for c in RESULT_COLUMNS) + ", path string, row_ord long")
-    return out.join(F.broadcast(files.select("path", "file", "file_ord", "rater")), "path").drop("path")
+        rows = read_columns(spark, [h[0] for h in own], cells_of(header), RESULT_COLUMNS).withColumnRenamed("file", "_n")
+        names = spark.createDataFrame([(k, h[2], h[1], h[3]) for k, h in enumerate(own)], "_n int, file string, file_ord int, rater string")
+        out = out.unionByName(rows.join(F.broadcast(names), "_n").drop("_n"))  # a row a file
+    return out
 
 
 def write_results(rows: DataFrame, path: str, columns: tuple[str, ...] = RESULT_COLUMNS) -> None:

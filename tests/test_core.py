@@ -72,6 +72,32 @@ def test_mentions_on_both_paths_with_repeated_ids(spark, monkeypatch, limit):
     assert got(mentions.count_alternation, t.select("company_id", F.lower("term").alias("term")).distinct()) == plain_mentions(rows, terms, True, True)
 
 
+@pytest.mark.parametrize("limit", [20_000, 0])
+def test_phrases_by_position(spark, monkeypatch, limit):
+    monkeypatch.setattr(mentions, "BROADCAST_TERMS", limit)
+    r = __import__("random").Random(limit)
+    bits = ["a", "B", "é", "1", "x_y", " ", "  ", ".", "-", "(", ")", "&", "\n", "\\E", "$"]
+    draw = lambda n: "".join(r.choice(bits) for _ in range(n))
+    terms = {(k % 6, draw(r.randrange(1, 14))) for k in range(60)} | {(7, "a b a"), (7, "a b"), (8, "a " * 11 + "b"), (8, "b a"), (9, "&"), (9, ". a . b . a . b . a . b ."), (9, "a&")}
+    terms = sorted(t for t in terms if t[1])
+    texts = [draw(r.randrange(60)) for _ in range(80)] + ["a b a b a b a", "A " * 40 + "b", "a & b&a & & b", " . a . b . a . b . a . b . a . b . a . b . a", None, "", "a", "&"]
+    texts += [t[1] + " " + t[1] + draw(3) for t in terms]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]
+    d, t = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(terms, "company_id int, term string")
+    got = lambda f, t: {(r["doc_id"], r["company_id"]): r["nbocc"] for r in f(d, t).collect()}
+    assert got(mentions.count_sum, t) == plain_mentions(rows, terms, False, False)
+    assert got(mentions.count_alternation, t.select("company_id", F.lower("term").alias("term")).distinct()) == plain_mentions(rows, terms, True, True)
+
+
+def test_many_terms_with_one_first_word_cost_little(spark):
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    words = [r["w"] for r in d.select(F.explode(F.split(F.lower("text"), r"(?U)\W+")).alias("w")).where("length(w) > 1").groupBy("w").count().orderBy(F.desc("count"), "w").limit(2000).select("w").collect()]
+    terms = spark.createDataFrame([(k % 50, f"the {w}") for k, w in enumerate(words)], "company_id int, term string")
+    began = time.time()
+    n = mentions.count_sum(d, terms).agg(F.sum("nbocc")).first()[0]
+    assert n > 10_000 and time.time() - began < 60
+
+
 def split(t):
     return re.split(r"(?<=[.!?])\s+", t)
 
@@ -191,6 +217,62 @@ def test_aliases_of_odd_documents(spark):
     assert files.read_aliases(spark, f"{at}/none").collect() == []
 
 
+@pytest.mark.parametrize("block", ["300", "4m"])
+def test_result_files_in_blocks(spark, block):
+    """Records cut at true ends whatever the blocks, in files whose names and folder have spaces, percent signs and marks."""
+    import csv
+    import random
+    import tempfile
+
+    r, want = random.Random(1), []
+    at = tempfile.mkdtemp(prefix="a b% [c] ")
+    for name in ("resultats_haiku_a b.csv", "resultats_haiku_50%.csv", "resultats_queen_é[x]{1}*.csv", "resultats_llm_short.csv"):
+        with open(f"{at}/{name}", "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\r\n" if "50" in name else "\n")
+            w.writerow(files.RESULT_COLUMNS if "short" not in name else ["article_id", "note, llm", "note_llm"])
+            for k in range(60):
+                text = "".join(r.choice(['"', "\n", "a", ",", "\n\n", " ", "é"]) for _ in range(r.randrange(200 if k != 7 else 2000)))
+                row = [str(k), "c", "v", "ok", str(k % 3), text, "", "x", f"end{k}"]
+                if k % 9 == 0 and "é" in name:
+                    f.write("\n")
+                w.writerow(row)
+                want.append((name, [v or None for v in row]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        paths = files.resolved(spark, [at.replace("[", "\\[").replace("]", "\\]") + "/*.csv"])
+        seen = {x["file"]: (x["rater"], x["usable"]) for x in files.result_files(spark, paths).collect()}
+        got = sorted((x["file"], x["row_ord"], [x[c] for c in files.RESULT_COLUMNS]) for x in files.read_results(spark, paths).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen == {"resultats_haiku_a b.csv": ("haiku", True), "resultats_haiku_50%.csv": ("haiku", True), "resultats_queen_é[x]{1}*.csv": ("queen", True), "resultats_llm_short.csv": ("lama", False)}
+    assert [(f, v) for f, _, v in got] == sorted((w for w in want if "short" not in w[0]), key=lambda w: w[0])
+
+
+def test_large_result_file_is_read_by_many_tasks(spark):
+    import duckdb
+
+    at = shared.scratch(spark)
+    rows = spark.range(60_000).select(*[(F.concat(F.lit('say "'), F.col("id").cast("string"), F.lit('",\n'), F.repeat(F.lit("text \n"), (F.col("id") % 60).cast("int"))) if c == "justification" else F.col("id").cast("string")).alias(c) for c in files.RESULT_COLUMNS])
+    files.write_results(rows.coalesce(1), f"{at}/r")
+    fs, part = shared.file_system(spark, f"{at}/r/part-*.csv")
+    path = f"{at}/resultats_haiku_V4_big.csv"
+    fs.rename(fs.globStatus(part)[0].getPath(), shared.file_system(spark, path)[1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        size = fs.getFileStatus(shared.file_system(spark, path)[1]).getLen()
+        assert files._lines(spark, [path]).rdd.getNumPartitions() >= size >> 20 > 10
+        got = files.read_results(spark, [path]).agg(F.count("*"), F.sum(F.crc32("justification")), F.sum(F.col("article_id").cast("long"))).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    local = path.removeprefix("file://")
+    theirs = duckdb.connect().execute(f"SELECT count(*), sum(article_id::BIGINT), list(justification) FROM read_csv('{local}', all_varchar=true, header=true, quote='\"', escape='\"', max_line_size=10000000)").fetchone()
+    import zlib
+
+    assert (got[0], got[2]) == theirs[:2] and got[1] == sum(zlib.crc32(x.encode()) for x in theirs[2])
+
+
 def test_settings():
     c = EngineConfig().overlaid({"PROMPT_VERSION": "v7", "REPRENDRE": "0", "BATCH_TAILLE_MAX": "50", "SEUIL_VARIATION_PCT": "7.5", "LIMITE_PAR_ENTREPRISE": "", "MODE": "batch"})
     assert c == EngineConfig(version="v7", resume=False, batch_size=50, threshold=7.5, mode="batch")
