@@ -1,23 +1,39 @@
-"""The ledger of batches: what was submitted where, what has come back, what never left; append-only Parquet tables.
+"""The ledger of batches: what was asked, what left under which batch, what has come back.
 
-`batches` holds events (batch_id, state, seq), of which the last counts: submitted, then collected or failed. `requests`
-holds (custom_id, batch_id, ...): batch_id is null for what was never submitted. A chunk is at most `size` requests; it is
-what one call to the rater takes, and the only thing that comes to the driver.
+Below `path`:
+  runs/R              who rates a run of requests, in which version
+  requests/run=R/chunk=K   what is asked, written once for a whole run; a chunk is what one call to the rater takes
+  members/run=R       for batches that were found at the rater: all ids they have, with a request here or without
+  events/R-K/N        what became of batch K of run R: one file for each change of state
+
+A change of state is a file with the next number. Files are created whole and only where none is, so of several writers
+that saw the same state one makes the change and the others learn that they did not. Before a call to the rater its
+intent is noted, with a key under which the rater knows the call: after a crash in between, the rater is asked for the key.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.functions.answers import parsed
 from quorate.functions.text import custom_id_parts
 from quorate.operators.state import collected, last_write
-from quorate.sources.shared import file_system
+from quorate.sources.shared import create_once, file_system, read_text
 
-SUBMITTED, COLLECTED, FAILED = "submitted", "collected", "failed"
+INTENDED, REFUSED, SUBMITTED, COLLECTED, FAILED, CANCELLED = "intended", "refused", "submitted", "collected", "failed", "cancelled"
+#: What may follow a state; None: nothing is noted yet.
+FOLLOWS = {None: (INTENDED, SUBMITTED), INTENDED: (SUBMITTED, REFUSED), REFUSED: (INTENDED,), SUBMITTED: (COLLECTED, FAILED, CANCELLED)}
+#: States in which a request is at the rater or was, so that it is not to be submitted again.
+TAKEN = (SUBMITTED, COLLECTED, FAILED)
+REQUEST = "custom_id string, article_id long, company_id long, company string, text string"
+PLAIN = ["custom_id", "article_id", "company_id", "company", "text"]
 
 
 class BatchFailed(Exception):
@@ -25,8 +41,11 @@ class BatchFailed(Exception):
 
 
 class BatchRater(Protocol):
-    def submit(self, requests: list[dict], version: str) -> str:
-        """custom_id, text, company of each -> the batch's id. BatchFailed: nothing was submitted."""
+    def submit(self, requests: list[dict], version: str, key: str) -> str:
+        """custom_id, text, company of each -> the batch's id, under the caller's key. BatchFailed: nothing was submitted."""
+
+    def sent(self, key: str) -> str | None:
+        """The batch that was submitted under this key, if any."""
 
     def status(self, batch_id: str) -> str:
         """`in_progress` (also where the status can't be had just now) or `ended`. BatchFailed: it never will."""
@@ -34,47 +53,50 @@ class BatchRater(Protocol):
     def results(self, spark: SparkSession, batch_id: str) -> DataFrame:
         """(custom_id, raw) of an ended batch. BatchFailed: not to be had now, try again later."""
 
+    def cancel(self, batch_id: str) -> None:
+        """Gives up the batch's place in the queue. BatchFailed: it can't be cancelled (any more)."""
+
 
 class Ledger:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    # Files.
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = file_system(self.spark, f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
     def _table(self, name: str, shape: str) -> DataFrame:
-        fs, path = file_system(self.spark, f"{self.path}/{name}")
-        return self.spark.read.schema(shape).parquet(f"{self.path}/{name}") if fs.exists(path) else self.spark.createDataFrame([], shape)
+        return self.spark.read.schema(shape).parquet(f"{self.path}/{name}") if self._names(name) else self.spark.createDataFrame([], shape)
 
-    def batches(self) -> DataFrame:
-        """(batch_id, rater, version, state): each batch as it stands."""
-        log = self._table("batches", "batch_id string, rater string, version string, state string, seq long")
-        return last_write(log, ["batch_id"], F.col("seq"), ["rater", "version", "state"])
+    def state(self, key: str) -> dict | None:
+        """The last event of a batch."""
+        names = [n for n in self._names(f"events/{key}") if n.isdigit()]
+        return json.loads(read_text(self.spark, f"{self.path}/events/{key}/{names[-1]}")) if names else None
 
-    def requests(self) -> DataFrame:
-        return self._table("requests", "custom_id string, batch_id string, article_id long, company_id long, company string, text string")
+    def advance(self, key: str, seen: dict | None, state: str, **facts) -> bool:
+        """Notes that the batch, seen in one state, is in another now; False where somebody else has noted a change since."""
+        if state not in FOLLOWS.get(seen and seen["state"], ()):
+            raise ValueError(f"{seen and seen['state']} cannot become {state}")
+        run, chunk = key.rsplit("-", 1)
+        event = {**(seen or {"run": run, "chunk": int(chunk), "seq": -1}), **facts, "state": state, "at": time.time()}
+        event["seq"] += 1
+        return create_once(self.spark, f"{self.path}/events/{key}/{event['seq']:06}", json.dumps(event))
 
-    def _note(self, rows: list[tuple]) -> None:
-        seq = self._table("batches", "seq long").agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
-        made = [(*r, seq + 1 + k) for k, r in enumerate(rows)]
-        self.spark.createDataFrame(made, "batch_id string, rater string, version string, state string, seq long").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+    # What is known.
 
-    def submit(self, requests: DataFrame, name: str, rater: BatchRater, version: str) -> int:
-        """Submits requests (custom_id, article_id, company_id, company, text, chunk) chunk by chunk; gives how many went.
+    def batches(self) -> DataFrame:
+        """(run, chunk, batch_id, rater, version, state, at, attempt): each batch as it stands."""
+        shape = "run string, chunk long, seq long, state string, batch_id string, rater string, version string, at double, attempt string"
+        log = self.spark.read.schema(shape).json(f"{self.path}/events/*") if self._names("events") else self.spark.createDataFrame([], shape)
+        return last_write(log, ["run", "chunk"], F.col("seq"), ["batch_id", "rater", "version", "state", "at", "attempt"])
 
-        Each chunk's batch is noted as soon as it has left, so a crash strands none. Where a chunk fails, it and all that
-        follow stay as requests without a batch, if any left at all; nothing is written if the first one fails.
-        """
-        plain = ["custom_id", "article_id", "company_id", "company", "text"]
-        chunks = [r["chunk"] for r in requests.select("chunk").distinct().orderBy("chunk").collect()]
-        for done, k in enumerate(chunks):
-            own = requests.where(F.col("chunk") == k)
-            try:
-                batch = rater.submit([r.asDict() for r in own.select("custom_id", "text", "company").orderBy("custom_id").collect()], version)
-            except BatchFailed:
-                if done:
-                    requests.where(F.col("chunk") >= k).select(*plain, F.lit(None).cast("string").alias("batch_id")).write.mode("append").parquet(f"{self.path}/requests")
-                return done
-            own.select(*plain, F.lit(batch).alias("batch_id")).write.mode("append").parquet(f"{self.path}/requests")
-            self._note([(batch, name, version, SUBMITTED)])
-        return len(chunks)
+    def requests(self) -> DataFrame:
+        """(custom_id, batch_id, article_id, company_id, company, text): batch_id is null for what no batch has taken."""
+        asked = self._table("requests", f"{REQUEST}, run string, chunk long")
+        taken = self.batches().where(F.col("state").isin(*TAKEN)).select("run", "chunk", "batch_id")
+        return asked.join(taken, ["run", "chunk"], "left").select("custom_id", "batch_id", *PLAIN[1:])
 
     def not_submitted(self) -> DataFrame:
         return self.requests().where("batch_id IS NULL")
@@ -87,20 +109,85 @@ class Ledger:
         """Events for the evaluations log: what is in flight keeps its note under the new version."""
         return self.requests().join(self.waiting().select("batch_id", "version"), "batch_id").select("article_id", "company_id", "version", F.lit("submitted").alias("status"))
 
-    def collect(self, rater: BatchRater, log: str) -> int:
+    def without_request(self) -> DataFrame:
+        """(batch_id, custom_id): ids that a batch has at the rater, but for which nothing could be asked here."""
+        members = self._table("members", "custom_id string, run string, chunk long")
+        asked = self._table("requests", f"{REQUEST}, run string, chunk long").select("run", "custom_id").distinct()
+        return members.join(asked, ["run", "custom_id"], "left_anti").join(self.batches(), ["run", "chunk"]).select("batch_id", "custom_id")
+
+    def report(self) -> DataFrame:
+        """(batch_id, rater, version, state, requests, without_request) of each batch that was ever submitted."""
+        count = lambda df, name: df.groupBy("batch_id").agg(F.count("*").alias(name))
+        out = self.batches().where("batch_id IS NOT NULL").select("batch_id", "rater", "version", "state")
+        out = out.join(count(self.requests(), "requests"), "batch_id", "left").join(count(self.without_request(), "without_request"), "batch_id", "left")
+        return out.na.fill(0, ["requests", "without_request"])
+
+    # What is done.
+
+    def submit(self, requests: DataFrame, name: str, rater: BatchRater, version: str) -> int:
+        """Submits requests (custom_id, article_id, company_id, company, text, chunk) chunk by chunk; gives how many went.
+
+        The requests are evaluated once, when they are written by chunk; a call reads its chunk's folder, the only rows that
+        come to the driver. Where a chunk is refused, it and all that follow stay as requests without a batch; if it is the
+        first one, nothing stays.
+        """
+        run = uuid.uuid4().hex
+        requests.select(*PLAIN, "chunk").repartition("chunk").write.partitionBy("chunk").parquet(f"{self.path}/requests/run={run}")
+        create_once(self.spark, f"{self.path}/runs/{run}", json.dumps({"rater": name, "version": version}))
+        went = self._go_on(run, rater)
+        if not went:
+            for folder in (f"requests/run={run}", f"runs/{run}", *[f"events/{n}" for n in self._names("events") if n.startswith(run)]):
+                fs, path = file_system(self.spark, f"{self.path}/{folder}")
+                fs.delete(path, True)
+        return went
+
+    def resume(self, rater: BatchRater) -> int:
+        """Goes on with all runs that a crash or a refusal has cut short; gives how many chunks went."""
+        return sum(self._go_on(run, rater) for run in self._names("runs"))
+
+    def _go_on(self, run: str, rater: BatchRater) -> int:
+        about = json.loads(read_text(self.spark, f"{self.path}/runs/{run}"))
+        went = 0
+        for chunk in sorted(int(n.removeprefix("chunk=")) for n in self._names(f"requests/run={run}") if n.startswith("chunk=")):
+            key = f"{run}-{chunk}"
+            seen = self.state(key)
+            if seen and seen["state"] not in (INTENDED, REFUSED):
+                continue
+            batch = None
+            if seen and seen["state"] == INTENDED:
+                batch = rater.sent(key)
+            elif self.advance(key, seen, INTENDED, **about):
+                seen = self.state(key)
+            else:
+                return went  # another one is at it
+            try:
+                batch = batch or rater.submit([r.asDict() for r in self._chunk(run, chunk).select("custom_id", "text", "company").orderBy("custom_id").collect()], about["version"], key)
+            except BatchFailed:
+                self.advance(key, seen, REFUSED)
+                return went
+            went += self.advance(key, seen, SUBMITTED, batch_id=batch)
+        return went
+
+    def _chunk(self, run: str, chunk: int) -> DataFrame:
+        return self.spark.read.schema(REQUEST).parquet(f"{self.path}/requests/run={run}/chunk={chunk}")
+
+    def collect(self, rater: BatchRater, log: str, timeout_s: float | None = None) -> int:
         """Asks once after each waiting batch and appends what has ended to the evaluations log; gives how many ended.
 
-        A batch that failed makes all its requests failed. One whose results can't be had stays as it is. A request without
-        a result is failed; a result nobody asked for is ignored. Each batch is written to its own folder, then noted.
+        A batch that failed, or is in progress for longer than timeout_s, makes all its requests failed. One whose results
+        can't be had stays as it is. A request without a result is failed; a result nobody asked for is ignored. Results are
+        written aside, then the change of state names them, then they are moved into the log: of two collectors one has its
+        rows in the log, and what a crash leaves unmoved is moved next time.
         """
+        self._publish(log)
         ended = 0
         for b in self.waiting().orderBy("batch_id").collect():  # a row a batch
-            asked = self.requests().where(F.col("batch_id") == b["batch_id"]).select("custom_id", "article_id", "company_id")
-            nothing = parsed(self.spark.createDataFrame([], "custom_id string, raw string"))
-            state, results = COLLECTED, nothing
+            state, results = COLLECTED, parsed(self.spark.createDataFrame([], "custom_id string, raw string"))
             try:
                 if rater.status(b["batch_id"]) == "in_progress":
-                    continue
+                    if timeout_s is None or time.time() - b["at"] <= timeout_s:
+                        continue
+                    state = FAILED
             except BatchFailed:
                 state = FAILED
             if state == COLLECTED:
@@ -108,23 +195,65 @@ class Ledger:
                     results = parsed(rater.results(self.spark, b["batch_id"]))
                 except BatchFailed:
                     continue
-            rows = collected(asked, results.drop("raw")).withColumn("version", F.lit(b["version"]))
-            rows.write.mode("overwrite").parquet(f"{log}/batch_id={b['batch_id']}")
-            self._note([(b["batch_id"], b["rater"], b["version"], state)])
-            ended += 1
+            key = f"{b['run']}-{b['chunk']}"
+            seen, attempt = self.state(key), uuid.uuid4().hex
+            if seen["state"] != SUBMITTED:
+                continue
+            if f"chunk={b['chunk']}" not in self._names(f"requests/run={b['run']}"):
+                self.advance(key, seen, state)  # a batch that was found, without any request of ours
+                continue
+            rows = collected(self._chunk(b["run"], b["chunk"]).select("custom_id", "article_id", "company_id"), results.drop("raw"))
+            rows.withColumn("version", F.lit(b["version"])).write.parquet(f"{log}/_aside/{attempt}")
+            ended += self.advance(key, seen, state, attempt=attempt)
+        self._publish(log)
         return ended
 
-    def adopt(self, listed: DataFrame, articles: DataFrame, name: str, version: str) -> DataFrame:
+    def _publish(self, log: str) -> None:
+        """Moves results that a change of state names into the log, each under its batch's folder."""
+        fs, aside = file_system(self.spark, f"{log}/_aside")
+        if not fs.exists(aside):
+            return
+        there = {s.getPath().getName() for s in fs.listStatus(aside)}
+        for b in self.batches().where("attempt IS NOT NULL").select("batch_id", "attempt").collect():  # a row a batch
+            if b["attempt"] in there:
+                one = file_system(self.spark, f"{log}/_aside/{b['attempt']}")[1]
+                try:
+                    fs.rename(one, file_system(self.spark, f"{log}/batch_id={b['batch_id']}")[1])
+                except Py4JJavaError:
+                    if fs.exists(one):  # else another collector has moved it
+                        raise
+
+    def cancel(self, rater: BatchRater) -> list[str]:
+        """Cancels all waiting batches, so that they free the rater's queue; their requests are without a batch again. Gives
+        the batches that were cancelled; one that can't be stays as it is."""
+        done = []
+        for b in self.waiting().orderBy("batch_id").collect():  # a row a batch
+            key = f"{b['run']}-{b['chunk']}"
+            try:
+                rater.cancel(b["batch_id"])
+            except BatchFailed:
+                continue
+            seen = self.state(key)
+            if seen["state"] == SUBMITTED and self.advance(key, seen, CANCELLED):
+                done.append(b["batch_id"])
+        return done
+
+    def adopt(self, listed: DataFrame, articles: DataFrame, name: str, version: str) -> None:
         """Takes in orphan batches: listed (batch_id, custom_id, ord) as the rater tells them, articles (article_id,
-        company_id, company, text) to rebuild requests from. Gives the custom_ids without an article.
+        company_id, company, text) to rebuild requests from.
 
-        Every batch is noted as submitted. An id that several batches have is asked for in the last of them. Ids that are
-        malformed or lack an article stay with their batch, without a request.
+        Every batch is noted as submitted, with all its ids. An id that several batches have is asked for in the last of
+        them. Ids that are malformed or lack an article stay with their batch, without a request.
         """
-        p = listed.withColumn("p", custom_id_parts(F.col("custom_id"))).select("custom_id", "batch_id", "ord", F.col("p.article_id").alias("article_id"), F.col("p.company_id").alias("company_id"))
-        last = last_write(p, ["custom_id", "article_id", "company_id"], F.struct("ord", "batch_id"), ["batch_id"])
-        built = last.join(articles, ["article_id", "company_id"]).select("custom_id", "article_id", "company_id", "company", "text", "batch_id")
-        built.write.mode("append").parquet(f"{self.path}/requests")
+        run = uuid.uuid4().hex
         order = listed.groupBy("batch_id").agg(F.min("ord").alias("o")).orderBy("o", "batch_id")
-        self._note([(r["batch_id"], name, version, SUBMITTED) for r in order.collect()])
-        return last.join(articles, ["article_id", "company_id"], "left_anti").select("custom_id")
+        batches = [r["batch_id"] for r in order.collect()]  # a row a batch
+        numbers = F.broadcast(self.spark.createDataFrame(list(enumerate(batches)), "chunk long, batch_id string"))
+        members = listed.join(numbers, "batch_id")
+        members.select("custom_id", "chunk").distinct().write.parquet(f"{self.path}/members/run={run}")
+        p = members.withColumn("p", custom_id_parts(F.col("custom_id"))).select("custom_id", "chunk", "ord", F.col("p.article_id").alias("article_id"), F.col("p.company_id").alias("company_id"))
+        last = last_write(p, ["custom_id", "article_id", "company_id"], F.struct("ord", "chunk"), ["chunk"])
+        built = last.join(articles, ["article_id", "company_id"]).select(*PLAIN, "chunk")
+        built.repartition("chunk").write.partitionBy("chunk").parquet(f"{self.path}/requests/run={run}")
+        for k, batch in enumerate(batches):
+            self.advance(f"{run}-{k}", None, SUBMITTED, batch_id=batch, rater=name, version=version)

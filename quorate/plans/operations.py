@@ -135,13 +135,17 @@ class ScriptedRater:
     """A batch rater without a service: a chunk fails from `fails_at` on, statuses and results follow from the ids."""
 
     def __init__(self, fails_at: int | None = None, name: str = "b") -> None:
-        self.sent, self.fails_at, self.name = 0, fails_at, name
+        self.calls, self.fails_at, self.name = {}, fails_at, name
 
-    def submit(self, requests: list[dict], version: str) -> str:
-        if self.sent == self.fails_at:
+    def submit(self, requests: list[dict], version: str, key: str) -> str:
+        if len(self.calls) == self.fails_at:
             raise BatchFailed("quota")
-        self.sent += 1
-        return f"{self.name}{self.sent}"
+        batch = f"{self.name}{len(self.calls) + 1}"
+        self.calls[key] = (batch, [r["custom_id"] for r in requests])
+        return batch
+
+    def sent(self, key: str) -> str | None:
+        return self.calls.get(key, (None,))[0]
 
     def status(self, batch_id: str) -> str:
         k = int(batch_id.lstrip("bo"))
@@ -152,12 +156,18 @@ class ScriptedRater:
     def results(self, spark: SparkSession, batch_id: str) -> DataFrame:
         if batch_id == "b4":
             raise BatchFailed("not now")
-        made = spark.range(0, 120_000).select(F.concat(F.lit("a"), F.col("id").cast("string"), F.lit("-c"), (F.col("id") % 10).cast("string")).alias("custom_id"), (F.col("id") % 5).alias("k"))
+        asked = [(i,) for batch, own in self.calls.values() if batch == batch_id for i in own] + [("a999999999999-c0",)]
+        k = F.regexp_extract("custom_id", r"^a([0-9]+)-", 1).cast("long") % 5
+        made = spark.createDataFrame(asked, "custom_id string").withColumn("k", k)
         return made.where("k < 4").select("custom_id", F.concat(F.lit('{"note_llm":'), F.col("k").cast("string"), F.lit(',"justification":"j"}')).alias("raw"))
 
+    def cancel(self, batch_id: str) -> None:
+        if batch_id == "b5":
+            raise BatchFailed("too late")
+
 
 def submitted(spark: SparkSession, sf_dir: str, fails_at: int | None = None) -> tuple[Ledger, ScriptedRater]:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), (F.col("o_orderkey") % 10).alias("company_id")).where("article_id <= 5400")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), (F.col("o_orderkey") % 10).alias("company_id"))
     o = S.chunks(o.withColumn("one", F.lit(1)), "one", "article_id", EngineConfig().overlaid({"BATCH_TAILLE_MAX": "1000"}).batch_size)
     q = o.select(custom_id(F.col("article_id"), F.col("company_id")).alias("custom_id"), "article_id", "company_id", F.col("company_id").cast("string").alias("company"), F.lit("t").alias("text"), "chunk")
     ledger, rater = Ledger(spark, scratch(spark)), ScriptedRater(fails_at)
@@ -166,6 +176,7 @@ def submitted(spark: SparkSession, sf_dir: str, fails_at: int | None = None) ->
 
 
 def ledger_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refusal of the fourth chunk leaves; one of the first leaves nothing."""
     ledger, _ = submitted(spark, sf_dir, fails_at=3)
     empty, _ = submitted(spark, sf_dir, fails_at=0)
     rows = ledger.requests().join(ledger.batches(), "batch_id", "left").select("custom_id", "batch_id", "state")
@@ -176,21 +187,32 @@ def ledger_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collecting twice: what ended is written once, a failed batch fails its requests, two batches wait on."""
     ledger, rater = submitted(spark, sf_dir)
     at = scratch(spark)
-    if (ledger.collect(rater, at), ledger.collect(rater, at), ledger.waiting().count()) != (4, 0, 2):
+    if (ledger.collect(rater, at), ledger.collect(rater, at), ledger.waiting().count()) != (len(rater.calls) - 2, 0, 2):
         raise AssertionError("a batch was collected twice, or not at all")
     return spark.read.parquet(at).select("article_id", "batch_id", "status", "note", "version")
 
 
+def ledger_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by what became of them, some collected, some cancelled, and how many requests are to be submitted again."""
+    ledger, rater = submitted(spark, sf_dir)
+    ledger.collect(rater, scratch(spark))
+    ledger.cancel(rater)
+    again = ledger.not_submitted().agg(F.lit("again").alias("state"), F.count("*").alias("requests"), F.lit(0).cast("long").alias("batches"))
+    return ledger.report().groupBy("state").agg(F.sum("requests").alias("requests"), F.count("*").alias("batches")).unionByName(again)
+
+
 def ledger_adopt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan batches from the rater's own lists: an id in two of them, some without an article, some malformed."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 3000").select(F.col("o_orderkey").alias("a"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"))
     one = F.when(F.col("a") % 50 == 0, F.concat(F.lit("x"), F.col("a").cast("string"))).otherwise(custom_id(F.col("a"), F.col("a") % 10))
     listed = o.select(F.lit("o1").alias("batch_id"), one.alias("custom_id"), F.lit(0).alias("ord")).unionAll(o.where("a % 3 = 0").select(F.lit("o2"), one, F.lit(1)))
     articles = o.where("a % 7 <> 0").select(F.col("a").alias("article_id"), (F.col("a") % 10).alias("company_id"), F.lit("c").alias("company"), F.lit("t").alias("text"))
     ledger = Ledger(spark, scratch(spark))
-    lost = ledger.adopt(listed, articles, "scripted", "v2")
-    rows = ledger.requests().select("custom_id", "batch_id").unionByName(lost.withColumn("batch_id", F.lit("no article")))
-    return rows.unionByName(ledger.waiting().select(F.lit("waiting").alias("custom_id"), "batch_id"))
+    ledger.adopt(listed, articles, "scripted", "v2")
+    rows = ledger.requests().select("custom_id", "batch_id", F.lit("request").alias("kind"))
+    rows = rows.unionByName(ledger.without_request().withColumn("kind", F.lit("no article")))
+    count = F.concat_ws(" ", F.col("state"), F.col("requests").cast("string"), F.col("without_request").cast("string"))
+    return rows.unionByName(ledger.report().select(count.alias("custom_id"), "batch_id", F.lit("batch").alias("kind")))
 
 
 # Classifiers, and events of counts, notes, reloads and new scores.
@@ -297,6 +319,7 @@ QUERIES = {
     "dump_scan": dump_scan,
     "ledger_partial": ledger_partial,
     "ledger_collect": ledger_collect,
+    "ledger_cancel": ledger_cancel,
     "ledger_adopt": ledger_adopt,
     "classifier_notes": classifier_notes,
     "comparison_file": comparison_file,
@@ -330,7 +353,7 @@ _JUDGED = f"""WITH f(file, k, ord, rater, usable) AS (VALUES ('resultats_haiku_V
  rows AS (SELECT f.*, o_orderkey AS a, o_orderkey % 40 + 1 AS c, o_orderkey % 3 AS shown, CASE o_orderkey % 8 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 6 THEN 2 END AS note, 'say "' || o_orderkey || '",' || chr(10) || 'line ' || k AS why
   FROM f JOIN orders ON o_orderkey % k = 0 JOIN supplier ON s_suppkey = o_orderkey % 40 + 1 WHERE usable),
  j AS (SELECT *, note IS NOT NULL AND shown < 2 AND c <> 5 AS would, note IS NOT NULL AND shown < 2 AND c <> 5 AND a % 5 <> 0 AS good FROM rows)"""
-_REQ = "q AS (SELECT o_orderkey AS a, 'a' || o_orderkey || '-c' || (o_orderkey % 10) AS custom_id, 1 + (row_number() OVER (ORDER BY o_orderkey DESC) - 1) // 1000 AS b FROM orders WHERE o_orderkey <= 5400)"
+_REQ = "q AS (SELECT o_orderkey AS a, 'a' || o_orderkey || '-c' || (o_orderkey % 10) AS custom_id, 1 + (row_number() OVER (ORDER BY o_orderkey DESC) - 1) // 1000 AS b FROM orders)"
 _FINAL = "CASE WHEN NOT (coalesce(NOT other_fact, false) AND coalesce(sense, 'aucune') = 'aucune') THEN note WHEN variation IS NULL OR abs(variation) < 5.0 THEN 1 WHEN variation > 0 THEN 2 ELSE 0 END"
 
 ORACLE_SQL = {
@@ -346,7 +369,13 @@ ORACLE_SQL = {
     "dump_scan": "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name || chr(9) || 'Tab\\' AS name, CASE WHEN s_nationkey <> 3 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier",
     "ledger_partial": f"WITH {_REQ} SELECT custom_id, CASE WHEN b <= 3 THEN 'b' || b END AS batch_id, CASE WHEN b <= 3 THEN 'submitted' END AS state FROM q",
     "ledger_collect": f"WITH {_REQ} SELECT a AS article_id, 'b' || b AS batch_id, CASE WHEN b <> 2 AND a % 5 < 3 THEN 'ok' ELSE 'failed' END AS status, CAST(CASE WHEN b <> 2 AND a % 5 < 3 THEN a % 5 END AS INT) AS note, 'v4' AS version FROM q WHERE b NOT IN (3, 4)",
-    "ledger_adopt": "WITH o AS (SELECT o_orderkey AS a, CASE WHEN o_orderkey % 50 = 0 THEN 'x' || o_orderkey ELSE 'a' || o_orderkey || '-c' || (o_orderkey % 10) END AS id FROM orders WHERE o_orderkey <= 3000) SELECT id AS custom_id, CASE WHEN a % 50 = 0 OR a % 7 = 0 THEN 'no article' WHEN a % 3 = 0 THEN 'o2' ELSE 'o1' END AS batch_id FROM o UNION ALL SELECT 'waiting', 'o1' UNION ALL SELECT 'waiting', 'o2'",
+    "ledger_cancel": f"""WITH {_REQ}, b AS (SELECT b, count(*) AS n FROM q GROUP BY b) SELECT CASE WHEN b IN (3, 4) THEN 'cancelled' WHEN b = 2 THEN 'failed' ELSE 'collected' END AS state, CAST(sum(CASE WHEN b NOT IN (3, 4) THEN n ELSE 0 END) AS BIGINT) AS requests, count(*) AS batches FROM b GROUP BY 1
+ UNION ALL SELECT 'again', CAST(sum(n) AS BIGINT), 0 FROM b WHERE b IN (3, 4)""",
+    "ledger_adopt": """WITH o AS (SELECT o_orderkey AS a, CASE WHEN o_orderkey % 50 = 0 THEN 'x' || o_orderkey ELSE 'a' || o_orderkey || '-c' || (o_orderkey % 10) END AS id FROM orders),
+ r AS (SELECT id AS custom_id, CASE WHEN a % 3 = 0 THEN 'o2' ELSE 'o1' END AS batch_id FROM o WHERE a % 50 <> 0 AND a % 7 <> 0),
+ l AS (SELECT id AS custom_id, x AS batch_id FROM o, (VALUES ('o1'), ('o2')) t(x) WHERE (a % 50 = 0 OR a % 7 = 0) AND (x = 'o1' OR a % 3 = 0))
+ SELECT custom_id, batch_id, 'request' AS kind FROM r UNION ALL SELECT custom_id, batch_id, 'no article' FROM l
+ UNION ALL SELECT 'submitted ' || (SELECT count(*) FROM r WHERE r.batch_id = x) || ' ' || (SELECT count(*) FROM l WHERE l.batch_id = x), x, 'batch' FROM (VALUES ('o1'), ('o2')) t(x)""",
     "classifier_labels": "WITH c AS (SELECT 'a' || conv_id || '-c' || turn AS id, coalesce(CASE WHEN conv_id % 9 = 0 THEN ' ' || chr(10) || ' ' WHEN conv_id % 9 > 1 THEN text END, '') AS t FROM conversations) SELECT id, CASE length(t) % 4 WHEN 0 THEN 'NEGATIVE' WHEN 1 THEN 'NEUTRAL' WHEN 2 THEN 'POSITIVE' ELSE 'OTHER' END AS label, CAST(CASE length(t) % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS INT) AS note, (1 + length(t) % 7) / CAST(8 AS DOUBLE) AS confidence FROM c",
     "classifier_blanks": "SELECT 'a' || conv_id || '-c' || turn AS id, 'NEUTRAL' AS label, 1 AS note, CAST(1 AS DOUBLE) AS confidence FROM conversations WHERE conv_id % 9 < 2",
     "classifier_worklist": "WITH l AS (SELECT l_suppkey AS company_id, l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS nbocc, CASE WHEN l_orderkey % 4 <> 0 THEN l_shipdate END AS published_at FROM lineitem) SELECT company_id, l_orderkey, l_linenumber, nbocc, published_at FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY published_at DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC) AS k FROM l WHERE nbocc > 2) WHERE k <= 5",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -54,3 +55,35 @@ def drop_saved(spark: SparkSession) -> None:
     read these tables until then."""
     fs, path = file_system(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
     fs.delete(path, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file, whole, unless there is one: of several writers one gets True.
+
+    It is written under another name first. A link (on a plain file system) or a rename (elsewhere) then fails where the
+    name is taken.
+    """
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p.getParent())
+    own = file_system(spark, f"{p.getParent().toString()}/_{uuid.uuid4().hex}")[1]
+    stream = fs.create(own)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if fs.getUri().getScheme() != "file":
+            return bool(fs.rename(own, p))
+        os.link(own.toUri().getPath(), p.toUri().getPath())
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(own, False)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorate.config import EngineConfig
-from quorate.operators import agreement, classify, extraction, mentions, selection, state
+from quorate.operators import agreement, classify, extraction, ledger, mentions, selection, state
 from quorate.plans import operations
 from quorate.sources import files, shared
 from quorate.streaming import collector
@@ -276,3 +276,94 @@ def test_large_result_file_is_read_by_many_tasks(spark):
 def test_settings():
     c = EngineConfig().overlaid({"PROMPT_VERSION": "v7", "REPRENDRE": "0", "BATCH_TAILLE_MAX": "50", "SEUIL_VARIATION_PCT": "7.5", "LIMITE_PAR_ENTREPRISE": "", "MODE": "batch"})
     assert c == EngineConfig(version="v7", resume=False, batch_size=50, threshold=7.5, mode="batch")
+
+
+class Crash(Exception):
+    pass
+
+
+def asked_rows(spark, n, size=10):
+    d = spark.range(n).select(F.col("id").alias("article_id"), F.lit(7).cast("long").alias("company_id"), F.lit("c").alias("company"), F.lit("t").alias("text"), F.floor(F.col("id") / size).cast("long").alias("chunk"))
+    return d.withColumn("custom_id", F.concat(F.lit("a"), F.col("article_id").cast("string"), F.lit("-c7")))
+
+
+def test_submission_evaluates_its_requests_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = asked_rows(spark, 200)
+    at, rater = ledger.Ledger(spark, shared.scratch(spark)), operations.ScriptedRater()
+    assert at.submit(rows.mapInArrow(count, rows.schema), "scripted", rater, "v1") == 20
+    assert seen.value == 200
+    assert sorted(i for _, own in rater.calls.values() for i in own) == sorted(r["custom_id"] for r in rows.collect())
+
+
+@pytest.mark.parametrize("before", [True, False])
+def test_a_crash_around_a_call_loses_and_doubles_nothing(spark, before):
+    class Crashing(operations.ScriptedRater):
+        tripped = False
+
+        def submit(self, requests, version, key):
+            if before and len(self.calls) == 3 and not self.tripped:
+                self.tripped = True
+                raise Crash
+            batch = super().submit(requests, version, key)
+            if not before and len(self.calls) == 4 and not self.tripped:
+                self.tripped = True
+                raise Crash
+            return batch
+
+    path, rater, rows = shared.scratch(spark), Crashing(), asked_rows(spark, 100)
+    with pytest.raises(Crash):
+        ledger.Ledger(spark, path).submit(rows, "scripted", rater, "v1")
+    again = ledger.Ledger(spark, path)
+    assert again.waiting().count() == 3 and again.not_submitted().count() == 70
+    again.resume(rater)
+    assert again.resume(rater) == 0
+    assert sorted(i for _, own in rater.calls.values() for i in own) == sorted(r["custom_id"] for r in rows.collect())
+    assert again.waiting().count() == 10 and again.not_submitted().count() == 0
+    assert again.requests().groupBy("custom_id").count().where("count > 1").count() == 0
+
+
+def test_one_of_many_writers_makes_a_change(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    at = ledger.Ledger(spark, shared.scratch(spark))
+    assert at.advance("r-0", None, ledger.SUBMITTED, batch_id="b1", rater="x", version="v1")
+    seen = at.state("r-0")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: at.advance("r-0", seen, [ledger.COLLECTED, ledger.CANCELLED][k % 2], attempt=str(k)), range(16)))
+    assert sum(won) == 1 and at.state("r-0")["attempt"] == str(won.index(True))
+    assert at.batches().count() == 1
+    with pytest.raises(ValueError):
+        at.advance("r-0", at.state("r-0"), ledger.SUBMITTED)
+
+
+def test_two_collectors_write_a_batch_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, rater, log = shared.scratch(spark), operations.ScriptedRater(), shared.scratch(spark)
+    one, two = ledger.Ledger(spark, path), ledger.Ledger(spark, path)
+    one.submit(asked_rows(spark, 50), "scripted", rater, "v1")
+    with ThreadPoolExecutor(2) as pool:
+        ended = list(pool.map(lambda x: x.collect(rater, log), (one, two)))
+    assert sum(ended) == 3
+    rows = spark.read.parquet(log)
+    assert rows.count() == 30 and rows.select("custom_id").distinct().count() == 30
+
+
+def test_deadline_fails_a_batch_and_a_late_result_is_ignored(spark):
+    path, rater, log = shared.scratch(spark), operations.ScriptedRater(), shared.scratch(spark)
+    at = ledger.Ledger(spark, path)
+    at.submit(asked_rows(spark, 40), "scripted", rater, "v1")
+    assert at.collect(rater, log, timeout_s=3600) == 2  # b1, b2; b3 is in progress, b4 has no results yet
+    time.sleep(1.1)
+    assert ledger.Ledger(spark, path).collect(rater, log, timeout_s=1) == 1  # b3, by when it was submitted
+    rater.status = lambda batch: "ended"
+    assert at.collect(rater, log, timeout_s=1) == 0
+    rows = spark.read.parquet(log).where("batch_id = 'b3'").collect()
+    assert len(rows) == 10 and {r["status"] for r in rows} == {"failed"}
