@@ -139,6 +139,30 @@ def configurations(counts: dict[int, int], capacity: int) -> list[tuple[dict[int
     return out
 
 
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations, as above, of best fit decreasing: the fullest sequence that has room takes the next size.
+
+    Sequences with equal room and contents are filled together. A sequence just filled is the fullest there is, so it
+    takes the same size as often as it fits.
+    """
+    open_: dict[int, list[tuple[dict[int, int], int]]] = {}
+    for s in sorted(counts, reverse=True):
+        left = counts[s]
+        while left:
+            room = min((r for r in open_ if r >= s), default=None)
+            use, n = open_[room].pop() if room else ({}, left)
+            if room and not open_[room]:
+                del open_[room]
+            room = room or capacity
+            each = min(room // s, left)
+            times = min(n, left // each)
+            if n > times and use:
+                open_.setdefault(room, []).append((use, n - times))
+            open_.setdefault(room - each * s, []).append(({**use, s: each}, times))
+            left -= each * times
+    return [x for same in open_.values() for x in same]
+
+
 class Places:
     """Runs of ranks of each key, each with where they go: key -> (low ranks, payload rows)."""
 
@@ -163,14 +187,19 @@ def look_up(table: dict[int, np.ndarray], key: np.ndarray, rank: np.ndarray) ->
     return out
 
 
-def plan_large(counts: dict[int, int], capacity: int, groups: int) -> tuple[dict, dict, int]:
-    """(lengths -> groups, groups -> sequences, number of sequences).
+def grouped(counts: dict[int, int], groups: int) -> tuple[Places, dict[int, int], dict[int, int]]:
+    """(lengths -> groups, size of each group, members of each group).
 
-    Lengths in descending order are dealt to groups of equal cardinality; each group counts as its largest length.
+    Lengths in descending order are dealt to groups of equal cardinality, and each group counts as its largest length;
+    where there are no more lengths than groups, each length is a group, and nothing is rounded.
     """
-    total = sum(counts.values())
-    each = max(1, -(-total // groups))
     by_length, size, members = Places(), {}, {}
+    if len(counts) <= groups:
+        for g, s in enumerate(sorted(counts, reverse=True)):
+            by_length.add(s, 0, g, 0)
+            size[g], members[g] = s, counts[s]
+        return by_length, size, members
+    each = max(1, -(-sum(counts.values()) // groups))
     g, held = -1, each
     for s in sorted(counts, reverse=True):
         done = 0
@@ -182,6 +211,16 @@ def plan_large(counts: dict[int, int], capacity: int, groups: int) -> tuple[dict
             by_length.add(s, done, g, held)
             done, held = done + n, held + n
             members[g] = held
+    return by_length, size, members
+
+
+def plan_large(counts: dict[int, int], capacity: int, groups: int, tiny: dict[int, int] | None = None) -> tuple[dict, dict, int]:
+    """(lengths -> groups, groups -> sequences, number of sequences).
+
+    Of the configurations by subset sums and by best fit, those are taken that need fewer sequences, with what the lengths
+    in tiny, best-fit into their rooms, leave over.
+    """
+    by_length, size, members = grouped(counts, groups)
     by_size: dict[int, list[int]] = {}
     for k, s in size.items():
         by_size.setdefault(s, []).append(k)
@@ -197,8 +236,17 @@ def plan_large(counts: dict[int, int], capacity: int, groups: int) -> tuple[dict
     for s, runs in by_length.runs.items():
         for low, k, held in runs:
             lengths.add(s, low, of_group[k], shift[k] + held)
+
+    def needs(plan: list) -> int:
+        rooms: dict[int, int] = {}
+        for use, times in plan:
+            room = capacity - sum(s * u for s, u in use.items())
+            rooms[room] = rooms.get(room, 0) + times
+        rest = plan_small(tiny or {}, rooms, capacity)[1]
+        return sum(n for _, n in plan) + sum(n for _, n in best_fit(rest, capacity))
+
     places, used, sequence = Places(), dict.fromkeys(pool, 0), 0
-    for use, times in configurations(pool, capacity):
+    for use, times in min((configurations(pool, capacity), best_fit(pool, capacity)), key=needs):
         for s, u in use.items():
             places.add(s, used[s], sequence, u)
             used[s] += u * times
@@ -231,13 +279,13 @@ def plan_small(counts: dict[int, int], residuals: dict[int, int], capacity: int)
     return places.frozen(), rest
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 1024, small: int = 64, groups: int = 512, keep_ids: bool = True, rank_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 1024, small: int = 64, groups: int = 1024, keep_ids: bool = True, rank_rows: int = 20_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset for each piece of each row of docs.
 
     A row's tokens are the ids of its text (null: none) and END_ID. Longer than capacity: cut, the first piece taking
     what whole pieces leave. Pieces longer than `small` are planned by linear grouping: groups of equal cardinality
-    count as their largest length, configurations of these few sizes are made over the counts, and actual pieces are
-    substituted. Pieces up to `small` go best-fit into the room that the actual pieces leave; any rest is planned as
+    count as their largest length (each length is a group of its own where there are no more than `groups`), configurations
+    of these few sizes are made over the counts, and actual pieces are substituted. Pieces up to `small` go best-fit into the room that the actual pieces leave; any rest is planned as
     the large ones are. Ties take any order; repeated rows are packed each. Empty table: no rows.
     """
     own = pieces(docs, path, capacity, keep_ids)
@@ -250,7 +298,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, small: int = 64, grou
     counts = {r["length"]: r["n"] for r in slim.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows
     parts = max(64, max(counts.values(), default=0) // rank_rows + 1)
     items = ranked(slim, ["length"], F.pmod(F.xxhash64(*ties), F.lit(parts)), ties)
-    lengths, places, n_large = plan_large({s: n for s, n in counts.items() if s > small}, capacity, groups)
+    tiny = {s: n for s, n in counts.items() if s <= small}
+    lengths, places, n_large = plan_large({s: n for s, n in counts.items() if s > small}, capacity, groups, tiny)
 
     @F.pandas_udf("long")
     def place_large(length: pd.Series, rank: pd.Series) -> pd.Series:
@@ -260,7 +309,6 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, small: int = 64, grou
         return pd.Series(run[:, 1] + (at - run[:, 0]) // run[:, 2])
 
     large = items.where(F.col("length") > small).withColumn("sequence_id", place_large("length", "rank")).drop("rank")
-    tiny = {s: n for s, n in counts.items() if s <= small}
     if not tiny:
         placed = large
     else:

@@ -983,3 +983,35 @@ def test_secrets_models_tell_random_tokens_from_names(spark):
 def test_secrets_plan_has_no_python(spark, docs):
     plan = secrets.digests(secrets.find_secrets(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def plain_best_fit(lengths, capacity):
+    import bisect
+
+    rooms, n = [], 0
+    for s in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, s)
+        n += i == len(rooms)
+        bisect.insort(rooms, (capacity if i == len(rooms) else rooms.pop(i)) - s)
+    return n
+
+
+def test_packing_configurations_are_those_of_best_fit():
+    r = random.Random(1)
+    for _ in range(80):
+        capacity = r.choice([20, 100, 1024])
+        lengths = [min(capacity, max(1, int(r.lognormvariate(3 if capacity < 1024 else 6, 1.2)))) for _ in range(r.choice([5, 60, 1500]))]
+        plan, used = packing.best_fit(Counter(lengths), capacity), Counter()
+        for use, times in plan:
+            assert sum(s * u for s, u in use.items()) <= capacity
+            for s, u in use.items():
+                used[s] += u * times
+        assert used == Counter(lengths) and sum(n for _, n in plan) == plain_best_fit(lengths, capacity)
+
+
+@pytest.mark.parametrize("groups", [1024, 16])
+def test_packing_takes_no_more_sequences_than_best_fit(spark, groups):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(d, PATH, keep_ids=False, groups=groups).collect()
+    best = plain_best_fit([r["length"] for r in rows], 1024)
+    assert len({r["sequence_id"] for r in rows}) <= (best if groups == 1024 else best * 1.1)
