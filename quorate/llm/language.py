@@ -17,7 +17,7 @@ from .common import kept, lean
 
 #: Characters that are parsed side by side with others; a text's segments are joined afterwards.
 SEGMENT = 2048
-#: Characters a step of parsing holds.
+#: Characters a step of parsing holds with four languages; with more, fewer.
 SLICE = 1 << 21
 
 
@@ -40,24 +40,24 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     return is_letter, low
 
 
-def sample(docs: DataFrame, documents: int = 48, chars: int = 800) -> dict[str, str]:
-    """The labelled text each language is learned from: the middle `chars` characters of `documents` rows that are not
-    held out, chosen by a hash. The number of languages bounds it; its size does not grow with the table. Rows may
-    repeat and doc_ids may be null: each row counts once for each different (doc_id, text)."""
+def sample(docs: DataFrame, documents: int = 48, longest: int = 20_000) -> dict[str, str]:
+    """The labelled text each language is learned from: the whole texts of `documents` rows that are not held out, chosen by
+    a hash among those of up to `longest` characters (of a language that has only longer ones, the shortest). The number of
+    languages bounds the sample; its size does not grow with the table. Rows may repeat and doc_ids may be null: each row
+    counts once for each different (doc_id, text)."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & ~F.coalesce(held_out(), F.lit(False)))
-    known = known.select("lang", "doc_id", "text", F.xxhash64("text").alias("_t"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_t")
-    ids = known.select("lang", "doc_id", "_t").withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= documents).distinct()
+    size = F.greatest(F.length("text"), F.lit(longest)).alias("_n")
+    known = known.select("lang", "doc_id", "text", F.xxhash64("text").alias("_t"), size)
+    order = Window.partitionBy("lang").orderBy("_n", F.xxhash64("doc_id"), "doc_id", "_t")
+    ids = known.select("lang", "doc_id", "_t", "_n").withColumn("k", F.dense_rank().over(order)).where(F.col("k") <= documents)
+    ids = ids.where((F.col("_n") == longest) | (F.col("k") == 1)).distinct()
     ids = ids.select(F.col("lang").alias("_l"), F.col("doc_id").alias("_d"), F.col("_t").alias("_h"), "k")
-    length = F.length("text")
-    start = F.greatest(F.lit(1), F.floor((length - chars) / 2).cast("int") + 1)
-    part = F.when(length > chars, F.col("text").substr(start, F.lit(chars))).otherwise(F.col("text"))
     # `documents` rows a language: broadcast, so that no text is shuffled to find them.
     found = known.join(F.broadcast(ids), (F.col("lang") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")))
-    rows = found.groupBy("lang", "k").agg(F.min(part).alias("part")).collect()  # `documents` rows a language
+    rows = found.groupBy("lang", "k").agg(F.min("text").alias("text")).collect()  # `documents` rows a language
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["k"])):
-        out.setdefault(r["lang"], []).append(r["part"])
+        out.setdefault(r["lang"], []).append(r["text"])
     return {k: "\n".join(v) for k, v in out.items()}
 
 
@@ -244,7 +244,7 @@ def _lookup(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(is_letter, small[low], 1).astype(small.dtype), is_letter
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48, chars: int = 800) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48, longest: int = 20_000) -> DataFrame:
     """Adds held_out, lang_pred, score and phrase_chars (mean characters of a phrase) to docs, replacing such columns;
     `keep` names the columns of docs to return (all).
 
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48
     the sample: about 20 bytes a learned character and language.
     """
     have = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "phrase_chars")]
-    model = Model(sample(docs, documents, chars))
+    model = Model(sample(docs, documents, longest))
     known = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     keep = have if keep is None else keep
     at, back = have.index("text"), [have.index(c) for c in keep]
@@ -267,7 +267,8 @@ def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48
         codes, is_letter = _lookup(m.seen)
         for batch in batches:
             lengths = pc.utf8_length(batch.column(at)).fill_null(0).to_pylist()
-            for lo, hi in hashing.slices(lengths, SLICE):
+            # A step has a cell for each language and each character of its longest segment.
+            for lo, hi in hashing.slices([max(n, SEGMENT) for n in lengths], SLICE * 4 // max(4, len(m.langs))):
                 part = batch.slice(lo, hi - lo)
                 arrays, live = [], []
                 for i, t in enumerate(part.column(at).to_pylist()):
