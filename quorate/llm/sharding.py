@@ -57,7 +57,9 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16, seed: i
     # Written, so that the join by text is between two plain shuffles and Spark can split a large group's rows.
     copies = saved(base.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("g").alias("hub"), "copies"))
     state = base.join(copies, base["g"] == copies["hub"], "left").drop("g")
-    state = saved(state.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(shards)).cast("int")))
+    # Id and text decide where a row starts (its number, where it has no id), however the table is dealt out.
+    start = F.xxhash64(F.coalesce("doc_id", "uid"), "text_crc32", "size", F.lit(seed))
+    state = saved(state.withColumn("shard", F.pmod(start, F.lit(shards)).cast("int")))
 
     left: list[int] = []
     for k in range(rounds):
