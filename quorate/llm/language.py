@@ -40,7 +40,7 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     return is_letter, low
 
 
-def sample(docs: DataFrame, documents: int = 48, longest: int = 20_000) -> dict[str, str]:
+def sample(docs: DataFrame, documents: int = 48, longest: int = 4_000) -> dict[str, str]:
     """The labelled text each language is learned from: the whole texts of `documents` rows that are not held out, chosen by
     a hash among those of up to `longest` characters (of a language that has only longer ones, the shortest). The number of
     languages bounds the sample; its size does not grow with the table. Rows may repeat and doc_ids may be null: each row
@@ -244,7 +244,7 @@ def _lookup(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(is_letter, small[low], 1).astype(small.dtype), is_letter
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48, longest: int = 20_000) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str] | None = None, documents: int = 48, longest: int = 4_000) -> DataFrame:
     """Adds held_out, lang_pred, score and phrase_chars (mean characters of a phrase) to docs, replacing such columns;
     `keep` names the columns of docs to return (all).
 
