@@ -76,16 +76,30 @@ def sentiment(df: DataFrame, key: str, text: str, classifier: str, block: int =
 
     A blank or null text is NEUTRAL, 1, 1.0 and is not shown to the model. Keys are unique.
     """
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), "")
-    d = df.select(key, words.alias("_w"))
-    blocks = d.where(F.size("_w") > 0).select(key, F.explode(windows(F.col("_w"), block, block)).alias("_b")).select(key, F.array_join("_b.items", " ").alias("_text"))
-    pooled = pooled_note(labelled(blocks, "_text", classifier), key, "note", "confidence")
+    pooled = _pooled(df.select(key, text), key, text, classifier, block)
     back = F.create_map(*[F.lit(x) for label, n in LABEL_NOTES.items() for x in (n, label)])
     out = df.select(key).join(pooled, key, "left")
     note = F.coalesce("note", F.lit(LABEL_NOTES["NEUTRAL"]))
     return out.select(key, F.element_at(back, note).alias("label"), note.alias("note"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
+def _pooled(df: DataFrame, key: str, text: str, classifier: str, block: int = BLOCK) -> DataFrame:
+    """(key, note, confidence) of texts that are not blank."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), "")
+    d = df.select(key, words.alias("_w")).where(F.size("_w") > 0)
+    blocks = d.select(key, F.explode(windows(F.col("_w"), block, block)).alias("_b")).select(key, F.array_join("_b.items", " ").alias("_text"))
+    return pooled_note(labelled(blocks, "_text", classifier), key, "note", "confidence")
+
+
+def sentiments(df: DataFrame, key: str, texts: dict[str, Column], classifier: str) -> DataFrame:
+    """(key, and a note for each of texts): their blocks are labelled in one pass over df and pooled together. A blank text
+    is 1, a null one null; a key all of whose texts are blank or null has no row."""
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), text.alias("text")) for name, text in texts.items()])
+    rows = df.select(key, F.inline(parts)).where("text IS NOT NULL").select(F.struct(key, "part").alias("_id"), "text")
+    notes = _pooled(rows, "_id", "text", classifier).select(F.col(f"_id.{key}").alias(key), F.col("_id.part").alias("part"), "note")
+    return notes.groupBy(key).agg(*[F.max(F.when(F.col("part") == name, F.col("note"))).alias(name) for name in texts])
+
+
 def second_note(df: DataFrame, key: str, text: str, classifier: str) -> DataFrame:
     """(key, note): windows of words are judged, their probabilities averaged by each window's highest one; the likeliest
     note. A blank or null text gives no row. Keys are unique."""
@@ -118,11 +132,14 @@ def classified(pairs: DataFrame, classifier: str) -> DataFrame:
     text = F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
     d = pairs.select("pair_id", "name", text.alias("text"), article_kind(F.col("title"), F.col("content"), F.col("name")).alias("kind")).where("length(text) > 0")
     short = summary(d, F.col("name"), key="pair_id")
-    about = d.where("kind <> 'dedicated'").select("pair_id", context(F.col("text"), F.col("name")).alias("about"))
-    note = lambda df, text, name: sentiment(df, "pair_id", text, classifier).select("pair_id", F.col("note").alias(name))
-    out = d.select("pair_id", "kind").join(note(short, "summary", "note_tfidf"), "pair_id").join(note(d, "text", "note_full"), "pair_id")
-    out = out.join(note(about, "about", "note_targeted"), "pair_id", "left").join(short, "pair_id")
-    return out.select("pair_id", "kind", "note_tfidf", F.coalesce("note_targeted", F.lit(NOT_ASKED)).alias("note_targeted"), "note_full", F.col("summary").alias("resume"))
+    dedicated = F.col("kind") == "dedicated"
+    texts = {"note_tfidf": F.col("summary"), "note_full": F.col("text"), "note_targeted": F.when(~dedicated, context(F.col("text"), F.col("name")))}
+    whole = d.join(short, "pair_id")
+    notes = sentiments(whole, "pair_id", texts, classifier)
+    out = whole.select("pair_id", "kind", "summary").join(notes, "pair_id", "left")
+    neutral = F.lit(LABEL_NOTES["NEUTRAL"])
+    target = F.when(dedicated, F.lit(NOT_ASKED)).otherwise(F.coalesce("note_targeted", neutral))
+    return out.select("pair_id", "kind", F.coalesce("note_tfidf", neutral).alias("note_tfidf"), target.alias("note_targeted"), F.coalesce("note_full", neutral).alias("note_full"), F.col("summary").alias("resume"))
 
 
 def comparison(pairs: DataFrame, classifier: str, second: str) -> DataFrame:

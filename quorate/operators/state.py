@@ -22,17 +22,22 @@ PAIR_TOUCHES = {"counted": ("nbocc", "note_tfidf", "note_full", "date_estim"), "
 NEVER = "1900-01-01"
 
 
-def fold(log: DataFrame, key: list[str], seq: Column, event: str, columns: list[str], touches: dict, clears: set = frozenset()) -> list[Column]:
-    """For each column an aggregate: the value of the last event that touches it, as max of (seq, value)."""
+def parts(seq: Column, event: str, columns: list[str], touches: dict, clears: set = frozenset()) -> list[Column]:
+    """For each column an aggregate: (s: seq, v: value) of the last event that touches it. Such parts merge by max."""
     out = []
     for c in columns:
         by = [s for s, cols in touches.items() if c in cols]
         cleared = [s for s, col in clears if col == c]
         value = F.when(~F.col(event).isin(*cleared), F.col(c)) if cleared else F.col(c)
-        out.append(F.max(F.when(F.col(event).isin(*by), F.struct(seq.alias("s"), value.alias("v"))))["v"].alias(c))
+        out.append(F.max(F.when(F.col(event).isin(*by), F.struct(seq.alias("s"), value.alias("v")))).alias(c))
     return out
 
 
+def fold(log: DataFrame, key: list[str], seq: Column, event: str, columns: list[str], touches: dict, clears: set = frozenset()) -> list[Column]:
+    """For each column an aggregate: the value of the last event that touches it."""
+    return [p["v"].alias(c) for c, p in zip(columns, parts(seq, event, columns, touches, clears), strict=True)]
+
+
 def current(log: DataFrame, key: list[str], seq: Column) -> DataFrame:
     """(key, status, note, justification, version, extraction) after all events, in the order of seq (unique in a key).
 

@@ -14,6 +14,7 @@ from quorate.operators import selection as S
 from quorate.operators.ledger import BatchFailed, Ledger
 from quorate.sources import files
 from quorate.sources.shared import file_system, scratch, table
+from quorate.streaming import timed
 
 from .stand_ins import FACTS_SQL, LOG_SQL, facts, inline, log
 
@@ -215,6 +216,27 @@ def ledger_adopt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(ledger.report().select(count.alias("custom_id"), "batch_id", F.lit("batch").alias("kind")))
 
 
+def timed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of orders as a stream: two of three requests have results, every other batch ends and fails what it owes."""
+    at = scratch(spark)
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("b"), (F.col("o_custkey") % 50).cast("string")).alias("batch_id"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("custom_id"), (F.col("o_orderkey") % 3).cast("int").alias("k"), "o_custkey")
+    none = lambda t: F.lit(None).cast(t)
+    asked = o.select("batch_id", F.lit("submitted").alias("kind"), "custom_id", none("string").alias("status"), none("int").alias("note"))
+    results = o.where("k > 0").select("batch_id", F.lit("result").alias("kind"), "custom_id", F.lit("ok").alias("status"), F.col("k").alias("note"))
+    ends = o.where("o_custkey % 2 = 0").select("batch_id", F.lit("ended").alias("kind"), none("string").alias("custom_id"), none("string").alias("status"), none("int").alias("note")).distinct()
+    asked.unionByName(results).unionByName(ends).write.json(f"{at}/in")
+    stream = spark.readStream.schema(timed.EVENT).json(f"{at}/in")
+    store = spark.conf.get(timed.STORE[0], None)
+    try:
+        timed.watch(stream, f"{at}/log", f"{at}/stream", EngineConfig(), once=True).awaitTermination()
+    finally:
+        if store:
+            spark.conf.set(timed.STORE[0], store)
+        else:
+            spark.conf.unset(timed.STORE[0])
+    return spark.read.schema(timed.OUTCOME).parquet(f"{at}/log")
+
+
 # Classifiers, and events of counts, notes, reloads and new scores.
 
 
@@ -321,6 +343,7 @@ QUERIES = {
     "ledger_collect": ledger_collect,
     "ledger_cancel": ledger_cancel,
     "ledger_adopt": ledger_adopt,
+    "timed_batches": timed_batches,
     "classifier_notes": classifier_notes,
     "comparison_file": comparison_file,
     "classifier_labels": classifier_labels,
@@ -376,6 +399,7 @@ ORACLE_SQL = {
  l AS (SELECT id AS custom_id, x AS batch_id FROM o, (VALUES ('o1'), ('o2')) t(x) WHERE (a % 50 = 0 OR a % 7 = 0) AND (x = 'o1' OR a % 3 = 0))
  SELECT custom_id, batch_id, 'request' AS kind FROM r UNION ALL SELECT custom_id, batch_id, 'no article' FROM l
  UNION ALL SELECT 'submitted ' || (SELECT count(*) FROM r WHERE r.batch_id = x) || ' ' || (SELECT count(*) FROM l WHERE l.batch_id = x), x, 'batch' FROM (VALUES ('o1'), ('o2')) t(x)""",
+    "timed_batches": "SELECT 'b' || (o_custkey % 50) AS batch_id, 'a' || o_orderkey AS custom_id, CASE WHEN o_orderkey % 3 > 0 THEN 'ok' ELSE 'failed' END AS status, CAST(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 END AS INT) AS note, CASE WHEN o_orderkey % 3 > 0 THEN 'result' ELSE 'ended' END AS reason FROM orders WHERE o_orderkey % 3 > 0 OR o_custkey % 2 = 0",
     "classifier_labels": "WITH c AS (SELECT 'a' || conv_id || '-c' || turn AS id, coalesce(CASE WHEN conv_id % 9 = 0 THEN ' ' || chr(10) || ' ' WHEN conv_id % 9 > 1 THEN text END, '') AS t FROM conversations) SELECT id, CASE length(t) % 4 WHEN 0 THEN 'NEGATIVE' WHEN 1 THEN 'NEUTRAL' WHEN 2 THEN 'POSITIVE' ELSE 'OTHER' END AS label, CAST(CASE length(t) % 4 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS INT) AS note, (1 + length(t) % 7) / CAST(8 AS DOUBLE) AS confidence FROM c",
     "classifier_blanks": "SELECT 'a' || conv_id || '-c' || turn AS id, 'NEUTRAL' AS label, 1 AS note, CAST(1 AS DOUBLE) AS confidence FROM conversations WHERE conv_id % 9 < 2",
     "classifier_worklist": "WITH l AS (SELECT l_suppkey AS company_id, l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS nbocc, CASE WHEN l_orderkey % 4 <> 0 THEN l_shipdate END AS published_at FROM lineitem) SELECT company_id, l_orderkey, l_linenumber, nbocc, published_at FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY published_at DESC NULLS LAST, l_orderkey DESC, l_linenumber DESC) AS k FROM l WHERE nbocc > 2) WHERE k <= 5",

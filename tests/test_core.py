@@ -367,3 +367,40 @@ def test_deadline_fails_a_batch_and_a_late_result_is_ignored(spark):
     assert at.collect(rater, log, timeout_s=1) == 0
     rows = spark.read.parquet(log).where("batch_id = 'b3'").collect()
     assert len(rows) == 10 and {r["status"] for r in rows} == {"failed"}
+
+
+def test_timed_batches_fail_at_their_deadline_across_a_restart(spark):
+    from dataclasses import replace
+
+    from quorate.streaming import timed
+
+    at, config = shared.scratch(spark), replace(EngineConfig(), timeout_s=15, poll_s=1)
+    put = lambda *rows: spark.createDataFrame(rows, timed.EVENT).coalesce(1).write.mode("append").json(f"{at}/in")
+    event = lambda batch, kind, request=None, note=None: (batch, kind, request, "ok" if kind == "result" else None, note)
+    start = lambda: timed.watch(spark.readStream.schema(timed.EVENT).json(f"{at}/in"), f"{at}/log", f"{at}/stream", config)
+
+    def seen(n):
+        for _ in range(160):
+            if query.exception():
+                raise query.exception()
+            fs, path = shared.file_system(spark, f"{at}/log/_spark_metadata")
+            rows = spark.read.schema(timed.OUTCOME).parquet(f"{at}/log").collect() if fs.exists(path) else []
+            if len(rows) >= n:
+                break
+            time.sleep(0.5)
+        return sorted(tuple(r) for r in rows)
+
+    put(event("b1", "submitted", "a1"), event("b1", "submitted", "a2"), event("b2", "submitted", "a3"), event("b2", "submitted", "a4"), event("b2", "result", "a3", 2), event("b2", "result", "a99", 1))
+    query = start()
+    try:
+        assert seen(1) == [("b2", "a3", "ok", 2, "result")]
+        query.stop()
+        put(event("b1", "result", "a1", 1), event("b1", "ended"))
+        query = start()  # the timer of b2 was set before the restart
+        want = [("b1", "a1", "ok", 1, "result"), ("b1", "a2", "failed", None, "ended"), ("b2", "a3", "ok", 2, "result"), ("b2", "a4", "failed", None, "deadline")]
+        assert seen(4) == want
+        put(event("b2", "result", "a4", 0), event("b2", "submitted", "a5"), event("b3", "submitted", "a6"), event("b3", "result", "a6", 0))
+        assert seen(5) == [*want, ("b3", "a6", "ok", 0, "result")]
+    finally:
+        query.stop()
+        spark.conf.unset(timed.STORE[0])
