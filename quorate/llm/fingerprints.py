@@ -24,6 +24,40 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _ends(data: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places from `at` on, for SLICE_BYTES, where a chunk may end, how often 2 divides the hash there)."""
+    low = max(0, at - WINDOW + 1)
+    part = data[low : at + SLICE_BYTES].astype(np.uint32) + np.uint32(1)
+    roll = np.zeros(len(part), np.uint32)
+    for k in range(WINDOW):
+        roll[k:] += part[: len(part) - k] * np.uint32(pow(0x01000193, k + 1, 1 << 32))
+    roll = roll[at - low :]
+    roll ^= roll >> 15
+    roll = roll * np.uint32(0x2C1B3C6D)
+    roll ^= roll >> 13
+    hit = np.flatnonzero(roll % np.uint32(3) == 0)
+    value = roll[hit]
+    level = np.zeros(len(hit), np.uint8)
+    for k in range(1, 31):
+        deep = (value & np.uint32((1 << k) - 1)) == 0
+        if not deep.any():
+            break
+        level[deep] = k
+    return hit + at, level
+
+
+def _chunks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each chunk, sum of (byte + 1) * M**place, places from its begin on; for long texts, of which no sums over all
+    bytes are held."""
+    out, step = np.zeros(len(ends), np.uint64), 1 << 18
+    power = _powers(M, step)
+    for i, (a, z) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+        for at in range(a, z, step):
+            part = data[at : min(z, at + step)].astype(np.uint64) + np.uint64(1)
+            out[i] += (part * power[: len(part)]).sum() * np.uint64(pow(M, at - a, 1 << 64))
+    return out
+
+
 def fingerprint_all(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
     """(block size, signature, signature at twice the block size) of each text.
 
@@ -36,25 +70,14 @@ def fingerprint_all(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
     data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
     sizes = np.array([len(t) for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes + WINDOW)[:-1]]).astype(np.int64) + WINDOW
-    roll = np.zeros(len(data), np.uint32)
-    for k in range(WINDOW):
-        part = (data[: len(data) - k].astype(np.uint32) + 1) * np.uint32(pow(0x01000193, k + 1, 1 << 32))
-        roll[k:] += part
-    roll ^= roll >> 15
-    roll = roll * np.uint32(0x2C1B3C6D)
-    roll ^= roll >> 13
-    hit = np.flatnonzero(roll % np.uint32(3) == 0)
-    low = roll[hit]
-    level = np.zeros(len(hit), np.uint8)
-    for k in range(1, 31):
-        deep = (low & np.uint32((1 << k) - 1)) == 0
-        if not deep.any():
-            break
-        level[deep] = k
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(M, len(data)), out=prefix[1:])
-    unshift = _powers(M_INVERSE, len(data) + 1)
+    found = [_ends(data, at) for at in range(0, len(data), SLICE_BYTES)]
+    hit, level = (np.concatenate(c) for c in zip(*found, strict=True))
     lo, hi = np.searchsorted(hit, starts), np.searchsorted(hit, starts + sizes)
+    long = len(data) > 2 * SLICE_BYTES
+    if not long:
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(M, len(data)), out=prefix[1:])
+        unshift = _powers(M_INVERSE, len(data) + 1)
 
     def signature(at: np.ndarray, a: int, z: int, most: int) -> bytes:
         if z == a:
@@ -62,7 +85,7 @@ def fingerprint_all(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         ends = at[: most - 1] + 1
         ends = ends if len(ends) and ends[-1] == z else np.append(ends, z)
         begins = np.concatenate([[a], ends[:-1]])
-        h = (prefix[ends] - prefix[begins]) * unshift[begins]
+        h = _chunks(data, begins, ends) if long else (prefix[ends] - prefix[begins]) * unshift[begins]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return ALPHABET[(h >> np.uint64(58)).astype(np.int64)].tobytes()

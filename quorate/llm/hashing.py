@@ -44,6 +44,20 @@ def ranges(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((prefix[end] - prefix[start]) * powers(M_INVERSE, len(prefix))[start])
 
 
+def words(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int) -> np.ndarray:
+    """The hashes of many ranges in order, of which no two overlap: as ranges() has them, with prefix sums of about `most`
+    bytes at a time (or of one range that is longer)."""
+    if len(data) <= 2 * most:
+        return ranges(prefix_sums(data), start, end)
+    out, a = np.empty(len(start), np.uint64), 0
+    while a < len(start):
+        z = max(a + 1, int(np.searchsorted(end, start[a] + most, side="right")))
+        low = start[a]
+        out[a:z] = ranges(prefix_sums(data[low : end[z - 1]]), start[a:z] - low, end[a:z] - low)
+        a = z
+    return out
+
+
 def slices(sizes: list[int], most: int):
     """Runs (a, z) of consecutive items of about `most` bytes, at least one item each."""
     a = total = 0

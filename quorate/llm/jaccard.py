@@ -50,7 +50,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum([1, *[len(t) + 1 for t in texts]])
     bounds = np.searchsorted(begin, starts)
     words = np.diff(bounds)
-    h = hashing.ranges(hashing.prefix_sums(data), begin, end)
+    h = hashing.words(data, begin, end, SLICE)
     made, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(texts)), words)
     if len(h) >= k:

@@ -81,6 +81,27 @@ def anchors(texts: list[bytes], length: int):
     return d, m - s, a - s, z - s, lead[m], reach
 
 
+def long_anchors(raw: bytes, length: int, most: int) -> tuple[np.ndarray, ...]:
+    """anchors() of one text, whose strings are looked at `most` at a time; what it returns is the same.
+
+    An anchor with strings on both sides of a cut comes from both: its reach is that of all of them.
+    """
+    out: list[list[np.ndarray]] = []
+    for at in range(0, max(1, len(raw) - length + 1), most):
+        _, m, a, z, lead, reach = anchors([raw[at : at + most + length - 1]], length)
+        m, a, z = m + at, a + at, z + at
+        if out and len(m) and len(out[-1][0]) and out[-1][0][-1] == m[0]:
+            m0, a0, z0 = int(m[0]), int(out[-1][1][-1]), int(z[0])
+            part = np.frombuffer(raw[a0 : z0 + length], np.uint8)
+            whole = hashing.ranges(hashing.prefix_sums(part), np.array([0]), np.array([len(part)]))
+            reach[0] = hashing.mix(whole + np.array([(m0 - a0) * 512 + (z0 - m0 + 256)], np.int64).astype(np.uint64) * np.uint64(hashing.M))[0]
+            a[0] = a0
+            out[-1] = [c[:-1] for c in out[-1]]
+        out.append([m, a, z, lead, reach])
+    m, a, z, lead, reach = (np.concatenate(c) for c in zip(*out, strict=True))
+    return np.zeros(len(m), np.int64), m, a, z, lead, reach
+
+
 def _raw(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -109,7 +130,8 @@ def _packed(docs: DataFrame, length: int, bits: int) -> DataFrame:
                         own.append(i)
                 parts = []
                 for a, z in hashing.slices([len(raw[i]) for i in own], SLICE):
-                    d, *rest = anchors([raw[i] for i in own[a:z]], length)
+                    long = z == a + 1 and len(raw[own[a]]) > 2 * SLICE
+                    d, *rest = long_anchors(raw[own[a]], length, SLICE) if long else anchors([raw[i] for i in own[a:z]], length)
                     parts.append((d + a, *rest))
                 d, m, first, last, lead, reach = (np.concatenate(c) for c in zip(*parts, strict=True))
                 if not len(d):

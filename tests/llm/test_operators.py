@@ -1015,3 +1015,42 @@ def test_packing_takes_no_more_sequences_than_best_fit(spark, groups):
     rows = packing.pack(d, PATH, keep_ids=False, groups=groups).collect()
     best = plain_best_fit([r["length"] for r in rows], 1024)
     assert len({r["sequence_id"] for r in rows}) <= (best if groups == 1024 else best * 1.1)
+
+
+# Long texts: the same results by slices, and little memory
+
+
+def test_slices_of_one_text_give_what_the_whole_gives(monkeypatch):
+    r = random.Random(12)
+    for t in [prose(31, 3000), "ab" * 4000 + prose(32, 50) + "ab" * 3000, "".join(r.choice("ab c") for _ in range(9000)), "é" * 5000, "x" * 300 + " y", "w " * 4000]:
+        raw = t.encode()
+        whole = [np.concatenate([x]) for x in suffixes.anchors([raw], 100)]
+        for most in (100, 257, 1000):
+            for x, y in zip(whole, suffixes.long_anchors(raw, 100, most), strict=True):
+                assert (x == y).all()
+        fingerprint, sets = fingerprints.fingerprint_all([raw]), jaccard.shingle_sets([raw, b"", raw], 3)
+        with monkeypatch.context() as m:
+            m.setattr(fingerprints, "SLICE_BYTES", 1000)
+            m.setattr(jaccard, "SLICE", 500)
+            assert fingerprints.fingerprint_all([raw]) == fingerprint
+            for x, y in zip(jaccard.shingle_sets([raw, b"", raw], 3), sets, strict=True):
+                assert (x == y).all()
+
+
+@pytest.mark.parametrize("work,most", [("suffixes.long_anchors(raw, 100, suffixes.SLICE)", 700), ("fingerprints.fingerprint_all([raw])", 500), ("jaccard.shingle_sets([raw], 5)", 700)])
+def test_memory_of_a_text_of_20_mb(work, most):
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, random
+from quorate.llm import fingerprints, jaccard, suffixes
+r = random.Random(1)
+words = [str(r.random())[2:8] for _ in range(50000)]
+raw = " ".join(r.choice(words) for _ in range(2_900_000)).encode()
+low = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+{work}
+print(len(raw), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - low) // 1024)
+"""
+    size, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split())
+    assert size > 20_000_000 and grown < most, grown
