@@ -71,13 +71,15 @@ def state_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Prompts.
 
-_EDITS = "SELECT concat('v', CAST(n_nationkey % 4 AS {str})) AS version, concat('Rate {{entreprise}} as in region ', CAST(n_regionkey AS {str}), ': {{article}}') AS template, CAST('2024-01-01' AS TIMESTAMP) + n_nationkey * INTERVAL '1' DAY AS since FROM {nation}"
+_EDITS = [
+    "concat('v', CAST(n_nationkey % 4 AS {str})) AS version", "concat('Rate {{entreprise}} as in region ', CAST(n_regionkey AS {str}), ': {{article}}') AS template",
+    "CAST('2024-01-01' AS TIMESTAMP) + n_nationkey * INTERVAL '1' DAY AS since",
+]
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as evaluations in one of five versions, at times within and before the edits of nations as prompts."""
-    nation = table(spark, sf_dir, "nation")
-    edits = spark.sql(_EDITS.format(str="STRING", nation="{nation}"), nation=nation)
+    edits = table(spark, sf_dir, "nation").selectExpr(*[x.format(str="STRING") for x in _EDITS])
     made = table(spark, sf_dir, "events").selectExpr("event_id", "concat('v', CAST(event_id % 5 AS STRING)) AS version", "CAST('2023-12-28' AS TIMESTAMP) + CAST(event_id % 30 AS INT) * INTERVAL '1' DAY + CAST(event_id % 24 AS INT) * INTERVAL '1' HOUR AS at")
     return prompts.as_of(made, prompts.history(edits))
 
@@ -122,7 +124,7 @@ _INCREMENTS = f"""WITH {_COUNTED(_BEFORE, TERMS_BEFORE, 'o')}, {_COUNTED(_AFTER,
 _STATE = """SELECT article_id, company_id, arg_max(status, event_id) AS status, (arg_max({{'v': CASE WHEN status NOT IN ('failed', 'not_evaluated') THEN note END}}, event_id) FILTER (WHERE status <> 'submitted')).v AS note,
  (arg_max({{'v': CASE WHEN status NOT IN ('failed', 'not_evaluated') THEN justification END}}, event_id) FILTER (WHERE status <> 'submitted')).v AS justification, (arg_max({{'v': CASE WHEN status <> 'not_evaluated' THEN version END}}, event_id)).v AS version,
  arg_max(extraction, event_id) FILTER (WHERE status = 'ok') AS extraction, '{name}' AS as_of FROM log {where} GROUP BY 1, 2"""
-_AS_OF = f"""WITH edits AS ({_EDITS.format(str='VARCHAR', nation='nation')}), lagged AS (SELECT *, lag(template) OVER (PARTITION BY version ORDER BY since) AS prior FROM edits),
+_AS_OF = f"""WITH edits AS (SELECT {', '.join(x.format(str='VARCHAR') for x in _EDITS)} FROM nation), lagged AS (SELECT *, lag(template) OVER (PARTITION BY version ORDER BY since) AS prior FROM edits),
  spans AS (SELECT version, md5(template) AS template_md5, since, lead(since) OVER (PARTITION BY version ORDER BY since) AS until FROM lagged WHERE template IS DISTINCT FROM prior),
  made AS (SELECT event_id, 'v' || (event_id % 5) AS version, TIMESTAMP '2023-12-28' + to_days(CAST(event_id % 30 AS INT)) + to_hours(event_id % 24) AS made_at FROM events),
  e AS (SELECT event_id, m.version, template_md5, strftime(since, '%Y-%m-%d') AS prompt_since FROM made m LEFT JOIN spans s ON m.version = s.version AND made_at >= since AND (until IS NULL OR made_at < until))"""
