@@ -29,6 +29,28 @@ def _admitted(asks: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[i
     return {k: flow[k] / n for k, n in asks.items()}
 
 
+def _most() -> Column:
+    """Of a group's counts by shard (_n), the shard with the largest; of equal ones, one that a hash decides."""
+    return F.max(F.struct("_n", F.xxhash64("hub", "shard").alias("tie"), "shard"))["shard"]
+
+
+def _settled(state: DataFrame, quota: list[int], pieces: int) -> DataFrame:
+    """state after a last round, in which the rows that are not with most of their group go there by rank, as far as the
+    shard holds them beside its settled rows, whoever else is there; with loose: whether a row may be moved again, as it has
+    no group or has not come to it. Groups larger than a shard are settled where they are."""
+    linked, shards = state.where("hub IS NOT NULL"), len(quota)
+    most = linked.groupBy("hub", "shard").agg(F.count("*").alias("_n")).groupBy("hub").agg(_most().alias("most"))
+    marked = saved(linked.join(most, "hub").withColumn("stray", (F.col("most") != F.col("shard")) & (F.col("copies") <= quota[0])))
+    settled = {r["shard"]: r["n"] for r in marked.where("NOT stray").groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row a shard
+    room = [max(0, quota[j] - settled.get(j, 0)) for j in range(shards)]
+    strays = ranked(marked.where("stray"), ["most"], F.pmod(F.xxhash64("hub"), F.lit(pieces)), ["hub", "id", "uid"], "_r")
+    strays = strays.withColumn("loose", F.col("_r") >= _at(room, F.col("most"), "long"))
+    strays = strays.withColumn("shard", F.when(F.col("loose"), F.col("shard")).otherwise(F.col("most")))
+    own = state.columns
+    out = marked.where("NOT stray").select(*own, F.lit(False).alias("loose")).unionAll(strays.select(*own, "loose"))
+    return saved(out.unionAll(state.where("hub IS NULL").select(*own, F.lit(True).alias("loose"))))
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16, seed: int = 11, rank_rows: int = 100_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (repeated rows each get a slot).
 
@@ -38,8 +60,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16, seed: i
     admitted with which no shard takes in more than its room and what leaves it. Small groups move as one; a group of
     more than a quarter of a shard moves in part, and goes on to the next shard when the first is full. Rounds end when
     nothing proposes to move, or no round of the last three has brought more linked rows to most of their group; 16 at
-    most. Rows without links are the ballast: the last step moves them (then others) from shards above their quota to
-    those below.
+    most. A last round admits by rank, and exactly: see _settled(). Rows without links, or that have not come to their
+    group, are the ballast: the last step moves them (then others) from shards above their quota to those below.
 
     The law is `rows`: counts differ by at most one. size: UTF-8 bytes of the text plus 8 (null: 8). Null texts are
     linked with nothing. No rows: no rows. Other columns are not returned.
@@ -51,21 +73,22 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16, seed: i
         F.crc32(text).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.unhex(F.md5(text))).alias("g"),
     )
-    base = saved(base.withColumn("uid", F.monotonically_increasing_id()))
+    base = base.withColumn("uid", F.monotonically_increasing_id())
+    # Id and text decide where a row goes (its number, where it has no id), however the table is dealt out.
+    base = saved(base.withColumn("id", F.coalesce("doc_id", "uid")))
     n = base.count()
     quota = [n // shards + (j < n % shards) for j in range(shards)]
     # Written, so that the join by text is between two plain shuffles and Spark can split a large group's rows.
     copies = saved(base.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select(F.col("g").alias("hub"), "copies"))
     state = base.join(copies, base["g"] == copies["hub"], "left").drop("g")
-    # Id and text decide where a row starts (its number, where it has no id), however the table is dealt out.
-    start = F.xxhash64(F.coalesce("doc_id", "uid"), "text_crc32", "size", F.lit(seed))
+    start = F.xxhash64("id", "text_crc32", "size", F.lit(seed))
     state = saved(state.withColumn("shard", F.pmod(start, F.lit(shards)).cast("int")))
 
     left: list[int] = []
     for k in range(rounds):
         linked = state.where("hub IS NOT NULL")
         held = linked.groupBy("hub", "shard", "copies").agg(F.count("*").alias("_n"))
-        top = F.max(F.struct("_n", F.xxhash64("hub", "shard").alias("tie"), "shard"))["shard"]
+        top = _most()
         # One row a shard: what linked rows it has, and how many of them have more of their group elsewhere.
         most = held.groupBy("hub").agg(top.alias("most"))
         facts = held.join(most, "hub").groupBy("shard").agg(F.sum("_n").alias("load"), F.sum(F.when((F.col("most") != F.col("shard")) & (F.col("copies") <= quota[0]), F.col("_n")).otherwise(0)).alias("strays"))
@@ -84,16 +107,17 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 16, seed: i
         shares = _admitted(asks, room)
         share = _at([shares.get((i, j), 0.0) for i in range(shards) for j in range(shards)], F.col("shard") * shards + F.col("best"), "double")
         # A group moves as one, unless it is so large that it must move in part.
-        luck = F.when(F.col("copies") * 4 > quota[0], F.xxhash64("uid", F.lit(seed + k))).otherwise(F.xxhash64("hub", F.lit(seed + k)))
+        luck = F.when(F.col("copies") * 4 > quota[0], F.xxhash64("id", F.lit(seed + k))).otherwise(F.xxhash64("hub", F.lit(seed + k)))
         admitted = F.col("moves") & (F.pmod(luck, F.lit(1 << 20)) / float(1 << 20) < share)
         moved = asked.withColumn("shard", F.when(admitted, F.col("best")).otherwise(F.col("shard")))
         state = saved(moved.select(*state.columns).unionAll(state.where("hub IS NULL")))
 
     pieces = max(16, n // (shards * rank_rows) + 1)
+    state = _settled(state, quota, pieces)
     # A group lies together, unless it is too large for one bucket: no bucket has more than rank_rows of one.
-    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("uid"), F.ceil(F.col("copies") / rank_rows)))
-    bucket = F.when(F.col("hub").isNull(), F.lit(pieces)).otherwise(F.lit(0)) + F.pmod(F.xxhash64(F.coalesce(F.hex("hub"), F.col("uid").cast("string")), part), F.lit(pieces))
-    placed = ranked(state, ["shard"], bucket, ["hub", "uid"])
+    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("id"), F.ceil(F.col("copies") / rank_rows)))
+    bucket = F.when(F.col("loose"), F.lit(pieces)).otherwise(F.lit(0)) + F.pmod(F.xxhash64(F.coalesce(F.hex("hub"), F.col("id").cast("string")), part), F.lit(pieces))
+    placed = ranked(state, ["shard"], bucket, ["hub", "id", "uid"])
     count = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     over, lows, starts, gone, free = [], [], [], 0, 0
     for j in range(shards):

@@ -1054,3 +1054,34 @@ print(len(raw), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - low) // 10
 """
     size, grown = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300).stdout.split())
     assert size > 20_000_000 and grown < most, grown
+
+
+def sharded(spark, rows):
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return got, {r["doc_id"]: r["shard"] for r in got}
+
+
+def test_sharding_obeys_its_law_row_by_row(spark):
+    r = random.Random(3)
+    rows = [(i, f"copy {i % 37}" if i % 3 else prose(i, 5)) for i in range(900)] + [(900 + i, "hot") for i in range(450)] + [(2000, None), (2001, ""), (2002, "é日")]
+    r.shuffle(rows)
+    got, shard = sharded(spark, rows)
+    text = dict(rows)
+    for x in got:
+        raw = (text[x["doc_id"]] or "").encode()
+        assert (x["size"], x["text_crc32"], x["law"], x["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+    slots = defaultdict(list)
+    for x in got:
+        slots[x["shard"]].append(x["slot"])
+    assert sorted(slots) == list(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert shard == sharded(spark, rows[::-1])[1]  # however the rows lie
+
+
+def test_sharding_keeps_groups_whole_without_ballast(spark):
+    rows = [(i, f"group {i % 480}") for i in range(4800)]
+    _, shard = sharded(spark, rows)
+    groups = defaultdict(Counter)
+    for i, s in shard.items():
+        groups[i % 480][s] += 1
+    assert sum(max(c.values()) for c in groups.values()) >= 0.9 * len(rows)
