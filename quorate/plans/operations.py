@@ -58,7 +58,7 @@ def written_results(spark: SparkSession, sf_dir: str) -> str:
     """The result files of FILES, of orders as articles and suppliers as companies."""
     at = f"{scratch(spark)} a b"
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    o = table(spark, sf_dir, "orders").join(F.broadcast(s), F.col("o_orderkey") % 40 + 1 == F.col("s_suppkey"))
+    o = table(spark, sf_dir, "orders").join(s, F.col("o_orderkey") % 40 + 1 == F.col("s_suppkey"))
     for name, k, note in FILES:
         why = _WHY.format(key="CAST(o_orderkey AS STRING)", file=f"'{k}'")
         cells = ["CAST(o_orderkey AS STRING) AS article_id", f"{_SHOWN} AS entreprise", "'v4' AS prompt_version", "'ok' AS statut", f"{_GOT} AS {note}", f"{why} AS justification"]
