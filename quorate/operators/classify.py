@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions.text import excerpt, substring_count, windows
+from quorate.operators.blocks import CUTS, token_runs
 from quorate.operators.extraction import context, pooled_argmax, pooled_note, summary
 
 #: Labels and their notes, fixed values; any other label counts as NEUTRAL's note.
@@ -71,37 +72,45 @@ def labelled(df: DataFrame, text: str, classifier: str) -> DataFrame:
     return df.withColumns({"label": F.upper("_l.label"), "confidence": F.col("_l.confidence"), "note": label_note(F.col("_l.label"))}).drop("_l")
 
 
-def sentiment(df: DataFrame, key: str, text: str, classifier: str, block: int = BLOCK) -> DataFrame:
-    """(key, label, note, confidence) of whole texts: blocks of `block` words are labelled and pooled by confidence.
+def sentiment(df: DataFrame, key: str, text: str, classifier: str, block: int = BLOCK, tokenizer: str | None = None) -> DataFrame:
+    """(key, label, note, confidence) of whole texts: blocks of `block` words, or of tokens where a tokenizer file is named,
+    are labelled and pooled by confidence.
 
     A blank or null text is NEUTRAL, 1, 1.0 and is not shown to the model. Keys are unique.
     """
-    pooled = _pooled(df.select(key, text), key, text, classifier, block)
+    pooled = _pooled(df.select(key, text), key, text, classifier, block, tokenizer)
     back = F.create_map(*[F.lit(x) for label, n in LABEL_NOTES.items() for x in (n, label)])
     out = df.select(key).join(pooled, key, "left")
     note = F.coalesce("note", F.lit(LABEL_NOTES["NEUTRAL"]))
     return out.select(key, F.element_at(back, note).alias("label"), note.alias("note"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
 
 
-def _pooled(df: DataFrame, key: str, text: str, classifier: str, block: int = BLOCK) -> DataFrame:
-    """(key, note, confidence) of texts that are not blank."""
+def _runs(df: DataFrame, key: str, text: str, size: int, stride: int, kind: str, tokenizer: str | None) -> DataFrame:
+    """(key, text) of the runs of words of texts that are not blank, or of tokens of the tokenizer file."""
+    if tokenizer:
+        cut = CUTS[kind]._replace(size=size, stride=stride)
+        return token_runs(df, key, text, tokenizer, {kind: cut}).select(key, F.col("text").alias("_text"))
     words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), "")
-    d = df.select(key, words.alias("_w")).where(F.size("_w") > 0)
-    blocks = d.select(key, F.explode(windows(F.col("_w"), block, block)).alias("_b")).select(key, F.array_join("_b.items", " ").alias("_text"))
+    return df.select(key, F.explode(windows(words, size, stride)).alias("_b")).select(key, F.array_join("_b.items", " ").alias("_text"))
+
+
+def _pooled(df: DataFrame, key: str, text: str, classifier: str, block: int = BLOCK, tokenizer: str | None = None) -> DataFrame:
+    """(key, note, confidence) of texts that are not blank."""
+    blocks = _runs(df, key, text, block, block, "block", tokenizer)
     return pooled_note(labelled(blocks, "_text", classifier), key, "note", "confidence")
 
 
-def sentiments(df: DataFrame, key: str, texts: dict[str, Column], classifier: str) -> DataFrame:
+def sentiments(df: DataFrame, key: str, texts: dict[str, Column], classifier: str, tokenizer: str | None = None) -> DataFrame:
     """(key, and a note for each of texts): their blocks are labelled in one pass over df and pooled together. A blank text
     is 1, a null one null; a key all of whose texts are blank or null has no row."""
     parts = F.array(*[F.struct(F.lit(name).alias("part"), text.alias("text")) for name, text in texts.items()])
     rows = df.select(key, F.inline(parts)).where("text IS NOT NULL").select(F.struct(key, "part").alias("_id"), "text")
-    notes = _pooled(rows, "_id", "text", classifier).select(F.col(f"_id.{key}").alias(key), F.col("_id.part").alias("part"), "note")
+    notes = _pooled(rows, "_id", "text", classifier, tokenizer=tokenizer).select(F.col(f"_id.{key}").alias(key), F.col("_id.part").alias("part"), "note")
     return notes.groupBy(key).agg(*[F.max(F.when(F.col("part") == name, F.col("note"))).alias(name) for name in texts])
 
 
-def second_note(df: DataFrame, key: str, text: str, classifier: str) -> DataFrame:
-    """(key, note): windows of words are judged, their probabilities averaged by each window's highest one; the likeliest
+def second_note(df: DataFrame, key: str, text: str, classifier: str, tokenizer: str | None = None) -> DataFrame:
+    """(key, note): windows of words (or of the tokenizer file's tokens) are judged, their probabilities averaged by each window's highest one; the likeliest
     note. A blank or null text gives no row. Keys are unique."""
     make = SECOND[classifier]
 
@@ -111,8 +120,7 @@ def second_note(df: DataFrame, key: str, text: str, classifier: str) -> DataFram
         for b in batches:
             yield pd.Series(model.probabilities(list(b)))
 
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), "")
-    parts = df.select(key, F.explode(windows(words, WINDOW, STRIDE)).alias("_w")).select(key, run(F.array_join("_w.items", " ")).alias("_p"))
+    parts = _runs(df, key, text, WINDOW, STRIDE, "overlap", tokenizer).select(key, run("_text").alias("_p"))
     return pooled_argmax(parts, key, "_p", F.array_max("_p")).select(key, F.col("place").cast("int").alias("note"))
 
 
@@ -123,11 +131,12 @@ def article_kind(title: Column, content: Column, name: Column) -> Column:
     return F.when(inside & (n > 1), "dedicated").when(inside, "dedicated_single").otherwise("general")
 
 
-def classified(pairs: DataFrame, classifier: str) -> DataFrame:
+def classified(pairs: DataFrame, classifier: str, tokenizer: str | None = None) -> DataFrame:
     """pairs (pair_id, title, content, name) -> pair_id, kind, note_tfidf, note_targeted, note_full, resume.
 
     The notes of the summary and of the whole text; for the target that of the sentences about the name, or NOT_ASKED in
-    dedicated articles. Pairs without any text give no row. pair_ids are unique.
+    dedicated articles. Pairs without any text give no row. pair_ids are unique. Blocks are of words, or of the tokens of a
+    tokenizer file.
     """
     text = F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
     d = pairs.select("pair_id", "name", text.alias("text"), article_kind(F.col("title"), F.col("content"), F.col("name")).alias("kind")).where("length(text) > 0")
@@ -135,22 +144,22 @@ def classified(pairs: DataFrame, classifier: str) -> DataFrame:
     dedicated = F.col("kind") == "dedicated"
     texts = {"note_tfidf": F.col("summary"), "note_full": F.col("text"), "note_targeted": F.when(~dedicated, context(F.col("text"), F.col("name")))}
     whole = d.join(short, "pair_id")
-    notes = sentiments(whole, "pair_id", texts, classifier)
+    notes = sentiments(whole, "pair_id", texts, classifier, tokenizer)
     out = whole.select("pair_id", "kind", "summary").join(notes, "pair_id", "left")
     neutral = F.lit(LABEL_NOTES["NEUTRAL"])
     target = F.when(dedicated, F.lit(NOT_ASKED)).otherwise(F.coalesce("note_targeted", neutral))
     return out.select("pair_id", "kind", F.coalesce("note_tfidf", neutral).alias("note_tfidf"), target.alias("note_targeted"), F.coalesce("note_full", neutral).alias("note_full"), F.col("summary").alias("resume"))
 
 
-def comparison(pairs: DataFrame, classifier: str, second: str) -> DataFrame:
+def comparison(pairs: DataFrame, classifier: str, second: str, tokenizer: str | None = None, second_tokenizer: str | None = None) -> DataFrame:
     """The rows of comparison files: pairs (pair_id, article_id, company_id, title, content, name) with the notes of both
     classifiers. The second one judges a dedicated article as a whole (note_gpu, and divergence_full from the first one's
     note), any other by its context and as a whole (note_targeted_gpu, note_full_gpu). Texts are cut for display."""
     text = F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
-    d = pairs.withColumn("_text", text).join(classified(pairs, classifier), "pair_id")
-    whole = second_note(d, "pair_id", "_text", second).select("pair_id", F.col("note").alias("_whole"))
+    d = pairs.withColumn("_text", text).join(classified(pairs, classifier, tokenizer), "pair_id")
+    whole = second_note(d, "pair_id", "_text", second, second_tokenizer).select("pair_id", F.col("note").alias("_whole"))
     about = d.where("kind <> 'dedicated'").select("pair_id", context(F.col("_text"), F.col("name")).alias("_about"))
-    about = second_note(about, "pair_id", "_about", second).select("pair_id", F.col("note").alias("_target"))
+    about = second_note(about, "pair_id", "_about", second, second_tokenizer).select("pair_id", F.col("note").alias("_target"))
     d = d.join(whole, "pair_id", "left").join(about, "pair_id", "left")
     dedicated = F.col("kind") == "dedicated"
     both = ~dedicated & F.col("_target").isNotNull()

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorate.functions import text as T
+from quorate.operators import blocks, state
 from quorate.operators import extraction as E
 from quorate.operators import mentions as M
 from quorate.operators import selection as S
-from quorate.operators import state
 from quorate.sources.files import rater_of_file, version_of_file
 from quorate.sources.shared import table
 
@@ -90,6 +90,14 @@ def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "kind", F.col("c.start").cast("long").alias("start"), F.size("c.items").cast("long").alias("n"))
 
 
+def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and windows of the tokens of a public tokenizer's file, with what a classifier would see of each."""
+    import public_tokenizers
+
+    runs = blocks.token_runs(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+    return runs.select("doc_id", "kind", F.col("start").cast("long").alias("start"), F.size("ids").cast("long").alias("n"), F.md5("text").alias("text_md5"))
+
+
 def chunk_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = text_chunks(spark, sf_dir).where("kind = 'overlap'").withColumns({"note": (F.col("n") % 3).cast("int"), "confidence": (1 + F.col("start") % 7) / F.lit(8.0)})
     return E.pooled_note(c, "doc_id", "note", "confidence")
@@ -130,6 +138,7 @@ QUERIES = {
     "sentence_scores": lambda s, d: E.sentence_scores(table(s, d, "documents")).select("doc_id", F.col("pos").cast("int").alias("pos"), F.round("score", 6).alias("score")),
     "target_context": lambda s, d: table(s, d, "documents").select("doc_id", E.context(F.col("text"), F.lit("Que")).alias("context")),
     "token_chunks": text_chunks,
+    "token_blocks": token_blocks,
     "chunk_pooling": chunk_pooling,
     "prob_pooling": prob_pooling,
     "article_class": article_class,

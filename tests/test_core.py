@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorate.config import EngineConfig
-from quorate.operators import agreement, classify, extraction, ledger, mentions, selection, state
-from quorate.plans import operations
+from quorate.operators import agreement, blocks, classify, extraction, ledger, mentions, selection, state
+from quorate.plans import operations, texts
 from quorate.sources import files, shared
 from quorate.streaming import collector
 
@@ -150,6 +150,62 @@ def test_classifier_notes(spark):
     assert len(kinds) == 3
 
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    return path, tokenizers.Tokenizer.from_file(path)
+
+
+def plain_runs(t, text, size, stride):
+    """(start, ids, text) of the runs of a text's tokens."""
+    ids = t.encode(text, add_special_tokens=False).ids
+    if len(ids) <= size:
+        return [(0, ids, text)]
+    return [(a, ids[a : a + size], t.decode(ids[a : a + size])) for a in range(0, len(ids), stride)]
+
+
+def test_token_blocks(spark, tokenizer):
+    import hashlib
+
+    got = sorted(tuple(r) for r in texts.token_blocks(spark, SF).collect())
+    want = []
+    for r in shared.table(spark, SF, "documents").collect():
+        for kind, size, stride in (("block", 500, 500), ("overlap", 512, 462)):
+            if r["text"] and r["text"].strip():
+                want += [(r["doc_id"], kind, a, len(ids), hashlib.md5(t.encode()).hexdigest()) for a, ids, t in plain_runs(tokenizer[1], r["text"], size, stride)]
+    assert got == sorted(want) and any(r[2] for r in got)
+
+
+def test_token_runs_of_awkward_texts(spark, tokenizer, monkeypatch):
+    path, t = tokenizer
+    monkeypatch.setattr(blocks, "HELD", 40)
+    rows = [(1, None), (2, ""), (3, " \n\u00a0"), (4, "one"), (4, "two"), (None, "no id"), (5, "\U0001f9ea" * 30), (6, "word " * 200), (7, "x" * 200_000), (8, "a <|endoftext|> b " * 9)]
+    cuts = {"block": blocks.Cut(10, 10, False), "overlap": blocks.Cut(12, 7, True)}
+    got = blocks.token_runs(spark.createDataFrame([(i, x, "k") for i, x in rows], "id long, text string, kind string"), "id", "text", path, cuts)
+    want = [(i, kind, a, ids, said) for i, x in rows[3:] for kind, c in cuts.items() for a, ids, said in plain_runs(t, x, c.size, c.stride)]
+    order = lambda found: sorted(map(repr, found))
+    assert order(tuple(r) for r in got.collect()) == order(want)
+    none = blocks.token_runs(spark.createDataFrame([], "id long, text string"), "id", "text", path)
+    assert none.count() == 0 and none.columns == ["id", "kind", "start", "ids", "text"]
+
+
+def test_notes_by_tokens(spark, tokenizer):
+    path, t = tokenizer
+    rows = [(1, "ab " * 1300), (2, "short"), (3, None), (4, " "), (5, "\u00e9t\u00e9, l'action monte. " * 400)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: (r["note"], r["confidence"]) for r in classify.sentiment(df, "id", "text", "length", tokenizer=path).collect()}
+    second = {r["id"]: r["note"] for r in classify.second_note(df, "id", "text", "length", path).collect()}
+    assert got[3] == got[4] == (1, 1.0) and second.keys() == {1, 2, 5}
+    for i in (1, 2, 5):
+        text = rows[i - 1][1]
+        said = [((0, 1, 2, 1)[len(x) % 4], (1 + len(x) % 7) / 8) for _, _, x in plain_runs(t, text, 500, 500)]
+        assert got[i] == (round(sum(n * c for n, c in said) / sum(c for _, c in said)), pytest.approx(sum(c for _, c in said) / len(said)))
+        probs = classify.LengthProbabilities().probabilities([x for _, _, x in plain_runs(t, text, 512, 462)])
+        mean = [round(sum(max(p) * p[k] for p in probs) / sum(map(max, probs)), 6) for k in range(3)]
+        assert second[i] == mean.index(max(mean))
+
+
 def test_comparison_file(spark):
     def second(t):
         w = t.split()

@@ -12,5 +12,5 @@ def test_same_rows(spark, name):
 
 
 def test_every_query_has_sql():
-    # Both pool labels of blocks of words; test_core.py compares them with plain Python.
-    assert plans.QUERIES.keys() - plans.ORACLE_SQL.keys() == {"classifier_notes", "comparison_file"}
+    # Two pool labels of blocks of words, one cuts by a tokenizer file; test_core.py compares them with plain Python.
+    assert plans.QUERIES.keys() - plans.ORACLE_SQL.keys() == {"classifier_notes", "comparison_file", "token_blocks"}
