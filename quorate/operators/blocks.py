@@ -32,7 +32,7 @@ def token_runs(df: DataFrame, key: str, text: str, path: str, cuts: dict[str, Cu
     What fits into one run is one run, with the text as it is; the text of any other is its ids decoded without special
     tokens, so a character that a cut parts comes as U+FFFD. Runs at the end may be shorter. Blank and null texts have none;
     repeated keys each have theirs. `path` is read by every task: it lies on each machine, or in a shared folder. A text is
-    encoded whole, in about 200 bytes a token.
+    encoded whole: one of 6 MB took 800 MB, about 560 bytes a token.
     """
     names = [key, "kind", "start", "ids", "text"]
     kinds = [df.schema[key].dataType, StringType(), IntegerType(), ArrayType(IntegerType(), False), StringType()]
