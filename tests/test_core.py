@@ -1,8 +1,10 @@
 """Operators where SQL over the driver's tables says too little: large counts, repeated rows, paths by size, plain Python."""
 
 import json
+import math
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +125,31 @@ def test_context_is_right_and_linear(spark):
     assert took[1] < 5
 
 
+def plain_scores(t):
+    said = [re.findall(r"\w\w+", s.lower()) for s in split(t)]
+    df = Counter(w for s in said for w in set(s))
+    out = []
+    for s in said:
+        w = [n * (math.log((1 + len(said)) / (1 + df[x])) + 1) for x, n in Counter(s).items()]
+        out.append(sum(w) / math.sqrt(sum(x * x for x in w)) if w else 0.0)
+    return out
+
+
+def test_scores_are_made_where_a_text_lies(spark):
+    rows = [(1, None), (2, ""), (3, "a. b! c?"), (4, "One two two. Two que three!  \n \u00c9t\u00e9 que. x y. One two two."), (4, "same id. other text."), (None, "no id. at all."), (5, "w1 w2. w2 w3. " * 700), (6, " ")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    found = extraction.sentence_scores(df, "id", name=F.lit("QUE"))
+    got = sorted((repr(r["id"]), r["pos"], r["n"], r["named"], round(r["score"], 9)) for r in found.collect())
+    want = [(repr(i), k, len(split(t)), "que" in split(t)[k].lower(), round(s, 9)) for i, t in rows if t is not None for k, s in enumerate(plain_scores(t))]
+    assert got == sorted(want) and found.columns == ["id", "pos", "n", "named", "score"]
+    assert extraction.sentence_scores(df.where("false"), "id").count() == 0
+    # No words are sorted or shuffled, so what a task holds does not grow with its partition.
+    docs = shared.table(spark, SF, "documents")
+    for made in (extraction.sentence_scores(docs), extraction.summary(docs, F.lit("que"))):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in ("Exchange", "Sort", "Aggregate", "Window") if x in plan], plan
+
+
 def test_classifier_notes(spark):
     def label(t):
         return (0, 1, 2, 1)[len(t) % 4], (1 + len(t) % 7) / 8
