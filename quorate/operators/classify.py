@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quorate.functions.text import excerpt, substring_count, windows
 from quorate.operators.blocks import CUTS, token_runs
-from quorate.operators.extraction import context, pooled_argmax, pooled_note, summary
+from quorate.operators.extraction import context, pooled_argmax, pooled_note, with_summary
+from quorate.sources.shared import saved
 
 #: Labels and their notes, fixed values; any other label counts as NEUTRAL's note.
 LABEL_NOTES = {"POSITIVE": 2, "NEUTRAL": 1, "NEGATIVE": 0}
@@ -90,8 +91,9 @@ def _runs(df: DataFrame, key: str, text: str, size: int, stride: int, kind: str,
     if tokenizer:
         cut = CUTS[kind]._replace(size=size, stride=stride)
         return token_runs(df, key, text, tokenizer, {kind: cut}).select(key, F.col("text").alias("_text"))
-    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), "")
-    return df.select(key, F.explode(windows(words, size, stride)).alias("_b")).select(key, F.array_join("_b.items", " ").alias("_text"))
+    # The words are a column of their own: a text is split once, not once more for each of its windows.
+    words = df.select(key, F.array_remove(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+", -1), "").alias("_w"))
+    return words.select(key, F.explode(windows(F.col("_w"), size, stride)).alias("_b")).select(key, F.array_join("_b.items", " ").alias("_text"))
 
 
 def _pooled(df: DataFrame, key: str, text: str, classifier: str, block: int = BLOCK, tokenizer: str | None = None) -> DataFrame:
@@ -100,13 +102,22 @@ def _pooled(df: DataFrame, key: str, text: str, classifier: str, block: int = BL
     return pooled_note(labelled(blocks, "_text", classifier), key, "note", "confidence")
 
 
+def _parts(df: DataFrame, key: str, texts: dict[str, Column]) -> DataFrame:
+    """(_id: struct<key, part>, text) of the texts that are not null."""
+    parts = F.array(*[F.struct(F.lit(name).alias("part"), text.alias("text")) for name, text in texts.items()])
+    return df.select(key, F.inline(parts)).where("text IS NOT NULL").select(F.struct(key, "part").alias("_id"), "text")
+
+
+def _by_part(notes: DataFrame, key: str, names: Iterable[str]) -> DataFrame:
+    """(key, and a column for each of names) of (_id, note)."""
+    notes = notes.select(F.col(f"_id.{key}").alias(key), F.col("_id.part").alias("part"), "note")
+    return notes.groupBy(key).agg(*[F.max(F.when(F.col("part") == name, F.col("note"))).alias(name) for name in names])
+
+
 def sentiments(df: DataFrame, key: str, texts: dict[str, Column], classifier: str, tokenizer: str | None = None) -> DataFrame:
     """(key, and a note for each of texts): their blocks are labelled in one pass over df and pooled together. A blank text
     is 1, a null one null; a key all of whose texts are blank or null has no row."""
-    parts = F.array(*[F.struct(F.lit(name).alias("part"), text.alias("text")) for name, text in texts.items()])
-    rows = df.select(key, F.inline(parts)).where("text IS NOT NULL").select(F.struct(key, "part").alias("_id"), "text")
-    notes = _pooled(rows, "_id", "text", classifier, tokenizer=tokenizer).select(F.col(f"_id.{key}").alias(key), F.col("_id.part").alias("part"), "note")
-    return notes.groupBy(key).agg(*[F.max(F.when(F.col("part") == name, F.col("note"))).alias(name) for name in texts])
+    return _by_part(_pooled(_parts(df, key, texts), "_id", "text", classifier, tokenizer=tokenizer), key, texts)
 
 
 def second_note(df: DataFrame, key: str, text: str, classifier: str, tokenizer: str | None = None) -> DataFrame:
@@ -140,12 +151,13 @@ def classified(pairs: DataFrame, classifier: str, tokenizer: str | None = None)
     """
     text = F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
     d = pairs.select("pair_id", "name", text.alias("text"), article_kind(F.col("title"), F.col("content"), F.col("name")).alias("kind")).where("length(text) > 0")
-    short = summary(d, F.col("name"), key="pair_id")
+    # Summaries are written once, as they are labelled and returned. Texts are not: their rows lie where they are read.
+    short = saved(with_summary(d, F.col("name")).select("pair_id", "kind", "summary"))
     dedicated = F.col("kind") == "dedicated"
-    texts = {"note_tfidf": F.col("summary"), "note_full": F.col("text"), "note_targeted": F.when(~dedicated, context(F.col("text"), F.col("name")))}
-    whole = d.join(short, "pair_id")
-    notes = sentiments(whole, "pair_id", texts, classifier, tokenizer)
-    out = whole.select("pair_id", "kind", "summary").join(notes, "pair_id", "left")
+    texts = {"note_full": F.col("text"), "note_targeted": F.when(~dedicated, context(F.col("text"), F.col("name")))}
+    rows = _parts(d, "pair_id", texts).unionByName(_parts(short, "pair_id", {"note_tfidf": F.col("summary")}))
+    notes = _by_part(_pooled(rows, "_id", "text", classifier, tokenizer=tokenizer), "pair_id", ["note_tfidf", *texts])
+    out = short.join(notes, "pair_id", "left")
     neutral = F.lit(LABEL_NOTES["NEUTRAL"])
     target = F.when(dedicated, F.lit(NOT_ASKED)).otherwise(F.coalesce("note_targeted", neutral))
     return out.select("pair_id", "kind", F.coalesce("note_tfidf", neutral).alias("note_tfidf"), target.alias("note_targeted"), F.coalesce("note_full", neutral).alias("note_full"), F.col("summary").alias("resume"))
@@ -156,11 +168,12 @@ def comparison(pairs: DataFrame, classifier: str, second: str, tokenizer: str |
     classifiers. The second one judges a dedicated article as a whole (note_gpu, and divergence_full from the first one's
     note), any other by its context and as a whole (note_targeted_gpu, note_full_gpu). Texts are cut for display."""
     text = F.trim(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))))
-    d = pairs.withColumn("_text", text).join(classified(pairs, classifier, tokenizer), "pair_id")
-    whole = second_note(d, "pair_id", "_text", second, second_tokenizer).select("pair_id", F.col("note").alias("_whole"))
-    about = d.where("kind <> 'dedicated'").select("pair_id", context(F.col("_text"), F.col("name")).alias("_about"))
-    about = second_note(about, "pair_id", "_about", second, second_tokenizer).select("pair_id", F.col("note").alias("_target"))
-    d = d.join(whole, "pair_id", "left").join(about, "pair_id", "left")
+    d = pairs.withColumns({"_text": text, "_kind": article_kind(F.col("title"), F.col("content"), F.col("name"))})
+    about = F.when(F.col("_kind") != "dedicated", context(F.col("_text"), F.col("name")))
+    judged = _by_part(second_note(_parts(d, "pair_id", {"_whole": F.col("_text"), "_target": about}), "_id", "text", second, second_tokenizer), "pair_id", ["_whole", "_target"])
+    # What is shown of a text is cut before rows are joined, so no text is shuffled whole.
+    shown = d.select("pair_id", "article_id", "company_id", "name", "title", excerpt(F.col("_text"), 500, "").alias("texte_brut"))
+    d = shown.join(classified(pairs, classifier, tokenizer), "pair_id").join(judged, "pair_id", "left")
     dedicated = F.col("kind") == "dedicated"
     both = ~dedicated & F.col("_target").isNotNull()
     names = F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv])
@@ -168,7 +181,7 @@ def comparison(pairs: DataFrame, classifier: str, second: str, tokenizer: str |
     return d.select(
         "article_id", "company_id", F.col("name").alias("company_name"), F.element_at(names, F.col("kind")).alias("type"), F.coalesce("title", F.lit("")).alias("titre"),
         "note_tfidf", "note_targeted", "note_full", alone.alias("note_gpu"), F.when(both, F.col("_target")).alias("note_targeted_gpu"), F.when(both, F.col("_whole")).alias("note_full_gpu"),
-        F.abs(F.col("note_full") - alone).alias("divergence_full"), excerpt(F.col("resume"), 300, "").alias("resume"), excerpt(F.col("_text"), 500, "").alias("texte_brut"),
+        F.abs(F.col("note_full") - alone).alias("divergence_full"), excerpt(F.col("resume"), 300, "").alias("resume"), "texte_brut",
     )
 
 

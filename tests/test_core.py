@@ -150,6 +150,16 @@ def test_scores_are_made_where_a_text_lies(spark):
         assert not [x for x in ("Exchange", "Sort", "Aggregate", "Window") if x in plan], plan
 
 
+def test_windows_of_a_text_take_linear_time(spark):
+    took = []
+    for n in (1_000, 250_000):
+        df = spark.range(1).select("id", F.repeat(F.lit("some words "), n).alias("text"))
+        began = time.time()
+        assert classify.sentiment(df, "id", "text", "length").count() == 1 and classify.second_note(df, "id", "text", "length").count() == 1
+        took.append(time.time() - began)
+    assert took[1] < 12, took
+
+
 def test_classifier_notes(spark):
     def label(t):
         return (0, 1, 2, 1)[len(t) % 4], (1 + len(t) % 7) / 8
