@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from quorate.functions.tokens import decodes, encoders, latin
+from quorate.sources.shared import lean
+
 #: Tokens of finished runs that a task holds before it gives them on.
 HELD = 1 << 18
 
@@ -31,18 +34,18 @@ def token_runs(df: DataFrame, key: str, text: str, path: str, cuts: dict[str, Cu
 
     What fits into one run is one run, with the text as it is; the text of any other is its ids decoded without special
     tokens, so a character that a cut parts comes as U+FFFD. Runs at the end may be shorter. Blank and null texts have none;
-    repeated keys each have theirs. `path` is read by every task: it lies on each machine, or in a shared folder. A text is
+    repeated keys each have theirs. Texts of Latin letters are encoded and decoded by tiktoken where that says what the file
+    says (quorate/functions/tokens.py). `path` is read by every task: it lies on each machine, or in a shared folder. A text is
     encoded whole: one of 6 MB took 800 MB, about 560 bytes a token.
     """
     names = [key, "kind", "start", "ids", "text"]
     kinds = [df.schema[key].dataType, StringType(), IntegerType(), ArrayType(IntegerType(), False), StringType()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
+        t, quick, names_special = encoders(path)
+        added = t.num_special_tokens_to_add(False) if any(c.special for c in cuts.values()) else 0
+        if added or not decodes(path):
+            quick = None
         for batch in batches:
             rows, held = [], 0
 
@@ -53,7 +56,12 @@ def token_runs(df: DataFrame, key: str, text: str, path: str, cuts: dict[str, Cu
 
             for i in range(batch.num_rows):
                 whole = batch.column(1)[i].as_py()
-                coded = {s: t.encode(whole, add_special_tokens=s).ids for s in {c.special for c in cuts.values()}}
+                fast = quick is not None and latin(whole, names_special)
+                coded = {False: quick.encode_ordinary(whole)} if fast else {}
+                if not fast:  # encoded once: the tokens around a text are put there afterwards
+                    plain = t.encode(whole, add_special_tokens=False)
+                    coded[False] = plain.ids
+                coded[True] = t.post_process(plain, None, True).ids if added else coded[False]
                 for kind, (size, stride, special) in cuts.items():
                     ids = coded[special]
                     if len(ids) <= size:
@@ -62,7 +70,7 @@ def token_runs(df: DataFrame, key: str, text: str, path: str, cuts: dict[str, Cu
                         continue
                     for a in range(0, len(ids), stride):
                         part = ids[a : a + size]
-                        rows.append((i, kind, a, part, t.decode(part, skip_special_tokens=True)))
+                        rows.append((i, kind, a, part, quick.decode(part) if fast else t.decode(part, skip_special_tokens=True)))
                         held += len(part)
                         if held >= HELD:
                             yield told()
@@ -71,5 +79,5 @@ def token_runs(df: DataFrame, key: str, text: str, path: str, cuts: dict[str, Cu
             if rows:
                 yield told()
 
-    given = df.select(key, F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
+    given = lean(df).select(key, F.col(text).alias("text")).where(F.col("text").rlike(r"(?U)\S"))
     return given.mapInArrow(run, StructType([StructField(n, k) for n, k in zip(names, kinds, strict=True)]))

@@ -227,6 +227,29 @@ def test_token_runs_of_awkward_texts(spark, tokenizer, monkeypatch):
     assert none.count() == 0 and none.columns == ["id", "kind", "start", "ids", "text"]
 
 
+def test_token_runs_encode_a_text_once(spark, tokenizer, tmp_path, monkeypatch):
+    import tokenizers
+
+    path, t = tokenizer
+    # Latin texts are done by the quick encoder, which says the same, characters that a cut parts included.
+    rows = [(1, "\u00e9t\u00e9 \u017b\u00f3\u0142w 50 \u00bfqu\u00e9? don't  \n\n x" * 20), (2, "\U0001f9ea\u4e2d" * 30), (3, "a <|endoftext|> b " * 9)]
+    cuts = {"block": blocks.Cut(7, 7, False), "overlap": blocks.Cut(9, 5, True)}
+    got = blocks.token_runs(spark.createDataFrame(rows, "id long, text string"), "id", "text", path, cuts)
+    want = [(i, kind, a, ids, said) for i, x in rows for kind, c in cuts.items() for a, ids, said in plain_runs(t, x, c.size, c.stride)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    # A file that puts tokens around a text.
+    around = tokenizers.Tokenizer.from_file(path)
+    around.post_processor = tokenizers.processors.TemplateProcessing(single="<s> $A </s>", special_tokens=[("<s>", 0), ("</s>", 2)])
+    around.save(str(tmp_path / "around.json"))
+    around = tokenizers.Tokenizer.from_file(str(tmp_path / "around.json"))
+    got = blocks.token_runs(spark.createDataFrame(rows, "id long, text string"), "id", "text", str(tmp_path / "around.json"), cuts)
+    for r in got.collect():
+        ids = around.encode(dict(rows)[r["id"]], add_special_tokens=r["kind"] == "overlap").ids
+        c = cuts[r["kind"]]
+        assert r["ids"] == ids[r["start"] : r["start"] + c.size] and r["text"] == around.decode(r["ids"], skip_special_tokens=True)
+        assert r["kind"] == "block" or r["start"] or r["ids"][0] == 0
+
+
 def test_notes_by_tokens(spark, tokenizer):
     path, t = tokenizer
     rows = [(1, "ab " * 1300), (2, "short"), (3, None), (4, " "), (5, "\u00e9t\u00e9, l'action monte. " * 400)]
