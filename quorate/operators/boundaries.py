@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quorate.sources.shared import saved
+
 #: White space, what may stand around a word, and the least score of an abbreviation: fixed values of the method.
 SPACE = r"[ \t\n\x0B\f\r]"
 AROUND = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$"
+#: AROUND, of each word of a text.
+AROUND_EACH = r"(?<![^ \t\n\x0B\f\r])[^\p{L}\p{N} \t\n\x0B\f\r]++|(?<=[\p{L}\p{N}.])[^\p{L}\p{N}. \t\n\x0B\f\r]++(?![^ \t\n\x0B\f\r])"
 LEAST = 0.3
 #: Share of a true abbreviation's occurrences that have the period.
 CERTAIN = 0.99
@@ -32,15 +36,19 @@ def _typed(bare: Column) -> Column:
 
 def word_types(docs: DataFrame, text: str = "text") -> DataFrame:
     """(type, dotted, plain): how often each word of the corpus has a period at its end, and how often not."""
-    tokens = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(F.col(text), SPACE + "+")).alias("_t"))
-    words = tokens.select(_bare(F.col("_t")).alias("_b"))
+    # What stands around words is taken off a whole text at once, not word by word.
+    bare = F.regexp_replace(F.lower(text), AROUND_EACH, "")
+    words = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(bare, SPACE + "+")).alias("_b"))
     dot = F.endswith("_b", F.lit("."))
-    words = words.select(_typed(F.col("_b")).alias("type"), dot.alias("_dot")).where(F.length("type") > 0)
-    return words.groupBy("type").agg(F.count_if("_dot").alias("dotted"), F.count_if(~F.col("_dot")).alias("plain"))
+    words = words.select(F.when(dot, F.substring("_b", F.lit(1), F.length("_b") - 1)).otherwise(F.col("_b")).alias("type"), dot.alias("_dot"))
+    counts = words.groupBy("type").agg(F.count_if("_dot").alias("dotted"), F.count_if(~F.col("_dot")).alias("plain"))
+    return counts.where(F.length("type") > 0)
 
 
 def abbreviations(types: DataFrame, least: float = LEAST) -> DataFrame:
-    """(type, dotted, plain, score) of the types that have a letter and score at least `least`."""
+    """(type, dotted, plain, score) of the types that have a letter and score at least `least`. types are written once, as
+    they are read for their sums and for their scores."""
+    types = saved(types)
     all_ = types.agg(F.sum(F.col("dotted") + F.col("plain")).alias("n"), F.sum("dotted").alias("d")).first()
     n, d = all_["n"] or 0, all_["d"] or 0
     if not d or d == n:
@@ -62,8 +70,10 @@ def sentences(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str
     pieces = F.split(F.col(text), rf"(?<=[.!?])(?={SPACE})", -1)
     rows = docs.where(F.col(text).isNotNull()).select(key, pieces.alias("_p"))
     rows = rows.select(key, F.posexplode(F.arrays_zip("_p", F.slice("_p", 2, F.size("_p")).alias("_q"))).alias("_at", "_x")).select(key, "_at", "_x.*")
-    last = _bare(F.element_at(F.split(F.rtrim("_p"), SPACE + "+"), -1))
-    rows = rows.select(key, "_at", "_p", F.endswith("_p", F.lit(".")).alias("_dot"), _typed(last).alias("_type"), F.coalesce(F.col("_q").rlike(rf"^{SPACE}+\p{{Ll}}"), F.lit(False)).alias("_small"))
+    # Only a piece that ends with a period can go on, and so only its last word is looked at, not the words before.
+    dot = F.endswith("_p", F.lit("."))
+    last = F.when(dot, _bare(F.element_at(F.split(F.substring_index("_p", " ", -1), SPACE + "+"), -1)))
+    rows = rows.select(key, "_at", "_p", dot.alias("_dot"), _typed(last).alias("_type"), F.coalesce(F.col("_q").rlike(rf"^{SPACE}+\p{{Ll}}"), F.lit(False)).alias("_small"))
     few = known.select(F.col("type").alias("_known")).distinct()
     few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
     rows = rows.join(few, F.col("_type") == F.col("_known"), "left")

@@ -154,6 +154,21 @@ def test_sentences_end_where_the_corpus_says(spark):
         assert [s.rstrip() for s in plain_sentences(t or "", found)] == want
 
 
+def test_words_of_a_text_are_bared_as_one_by_one(spark, monkeypatch):
+    r = random.Random(5)
+    texts = ["".join(r.choice("aB\u00c9\u03a39.,)(\u00ab\u2028\u0085\U0001f9ea \n\t-") for _ in range(60)) for _ in range(400)] + ["", " ", None, "x" + ")" * 4_000 + "y", "." * 4_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    tokens = df.where("text IS NOT NULL").select(F.explode(F.split("text", boundaries.SPACE + "+")).alias("t")).select(boundaries._bare(F.col("t")).alias("b"))
+    want = tokens.groupBy(boundaries._typed(F.col("b")).alias("type")).agg(F.count_if(F.col("b").endswith(".")).alias("dotted"), F.count_if(~F.col("b").endswith(".")).alias("plain")).where("type <> ''")
+    got = boundaries.word_types(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+    # The words of the corpus are counted once, and written; sums and scores are of what is written.
+    asked = []
+    monkeypatch.setattr(boundaries, "saved", lambda x: asked.append(x) or shared.saved(x))
+    plan = boundaries.abbreviations(boundaries.word_types(spark.createDataFrame([("M. a b. M. c",)], "text string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 1 and "Generate" not in plan
+
+
 def test_no_periods_no_abbreviations(spark):
     d = spark.createDataFrame([(1, "no period here"), (2, None)], "doc_id long, text string")
     assert boundaries.abbreviations(boundaries.word_types(d)).collect() == []
