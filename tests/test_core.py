@@ -365,6 +365,42 @@ def test_result_files_in_blocks(spark, block):
     assert [(f, v) for f, _, v in got] == sorted((w for w in want if "short" not in w[0]), key=lambda w: w[0])
 
 
+def test_result_file_of_parts_and_headers_read_alone(spark, monkeypatch):
+    at = f"{shared.scratch(spark)} p 5%"
+    row = lambda i: [(F.concat(F.lit('say "'), i, F.lit('",\nx')) if c == "justification" else i).alias(c) for c in files.RESULT_COLUMNS]
+    rows = spark.range(0, 400, 1, 5).select(*row(F.col("id").cast("string")))
+    files.write_results(rows, f"{at}/resultats_haiku_V4 a.csv")
+    files.write_results(rows.limit(0), f"{at}/resultats_llm_none.csv")
+    paths = files.resolved(spark, [f"{at}/*.csv"])
+    assert [len(files.parts_of(spark, p)) for p in paths] == [5, 1]
+    read = []
+    monkeypatch.setattr(files, "_lines", lambda *a, real=files._lines: read.append(a) or real(*a))
+    assert [(x["file"], x["rater"], x["usable"]) for x in files.result_files(spark, paths).collect()] == [("resultats_haiku_V4 a.csv", "haiku", True), ("resultats_llm_none.csv", "lama", True)]
+    assert not read  # of a file's lines only the first is read for its header
+    got = files.read_results(spark, paths).orderBy("file_ord", "row_ord").select("file", "rater", "article_id", "justification").collect()
+    assert [tuple(x) for x in got] == [("resultats_haiku_V4 a.csv", "haiku", str(i), f'say "{i}",\nx') for i in range(400)]
+    empty = f"{at}/resultats_llm_empty.csv"
+    fs, p = shared.file_system(spark, empty)
+    fs.create(p).close()
+    assert shared.first_line(spark, empty) is None
+
+
+def test_result_files_are_written_by_many_tasks(spark, tmp_path):
+    for name in ("orders", "supplier"):
+        shared.table(spark, SF, name).repartition(6 if name == "orders" else 1).write.parquet(f"{tmp_path}/{name}.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "8k")
+    try:
+        at = operations.written_results(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    paths = files.resolved(spark, [f"{at}/*.csv"])
+    assert [p.rsplit("/", 1)[-1] for p in paths] == [f[0] for f in operations.FILES]
+    assert all(len(files.parts_of(spark, p)) > 1 for p in paths)
+
+
 def test_large_result_file_is_read_by_many_tasks(spark):
     import duckdb
 
