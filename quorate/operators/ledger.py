@@ -2,7 +2,8 @@
 
 Below `path`:
   runs/R              who rates a run of requests, in which version
-  requests/run=R/chunk=K   what is asked, written once for a whole run; a chunk is what one call to the rater takes
+  asked/run=R         what is asked, with its chunk: written once for a whole run, each file by chunk; a chunk is what one
+                      call to the rater takes. (requests/run=R/chunk=K in ledgers from before; they are read too)
   members/run=R       for batches that were found at the rater: all ids they have, with a request here or without
   events/R-K/N        what became of batch K of run R: one file for each change of state
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterable, Iterator
 from typing import Protocol
 
 from py4j.protocol import Py4JJavaError
@@ -34,6 +36,8 @@ FOLLOWS = {None: (INTENDED, SUBMITTED), INTENDED: (SUBMITTED, REFUSED), REFUSED:
 TAKEN = (SUBMITTED, COLLECTED, FAILED)
 REQUEST = "custom_id string, article_id long, company_id long, company string, text string"
 PLAIN = ["custom_id", "article_id", "company_id", "company", "text"]
+#: Bytes of requests that are read for calls at a time (one chunk at least), and batches whose results are written at a time.
+CALL_BYTES, TOGETHER = 16 << 20, 100
 
 
 class BatchFailed(Exception):
@@ -51,7 +55,11 @@ class BatchRater(Protocol):
         """`in_progress` (also where the status can't be had just now) or `ended`. BatchFailed: it never will."""
 
     def results(self, spark: SparkSession, batch_id: str) -> DataFrame:
-        """(custom_id, raw) of an ended batch. BatchFailed: not to be had now, try again later."""
+        """(custom_id, raw) of an ended batch. BatchFailed: not to be had now, try again later.
+
+        A rater may offer results_of(spark, batch_ids) too, which is asked instead: ((batch_id, custom_id, raw) of many
+        batches in one frame, the ids of the batches that can be had now).
+        """
 
     def cancel(self, batch_id: str) -> None:
         """Gives up the batch's place in the queue. BatchFailed: it can't be cancelled (any more)."""
@@ -67,8 +75,20 @@ class Ledger:
         fs, path = file_system(self.spark, f"{self.path}/{folder}")
         return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
+    def _any(self, folder: str) -> bool:
+        fs, path = file_system(self.spark, f"{self.path}/{folder}")
+        return fs.exists(path) and len(fs.listStatus(path)) > 0
+
     def _table(self, name: str, shape: str) -> DataFrame:
-        return self.spark.read.schema(shape).parquet(f"{self.path}/{name}") if self._names(name) else self.spark.createDataFrame([], shape)
+        return self.spark.read.schema(shape).parquet(f"{self.path}/{name}") if self._any(name) else self.spark.createDataFrame([], shape)
+
+    def _asked(self) -> DataFrame:
+        shape = f"{REQUEST}, chunk long, run string"
+        asked = self._table("asked", shape)
+        return asked.unionByName(self._table("requests", shape)) if self._any("requests") else asked
+
+    def _ask(self, run: str, requests: DataFrame) -> None:
+        requests.select(*PLAIN, "chunk").repartition("chunk").sortWithinPartitions("chunk", "custom_id").write.parquet(f"{self.path}/asked/run={run}")
 
     def state(self, key: str) -> dict | None:
         """The last event of a batch."""
@@ -77,26 +97,40 @@ class Ledger:
 
     def advance(self, key: str, seen: dict | None, state: str, **facts) -> bool:
         """Notes that the batch, seen in one state, is in another now; False where somebody else has noted a change since."""
+        return self._advanced(key, seen, state, **facts) is not None
+
+    def _advanced(self, key: str, seen: dict | None, state: str, **facts) -> dict | None:
         if state not in FOLLOWS.get(seen and seen["state"], ()):
             raise ValueError(f"{seen and seen['state']} cannot become {state}")
         run, chunk = key.rsplit("-", 1)
         event = {**(seen or {"run": run, "chunk": int(chunk), "seq": -1}), **facts, "state": state, "at": time.time()}
         event["seq"] += 1
-        return create_once(self.spark, f"{self.path}/events/{key}/{event['seq']:06}", json.dumps(event))
+        return event if create_once(self.spark, f"{self.path}/events/{key}/{event['seq']:06}", json.dumps(event)) else None
 
     # What is known.
 
+    def _last(self) -> DataFrame:
+        """The last event of each batch."""
+        shape = "run string, chunk long, seq long, state string, batch_id string, rater string, version string, at double, attempt string"
+        log = self.spark.read.schema(shape).json(f"{self.path}/events/*") if self._any("events") else self.spark.createDataFrame([], shape)
+        return last_write(log, ["run", "chunk"], F.col("seq"), ["batch_id", "rater", "version", "state", "at", "attempt", "seq"])
+
+    def _states(self) -> dict[str, dict]:
+        """The last event of each batch by its key, as state() gives it, of one read of the log: a row a batch."""
+        rows = [{k: v for k, v in r.asDict().items() if v is not None} for r in self._last().collect()]
+        return {f"{r['run']}-{r['chunk']}": r for r in rows}
+
     def batches(self) -> DataFrame:
         """(run, chunk, batch_id, rater, version, state, at, attempt): each batch as it stands."""
-        shape = "run string, chunk long, seq long, state string, batch_id string, rater string, version string, at double, attempt string"
-        log = self.spark.read.schema(shape).json(f"{self.path}/events/*") if self._names("events") else self.spark.createDataFrame([], shape)
-        return last_write(log, ["run", "chunk"], F.col("seq"), ["batch_id", "rater", "version", "state", "at", "attempt"])
+        return self._last().drop("seq")
 
     def requests(self) -> DataFrame:
         """(custom_id, batch_id, article_id, company_id, company, text): batch_id is null for what no batch has taken."""
-        asked = self._table("requests", f"{REQUEST}, run string, chunk long")
-        taken = self.batches().where(F.col("state").isin(*TAKEN)).select("run", "chunk", "batch_id")
-        return asked.join(taken, ["run", "chunk"], "left").select("custom_id", "batch_id", *PLAIN[1:])
+        return self._requests(self.batches())
+
+    def _requests(self, batches: DataFrame) -> DataFrame:
+        taken = batches.where(F.col("state").isin(*TAKEN)).select("run", "chunk", "batch_id")
+        return self._asked().join(taken, ["run", "chunk"], "left").select("custom_id", "batch_id", *PLAIN[1:])
 
     def not_submitted(self) -> DataFrame:
         return self.requests().where("batch_id IS NULL")
@@ -111,15 +145,19 @@ class Ledger:
 
     def without_request(self) -> DataFrame:
         """(batch_id, custom_id): ids that a batch has at the rater, but for which nothing could be asked here."""
+        return self._without_request(self.batches())
+
+    def _without_request(self, batches: DataFrame) -> DataFrame:
         members = self._table("members", "custom_id string, run string, chunk long")
-        asked = self._table("requests", f"{REQUEST}, run string, chunk long").select("run", "custom_id").distinct()
-        return members.join(asked, ["run", "custom_id"], "left_anti").join(self.batches(), ["run", "chunk"]).select("batch_id", "custom_id")
+        asked = self._asked().select("run", "custom_id").distinct()
+        return members.join(asked, ["run", "custom_id"], "left_anti").join(batches, ["run", "chunk"]).select("batch_id", "custom_id")
 
     def report(self) -> DataFrame:
         """(batch_id, rater, version, state, requests, without_request) of each batch that was ever submitted."""
         count = lambda df, name: df.groupBy("batch_id").agg(F.count("*").alias(name))
-        out = self.batches().where("batch_id IS NOT NULL").select("batch_id", "rater", "version", "state")
-        out = out.join(count(self.requests(), "requests"), "batch_id", "left").join(count(self.without_request(), "without_request"), "batch_id", "left")
+        batches = self.batches()
+        out = batches.where("batch_id IS NOT NULL").select("batch_id", "rater", "version", "state")
+        out = out.join(count(self._requests(batches), "requests"), "batch_id", "left").join(count(self._without_request(batches), "without_request"), "batch_id", "left")
         return out.na.fill(0, ["requests", "without_request"])
 
     # What is done.
@@ -127,115 +165,181 @@ class Ledger:
     def submit(self, requests: DataFrame, name: str, rater: BatchRater, version: str) -> int:
         """Submits requests (custom_id, article_id, company_id, company, text, chunk) chunk by chunk; gives how many went.
 
-        The requests are evaluated once, when they are written by chunk; a call reads its chunk's folder, the only rows that
+        The requests are evaluated once, when they are written by chunk; the rows of some calls at a time, CALL_BYTES at most,
         come to the driver. Where a chunk is refused, it and all that follow stay as requests without a batch; if it is the
         first one, nothing stays.
         """
         run = uuid.uuid4().hex
-        requests.select(*PLAIN, "chunk").repartition("chunk").write.partitionBy("chunk").parquet(f"{self.path}/requests/run={run}")
+        self._ask(run, requests)
         create_once(self.spark, f"{self.path}/runs/{run}", json.dumps({"rater": name, "version": version}))
-        went = self._go_on(run, rater)
+        went = self._go_on(run, rater, {})
         if not went:
-            for folder in (f"requests/run={run}", f"runs/{run}", *[f"events/{n}" for n in self._names("events") if n.startswith(run)]):
+            for folder in (f"asked/run={run}", f"runs/{run}", *[f"events/{n}" for n in self._names("events") if n.startswith(run)]):
                 fs, path = file_system(self.spark, f"{self.path}/{folder}")
                 fs.delete(path, True)
         return went
 
     def resume(self, rater: BatchRater) -> int:
         """Goes on with all runs that a crash or a refusal has cut short; gives how many chunks went."""
-        return sum(self._go_on(run, rater) for run in self._names("runs"))
+        states = self._states()
+        return sum(self._go_on(run, rater, states) for run in self._names("runs"))
 
-    def _go_on(self, run: str, rater: BatchRater) -> int:
+    def _go_on(self, run: str, rater: BatchRater, states: dict[str, dict]) -> int:
         about = json.loads(read_text(self.spark, f"{self.path}/runs/{run}"))
         went = 0
-        for chunk in sorted(int(n.removeprefix("chunk=")) for n in self._names(f"requests/run={run}") if n.startswith("chunk=")):
+        done = {e["chunk"] for e in states.values() if e["run"] == run and e["state"] not in (INTENDED, REFUSED)}
+        for chunk, asked in self._calls(run, done):
             key = f"{run}-{chunk}"
-            seen = self.state(key)
+            seen = self.state(key) if key in states else None
             if seen and seen["state"] not in (INTENDED, REFUSED):
                 continue
             batch = None
             if seen and seen["state"] == INTENDED:
                 batch = rater.sent(key)
-            elif self.advance(key, seen, INTENDED, **about):
-                seen = self.state(key)
             else:
-                return went  # another one is at it
+                seen = self._advanced(key, seen, INTENDED, **about)
+                if seen is None:
+                    return went  # another one is at it
             try:
-                batch = batch or rater.submit([r.asDict() for r in self._chunk(run, chunk).select("custom_id", "text", "company").orderBy("custom_id").collect()], about["version"], key)
+                batch = batch or rater.submit(asked, about["version"], key)
             except BatchFailed:
                 self.advance(key, seen, REFUSED)
                 return went
             went += self.advance(key, seen, SUBMITTED, batch_id=batch)
         return went
 
-    def _chunk(self, run: str, chunk: int) -> DataFrame:
-        return self.spark.read.schema(REQUEST).parquet(f"{self.path}/requests/run={run}/chunk={chunk}")
+    def _calls(self, run: str, done: set[int]) -> Iterator[tuple[int, list[dict]]]:
+        """(chunk, its requests by custom_id) of the chunks that are not done, in order; they are read as calls get to them."""
+        asked = self._asked().where(F.col("run") == run)
+        size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("custom_id", "text", "company")), F.lit(64))
+        sizes = asked.groupBy("chunk").agg(F.sum(size).alias("size"), F.count("*").alias("n")).orderBy("chunk")
+        spans, full = [], CALL_BYTES
+        for r in sizes.collect():  # a row a chunk
+            if r["chunk"] in done:
+                full = CALL_BYTES
+                continue
+            if full + r["size"] > CALL_BYTES:
+                spans.append([])
+                full = 0
+            spans[-1].append(r)
+            full += r["size"]
+        for span in spans:
+            rows = asked.where(F.col("chunk").between(span[0]["chunk"], span[-1]["chunk"])).orderBy("chunk", "custom_id").select("custom_id", "text", "company").toArrow()
+            at = 0
+            for r in span:
+                yield r["chunk"], rows.slice(at, r["n"]).to_pylist()
+                at += r["n"]
 
     def collect(self, rater: BatchRater, log: str, timeout_s: float | None = None) -> int:
         """Asks once after each waiting batch and appends what has ended to the evaluations log; gives how many ended.
 
         A batch that failed, or is in progress for longer than timeout_s, makes all its requests failed. One whose results
         can't be had stays as it is. A request without a result is failed; a result nobody asked for is ignored. Results are
-        written aside, then the change of state names them, then they are moved into the log: of two collectors one has its
-        rows in the log, and what a crash leaves unmoved is moved next time.
+        written aside, those of TOGETHER batches at a time, a folder each; then each batch's change of state names its folder,
+        then that is moved into the log: of two collectors one has its rows in the log, and what a crash leaves unmoved is
+        moved next time.
         """
-        self._publish(log)
-        ended = 0
-        for b in self.waiting().orderBy("batch_id").collect():  # a row a batch
-            state, results = COLLECTED, parsed(self.spark.createDataFrame([], "custom_id string, raw string"))
+        states = self._states()
+        self._publish(log, states.values())
+        over = []
+        for seen in sorted((e for e in states.values() if e["state"] == SUBMITTED), key=lambda e: e["batch_id"]):
             try:
-                if rater.status(b["batch_id"]) == "in_progress":
-                    if timeout_s is None or time.time() - b["at"] <= timeout_s:
-                        continue
-                    state = FAILED
+                if rater.status(seen["batch_id"]) != "in_progress":
+                    over.append((seen, COLLECTED))
+                elif timeout_s is not None and time.time() - seen["at"] > timeout_s:
+                    over.append((seen, FAILED))
             except BatchFailed:
-                state = FAILED
-            if state == COLLECTED:
-                try:
-                    results = parsed(rater.results(self.spark, b["batch_id"]))
-                except BatchFailed:
-                    continue
-            key = f"{b['run']}-{b['chunk']}"
-            seen, attempt = self.state(key), uuid.uuid4().hex
-            if seen["state"] != SUBMITTED:
-                continue
-            if f"chunk={b['chunk']}" not in self._names(f"requests/run={b['run']}"):
+                over.append((seen, FAILED))
+        over.sort(key=lambda x: (x[0]["run"], x[0]["chunk"]))  # files have neighbours side by side
+        return sum(self._collect(rater, log, over[k : k + TOGETHER]) for k in range(0, len(over), TOGETHER))
+
+    def _collect(self, rater: BatchRater, log: str, over: list[tuple[dict, str]]) -> int:
+        """Writes the results of batches (last event, what becomes of it), then notes and publishes them; gives how many."""
+        raw, had = self._results(rater, [seen["batch_id"] for seen, state in over if state == COLLECTED])
+        got = [(f"{e['run']}-{e['chunk']}", e, state) for e, state in over if state != COLLECTED or e["batch_id"] in had]
+        if not got:
+            return 0
+        tasks = self.spark.sparkContext.defaultParallelism  # by number: what is few bytes is many files and much to parse
+        results = parsed(raw.repartition(tasks, "batch_id", "custom_id")).drop("raw")  # behind the shuffle: not once for each batch's frame
+        of = self.spark.createDataFrame([(e["run"], e["chunk"], key, e["batch_id"], e["version"]) for key, e, _ in got], "run string, chunk long, _key string, batch_id string, version string")
+        chunks = [e["chunk"] for _, e, _ in got]
+        asked = self._asked().where(F.col("run").isin(*{e["run"] for _, e, _ in got}) & F.col("chunk").between(min(chunks), max(chunks)))
+        asked = asked.join(F.broadcast(of), ["run", "chunk"]).select("batch_id", "custom_id", "article_id", "company_id", "version", "_key")
+        rows = collected(asked, results, ["batch_id", "custom_id"]).drop("batch_id")
+        attempt = uuid.uuid4().hex
+        rows = rows.select(*[c for c in rows.columns if c != "version"], "version").repartition(tasks, "_key")
+        rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("_key").parquet(f"{log}/_aside/{attempt}")
+        fs, aside = file_system(self.spark, f"{log}/_aside/{attempt}")
+        there = {s.getPath().getName() for s in fs.listStatus(aside)}
+        noted = []
+        for key, seen, state in got:
+            if f"_key={key}" in there:
+                noted.append(self._advanced(key, seen, state, attempt=f"{attempt}/_key={key}"))
+            else:
                 self.advance(key, seen, state)  # a batch that was found, without any request of ours
+        noted = [e for e in noted if e]
+        self._publish(log, noted)
+        return len(noted)
+
+    def _results(self, rater: BatchRater, batches: list[str]) -> tuple[DataFrame, set[str]]:
+        """(batch_id, custom_id, raw) of these batches, and which of them can be had now."""
+        if hasattr(rater, "results_of"):
+            raw, had = rater.results_of(self.spark, batches)
+            return raw.select("batch_id", "custom_id", "raw"), set(had)
+        frames, had = [], set()
+        for batch in batches:
+            try:
+                frames.append(rater.results(self.spark, batch).select(F.lit(batch).alias("batch_id"), "custom_id", "raw").coalesce(1))
+                had.add(batch)
+            except BatchFailed:
                 continue
-            rows = collected(self._chunk(b["run"], b["chunk"]).select("custom_id", "article_id", "company_id"), results.drop("raw"))
-            rows.withColumn("version", F.lit(b["version"])).write.parquet(f"{log}/_aside/{attempt}")
-            ended += self.advance(key, seen, state, attempt=attempt)
-        self._publish(log)
-        return ended
+        while len(frames) > 1:  # by pairs: each union goes over what is below it
+            frames = [a[0].union(a[1]) if len(a) > 1 else a[0] for a in (frames[k : k + 2] for k in range(0, len(frames), 2))]
+        return (frames[0] if frames else self.spark.createDataFrame([], "batch_id string, custom_id string, raw string")), had
 
-    def _publish(self, log: str) -> None:
+    def _publish(self, log: str, events: Iterable[dict]) -> None:
         """Moves results that a change of state names into the log, each under its batch's folder."""
         fs, aside = file_system(self.spark, f"{log}/_aside")
-        if not fs.exists(aside):
-            return
-        there = {s.getPath().getName() for s in fs.listStatus(aside)}
-        for b in self.batches().where("attempt IS NOT NULL").select("batch_id", "attempt").collect():  # a row a batch
-            if b["attempt"] in there:
-                one = file_system(self.spark, f"{log}/_aside/{b['attempt']}")[1]
-                try:
-                    fs.rename(one, file_system(self.spark, f"{log}/batch_id={b['batch_id']}")[1])
-                except Py4JJavaError:
-                    if fs.exists(one):  # else another collector has moved it
-                        raise
+        at = lambda name: file_system(self.spark, f"{log}/_aside/{name}")[1]
+
+        def names(path) -> set[str]:
+            try:
+                return {s.getPath().getName() for s in fs.listStatus(path)}
+            except Py4JJavaError:
+                if fs.exists(path):  # else there is nothing yet, or another collector has deleted it
+                    raise
+                return set()
+
+        found = dict.fromkeys(names(aside))
+        for e in events:
+            top, _, part = e.get("attempt", "").partition("/")
+            if top not in found:
+                continue
+            if part and found[top] is None:
+                found[top] = names(at(top))
+            if part and part not in found[top]:
+                continue
+            try:
+                fs.rename(at(e["attempt"]), file_system(self.spark, f"{log}/batch_id={e['batch_id']}")[1])
+            except Py4JJavaError:
+                if fs.exists(at(e["attempt"])):  # else another collector has moved it
+                    raise
+        for top in [t for t, parts in found.items() if parts is not None]:
+            if names(at(top)) <= {"_SUCCESS"}:
+                fs.delete(at(top), True)
 
     def cancel(self, rater: BatchRater) -> list[str]:
         """Cancels all waiting batches, so that they free the rater's queue; their requests are without a batch again. Gives
         the batches that were cancelled; one that can't be stays as it is."""
         done = []
-        for b in self.waiting().orderBy("batch_id").collect():  # a row a batch
-            key = f"{b['run']}-{b['chunk']}"
+        waiting = [(key, seen) for key, seen in self._states().items() if seen["state"] == SUBMITTED]
+        for key, seen in sorted(waiting, key=lambda x: x[1]["batch_id"]):
             try:
-                rater.cancel(b["batch_id"])
+                rater.cancel(seen["batch_id"])
             except BatchFailed:
                 continue
-            seen = self.state(key)
-            if seen["state"] == SUBMITTED and self.advance(key, seen, CANCELLED):
-                done.append(b["batch_id"])
+            if self.advance(key, seen, CANCELLED):
+                done.append(seen["batch_id"])
         return done
 
     def adopt(self, listed: DataFrame, articles: DataFrame, name: str, version: str) -> None:
@@ -254,6 +358,6 @@ class Ledger:
         p = members.withColumn("p", custom_id_parts(F.col("custom_id"))).select("custom_id", "chunk", "ord", F.col("p.article_id").alias("article_id"), F.col("p.company_id").alias("company_id"))
         last = last_write(p, ["custom_id", "article_id", "company_id"], F.struct("ord", "chunk"), ["chunk"])
         built = last.join(articles, ["article_id", "company_id"]).select(*PLAIN, "chunk")
-        built.repartition("chunk").write.partitionBy("chunk").parquet(f"{self.path}/requests/run={run}")
+        self._ask(run, built)
         for k, batch in enumerate(batches):
             self.advance(f"{run}-{k}", None, SUBMITTED, batch_id=batch, rater=name, version=version)

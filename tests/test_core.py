@@ -481,6 +481,45 @@ def test_a_crash_around_a_call_loses_and_doubles_nothing(spark, before):
     assert again.requests().groupBy("custom_id").count().where("count > 1").count() == 0
 
 
+def jobs_of(spark, work):
+    """(what work gives, number of Spark jobs it took)."""
+    group = f"jobs-{time.time()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_submission_and_cancelling_take_no_job_for_each_chunk(spark, monkeypatch):
+    path, rater, rows = shared.scratch(spark), operations.ScriptedRater(), asked_rows(spark, 600)
+    at = ledger.Ledger(spark, path)
+    went, jobs = jobs_of(spark, lambda: at.submit(rows, "scripted", rater, "v1"))
+    assert went == 60 and jobs < 20
+    done, jobs = jobs_of(spark, lambda: at.cancel(rater))
+    assert len(done) == 59 and "b5" not in done and jobs < 20
+    assert at.cancel(rater) == []
+    report = {r["batch_id"]: (r["state"], r["requests"]) for r in at.report().collect()}
+    assert report.pop("b5") == ("submitted", 10) and set(report.values()) == {("cancelled", 0)}
+    assert at.not_submitted().count() == 590
+    monkeypatch.setattr(ledger, "CALL_BYTES", 2000)  # requests of about two chunks at a time
+    small = operations.ScriptedRater()
+    assert ledger.Ledger(spark, shared.scratch(spark)).submit(rows, "scripted", small, "v1") == 60
+    assert list(small.asked.items()) == list(rater.asked.items())
+
+
+def test_ledger_with_a_folder_for_each_chunk_is_read_on(spark):
+    at, rater = ledger.Ledger(spark, shared.scratch(spark)), operations.ScriptedRater()
+    asked_rows(spark, 50).write.partitionBy("chunk").parquet(f"{at.path}/requests/run=old")
+    shared.create_once(spark, f"{at.path}/runs/old", '{"rater": "scripted", "version": "v0"}')
+    assert at.advance("old-1", None, ledger.SUBMITTED, batch_id="b9", rater="scripted", version="v0")
+    assert at.resume(rater) == 4 and at.submit(asked_rows(spark, 20), "scripted", rater, "v1") == 2
+    assert sorted(i for own in rater.asked.values() for i in own) == sorted(r["custom_id"] for n in (50, 20) for r in asked_rows(spark, n).collect() if n == 20 or r["chunk"] != 1)
+    assert at.requests().groupBy("batch_id").count().where("count = 10").count() == 7 and at.not_submitted().count() == 0
+
+
 def test_one_of_many_writers_makes_a_change(spark):
     from concurrent.futures import ThreadPoolExecutor
 
