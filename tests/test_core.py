@@ -547,6 +547,48 @@ def test_two_collectors_write_a_batch_once(spark):
     assert rows.count() == 30 and rows.select("custom_id").distinct().count() == 30
 
 
+@pytest.mark.parametrize("many", [True, False])
+def test_collecting_takes_no_job_for_each_batch(spark, monkeypatch, many):
+    class Single(operations.ScriptedRater):
+        def __getattribute__(self, name):
+            if name == "results_of":
+                raise AttributeError(name)
+            return super().__getattribute__(name)
+
+    rater, log = (operations.ScriptedRater if many else Single)(), shared.scratch(spark)
+    at = ledger.Ledger(spark, shared.scratch(spark))
+    at.submit(asked_rows(spark, 600), "scripted", rater, "v1")
+    monkeypatch.setattr(ledger, "TOGETHER", 40)
+    ended, jobs = jobs_of(spark, lambda: at.collect(rater, log))
+    assert ended == 58 and jobs < 40
+    assert at.collect(rater, log) == 0
+    got = {(r["batch_id"], r["article_id"]): (r["status"], r["note"], r["version"]) for r in spark.read.parquet(log).collect()}
+    ok = lambda b, a: b != 2 and a % 5 < 3
+    assert got == {(f"b{b}", a): ("ok" if ok(b, a) else "failed", a % 5 if ok(b, a) else None, "v1") for a in range(600) for b in [a // 10 + 1] if b not in (3, 4)}
+    assert spark.read.parquet(log).count() == 580
+
+
+def test_what_a_crashed_collector_noted_is_moved_by_the_next(spark, monkeypatch):
+    rater, log, path = operations.ScriptedRater(), shared.scratch(spark), shared.scratch(spark)
+    at = ledger.Ledger(spark, path)
+    at.submit(asked_rows(spark, 60), "scripted", rater, "v1")
+    noted, made = ledger.Ledger._advanced, []
+
+    def crashing(self, key, seen, state, **facts):
+        if len(made) == 2:
+            raise Crash
+        made.append(key)
+        return noted(self, key, seen, state, **facts)
+
+    with monkeypatch.context() as m:
+        m.setattr(ledger.Ledger, "_advanced", crashing)
+        with pytest.raises(Crash):
+            at.collect(rater, log)
+    assert ledger.Ledger(spark, path).collect(rater, log) == 2  # of b1, b2, b5, b6 two were noted; b3 and b4 wait
+    rows = spark.read.parquet(log)
+    assert rows.count() == 40 and rows.select("custom_id").distinct().count() == 40
+
+
 def test_deadline_fails_a_batch_and_a_late_result_is_ignored(spark):
     path, rater, log = shared.scratch(spark), operations.ScriptedRater(), shared.scratch(spark)
     at = ledger.Ledger(spark, path)
